@@ -233,10 +233,15 @@ class CalibratedClassifier:
         for fold, model in enumerate(self.models):
             raw = model.setRawPredictionCol(f"_raw{fold}").setProbabilityCol("").setPredictionCol("")
             data = raw.transform(data)
-            margins = vector_to_array(F.col(f"_raw{fold}"))
             rows = self.sigmoids.where(F.col("fold") == fold)
-            params = rows.agg(F.sort_array(F.collect_list(F.struct("class_no", "a", "b"))).alias("p")).select("p").scalar()
-            sig = F.zip_with(margins, params, lambda m, p: 1.0 / (1.0 + F.exp(p["a"] * m + p["b"])))
+            params = rows.agg(F.sort_array(F.collect_list(F.struct("class_no", "a", "b"))).alias("p"))
+            # A column of its own: a subquery may not stand inside a higher-order function.
+            data = data.withColumn(f"_fit{fold}", params.select("p").scalar())
+            sig = F.zip_with(
+                vector_to_array(F.col(f"_raw{fold}")),
+                f"_fit{fold}",
+                lambda m, p: 1.0 / (1.0 + F.exp(p["a"] * m + p["b"])),
+            )
             summed = F.aggregate(sig, F.lit(0.0), lambda s, x: s + x)
             normed = F.transform(sig, lambda x: F.coalesce(F.try_divide(x, summed), F.lit(1.0 / len(self.classes))))
             total = normed if total is None else F.zip_with(total, normed, lambda x, y: x + y)

@@ -69,9 +69,10 @@ def centroid_vectors(centroid_rows: DataFrame) -> DataFrame:
     return centroid_rows.groupBy("label").agg(F.transform(parts, lambda p: p["mean"]).alias("centroid"))
 
 
-def _as_scalar(rows: DataFrame, *cols: str) -> Column:
-    """A small per-label table as one ARRAY<STRUCT> value (labels x dimensions numbers)."""
-    return rows.agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("all")).select("all").scalar()
+def _with_small_table(df: DataFrame, name: str, rows: DataFrame, *cols: str) -> DataFrame:
+    """Add a per-label table as one ARRAY<STRUCT> column (labels x dimensions numbers)."""
+    one = rows.agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("all"))
+    return df.withColumn(name, one.select("all").scalar())
 
 
 def nearest_centroid(vectors: DataFrame, centers: DataFrame) -> DataFrame:
@@ -80,12 +81,13 @@ def nearest_centroid(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     Ties go to the smaller label.
     """
     choices = F.transform(
-        _as_scalar(centers, "label", "centroid"),
+        "_centers",
         lambda c: F.struct(
             F.round(squared_distance(F.col("vec"), c["centroid"]), 9).alias("d"), c["label"].alias("label")
         ),
     )
-    return vectors.withColumn("predicted", F.array_min(choices)["label"])
+    beside = _with_small_table(vectors, "_centers", centers, "label", "centroid")
+    return beside.withColumn("predicted", F.array_min(choices)["label"]).drop("_centers")
 
 
 def cluster_representatives(labelled: DataFrame, label_col: str, n: int = 5) -> DataFrame:
@@ -180,8 +182,9 @@ def silhouette_fast(labelled: DataFrame, label_col: str) -> DataFrame:
         F.max("size").alias("size"),
     )
     vec = F.col("vec")
+    points = _with_small_table(points, "_stats", stats, "cluster", "size", "total_sq", "total_vec")
     per_cluster = F.transform(
-        _as_scalar(stats, "cluster", "size", "total_sq", "total_vec"),
+        "_stats",
         lambda c: F.struct(
             c["cluster"].alias("cluster"),
             (c["size"] * dot(vec, vec) + c["total_sq"] - 2.0 * dot(vec, c["total_vec"])).alias("total"),

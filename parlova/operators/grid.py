@@ -36,6 +36,8 @@ def grid_apply(
     schema: str,
 ) -> DataFrame:
     """Run ``cell`` on every (left block, right block)."""
+    # Fresh column identities: both sides may come from the same table.
+    right = right.toDF(*right.columns)
     l = left.withColumn("_lb", F.pmod(F.xxhash64(left_id), F.lit(n_left))).withColumn("_rb", _every(n_right))
     r = right.withColumn("_rb", F.pmod(F.xxhash64(right_id), F.lit(n_right))).withColumn("_lb", _every(n_left))
     keys = [F.col("_lb").cast("int"), F.col("_rb").cast("int")]

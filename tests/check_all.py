@@ -21,7 +21,7 @@ def main() -> int:
     queries, oracle = entry.queries(), entry.oracle_sql()
     names = sys.argv[2:] or list(queries)
     spark = build_session(master="local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
     failed = []
     for name in names:
