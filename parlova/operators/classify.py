@@ -43,18 +43,19 @@ def centroid_model(train: DataFrame, max_features: int = 5000, scale: float = 10
     """Class coefficients = mean TF-IDF vector of the class; train has (doc_id, text, intent)."""
     docs = train.select("doc_id", "text", "intent").where(F.col("intent").isNotNull())
     counts = materialize(gram_counts(docs))
-    fitted = fit_vocabulary(docs, counts, max_features)
+    # One row per class reaches the driver.
+    sizes = {r.intent: r.n for r in docs.groupBy("intent").agg(F.count(F.lit(1)).alias("n")).collect()}
+    fitted = fit_vocabulary(sum(sizes.values()), counts, max_features)
     vocabulary = Vocabulary(materialize(fitted.terms), max_features)
-    weights = tfidf_weights(counts, vocabulary).join(docs.select("doc_id", "intent"), "doc_id")
-    sizes = docs.groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
+    size = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("intent"))
     coefficients = (
-        weights.groupBy("intent", "gram")
+        tfidf_weights(counts, vocabulary)
+        .join(docs.select("doc_id", "intent"), "doc_id")
+        .groupBy("intent", "gram")
         .agg(F.sum("w").alias("total"))
-        .join(F.broadcast(sizes), "intent")
-        .select(F.col("intent").alias("class"), "gram", (F.col("total") / F.col("n")).alias("coef"))
+        .select(F.col("intent").alias("class"), "gram", (F.col("total") / size).alias("coef"))
     )
-    classes = [r.intent for r in sizes.orderBy("intent").collect()]
-    return LinearModel(classes, vocabulary, materialize(coefficients), scale)
+    return LinearModel(sorted(sizes), vocabulary, materialize(coefficients), scale)
 
 
 def linear_probabilities(messages: DataFrame, model: LinearModel) -> DataFrame:

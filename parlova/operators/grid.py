@@ -64,8 +64,17 @@ def unit_rows(vectors: pd.Series) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
-def best_in_cell(scores: np.ndarray, qids: np.ndarray, doc_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """Per row the ``k`` best positive scores, ties to the smaller doc id."""
+def best_in_cell(
+    scores: np.ndarray,
+    qids: np.ndarray,
+    doc_ids: np.ndarray,
+    k: int,
+    more: dict[str, np.ndarray] | None = None,
+) -> pd.DataFrame:
+    """Per row the ``k`` best positive scores, ties to the smaller doc id.
+
+    ``more`` holds further matrices to report at the chosen places.
+    """
     rounded = np.round(scores, 9)
     rows, cols = [], []
     for i, row in enumerate(rounded):
@@ -78,4 +87,5 @@ def best_in_cell(scores: np.ndarray, qids: np.ndarray, doc_ids: np.ndarray, k: i
         cols.append(best)
     r = np.concatenate(rows) if rows else np.zeros(0, dtype=int)
     c = np.concatenate(cols) if cols else np.zeros(0, dtype=int)
-    return pd.DataFrame({"qid": qids[r], "doc_id": doc_ids[c], "score": scores[r, c]})
+    extra = {name: m[r, c] for name, m in (more or {}).items()}
+    return pd.DataFrame({"qid": qids[r], "doc_id": doc_ids[c], "score": scores[r, c], **extra})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,15 @@ from parlova.runtime import materialize
 _PARTITION_BIT = 33
 
 
-def global_rank(df: DataFrame, order_by: Sequence[str | Column], rank_col: str = "rank") -> DataFrame:
+@dataclass(frozen=True)
+class Ranked:
+    """A table with its rank column, and its number of rows."""
+
+    rows: DataFrame
+    n: int
+
+
+def global_rank(df: DataFrame, order_by: Sequence[str | Column], rank_col: str = "rank") -> Ranked:
     """1-based rank over the whole table by ``order_by`` (make it a total order).
 
     Range partition, sort each partition, then add the row count of the earlier
@@ -28,19 +37,21 @@ def global_rank(df: DataFrame, order_by: Sequence[str | Column], rank_col: str =
     )
     ordered = materialize(ordered)
     part = F.shiftright(F.col("_mid"), _PARTITION_BIT)
-    # One row per shuffle partition: a bounded table, small enough for one window.
-    counts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
+    # One count per shuffle partition reaches the driver.
+    counts = sorted(ordered.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, total = [], 0
+    for p, n in counts:
+        offsets.append((p, total))
+        total += n
+    table = df.sparkSession.createDataFrame(offsets, "_part bigint, _offset bigint")
     position = F.col("_mid").bitwiseAND(F.lit(2**_PARTITION_BIT - 1))
-    return (
+    rows = (
         ordered.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
+        .join(F.broadcast(table), "_part")
         .withColumn(rank_col, F.col("_offset") + position + 1)
         .drop("_part", "_mid", "_offset")
     )
+    return Ranked(rows, total)
 
 
 def top_k(
@@ -59,12 +70,11 @@ def top_k(
     )
 
 
-def quartile_of_rank(rank: Column, n: Column | int) -> Column:
+def quartile_of_rank(rank: Column, n: int) -> Column:
     """Equal-frequency bin 1..4 of a rank, right-closed with linear edges."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.when(n <= 1, F.lit(1).cast("bigint")).otherwise(
-        F.greatest(F.lit(1).cast("bigint"), F.ceil((rank - 1) * 4 / (n - 1)).cast("bigint"))
-    )
+    if n <= 1:
+        return F.lit(1).cast("bigint")
+    return F.greatest(F.lit(1).cast("bigint"), F.ceil((rank - 1) * 4 / (n - 1)).cast("bigint"))
 
 
 def hash_order(id_col: str, seed: int) -> Column:

@@ -70,9 +70,9 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
 
 
-def term_idf(posting_rows: DataFrame, stats: DataFrame) -> DataFrame:
+def term_idf(posting_rows: DataFrame, n_docs: int) -> DataFrame:
     """(term, df, idf) with idf = ln((N - df + 0.5) / (df + 0.5) + 1)."""
-    n = stats.select("n_docs").scalar()
+    n = F.lit(n_docs)
     return (
         posting_rows.groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
@@ -80,13 +80,12 @@ def term_idf(posting_rows: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def bm25_weights(posting_rows: DataFrame, idf: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_weights(posting_rows: DataFrame, idf: DataFrame, avg_len: float, k1: float = K1, b: float = B) -> DataFrame:
     """(feature, doc_id, w, df): the score a single query occurrence of a term earns."""
-    total = idf.agg(F.sum("df").alias("n")).select("n").scalar()
-    hot = idf.where(F.col("df") > total * F.lit(HOT_SHARE))
-    avg_len = F.coalesce(F.nullif(stats.select("avg_len").scalar(), F.lit(0.0)), F.lit(1.0))
+    total = idf.agg(F.sum("df")).first()[0] or 0
+    hot = idf.where(F.col("df") > total * HOT_SHARE)
     tf = F.col("tf")
-    length = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / avg_len)
+    length = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / F.lit(avg_len or 1.0))
     return lookup_join(posting_rows, idf, "term", "doc_id", hot).select(
         F.col("term").alias("feature"),
         "doc_id",
@@ -139,16 +138,16 @@ def lexical_index(corpus: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_stats, term_idf, stored BM25 weights)."""
     rows = materialize(postings(corpus))
     docs = doc_stats(corpus)
-    stats = materialize(corpus_stats(docs))
-    idf = materialize(term_idf(rows, stats))
-    return docs, idf, materialize(bm25_weights(rows, idf, stats))
+    stats = corpus_stats(docs).first()
+    idf = materialize(term_idf(rows, stats.n_docs))
+    return docs, idf, materialize(bm25_weights(rows, idf, stats.avg_len))
 
 
 def semantic_index(corpus: DataFrame, max_features: int = VECTOR_FEATURES) -> tuple[Vocabulary, DataFrame]:
     """(vocabulary, stored TF-IDF weights) of the customer texts."""
     docs = corpus.select("doc_id", F.col("customer_text").alias("text"))
     counts = materialize(gram_counts(docs))
-    fitted = fit_vocabulary(docs, counts, max_features)
+    fitted = fit_vocabulary(docs.count(), counts, max_features)
     vocabulary = Vocabulary(materialize(fitted.terms), max_features)
     weights = tfidf_weights(counts, vocabulary).select(F.col("gram").alias("feature"), "doc_id", "w", "df")
     return vocabulary, materialize(weights)
@@ -232,10 +231,16 @@ def hybrid_topk(
         _tagged(sem_q.withColumn("qw", F.col("qw") * semantic_weight), "s:")
     )
     joint_d = _tagged(index.lexical, "l:").unionByName(_tagged(index.semantic, "s:"))
-    hits = sparse_topk(joint_q, joint_d, k, heavy_df)
+    hits = sparse_topk(joint_q, joint_d, k, heavy_df, parts={"lexical_part": "l:", "semantic_part": "s:"})
     rows = pad_topk(hits, queries, index.corpus, k)
-    rows = score_pairs(rows, lex_scaled, index.lexical, "lexical_score")
-    return score_pairs(rows, sem_q, index.semantic, "semantic_score")
+    return rows.select(
+        "qid",
+        "rank",
+        "doc_id",
+        "score",
+        (F.col("lexical_part") / lexical_weight).alias("lexical_score"),
+        (F.col("semantic_part") / semantic_weight).alias("semantic_score"),
+    )
 
 
 def hybrid_topk_dense(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlova.functions.text import length_bucket
 from parlova.operators.ranking import global_rank, hash_order, hash_sample, quartile_of_rank, top_k
+from parlova.runtime import materialize
 
 
 def dedup_keep_first(df: DataFrame, key: str, order_col: str) -> DataFrame:
@@ -40,10 +41,8 @@ def chronological_split(
     if golden_texts is not None:
         timed = exclude_texts(timed, golden_texts, golden_col)
     ranked = global_rank(timed, [time_col, *tie_cols], "time_rank")
-    n = ranked.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    n_train = F.floor(n * F.lit(train_frac))
-    n_val = F.floor(n * F.lit(val_frac))
-    return ranked.withColumn(
+    n_train, n_val = int(ranked.n * train_frac), int(ranked.n * val_frac)
+    return ranked.rows.withColumn(
         "split",
         F.when(F.col("time_rank") <= n_train, "train")
         .when(F.col("time_rank") <= n_train + n_val, "val")
@@ -52,14 +51,19 @@ def chronological_split(
 
 
 def with_strata(pairs: DataFrame, time_col: str = "timestamp") -> DataFrame:
-    """Distinct cleaned texts with length bucket and time quartile (null without time)."""
-    first = dedup_keep_first(pairs, "cleaned_text", "pair_seq").withColumn(
-        "length_bucket", length_bucket(F.col("cleaned_text"))
+    """(conversation_id, length_bucket, time_quartile) of the first pair per cleaned text.
+
+    The quartile is null without time. Texts stay behind: only ids are ranked.
+    """
+    first = (
+        dedup_keep_first(pairs.select("conversation_id", "cleaned_text", "pair_seq", time_col), "cleaned_text", "pair_seq")
+        .withColumn("length_bucket", length_bucket(F.col("cleaned_text")))
+        .drop("cleaned_text")
     )
     ranked = global_rank(first, [F.col(time_col).asc_nulls_last(), F.col("pair_seq")], "time_rank")
-    n = ranked.agg(F.count(time_col).alias("n")).select("n").scalar()
+    n = ranked.rows.agg(F.count(time_col)).first()[0]
     quartile = F.when(F.col(time_col).isNotNull(), quartile_of_rank(F.col("time_rank"), n))
-    return ranked.withColumn("time_quartile", quartile)
+    return ranked.rows.withColumn("time_quartile", quartile).drop("pair_seq", time_col)
 
 
 def stratified_sample(pairs: DataFrame, target: int = 200, seed: int = 42) -> DataFrame:
@@ -70,17 +74,21 @@ def stratified_sample(pairs: DataFrame, target: int = 200, seed: int = 42) -> Da
     """
     pool = with_strata(pairs)
     strata = pool.where(F.col("time_quartile").isNotNull())
-    # Two small numbers (number of strata, sample size) shape the plan.
+    # At most 3 x 4 strata; their number and the sample size shape the plan.
     n_strata = strata.select("length_bucket", "time_quartile").distinct().count()
     per_stratum = max(1, target // max(1, n_strata))
     pick = [hash_order("conversation_id", seed), F.col("conversation_id")]
-    sampled = top_k(strata, ["length_bucket", "time_quartile"], pick, per_stratum, "_rn").drop("_rn")
+    sampled = materialize(
+        top_k(strata, ["length_bucket", "time_quartile"], pick, per_stratum, "_rn").select(*pool.columns)
+    )
     n_sampled = sampled.count()
     if n_sampled < target:
-        chosen = sampled.select("conversation_id")
-        rest = pool.join(chosen, "conversation_id", "left_anti").select(*pool.columns)
-        sampled = sampled.unionByName(hash_sample(rest, "conversation_id", target - n_sampled, seed))
-    return hash_sample(sampled, "conversation_id", target, seed + 1)
+        rest = pool.join(F.broadcast(sampled.select("conversation_id")), "conversation_id", "left_anti")
+        top_up = hash_sample(rest.select(*pool.columns), "conversation_id", target - n_sampled, seed)
+        sampled = sampled.unionByName(top_up)
+    chosen = hash_sample(sampled, "conversation_id", target, seed + 1).drop("time_rank")
+    # At most ``target`` ids go back to the pairs for their texts.
+    return pairs.join(F.broadcast(chosen), "conversation_id")
 
 
 def golden_candidates(sample: DataFrame, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -26,14 +26,20 @@ def best_first():
 
 
 def sparse_topk(
-    queries: DataFrame, docs: DataFrame, k: int, heavy_df: int = HEAVY_DF,
-    query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK,
+    queries: DataFrame,
+    docs: DataFrame,
+    k: int,
+    heavy_df: int = HEAVY_DF,
+    parts: dict[str, str] | None = None,
+    query_block: int = QUERY_BLOCK,
+    doc_block: int = DOC_BLOCK,
 ) -> DataFrame:
     """The ``k`` documents with the highest positive sum of qw·w per query, exactly.
 
     ``queries`` (qid, feature, qw), ``docs`` (feature, doc_id, w, df), all weights
     positive, each (id, feature) once, ``df`` the rows of the feature in ``docs``.
-    Pass a stored ``docs``: it is read several times.
+    Pass a stored ``docs``: it is read several times. ``parts`` (column -> feature
+    prefix, together covering all features) adds the share of the score each earns.
 
     A frequent feature matches most documents for most queries, so joining on it
     emits nearly all pairs. Only features with df <= ``heavy_df`` look up
@@ -43,31 +49,34 @@ def sparse_topk(
     final. The other queries are scored against all documents in grid cells that
     return only their k best.
     """
+    parts = parts or {}
+    measures = ["score", *parts]
+    earned = F.col("qw") * F.col("w")
+    gains = {"score": earned} | {
+        name: F.when(F.startswith(F.col("feature"), F.lit(prefix)), earned).otherwise(0.0)
+        for name, prefix in parts.items()
+    }
+    summed = [F.sum(g).alias(name) for name, g in gains.items()]
     heavy_docs = docs.where(F.col("df") > heavy_df)
     if heavy_docs.isEmpty():
-        scored = (
-            queries.join(docs.drop("df"), "feature")
-            .groupBy("qid", "doc_id")
-            .agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-        )
+        scored = queries.join(docs.drop("df"), "feature").groupBy("qid", "doc_id").agg(*summed)
         return top_k(scored, ["qid"], best_first(), k)
 
     stats = materialize(
         docs.groupBy("feature").agg(F.max("df").alias("df"), F.max("w").alias("max_w"))
     )
-    total = stats.agg(F.sum("df").alias("n")).select("n").scalar()
-    hot = stats.where(F.col("df") > total * F.lit(HOT_SHARE))
+    total = stats.agg(F.sum("df")).first()[0]
+    hot = stats.where(F.col("df") > total * HOT_SHARE)
     q = materialize(lookup_join(queries, stats, "feature", "qid", hot))
     is_heavy = F.col("df") > heavy_df
 
-    light = (
+    light = materialize(
         q.where(~is_heavy)
         .select("qid", "feature", "qw")
         .join(docs.where(~is_heavy).select("feature", "doc_id", "w"), "feature")
         .groupBy("qid", "doc_id")
-        .agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+        .agg(*summed)
     )
-    light = materialize(light)
     per_query = q.groupBy("qid").agg(
         F.coalesce(F.sum(F.when(is_heavy, F.col("qw") * F.col("max_w"))), F.lit(0.0)).alias("heavy_bound")
     )
@@ -84,15 +93,17 @@ def sparse_topk(
             F.col("kth_light").isNull()
             | (F.col("score") + F.col("heavy_bound") >= F.col("kth_light") - 1e-9)
         )
-        .select("qid", "doc_id", "score")
+        .select("qid", "doc_id", *measures)
     )
     heavy_part = (
         candidates.select("qid", "doc_id")
         .join(q.where(is_heavy).select("qid", "feature", "qw"), "qid")
         .join(heavy_docs.select("feature", "doc_id", "w"), ["doc_id", "feature"])
-        .select("qid", "doc_id", (F.col("qw") * F.col("w")).alias("score"))
+        .select("qid", "doc_id", *[g.alias(name) for name, g in gains.items()])
+    )
+    complete = (
+        candidates.unionByName(heavy_part).groupBy("qid", "doc_id").agg(*[F.sum(m).alias(m) for m in measures])
     )
-    complete = candidates.unionByName(heavy_part).groupBy("qid", "doc_id").agg(F.sum("score").alias("score"))
     found = materialize(top_k(complete, ["qid"], best_first(), k))
     settled = (
         found.groupBy("qid")
@@ -116,24 +127,30 @@ def sparse_topk(
         "doc_id",
         block_count(n_open, query_block),
         block_count(n_docs, doc_block),
-        _sparse_cell(k),
-        _cell_schema(queries, docs),
-    )
-    final = found.join(settled, "qid", "left_semi").select("qid", "doc_id", "score", "rank")
-    return final.unionByName(
-        top_k(rest, ["qid"], best_first(), k).select("qid", "doc_id", "score", "rank")
+        _sparse_cell(k, parts),
+        _cell_schema(queries, docs, list(parts)),
     )
+    columns = ["qid", "doc_id", *measures, "rank"]
+    final = found.join(settled, "qid", "left_semi").select(*columns)
+    return final.unionByName(top_k(rest, ["qid"], best_first(), k).select(*columns))
 
 
-def _cell_schema(queries: DataFrame, docs: DataFrame) -> str:
+def _cell_schema(queries: DataFrame, docs: DataFrame, parts: list[str] | None = None) -> str:
     kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *docs.schema]}
-    return f"qid {kind['qid']}, doc_id {kind['doc_id']}, score double"
+    extra = "".join(f", {p} double" for p in parts or [])
+    return f"qid {kind['qid']}, doc_id {kind['doc_id']}, score double{extra}"
 
 
-def _sparse_cell(k: int):
+def _sparse_cell(k: int, parts: dict[str, str]):
     def cell(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         qids, doc_ids = q["qid"].unique(), d["doc_id"].unique()
-        return best_in_cell(sparse_scores(q, d, qids, doc_ids), qids, doc_ids, k)
+        if not parts:
+            return best_in_cell(sparse_scores(q, d, qids, doc_ids), qids, doc_ids, k)
+        shares = {
+            name: sparse_scores(q[q["feature"].str.startswith(prefix)], d, qids, doc_ids)
+            for name, prefix in parts.items()
+        }
+        return best_in_cell(sum(shares.values()), qids, doc_ids, k, shares)
 
     return cell
 
@@ -166,7 +183,11 @@ def pad_topk(hits: DataFrame, query_ids: DataFrame, doc_ids: DataFrame, k: int)
         .select("qid", F.coalesce("n", F.lit(0)).alias("n"), F.posexplode(free).alias("pos", "doc_id"))
         .select("qid", "doc_id", F.lit(0.0).alias("score"), (F.col("n") + F.col("pos") + 1).alias("rank"))
     )
-    return hits.select("qid", "doc_id", "score", "rank").unionByName(filled)
+    # Parts of a score, if any, are zero as well.
+    extra = [c for c in hits.columns if c not in filled.columns]
+    return hits.select("qid", "doc_id", "score", "rank", *extra).unionByName(
+        filled.withColumns({c: F.lit(0.0) for c in extra})
+    )
 
 
 def dense_topk(

@@ -28,20 +28,19 @@ class Vocabulary:
 
 
 def fit_vocabulary(
-    docs: DataFrame,
+    n_docs: int,
     counts: DataFrame,
     max_features: int = 5000,
     min_df: int = 1,
 ) -> Vocabulary:
     """The most frequent grams (ties by gram) with smoothed idf = ln((1+n)/(1+df)) + 1."""
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     terms = (
         counts.groupBy("gram")
         .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
         .where(F.col("df") >= min_df)
         .orderBy(F.col("total").desc(), "gram")
         .limit(max_features)
-        .select("gram", "df", (F.log((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+        .select("gram", "df", (F.log(F.lit(n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     )
     return Vocabulary(terms, max_features)
 

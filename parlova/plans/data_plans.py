@@ -153,11 +153,13 @@ def inbound_counts(spark, sf):
         r"""SELECT conversation_id, len(list_filter(regexp_extract_all(lower(reply), '\$\d+(?:\.\d+)?|\b\d+\s*(?:day|days|hour|hours)\b'),
   lambda c: NOT list_contains(regexp_extract_all(lower(reference), '\$\d+(?:\.\d+)?|\b\d+\s*(?:day|days|hour|hours)\b'), c))) > 0 AS unsupported
 FROM (SELECT conversation_id, support_text || ' refund of $' || CAST(pair_seq % 40 AS VARCHAR) || '.50 in ' || CAST(pair_seq % 5 AS VARCHAR) || ' Days' AS reply,
-  support_text || ' paid $' || CAST(pair_seq % 40 + pair_seq % 2 AS VARCHAR) || '.50 after ' || CAST(pair_seq % 5 AS VARCHAR) || ' days' AS reference FROM pairs_v)"""
+  support_text || ' paid $' || CAST(pair_seq % 40 + pair_seq % 2 AS VARCHAR) || '.50 after ' || CAST(pair_seq % 5 AS VARCHAR) || ' days' AS reference FROM (SELECT conversation_id, support_text, """
+        + views.MIXED_SQL
+        + " AS pair_seq FROM pairs_v))"
     ),
 )
 def unsupported_numeric_claims(spark, sf):
-    seq, base = F.col("pair_seq"), F.col("support_text")
+    seq, base = views.mixed(F.col("pair_seq")), F.col("support_text")
     reply = F.concat(base, F.lit(" refund of $"), (seq % 40).cast("string"), F.lit(".50 in "), (seq % 5).cast("string"), F.lit(" Days"))
     reference = F.concat(base, F.lit(" paid $"), (seq % 40 + seq % 2).cast("string"), F.lit(".50 after "), (seq % 5).cast("string"), F.lit(" days"))
     return views.pairs(spark, sf).select("conversation_id", tx.has_unsupported_number(reply, reference).alias("unsupported"))
@@ -427,8 +429,8 @@ def human_scores_incomplete(spark, sf):
     sql("SELECT conversation_id FROM pairs_v WHERE cleaned_text NOT IN (SELECT customer_text FROM golden_v)"),
 )
 def golden_excluded_rows(spark, sf):
-    pairs = views.pairs(spark, sf)
-    return sampling.exclude_texts(pairs, views.golden_from(pairs).select("customer_text")).select("conversation_id")
+    texts = views.golden(spark, sf).select("customer_text")
+    return sampling.exclude_texts(views.pairs(spark, sf), texts).select("conversation_id")
 
 
 @query(
@@ -437,9 +439,8 @@ def golden_excluded_rows(spark, sf):
 )
 def golden_excluded_rows_raw(spark, sf):
     """Exclusion by raw text: misses golden texts that cleaning changed."""
-    pairs = views.pairs(spark, sf)
-    texts = views.golden_from(pairs).select("customer_text")
-    return sampling.exclude_texts(pairs, texts, "customer_text").select("conversation_id")
+    texts = views.golden(spark, sf).select("customer_text")
+    return sampling.exclude_texts(views.pairs(spark, sf), texts, "customer_text").select("conversation_id")
 
 
 # Messages repeated into every third split row, so that the checks find something.

@@ -262,7 +262,10 @@ sv.define(
     """SELECT conversation_id AS example_id, CASE WHEN pair_seq % 6 = 0 THEN 'so bad today' ELSE cleaned_text END AS customer_text, intent AS gold_intent,
   CASE WHEN pair_seq % 23 = 0 THEN NULL WHEN pair_seq % 5 = 0 THEN 'CANCELLATION' ELSE intent END AS pred_intent,
   CASE WHEN pair_seq % 3 = 0 THEN 'ESCALATE' ELSE 'AUTO_HANDLE' END AS gold_escalate,
-  CASE WHEN pair_seq % 4 = 0 THEN 'ESCALATE' ELSE 'AUTO_HANDLE' END AS pred_decision, support_text AS retrieved_top_example FROM pairs_v""",
+  CASE WHEN pair_seq % 4 = 0 THEN 'ESCALATE' ELSE 'AUTO_HANDLE' END AS pred_decision, support_text AS retrieved_top_example
+FROM (SELECT conversation_id, cleaned_text, intent, support_text, """
+    + views.MIXED_SQL
+    + " AS pair_seq FROM pairs_v)",
 )
 sv.define(
     "failed_v",
@@ -281,7 +284,7 @@ FROM failed_v WHERE failure_category IS NOT NULL GROUP BY failure_category) WHER
 
 
 def _graded(spark, sf):
-    seq = F.col("pair_seq")
+    seq = views.mixed(F.col("pair_seq"))
     return views.pairs(spark, sf).select(
         F.col("conversation_id").alias("example_id"),
         F.when(seq % 6 == 0, "so bad today").otherwise(F.col("cleaned_text")).alias("customer_text"),

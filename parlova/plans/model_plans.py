@@ -121,7 +121,7 @@ def min_class_count(spark, sf):
 def tfidf_weights_query(spark, sf):
     docs = _train(spark, sf).select(F.col("pair_seq").alias("doc_id"), F.col("cleaned_text").alias("text"))
     counts = materialize(gram_counts(docs))
-    weights = tfidf_weights(counts, fit_vocabulary(docs, counts))
+    weights = tfidf_weights(counts, fit_vocabulary(docs.count(), counts))
     return weights.select("doc_id", "gram", F.round("w", 6).alias("w"))
 
 

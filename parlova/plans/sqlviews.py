@@ -271,7 +271,7 @@ FROM (SELECT qid, s1, s2, list_distinct({space_tokens('lower(r1)')}) AS a, list_
 
 
 VIEW_THRESHOLD = 0.25
-VIEW_MIN_SCORE = 0.35
+VIEW_MIN_SCORE = 0.5
 _V.update(_per_query("messages_v", "m", VIEW_THRESHOLD))
 _V.update(_per_query("golden_messages_v", "g", VIEW_THRESHOLD))
 

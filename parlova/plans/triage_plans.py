@@ -186,13 +186,14 @@ def prompt_table(spark, sf):
 # --- policy ----------------------------------------------------------------------
 
 # Signals of every message, spread so that each rule decides for some of them.
+_MIX = views.MIXED_SQL
 _SIGNALS = {
-    "signal_intent": ("CASE WHEN pair_seq % 9 = 0 THEN 'OTHER_OR_UNKNOWN' ELSE intent END"),
-    "confidence": "(pair_seq % 100) / 100.0::DOUBLE",
-    "top_score": "(pair_seq % 37) / 37.0::DOUBLE",
-    "grounded": "pair_seq % 8 <> 0",
-    "conflicting": "pair_seq % 10 = 0",
-    "repeated": "pair_seq % 12 = 0",
+    "signal_intent": f"CASE WHEN {_MIX} % 9 = 0 THEN 'OTHER_OR_UNKNOWN' ELSE intent END",
+    "confidence": f"({_MIX} % 100) / 100.0::DOUBLE",
+    "top_score": f"({_MIX} % 37) / 37.0::DOUBLE",
+    "grounded": f"{_MIX} % 8 <> 0",
+    "conflicting": f"{_MIX} % 10 = 0",
+    "repeated": f"{_MIX} % 12 = 0",
 }
 sv.define(
     "decided_v",
@@ -203,12 +204,12 @@ sv.define(
   WHEN repeated THEN 'REPEATED_FAILURE' WHEN conflicting THEN 'CONFLICTING_HISTORY'
   WHEN top_score < 0.35 THEN 'NO_RELEVANT_HISTORY'
   WHEN NOT grounded OR claims THEN 'UNSUPPORTED_INFORMATION' END AS reason_code
-FROM (SELECT *, pair_seq % 11 = 0 AS claims, {', '.join(f'{v} AS {k}' for k, v in _SIGNALS.items())} FROM pairs_v)""",
+FROM (SELECT *, {_MIX} % 11 = 0 AS claims, {', '.join(f'{v} AS {k}' for k, v in _SIGNALS.items())} FROM pairs_v)""",
 )
 
 
 def _decided(spark, sf):
-    seq = F.col("pair_seq")
+    seq = views.mixed(F.col("pair_seq"))
     out = policy.escalation_decision(
         F.col("cleaned_text"),
         F.when(seq % 9 == 0, "OTHER_OR_UNKNOWN").otherwise(F.col("intent")),

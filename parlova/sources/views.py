@@ -33,6 +33,14 @@ VIEW_RISKY = ["andthe", "tionti", "entre"]
 VIEW_SENSITIVE = ["lyly", "stst"]
 
 
+# A number that varies with both the conversation and the turn in a row number.
+MIXED_SQL = "(pair_seq // 1000 * 7 + pair_seq % 1000 * 13)"
+
+
+def mixed(seq: Column) -> Column:
+    return F.floor(seq / 1000) * 7 + seq % 1000 * 13
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -106,7 +114,7 @@ def _gold_columns(seq: Column) -> dict[str, Column]:
 
 def golden_from(pair_rows: DataFrame) -> DataFrame:
     """A small annotated set with planted defects; qid is the pair's row number."""
-    sample = materialize(stratified_sample(pair_rows, GOLDEN_TARGET))
+    sample = stratified_sample(pair_rows, GOLDEN_TARGET)
     return golden_candidates(sample, keep=("pair_seq", "intent")).select(
         "example_id",
         "customer_text",
