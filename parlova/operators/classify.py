@@ -45,6 +45,8 @@ def centroid_model(train: DataFrame, max_features: int = 5000, scale: float = 10
     counts = materialize(gram_counts(docs))
     # One row per class reaches the driver.
     sizes = {r.intent: r.n for r in docs.groupBy("intent").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        raise ValueError("no labelled rows to train on")
     fitted = fit_vocabulary(sum(sizes.values()), counts, max_features)
     vocabulary = Vocabulary(materialize(fitted.terms), max_features)
     size = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("intent"))

@@ -138,7 +138,7 @@ SELECT *, {bucket('cleaned_text')} AS length_bucket,
 FROM timed_v"""
 
 
-def _sample(target: int, prefix: str) -> dict[str, str]:
+def _sample(target: int | str, prefix: str) -> dict[str, str]:
     order = "md5(conversation_id || '#42'), conversation_id"
     return {
         f"{prefix}_picked_v": f"""
@@ -156,7 +156,7 @@ WHERE rk <= {target}""",
     }
 
 
-_V.update(_sample(GOLDEN_TARGET, "small"))
+_V.update(_sample(f"least({GOLDEN_TARGET}, (SELECT count(*) FROM pairs_v) // 4)", "small"))
 _V.update(_sample(200, "full"))
 
 _V["golden_v"] = """

@@ -114,7 +114,7 @@ def _gold_columns(seq: Column) -> dict[str, Column]:
 
 def golden_from(pair_rows: DataFrame) -> DataFrame:
     """A small annotated set with planted defects; qid is the pair's row number."""
-    sample = stratified_sample(pair_rows, GOLDEN_TARGET)
+    sample = stratified_sample(pair_rows, min(GOLDEN_TARGET, pair_rows.count() // 4))
     return golden_candidates(sample, keep=("pair_seq", "intent")).select(
         "example_id",
         "customer_text",
