@@ -222,11 +222,9 @@ def hybrid_topk(
     sum over terms and grams together, so a single sparse top-k ranks it.
     """
     lex_q = materialize(lexical_query(queries))
-    sem_q = materialize(semantic_query(queries, index.vocabulary))
+    sem_q = semantic_query(queries, index.vocabulary)
     best = _query_max(lex_q, index.lexical, heavy_df)
-    lex_scaled = materialize(
-        lex_q.join(best, "qid").select("qid", "feature", (F.col("qw") / F.col("max_score")).alias("qw"))
-    )
+    lex_scaled = lex_q.join(best, "qid").select("qid", "feature", (F.col("qw") / F.col("max_score")).alias("qw"))
     joint_q = _tagged(lex_scaled.withColumn("qw", F.col("qw") * lexical_weight), "l:").unionByName(
         _tagged(sem_q.withColumn("qw", F.col("qw") * semantic_weight), "s:")
     )

@@ -26,8 +26,11 @@ CONFIG = tr.TriageConfig(
 def setup(spark, sf):
     """(golden, splits, model, index) of the standard flow."""
     golden_rows, splits = views.flow(spark, sf)
-    model = classify.centroid_model(views.training_rows(splits))
-    return golden_rows, splits, model, retrieval.build_index(retrieval.index_corpus(splits))
+    index = retrieval.build_index(retrieval.index_corpus(splits))
+    # The classifier and the index share one vocabulary and one set of weights.
+    weights = index.semantic.withColumnRenamed("feature", "gram")
+    model = classify.centroid_model_of(weights, index.corpus, index.vocabulary)
+    return golden_rows, splits, model, index
 
 
 def classifier(model):

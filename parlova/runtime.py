@@ -62,6 +62,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so a lost executor costs a re-read."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a Parquet table in the shared folder.
+
+    A lost executor then costs a re-read, not a recomputation; later readers get
+    column pruning, filter pushdown and true size statistics.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
