@@ -6,6 +6,8 @@ Java regexes; word characters here are Unicode letters, digits and underscore.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,31 +20,54 @@ SPACE = (
 URL_PATTERN = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
 MENTION_PATTERN = rf"@[{WORD}]+"
 EMAIL_PATTERN = rf"[{WORD}.+\-]+@[{WORD}\-]+\.[{WORD}.\-]+"
+# The same matches in linear time: a try starts only where a run of address
+# characters or the previous match ends, and does not give characters back.
+_EMAIL_LINEAR = rf"(?:\G|(?<![{WORD}.+\-]))[{WORD}.+\-]++@[{WORD}\-]+\.[{WORD}.\-]+"
+# The plus sign belongs to the number only after a word character, and no digit
+# may touch a word character outside.
 PHONE_PATTERN = (
-    rf"(?:(?<=[{WORD}])\+|(?<![{WORD}]))"
-    rf"\p{{Nd}}[\p{{Nd}}\-{SPACE}()]{{7,}}\p{{Nd}}(?![{WORD}])"
+    rf"(?U)(?:\+(?<=[{WORD}]\+))?+\p{{Nd}}(?<![{WORD}]\p{{Nd}})"
+    rf"[\p{{Nd}}\-\s\x1c-\x1f()]{{7,}}\p{{Nd}}(?![{WORD}])"
 )
+# (?U) makes \s Unicode white space in Java; \x1c-\x1f completes SPACE.
+_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 RETRIEVAL_TOKEN = r"[a-z0-9']+"
 VECTOR_TOKEN = rf"[{WORD}]{{2,}}"
 NUMERIC_CLAIM = r"\$\d+(?:\.\d+)?|\b\d+\s*(?:day|days|hour|hours)\b"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Trim all Unicode white space at both ends."""
     return F.regexp_replace(col, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def _replace_if(col: Column, signs: list[str], pattern: str, by: str) -> Column:
+    """Regex replacement, tried only on texts that contain one of ``signs``."""
+
+    def guarded(text: Column) -> Column:
+        hit = F.contains(text, F.lit(signs[0]))
+        for s in signs[1:]:
+            hit = hit | F.contains(text, F.lit(s))
+        return F.when(hit, F.regexp_replace(text, pattern, by)).otherwise(text)
+
+    return bind(col, guarded)
+
+
 def strip_urls(col: Column) -> Column:
-    return F.regexp_replace(col, URL_PATTERN, "")
+    return _replace_if(col, ["http", "www."], URL_PATTERN, "")
 
 
 def strip_mentions(col: Column) -> Column:
-    return F.regexp_replace(col, MENTION_PATTERN, "")
+    return _replace_if(col, ["@"], MENTION_PATTERN, "")
 
 
 def mask_emails(col: Column) -> Column:
-    # Without the cheap guard the pattern rescans every word run from each start.
-    return F.when(F.contains(col, F.lit("@")), F.regexp_replace(col, EMAIL_PATTERN, "[EMAIL]")).otherwise(col)
+    return _replace_if(col, ["@"], _EMAIL_LINEAR, "[EMAIL]")
 
 
 def mask_phones(col: Column) -> Column:
@@ -54,7 +79,7 @@ def mask_pii(col: Column) -> Column:
 
 
 def collapse_spaces(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, rf"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(col, _SPACE_RUN, " "))
 
 
 def clean_text(col: Column, keep_mentions: bool = False, mask_first: bool = False) -> Column:
@@ -75,7 +100,7 @@ def clean_text(col: Column, keep_mentions: bool = False, mask_first: bool = Fals
 
 def space_tokens(col: Column) -> Column:
     """White-space separated tokens without empty ones."""
-    return F.filter(F.split(col, rf"[{SPACE}]+"), lambda t: t != "")
+    return F.filter(F.split(col, _SPACE_RUN), lambda t: t != "")
 
 
 def token_count(col: Column) -> Column:
@@ -83,8 +108,7 @@ def token_count(col: Column) -> Column:
 
 
 def length_bucket(col: Column) -> Column:
-    n = token_count(col)
-    return F.when(n <= 4, "short").when(n <= 15, "medium").otherwise("long")
+    return bind(token_count(col), lambda n: F.when(n <= 4, "short").when(n <= 15, "medium").otherwise("long"))
 
 
 def retrieval_tokens(col: Column) -> Column:
@@ -97,32 +121,38 @@ def vector_tokens(col: Column) -> Column:
 
 def bigrams(tokens: Column) -> Column:
     """Neighbouring token pairs joined by a space."""
-    heads = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    return F.zip_with(heads, F.slice(tokens, 2, F.size(heads)), lambda a, b: F.concat(a, F.lit(" "), b))
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, 1, n), F.slice(tokens, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def ngrams(col: Column, max_n: int = 2) -> Column:
     tokens = vector_tokens(col)
-    return F.concat(tokens, bigrams(tokens)) if max_n == 2 else tokens
+    return bind(tokens, lambda t: F.concat(t, bigrams(t))) if max_n == 2 else tokens
 
 
 def first_keyword(col: Column, keywords: list[str]) -> Column:
     """The first listed keyword found as a case-insensitive substring, else null."""
-    lowered = F.lower(col)
-    hits = [F.when(F.contains(lowered, F.lit(k.lower())), F.lit(k)) for k in keywords]
-    return F.coalesce(*hits) if hits else F.lit(None).cast("string")
+    if not keywords:
+        return F.lit(None).cast("string")
+    return bind(
+        F.lower(col),
+        lambda low: F.coalesce(*[F.when(F.contains(low, F.lit(k.lower())), F.lit(k)) for k in keywords]),
+    )
 
 
 def keyword_label(col: Column, rules: list[tuple[str, list[str]]], default: str) -> Column:
     """Label of the first rule with any keyword hit."""
-    lowered = F.lower(col)
-    labels = []
-    for label, keywords in rules:
-        hit = F.lit(False)
-        for k in keywords:
-            hit = hit | F.contains(lowered, F.lit(k))
-        labels.append(F.when(hit, F.lit(label)))
-    return F.coalesce(*labels, F.lit(default))
+
+    def first_rule(low: Column) -> Column:
+        labels = []
+        for label, keywords in rules:
+            hit = F.lit(False)
+            for k in keywords:
+                hit = hit | F.contains(low, F.lit(k))
+            labels.append(F.when(hit, F.lit(label)))
+        return F.coalesce(*labels, F.lit(default))
+
+    return bind(F.lower(col), first_rule)
 
 
 def jaccard(a: Column, b: Column) -> Column:
