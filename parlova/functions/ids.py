@@ -27,3 +27,12 @@ def first_valid_id(col: Column) -> Column:
     text = strip(col.cast("string"))
     first = strip(F.get(F.split(text, ","), F.lit(0)))
     return F.when(F.lower(text) != "nan", F.nullif(first, F.lit("")))
+
+
+def row_digest(*cols: str) -> Column:
+    """SHA-256 of the values, with lengths so that no two rows share an encoding."""
+    parts = []
+    for c in cols:
+        text = F.col(c).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("~")))
+    return F.unhex(F.sha2(F.concat(*parts), 256))

@@ -33,7 +33,7 @@ PHONE_PATTERN = (
 _SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 RETRIEVAL_TOKEN = r"[a-z0-9']+"
 VECTOR_TOKEN = rf"[{WORD}]{{2,}}"
-NUMERIC_CLAIM = r"\$\d+(?:\.\d+)?|\b\d+\s*(?:day|days|hour|hours)\b"
+NUMERIC_CLAIM = r"(?U)\$\d+(?:\.\d+)?|\b\d+\s*(?:day|days|hour|hours)\b"
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:

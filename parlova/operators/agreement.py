@@ -34,19 +34,19 @@ def judge_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def _melt(rows: DataFrame, value: str) -> DataFrame:
-    doubles = rows.select("example_id", *[F.col(d).cast("double").alias(d) for d in RATING_DIMENSIONS])
-    return doubles.unpivot("example_id", RATING_DIMENSIONS, "dimension", value)
-
-
 def rating_pairs(human: DataFrame, judge: DataFrame) -> DataFrame:
     """(dimension, h, j, n): how often each pair of ratings occurs.
 
     The distinct ratings of a scale are few, so everything after this is small.
     """
+    given = judge.select("example_id", *[F.col(d).alias(f"_{d}") for d in RATING_DIMENSIONS])
+    cells = [
+        F.struct(F.lit(d).alias("dimension"), F.col(d).cast("double").alias("h"), F.col(f"_{d}").cast("double").alias("j"))
+        for d in RATING_DIMENSIONS
+    ]
     return (
-        _melt(human, "h")
-        .join(_melt(judge, "j"), ["example_id", "dimension"])
+        human.join(given, "example_id")
+        .select(F.inline(F.array(*cells)))
         .groupBy("dimension", "h", "j")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -19,10 +19,14 @@ def cross_split_duplicates(splits: DataFrame, text_col: str = "cleaned_text") ->
 
 
 def shared_texts(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> DataFrame:
-    """Distinct texts present in both tables."""
-    left = a.select(F.col(a_col).alias("text")).where(F.col("text").isNotNull()).distinct()
-    right = b.select(F.col(b_col).alias("text")).where(F.col("text").isNotNull())
-    return left.join(right, "text", "left_semi")
+    """Distinct texts present in both tables; ``a`` is the smaller one.
+
+    The larger table is filtered by the smaller, so it is not shuffled when the
+    smaller one fits a broadcast.
+    """
+    small = a.select(F.col(a_col).alias("text")).where(F.col("text").isNotNull()).distinct()
+    large = b.select(F.col(b_col).alias("text")).where(F.col("text").isNotNull())
+    return large.join(small, "text", "left_semi").distinct()
 
 
 def _size(df: DataFrame) -> Column:

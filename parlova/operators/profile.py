@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlova.functions.ids import row_digest
 from parlova.functions.text import mask_emails, mask_phones, token_count
 
 
 def duplicate_counts(df: DataFrame, text_col: str | None = None) -> DataFrame:
-    """Rows beyond the first of each identical row (and of each identical text)."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    """Rows beyond the first of each identical row (and of each identical text).
+
+    Rows are compared by SHA-256, so 32 bytes per distinct row are shuffled
+    instead of whole texts.
+    """
+    groups = df.groupBy(row_digest(*df.columns).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
     stats = groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n_dup_rows"),
     )
     if text_col is None:
         return stats
-    n_text = df.groupBy(text_col).agg(F.count(F.lit(1)).alias("_n"))
+    n_text = df.groupBy(row_digest(text_col).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
     dup_text = n_text.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n"))
     return stats.withColumn("n_dup_text", dup_text.select("n").scalar())
 

@@ -51,7 +51,8 @@ def index_corpus(splits: DataFrame) -> DataFrame:
 def postings(corpus: DataFrame) -> DataFrame:
     """(term, doc_id, tf, doc_len), one row per term of a document."""
     tokens = retrieval_tokens(F.col("customer_text"))
-    docs = corpus.select("doc_id", tokens.alias("tokens"))
+    # As in gram_counts: texts move once, their terms do not.
+    docs = corpus.select("doc_id", "customer_text").repartition("doc_id").select("doc_id", tokens.alias("tokens"))
     return (
         docs.select("doc_id", F.size("tokens").cast("bigint").alias("doc_len"), F.explode("tokens").alias("term"))
         .groupBy("doc_id", "term")
@@ -162,7 +163,9 @@ def build_index(corpus: DataFrame, max_features: int = VECTOR_FEATURES) -> Retri
 def lexical_query(queries: DataFrame) -> DataFrame:
     """(qid, feature, qw): a repeated query term counts each time."""
     return (
-        queries.select("qid", F.explode(retrieval_tokens(F.col("text"))).alias("feature"))
+        queries.select("qid", "text")
+        .repartition("qid")
+        .select("qid", F.explode(retrieval_tokens(F.col("text"))).alias("feature"))
         .groupBy("qid", "feature")
         .agg(F.count(F.lit(1)).cast("double").alias("qw"))
     )

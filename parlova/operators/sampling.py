@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlova.functions.ids import row_digest
 from parlova.functions.text import length_bucket
 from parlova.operators.ranking import global_rank, hash_order, hash_sample, quartile_of_rank, top_k
 from parlova.runtime import materialize
 
 
 def dedup_keep_first(df: DataFrame, key: str, order_col: str) -> DataFrame:
-    """The first row of each ``key`` by ``order_col``; partial minima precede the shuffle."""
-    rest = [c for c in df.columns if c != key]
-    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), order_col).alias("_row"))
-    return first.select(key, "_row.*").select(*df.columns)
+    """The first row of each ``key`` by ``order_col``.
+
+    Keys are compared by SHA-256: texts are sorted and sent as 32 bytes, and each
+    task keeps one row per key before the shuffle.
+    """
+    hashed = df.withColumn("_key", row_digest(key))
+    return top_k(hashed, ["_key"], [F.col(order_col)], 1, "_rn").drop("_key", "_rn")
 
 
 def exclude_texts(df: DataFrame, texts: DataFrame, text_col: str = "cleaned_text") -> DataFrame:
@@ -55,11 +59,14 @@ def with_strata(pairs: DataFrame, time_col: str = "timestamp") -> DataFrame:
 
     The quartile is null without time. Texts stay behind: only ids are ranked.
     """
-    first = (
-        dedup_keep_first(pairs.select("conversation_id", "cleaned_text", "pair_seq", time_col), "cleaned_text", "pair_seq")
-        .withColumn("length_bucket", length_bucket(F.col("cleaned_text")))
-        .drop("cleaned_text")
+    slim = pairs.select(
+        "conversation_id",
+        "pair_seq",
+        time_col,
+        length_bucket(F.col("cleaned_text")).alias("length_bucket"),
+        row_digest("cleaned_text").alias("_text"),
     )
+    first = top_k(slim, ["_text"], [F.col("pair_seq")], 1, "_rn").drop("_text", "_rn")
     ranked = global_rank(first, [F.col(time_col).asc_nulls_last(), F.col("pair_seq")], "time_rank")
     n = ranked.rows.agg(F.count(time_col)).first()[0]
     quartile = F.when(F.col(time_col).isNotNull(), quartile_of_rank(F.col("time_rank"), n))

@@ -11,9 +11,15 @@ from parlova.functions.text import ngrams
 
 
 def gram_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_n: int = 2) -> DataFrame:
-    """Occurrences of each word and word pair per text."""
+    """Occurrences of each word and word pair per text.
+
+    Texts are distributed by id before they are taken apart: that moves less than
+    the grams would, and counting (and later norms) per text needs no shuffle.
+    """
     return (
-        docs.select(id_col, F.explode(ngrams(F.col(text_col), max_n)).alias("gram"))
+        docs.select(id_col, text_col)
+        .repartition(id_col)
+        .select(id_col, F.explode(ngrams(F.col(text_col), max_n)).alias("gram"))
         .groupBy(id_col, "gram")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
