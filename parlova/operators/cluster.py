@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlova.functions.arrays import distance, dot, squared_distance
+from parlova.functions.text import ngrams
+from parlova.operators.classify import fit_text_features
 from parlova.operators.grid import block_count, grid_apply
 from parlova.operators.ranking import top_k
+from parlova.runtime import materialize
 
 SILHOUETTE_BLOCK = 2048
 
@@ -33,8 +36,11 @@ class KMeansFit:
 
 
 def fit_kmeans(vectors: DataFrame, wanted: int = 8, n_init: int = 10, seed: int = 42) -> KMeansFit:
-    """Best of ``n_init`` distributed k-means runs by training cost."""
-    data = vectors.select(array_to_vector("vec").alias("features")).persist()
+    """Best of ``n_init`` distributed k-means runs by training cost.
+
+    Takes a ``features`` vector column (sparse or dense), else ``vec`` arrays.
+    """
+    data = _features(vectors).select("features").persist()
     try:
         k = cluster_count(data.count(), wanted)
         best: KMeansFit | None = None
@@ -48,9 +54,15 @@ def fit_kmeans(vectors: DataFrame, wanted: int = 8, n_init: int = 10, seed: int
     return best
 
 
+def _features(vectors: DataFrame) -> DataFrame:
+    if "features" in vectors.columns:
+        return vectors
+    return vectors.withColumn("features", array_to_vector("vec"))
+
+
 def assign_kmeans(vectors: DataFrame, fit: KMeansFit) -> DataFrame:
-    model = fit.model.setPredictionCol("cluster")
-    return model.transform(vectors.withColumn("features", array_to_vector("vec"))).drop("features")
+    out = fit.model.setPredictionCol("cluster").transform(_features(vectors))
+    return out if "features" in vectors.columns else out.drop("features")
 
 
 def centroids(labelled: DataFrame, label_col: str) -> DataFrame:
@@ -122,30 +134,47 @@ def _mean_silhouette(sums: DataFrame, sizes: DataFrame) -> DataFrame:
     return per_point.agg(F.coalesce(F.avg(F.when(F.col("other").isNotNull(), s)), F.lit(0.0)).alias("silhouette"))
 
 
+def _block_matrix(values: pd.Series, index: pd.Series | None, dims: int) -> np.ndarray:
+    if index is None:
+        return np.stack(values.to_numpy())
+    m = np.zeros((len(values), dims))
+    for row, (ix, v) in enumerate(zip(index, values)):
+        m[row, ix] = v
+    return m
+
+
 def silhouette_exact(labelled: DataFrame, label_col: str, block: int = SILHOUETTE_BLOCK) -> DataFrame:
     """Mean Euclidean silhouette over all points.
 
     The definition needs every distance. Grid cells return one sum per (point,
     cluster), so the traffic is points x clusters x blocks, not pairs. For very
-    large tables use ``silhouette_fast``, linear in the points.
+    large tables use ``silhouette_fast``, linear in the points. Rows are ``vec``
+    arrays, or the values ``vec`` at the positions ``idx``.
     """
-    points = labelled.select("vec_id", F.col(label_col).alias("label"), "vec")
+    sparse = "idx" in labelled.columns
+    parts = ["vec", "idx"] if sparse else ["vec"]
+    points = labelled.select("vec_id", F.col(label_col).alias("label"), *parts)
     n = block_count(points.count(), block)
     kind = points.schema["label"].dataType.simpleString()
     id_kind = points.schema["vec_id"].dataType.simpleString()
-    right = points.select(F.col("vec_id").alias("other_id"), F.col("label").alias("cluster"), F.col("vec").alias("other"))
+    right = points.select(
+        F.col("vec_id").alias("other_id"), F.col("label").alias("cluster"), *[F.col(c).alias(f"other_{c}") for c in parts]
+    )
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"vec_id": a["vec_id"][:0], "label": a["label"][:0], "cluster": b["cluster"][:0], "total": np.zeros(0)})
-        x, y = np.stack(a["vec"].to_numpy()), np.stack(b["other"].to_numpy())
+        dims = 0
+        if sparse:
+            dims = 1 + max(max((ix.max() for ix in col if len(ix)), default=0) for col in (a["idx"], b["other_idx"]))
+        x = _block_matrix(a["vec"], a["idx"] if sparse else None, dims)
+        y = _block_matrix(b["other_vec"], b["other_idx"] if sparse else None, dims)
         squared = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
         dist = np.sqrt(np.maximum(squared, 0.0))
         # Rounding noise must not give a point a distance to itself.
         dist[a["vec_id"].to_numpy()[:, None] == b["other_id"].to_numpy()[None, :]] = 0.0
         clusters, member = np.unique(b["cluster"].to_numpy(), return_inverse=True)
-        onehot = np.eye(len(clusters))[member]
-        totals = dist @ onehot
+        totals = dist @ np.eye(len(clusters))[member]
         return pd.DataFrame(
             {
                 "vec_id": np.repeat(a["vec_id"].to_numpy(), len(clusters)),
@@ -192,3 +221,55 @@ def silhouette_fast(labelled: DataFrame, label_col: str) -> DataFrame:
     )
     long = points.select("vec_id", "label", F.inline(per_cluster))
     return _mean_silhouette(long, stats.select("cluster", "size"))
+
+
+# --- discovery ------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Discovery:
+    """Clusters of texts: assignment, nearest members, and the quality of the split."""
+
+    assigned: DataFrame  # (vec_id, text, cluster)
+    representatives: DataFrame  # (cluster, rank, vec_id, text)
+    silhouette: DataFrame  # one row
+    fit: KMeansFit
+
+
+def discover_text_clusters(
+    docs: DataFrame,
+    wanted: int = 8,
+    n_init: int = 10,
+    seed: int = 42,
+    n_examples: int = 5,
+    max_features: int = 5000,
+    min_df: int = 2,
+) -> Discovery:
+    """Cluster (vec_id, text) by TF-IDF of words and word pairs; vectors stay sparse."""
+    grams = docs.withColumn("grams", ngrams(F.col("text")))
+    vectors = materialize(
+        fit_text_features(grams, max_features, min_df).transform(grams).select("vec_id", "text", "features")
+    )
+    fit = fit_kmeans(vectors, wanted, n_init, seed)
+    raw = F.unwrap_udt("features")
+    assigned = materialize(
+        assign_kmeans(vectors, fit).select(
+            "vec_id", "text", "cluster", raw["values"].alias("vec"), raw["indices"].alias("idx")
+        )
+    )
+    # Clusters x vocabulary numbers: the model itself, one broadcast row per cluster.
+    centers = docs.sparkSession.createDataFrame(
+        [(i, c.tolist(), float(c @ c)) for i, c in enumerate(fit.model.clusterCenters())],
+        "cluster int, center array<double>, center_sq double",
+    )
+    shared = F.zip_with("idx", "vec", lambda i, v: v * F.element_at("center", i + 1))
+    cross = F.aggregate(shared, F.lit(0.0), lambda s, x: s + x)
+    squared = dot(F.col("vec"), F.col("vec")) - 2.0 * cross + F.col("center_sq")
+    near = assigned.join(F.broadcast(centers), "cluster").withColumn("dist", F.round(squared, 9))
+    closest = top_k(near, ["cluster"], [F.col("dist"), F.col("vec_id")], n_examples)
+    return Discovery(
+        assigned.select("vec_id", "text", "cluster"),
+        closest.select("cluster", "rank", "vec_id", "text"),
+        silhouette_exact(assigned, "cluster"),
+        fit,
+    )

@@ -1,9 +1,11 @@
 """TF-IDF as long tables (doc_id, gram, weight)."""
 
-from __future__ import annotations
-
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +60,19 @@ def tfidf_weights(counts: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_
     # A text has at most max_features rows here, so the per-text window is bounded.
     norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "gram", (F.col("_x") / norm).alias("w"), "df")
+
+
+def with_encoder(df: DataFrame, text_col: str, load_encoder: Callable[[], Callable], out: str = "vec") -> DataFrame:
+    """Add dense vectors of an own sentence encoder.
+
+    ``load_encoder`` runs once per Python worker and returns a function from a
+    list of texts to a 2-d array; batches arrive through Arrow.
+    """
+
+    @F.pandas_udf("array<double>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = load_encoder()
+        for texts in batches:
+            yield pd.Series(list(np.asarray(encoder(texts.fillna("").tolist()), dtype=float)))
+
+    return df.withColumn(out, encode(F.col(text_col)))

@@ -186,6 +186,17 @@ def kmeans_fit(spark, sf):
     return sizes.join(nearest, "cluster").withColumns({"silhouette": score, "cost": F.lit(fit.cost)})
 
 
+@query("discover_intents")
+def discover_intents(spark, sf):
+    """Clusters of all customer messages: nearest members and silhouette."""
+    docs = views.pairs(spark, sf).select(F.col("pair_seq").alias("vec_id"), F.col("cleaned_text").alias("text"))
+    found = cluster.discover_text_clusters(materialize(docs), n_init=3)
+    sizes = found.assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return found.representatives.join(sizes, "cluster").select(
+        "cluster", "n", "rank", "vec_id", F.md5("text").alias("text"), found.silhouette.select("silhouette").scalar().alias("silhouette")
+    )
+
+
 # --- classifiers -----------------------------------------------------------------
 
 

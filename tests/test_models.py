@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from parlova.functions import text as tx
 from parlova.operators import classify, cluster, retrieval
 from parlova.operators import triage as tr
+from parlova.operators.vectors import with_encoder
 from parlova.streaming.triage import read_triage_output, start_triage_stream
 
 TEXTS = {
@@ -160,6 +162,28 @@ def test_kmeans_finds_the_blobs(spark):
     assert len(pairs) == 2 and cluster.cluster_count(7) == 2 and cluster.cluster_count(1000) == 8
 
 
+def test_text_clusters(spark):
+    docs = _train(spark, 4).select(F.col("doc_id").alias("vec_id"), "text")
+    found = cluster.discover_text_clusters(docs, 3, n_init=4, n_examples=2)
+    rows = found.assigned.toPandas()
+    assert len(rows) == 36 and rows["cluster"].nunique() == 3
+    reps = found.representatives.toPandas()
+    assert reps.groupby("cluster").size().max() == 2
+    # Equal texts stay together, and the score matches a plain calculation.
+    assert (rows.groupby("text")["cluster"].nunique() == 1).all()
+    features = classify.fit_text_features(docs.withColumn("grams", tx.ngrams(F.col("text"))), 5000, 2)
+    dense = features.transform(docs.withColumn("grams", tx.ngrams(F.col("text")))).select("vec_id", vector_to_array("features").alias("v")).toPandas()
+    both = rows.merge(dense, on="vec_id")
+    want = _silhouette(np.stack(both["v"]), both["cluster"].to_numpy())
+    assert math.isclose(found.silhouette.first()[0], want, abs_tol=1e-7)
+
+
+def test_own_encoder_runs_in_batches(spark):
+    docs = _ask(spark, "abc", "a", None)
+    out = with_encoder(docs, "text", lambda: lambda texts: [[len(t), 1.0] for t in texts])
+    assert {r.qid: list(r.vec) for r in out.collect()} == {0: [3.0, 1.0], 1: [1.0, 1.0], 2: [0.0, 1.0]}
+
+
 # --- triage ------------------------------------------------------------------------
 
 
