@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from parlova.operators.retrieval import RetrievalIndex
 from parlova.operators.triage import TriageConfig, triage
+from parlova.runtime import scratch_scope
 
 MESSAGE_SCHEMA = "qid bigint, message string"
 
@@ -27,7 +28,7 @@ def start_triage_stream(
 
     Each micro-batch runs the batch operator and overwrites its own
     ``batch=<id>`` folder, so a batch repeated after a failure leaves no
-    duplicates.
+    duplicates. The batch's intermediate tables are removed afterwards.
     """
     messages = (
         spark.readStream.schema(MESSAGE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(source_dir)
@@ -36,8 +37,9 @@ def start_triage_stream(
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        out = triage(batch, classify, classes, index, config)
-        out.write.mode("overwrite").parquet(f"{output_dir}/batch={batch_id}")
+        with scratch_scope(spark):
+            out = triage(batch, classify, classes, index, config)
+            out.write.mode("overwrite").parquet(f"{output_dir}/batch={batch_id}")
 
     writer = messages.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     if available_now:

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import __spark_entry__ as entry  # noqa: E402
-from oracle import connect, spark_rows, sql_rows  # noqa: E402
+from oracle import connect, spark_rows, sql_rows, type_differences  # noqa: E402
 from parlova.runtime import build_session  # noqa: E402
 
 
@@ -27,7 +27,8 @@ def main() -> int:
     for name in names:
         started = time.time()
         try:
-            columns, rows = spark_rows(queries[name](spark, sf_dir))
+            df = queries[name](spark, sf_dir)
+            columns, rows = spark_rows(df)
             took = time.time() - started
             if name not in oracle:
                 print(f"{name:34s} rows={len(rows):6d} {took:6.1f}s  rows only", flush=True)
@@ -37,6 +38,9 @@ def main() -> int:
             sql_took = time.time() - started
             ok = columns == want_columns and rows == want
             print(f"{name:34s} rows={len(rows):6d} {took:6.1f}s sql {sql_took:5.1f}s  {'ok' if ok else 'DIFFERENT'}", flush=True)
+            odd = type_differences(con, df, oracle[name])
+            if odd:
+                print("   types", odd)
             if not ok:
                 failed.append(name)
                 print("   columns", columns, want_columns, "n", len(rows), len(want))

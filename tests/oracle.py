@@ -39,3 +39,16 @@ def sql_rows(con, sql):
     cur = con.execute(sql)
     columns = [d[0] for d in cur.description]
     return sorted(columns), _rows(columns, cur.fetchall())
+
+
+_FAMILY = {
+    "tinyint": "int", "smallint": "int", "int": "int", "integer": "int", "bigint": "int", "hugeint": "int",
+    "double": "float", "float": "float", "string": "text", "varchar": "text", "boolean": "bool",
+}
+
+
+def type_differences(con, df, sql):
+    """Columns whose kind (integer, float, text, boolean) differs between both sides."""
+    spark_types = {c: _FAMILY.get(t, t) for c, t in df.dtypes}
+    sql_types = {r[0]: _FAMILY.get(r[1].lower(), r[1].lower()) for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return {c: (t, sql_types.get(c)) for c, t in spark_types.items() if sql_types.get(c) != t}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from parlova.functions import text as tx
 from parlova.operators import classify, cluster, retrieval
 from parlova.operators import triage as tr
 from parlova.operators.vectors import with_encoder
+from parlova.runtime import materialize, scratch_scope, shared_dir
 from parlova.streaming.triage import read_triage_output, start_triage_stream
 
 TEXTS = {
@@ -235,4 +237,8 @@ def test_stream_equals_batch_and_repeats_no_batch(spark, text_model, index, tmp_
     streamed = {r.qid: (r.intent, r.decision, r.draft_reply) for r in read_triage_output(spark, out).collect()}
     batch = tr.triage(messages, text_model.probabilities, text_model.classes, index)
     assert read_triage_output(spark, out).count() == 4
+    before = set(Path(shared_dir(spark)).glob("table-*"))
+    with scratch_scope(spark):
+        made = materialize(spark.range(5)).count()
+    assert made == 5 and set(Path(shared_dir(spark)).glob("table-*")) == before
     assert streamed == {r.qid: (r.intent, r.decision, r.draft_reply) for r in batch.collect()}
