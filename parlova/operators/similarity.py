@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlova.functions.arrays import cosine
@@ -14,8 +16,11 @@ from parlova.operators.ranking import top_k
 from parlova.operators.skew import HOT_SHARE, lookup_join
 from parlova.runtime import materialize
 
-# A term in more documents than this is not used to find candidates.
+# Candidates a query may look up in the first of ROUNDS rounds; tenfold in each next one.
 HEAVY_DF = 10_000
+ROUNDS = 3
+# Slack for rounding when a bound is compared with a score.
+MARGIN = 1e-9
 QUERY_BLOCK = 1024
 DOC_BLOCK = 8192
 
@@ -42,98 +47,115 @@ def sparse_topk(
     prefix, together covering all features) adds the share of the score each earns.
 
     A frequent feature matches most documents for most queries, so joining on it
-    emits nearly all pairs. Only features with df <= ``heavy_df`` look up
-    candidates; their scores are completed by (doc, feature) lookups. A document
-    without any light match cannot score above the sum of qw·max(w) of the
-    query's heavy features; if that is below the k-th score found, the result is
-    final. The other queries are scored against all documents in grid cells that
-    return only their k best.
+    emits nearly all pairs. If any feature has more than ``heavy_df`` documents,
+    each query looks up candidates by its rarest features only, as many as have
+    ``heavy_df`` documents together (see ``_bounded_round``). Queries whose result
+    is not yet proven final go on with ten times the allowance, and the last ones
+    are scored against all documents in grid cells that return only their k best.
     """
     parts = parts or {}
-    measures = ["score", *parts]
     earned = F.col("qw") * F.col("w")
     gains = {"score": earned} | {
         name: F.when(F.startswith(F.col("feature"), F.lit(prefix)), earned).otherwise(0.0)
         for name, prefix in parts.items()
     }
-    summed = [F.sum(g).alias(name) for name, g in gains.items()]
-    heavy_docs = docs.where(F.col("df") > heavy_df)
-    if heavy_docs.isEmpty():
-        scored = queries.join(docs.drop("df"), "feature").groupBy("qid", "doc_id").agg(*summed)
+    if docs.where(F.col("df") > heavy_df).isEmpty():
+        scored = (
+            queries.join(docs.drop("df"), "feature")
+            .groupBy("qid", "doc_id")
+            .agg(*[F.sum(g).alias(name) for name, g in gains.items()])
+        )
         return top_k(scored, ["qid"], best_first(), k)
 
-    stats = materialize(
-        docs.groupBy("feature").agg(F.max("df").alias("df"), F.max("w").alias("max_w"))
-    )
+    stats = materialize(docs.groupBy("feature").agg(F.max("df").alias("df"), F.max("w").alias("max_w")))
     total = stats.agg(F.sum("df")).first()[0]
+    # Only sizes the work, so an estimate without a shuffle will do.
+    n_docs = docs.agg(F.approx_count_distinct("doc_id")).first()[0]
     hot = stats.where(F.col("df") > total * HOT_SHARE)
-    q = materialize(lookup_join(queries, stats, "feature", "qid", hot))
-    is_heavy = F.col("df") > heavy_df
+    open_q = materialize(lookup_join(queries, stats, "feature", "qid", hot))
+    columns = ["qid", "doc_id", *gains, "rank"]
+    done: list[DataFrame] = []
+    allowance = heavy_df
+    n_open = open_q.select("qid").distinct().count()
+    for _ in range(ROUNDS):
+        # Beyond one look-up per document the grid is the cheaper way.
+        if n_open == 0 or allowance > n_docs:
+            break
+        found, settled = _bounded_round(open_q, docs, k, allowance, gains)
+        done.append(found.join(settled, "qid", "left_semi").select(*columns))
+        open_q = materialize(open_q.join(settled, "qid", "left_anti").select(*open_q.columns))
+        n_open = open_q.select("qid").distinct().count()
+        allowance = max(1, allowance) * 10
+    if done and n_open == 0:
+        return _union(done)
+    rest = grid_apply(
+        open_q.select("qid", "feature", "qw"),
+        docs.select("doc_id", "feature", "w"),
+        "qid",
+        "doc_id",
+        block_count(n_open, query_block),
+        block_count(n_docs, doc_block),
+        _sparse_cell(k, parts),
+        _cell_schema(queries, docs, list(parts)),
+    )
+    return _union([*done, top_k(rest, ["qid"], best_first(), k).select(*columns)])
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
 
+def _bounded_round(
+    q: DataFrame, docs: DataFrame, k: int, allowance: int, gains: dict[str, Column]
+) -> tuple[DataFrame, DataFrame]:
+    """(best k found per query, queries for which they are final).
+
+    The rarest features of a query, with at most ``allowance`` documents together,
+    find its candidates; the other features complete the candidates' scores by
+    (doc, feature) lookups. A document without any of the rare features cannot
+    score above the sum of qw·max(w) of the other ones, so a query is final when
+    that bound is below its k-th score, or when no other feature is left.
+    """
+    measures = list(gains)
+    rarest_first = Window.partitionBy("qid").orderBy("df", "feature")
+    q = materialize(q.withColumn("_rare", F.sum("df").over(rarest_first.rowsBetween(Window.unboundedPreceding, 0)) <= allowance))
+    rare, other = q.where("_rare"), q.where("NOT _rare")
     light = materialize(
-        q.where(~is_heavy)
-        .select("qid", "feature", "qw")
-        .join(docs.where(~is_heavy).select("feature", "doc_id", "w"), "feature")
+        rare.select("qid", "feature", "qw")
+        .join(docs.select("feature", "doc_id", "w"), "feature")
         .groupBy("qid", "doc_id")
-        .agg(*summed)
+        .agg(*[F.sum(g).alias(name) for name, g in gains.items()])
     )
     per_query = q.groupBy("qid").agg(
-        F.coalesce(F.sum(F.when(is_heavy, F.col("qw") * F.col("max_w"))), F.lit(0.0)).alias("heavy_bound")
+        F.sum(F.when(F.col("_rare"), 0.0).otherwise(F.col("qw") * F.col("max_w"))).alias("bound")
     )
     kth = (
         top_k(light, ["qid"], best_first(), k)
         .groupBy("qid")
-        .agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth_light"))
+        .agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth"))
     )
-    # Light scores are lower bounds, so what cannot reach the k-th one drops out.
+    # These scores are lower bounds, so what cannot reach the k-th one drops out.
+    reachable = F.col("kth").isNull() | (F.col("score") + F.col("bound") >= F.col("kth") - MARGIN)
     candidates = (
-        light.join(per_query, "qid")
-        .join(kth, "qid", "left")
-        .where(
-            F.col("kth_light").isNull()
-            | (F.col("score") + F.col("heavy_bound") >= F.col("kth_light") - 1e-9)
-        )
-        .select("qid", "doc_id", *measures)
+        light.join(per_query, "qid").join(kth, "qid", "left").where(reachable).select("qid", "doc_id", *measures)
     )
-    heavy_part = (
+    completion = (
         candidates.select("qid", "doc_id")
-        .join(q.where(is_heavy).select("qid", "feature", "qw"), "qid")
-        .join(heavy_docs.select("feature", "doc_id", "w"), ["doc_id", "feature"])
+        .join(other.select("qid", "feature", "qw"), "qid")
+        .join(docs.select("feature", "doc_id", "w"), ["doc_id", "feature"])
         .select("qid", "doc_id", *[g.alias(name) for name, g in gains.items()])
     )
     complete = (
-        candidates.unionByName(heavy_part).groupBy("qid", "doc_id").agg(*[F.sum(m).alias(m) for m in measures])
+        candidates.unionByName(completion).groupBy("qid", "doc_id").agg(*[F.sum(m).alias(m) for m in measures])
     )
     found = materialize(top_k(complete, ["qid"], best_first(), k))
+    proven = (F.col("bound") == 0) | ((F.col("n") == k) & (F.col("bound") < F.col("kth") - MARGIN))
     settled = (
-        found.groupBy("qid")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
-        .join(per_query, "qid")
-        .where(
-            (F.col("heavy_bound") == 0)
-            | ((F.col("n") == k) & (F.col("heavy_bound") < F.col("kth") - 1e-9))
-        )
+        per_query.join(found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")), "qid", "left")
+        .where(F.coalesce(proven, F.lit(False)))
         .select("qid")
     )
-    open_q = materialize(q.join(settled, "qid", "left_anti").select("qid", "feature", "qw"))
-    n_open = open_q.select("qid").distinct().count()
-    if n_open == 0:
-        return found
-    # Only sizes the blocks, so an estimate without a shuffle will do.
-    n_docs = docs.agg(F.approx_count_distinct("doc_id")).first()[0]
-    rest = grid_apply(
-        open_q,
-        docs.select("doc_id", "feature", "w"),
-        "qid",
-        "doc_id",
-        block_count(n_open, query_block),
-        block_count(n_docs, doc_block),
-        _sparse_cell(k, parts),
-        _cell_schema(queries, docs, list(parts)),
-    )
-    columns = ["qid", "doc_id", *measures, "rank"]
-    final = found.join(settled, "qid", "left_semi").select(*columns)
-    return final.unionByName(top_k(rest, ["qid"], best_first(), k).select(*columns))
+    return found, materialize(settled)
 
 
 def _cell_schema(queries: DataFrame, docs: DataFrame, parts: list[str] | None = None) -> str:

@@ -55,7 +55,7 @@ def _result(df):
     return {q: [rows[i] for i in sorted(rows)] for q, rows in out.items()}
 
 
-@pytest.mark.parametrize("heavy_df", [0, 3, 25, 10_000])
+@pytest.mark.parametrize("heavy_df", [0, 3, 9, 25, 10_000])
 @pytest.mark.parametrize("seed,k", [(1, 1), (2, 5)])
 def test_sparse_topk_equals_brute_force(spark, seed, k, heavy_df):
     queries, docs = _random_case(seed, 25, 90, 60)
@@ -64,6 +64,36 @@ def test_sparse_topk_equals_brute_force(spark, seed, k, heavy_df):
     assert _result(got) == _brute(queries, docs, k)
 
 
+def test_strong_rare_features_settle_without_the_grid(spark, monkeypatch):
+    """Every text shares a weak feature; the strong rare one decides, and is proven to."""
+    docs = [("common", d, 0.1) for d in range(60)] + [(f"rare{d % 12}", d, 1.0 + d / 100) for d in range(60)]
+    queries = [(q, f, 1.0) for q in range(12) for f in ("common", f"rare{q}")]
+    q, d = _frames(spark, queries, docs)
+
+    def no_grid(*_):
+        raise AssertionError("the grid was used")
+
+    monkeypatch.setattr(similarity, "grid_apply", no_grid)
+    assert _result(similarity.sparse_topk(q, d, 3, heavy_df=5)) == _brute(queries, docs, 3)
+
+
+def test_a_second_round_settles_the_rest(spark, monkeypatch):
+    """With one look-up allowed nothing is found at first; ten are enough."""
+    docs = [("common", d, 0.1) for d in range(60)] + [(f"rare{d % 12}", d, 1.0 + d / 100) for d in range(60)]
+    queries = [(q, f, 1.0) for q in range(12) for f in ("common", f"rare{q}")]
+    q, d = _frames(spark, queries, docs)
+    rounds = []
+    plain = similarity._bounded_round
+
+    def counted(*args):
+        rounds.append(args[3])
+        return plain(*args)
+
+    monkeypatch.setattr(similarity, "_bounded_round", counted)
+    assert _result(similarity.sparse_topk(q, d, 3, heavy_df=1)) == _brute(queries, docs, 3)
+    assert rounds == [1, 10]
+
+
 def test_sparse_topk_parts_add_up(spark):
     queries, docs = _random_case(3, 20, 60, 40)
     q, d = _frames(spark, queries, docs)
