@@ -14,14 +14,6 @@ def judge_rows(responses: DataFrame) -> DataFrame:
     return responses.select("example_id", parse_ratings(F.col("raw_response")).alias("r")).select("example_id", "r.*")
 
 
-def judge_status(rows: DataFrame) -> Column:
-    """Per-row status of already parsed ratings: ok only if none is missing."""
-    complete = F.lit(True)
-    for d in RATING_DIMENSIONS:
-        complete = complete & rows[d].isNotNull()
-    return F.when(complete, "ok").otherwise("error")
-
-
 def judge_summary(rows: DataFrame) -> DataFrame:
     """Counts and the mean of each dimension over the ok rows."""
     ok = F.col("status") == "ok"

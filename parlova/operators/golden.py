@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +93,3 @@ def golden_set_passes(checks: DataFrame) -> Column:
 def prediction_columns(golden: DataFrame) -> list[str]:
     """Columns that would show gold labels came from predictions. Starts no job."""
     return [c for c in golden.columns if c.startswith("pred_")]
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,9 +9,10 @@ from pyspark.sql import functions as F
 
 from parlova.functions.arrays import cosine
 from parlova.functions.text import clip01
+from parlova.operators.frames import union_all
 from parlova.operators.grid import best_in_cell, block_count, grid_apply, sparse_scores, unit_rows
 from parlova.operators.ranking import top_k
-from parlova.operators.skew import HOT_SHARE, lookup_join
+from parlova.operators.skew import is_hot, lookup_join
 from parlova.runtime import materialize
 
 # Candidates a query may look up in the first of ROUNDS rounds; tenfold in each next one.
@@ -68,10 +67,10 @@ def sparse_topk(
         return top_k(scored, ["qid"], best_first(), k)
 
     stats = materialize(docs.groupBy("feature").agg(F.max("df").alias("df"), F.max("w").alias("max_w")))
-    total = stats.agg(F.sum("df")).first()[0]
+    total = stats.agg(F.sum("df")).first()[0] or 0
     # Only sizes the work, so an estimate without a shuffle will do.
     n_docs = docs.agg(F.approx_count_distinct("doc_id")).first()[0]
-    hot = stats.where(F.col("df") > total * HOT_SHARE)
+    hot = stats.where(is_hot(F.col("df"), total))
     open_q = materialize(lookup_join(queries, stats, "feature", "qid", hot))
     columns = ["qid", "doc_id", *gains, "rank"]
     done: list[DataFrame] = []
@@ -87,7 +86,7 @@ def sparse_topk(
         n_open = open_q.select("qid").distinct().count()
         allowance = max(1, allowance) * 10
     if done and n_open == 0:
-        return _union(done)
+        return union_all(done)
     rest = grid_apply(
         open_q.select("qid", "feature", "qw"),
         docs.select("doc_id", "feature", "w"),
@@ -98,11 +97,7 @@ def sparse_topk(
         _sparse_cell(k, parts),
         _cell_schema(queries, docs, list(parts)),
     )
-    return _union([*done, top_k(rest, ["qid"], best_first(), k).select(*columns)])
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
+    return union_all([*done, top_k(rest, ["qid"], best_first(), k).select(*columns)])
 
 
 def _bounded_round(

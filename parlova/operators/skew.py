@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 1 / 256
+# Below this a key does no harm, whatever its share.
+HOT_MIN_ROWS = 10_000
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys with more than ``share`` of all rows: fewer than 1/share of them."""
+def is_hot(n: Column, total: Column | int) -> Column:
+    """A key with ``n`` of ``total`` rows is worth spreading; fewer than 256 keys can be."""
+    return (n > total * F.lit(HOT_SHARE)) & (n >= HOT_MIN_ROWS)
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """The keys of ``df`` that hold a large share of its rows."""
     total = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     return (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > total * F.lit(share))
+        .where(is_hot(F.col("n"), total))
         .select(key)
     )
 
@@ -33,8 +40,8 @@ def lookup_join(
     """Equi join against ``right`` (unique on ``key``), hot keys salted.
 
     Rows of a hot key spread over ``salts`` partitions by ``spread_by``; only the
-    single right row of a hot key is repeated. ``hot`` must hold fewer than
-    1/share keys, as ``hot_keys`` does by construction, hence the broadcast.
+    single right row of a hot key is repeated. ``hot`` must come from ``hot_keys``
+    or ``is_hot``, which bound it to fewer than 256 keys, hence the broadcast.
     """
     marks = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
     salted_left = left.join(marks, key, "left").withColumn(

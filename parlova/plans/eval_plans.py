@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parlova.functions.payload import parse_ratings
 from parlova.operators import agreement, classify, evaluate, labels, retrieval
 from parlova.operators import triage as tr
-from parlova.operators.golden import union_all
+from parlova.operators.frames import union_all
 from parlova.operators.similarity import pad_topk
 from parlova.plans import sqlviews as sv
 from parlova.plans.registry import query

@@ -83,7 +83,8 @@ def _clusters(spark, sf):
     f"SELECT vec_id, coalesce(m.intent, 'OTHER_OR_UNKNOWN') AS intent FROM embeddings e LEFT JOIN {_CLUSTER_SQL} ON m.cluster = e.label",
 )
 def cluster_to_intent(spark, sf):
-    return labels.cluster_to_intent(*_clusters(spark, sf)[:1], "label", _clusters(spark, sf)[1]).select("vec_id", "intent")
+    rows, mapping = _clusters(spark, sf)
+    return labels.cluster_to_intent(rows, "label", mapping).select("vec_id", "intent")
 
 
 @query("unmapped_clusters", f"SELECT DISTINCT label AS cluster FROM embeddings WHERE label NOT IN (SELECT cluster FROM {_CLUSTER_SQL})")

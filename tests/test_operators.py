@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parlova.functions import text as tx
 from parlova.functions.ids import first_valid_id, normalize_flag, parse_created_at
 from parlova.functions.payload import PARSE_FAILURE_CLAIM, parse_payload, parse_ratings
-from parlova.operators import agreement, brands, evaluate, golden, labels, leakage, profile, ranking, sampling, threads
+from parlova.operators import agreement, brands, evaluate, golden, labels, leakage, profile, ranking, sampling, skew, threads
 from parlova.operators import triage as tr
 from parlova.operators.policy import escalation_decision
 from parlova.schemas import TWEET_COLUMNS, SchemaError, intent_dimension, validate_columns
@@ -203,12 +203,18 @@ def test_repeated_id_first_row_pairs_last_row_ranks(spark):
     assert brands.thread_stats(t, parse_ids=True).first().n_complete_threads == 2
 
 
-def test_one_message_answered_by_most_replies(spark):
+@pytest.mark.parametrize("min_rows", [100, 10_000])
+def test_one_message_answered_by_most_replies(spark, monkeypatch, min_rows):
     """A hot customer id is spread over many tasks and still joins every reply once."""
+    monkeypatch.setattr(skew, "HOT_MIN_ROWS", min_rows)
     rows = [_t(1, "c1", True, "hot"), _t(2, "c2", True, "cold")]
     rows += [_t(10 + i, f"B{i % 3}", False, f"r{i}", "1" if i % 5 else "2") for i in range(3000)]
     pairs = threads.reconstruct_pairs(_tweets(spark, rows))
     assert {r.customer_tweet_id: r["count"] for r in pairs.groupBy("customer_tweet_id").count().collect()} == {"1": 2400, "2": 600}
+    t = _tweets(spark, rows)
+    found = {r.in_response_to_tweet_id for r in skew.hot_keys(t, "in_response_to_tweet_id").collect()}
+    assert found == ({"1", "2"} if min_rows == 100 else set())
+    assert {r.author_id: r.n_complete_threads for r in brands.thread_stats(t).collect()} == {"B0": 1000, "B1": 1000, "B2": 1000}
 
 
 def test_brand_ranking_and_selection(spark):
@@ -519,3 +525,21 @@ def test_profile_counts(spark):
 def test_histogram_of_equal_lengths(spark):
     df = spark.createDataFrame([("a b",), ("c d",)], "t string")
     assert [(r.bin, r.n) for r in profile.length_histogram(df, F.col("t")).collect()] == [(0, 2)]
+
+
+def test_reports_and_intents_survive_storage(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "name string, n bigint")
+    tables.write_report_csv(df, str(tmp_path / "csv"))
+    tables.write_metrics_json(df, str(tmp_path / "json"))
+    tables.write_table(df, str(tmp_path / "parquet"), ["name"])
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 2
+    assert {(r.name, r.n) for r in spark.read.schema(df.schema).json(str(tmp_path / "json")).collect()} == {("a", 1), ("b", 2)}
+    assert tables.read_table(spark, str(tmp_path / "parquet")).where("name = 'b'").first().n == 2
+    dim = intent_dimension(spark, [{"name": "X", "examples": ["one"]}]).first()
+    assert dim.name == "X" and dim.examples == ["one"] and dim.inclusion_rules == []
+
+
+def test_golden_rows_without_annotation_are_pending(spark):
+    g = _golden(spark, 3, r0={"gold_intent": None}, r1={"gold_escalate": None}, r2={"gold_intent": None})
+    assert tables.complete_golden_rows(g).isEmpty()
+    assert golden.golden_completion(g).first().completion_pct == pytest.approx(100 / 3)
