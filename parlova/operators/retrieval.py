@@ -20,7 +20,7 @@ from parlova.operators.similarity import (
     score_pairs,
     sparse_topk,
 )
-from parlova.operators.skew import is_hot, lookup_join
+from parlova.operators.skew import hottest, lookup_join
 from parlova.operators.vectors import Vocabulary, fit_vocabulary, gram_counts, tfidf_weights
 from parlova.runtime import materialize
 from parlova.sources.tables import read_table, write_table
@@ -83,11 +83,9 @@ def term_idf(posting_rows: DataFrame, n_docs: int) -> DataFrame:
 
 def bm25_weights(posting_rows: DataFrame, idf: DataFrame, avg_len: float, k1: float = K1, b: float = B) -> DataFrame:
     """(feature, doc_id, w, df): the score a single query occurrence of a term earns."""
-    total = idf.agg(F.sum("df")).first()[0] or 0
-    hot = idf.where(is_hot(F.col("df"), total))
     tf = F.col("tf")
     length = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / F.lit(avg_len or 1.0))
-    return lookup_join(posting_rows, idf, "term", "doc_id", hot).select(
+    return lookup_join(posting_rows, idf, "term", "doc_id", hottest(idf, "term", "df")).select(
         F.col("term").alias("feature"),
         "doc_id",
         (F.col("idf") * (tf * F.lit(k1 + 1.0)) / (tf + length)).alias("w"),

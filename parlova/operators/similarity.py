@@ -12,7 +12,7 @@ from parlova.functions.text import clip01
 from parlova.operators.frames import union_all
 from parlova.operators.grid import best_in_cell, block_count, grid_apply, sparse_scores, unit_rows
 from parlova.operators.ranking import top_k
-from parlova.operators.skew import is_hot, lookup_join
+from parlova.operators.skew import hottest, lookup_join
 from parlova.runtime import materialize
 
 # Candidates a query may look up in the first of ROUNDS rounds; tenfold in each next one.
@@ -67,11 +67,9 @@ def sparse_topk(
         return top_k(scored, ["qid"], best_first(), k)
 
     stats = materialize(docs.groupBy("feature").agg(F.max("df").alias("df"), F.max("w").alias("max_w")))
-    total = stats.agg(F.sum("df")).first()[0] or 0
     # Only sizes the work, so an estimate without a shuffle will do.
     n_docs = docs.agg(F.approx_count_distinct("doc_id")).first()[0]
-    hot = stats.where(is_hot(F.col("df"), total))
-    open_q = materialize(lookup_join(queries, stats, "feature", "qid", hot))
+    open_q = materialize(lookup_join(queries, stats, "feature", "qid", hottest(stats, "feature", "df")))
     columns = ["qid", "doc_id", *gains, "rank"]
     done: list[DataFrame] = []
     allowance = heavy_df

@@ -2,30 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1 / 256
-# Below this a key does no harm, whatever its share.
+# At most this many keys are spread; any other key then has at most 1/256 of the rows.
+MAX_HOT_KEYS = 256
+# Below this a key does no harm.
 HOT_MIN_ROWS = 10_000
 SALTS = 64
 
 
-def is_hot(n: Column, total: Column | int) -> Column:
-    """A key with ``n`` of ``total`` rows is worth spreading; fewer than 256 keys can be."""
-    return (n > total * F.lit(HOT_SHARE)) & (n >= HOT_MIN_ROWS)
+def hottest(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """The largest keys of a table of row counts per key: at most MAX_HOT_KEYS rows."""
+    return counts.where(F.col(n) >= HOT_MIN_ROWS).orderBy(F.col(n).desc(), key).limit(MAX_HOT_KEYS).select(key)
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
     """The keys of ``df`` that hold a large share of its rows."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    return (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(is_hot(F.col("n"), total))
-        .select(key)
-    )
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return hottest(counts, key, "n")
 
 
 def lookup_join(
@@ -41,7 +36,8 @@ def lookup_join(
 
     Rows of a hot key spread over ``salts`` partitions by ``spread_by``; only the
     single right row of a hot key is repeated. ``hot`` must come from ``hot_keys``
-    or ``is_hot``, which bound it to fewer than 256 keys, hence the broadcast.
+    or ``hottest``, which limit it to MAX_HOT_KEYS rows, hence the broadcast. Keys
+    left out of ``hot`` are joined all the same, only not spread.
     """
     marks = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
     salted_left = left.join(marks, key, "left").withColumn(
