@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlova.llm import repetition, simhash
+from parlova.llm import chat, decontam, html, mixing, pii, repetition, simhash, warc
 from parlova.runtime import prepare
 
 _FUNCTIONS = [
+    warc.op1_warc,
+    html.op2_html,
+    decontam.op4_decontaminate,
+    mixing.op5_mixing,
+    pii.op6_pii,
+    chat.op7_chat,
     simhash.op9_simhash,
     repetition.op10_repetition,
 ]
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_warc": warc.SQL, "op5_mixing": mixing.SQL, "op7_chat": chat.SQL}
 
 
 def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -92,7 +92,7 @@ def repetition_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 own = ids.slice(texts.rows.start, len(texts))
                 yield pa.record_batch([own, *(pa.array(v.astype(np.int64)) for v in found.values())], names=["doc_id", *found])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)
 
 

@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 own = ids.slice(texts.rows.start, len(texts))
                 yield pa.record_batch([own, pa.array(fp)], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, fp bigint")
 
 
@@ -209,7 +209,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     classes = near_duplicates(docs, id_col, text_col, distance)
     lost = classes.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
+    # Written first, so that Spark knows its size and can leave the texts where they are.
+    return docs.join(materialize(lost), F.col(f"`{id_col}`") == F.col("_lost"), "left_anti")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
