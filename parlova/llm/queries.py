@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlova.llm import chat, decontam, html, mixing, pii, repetition, simhash, warc
+from parlova.llm import chat, decontam, exact_substrings, html, mixing, pii, repetition, simhash, warc
 from parlova.runtime import prepare
 
 _FUNCTIONS = [
     warc.op1_warc,
     html.op2_html,
+    exact_substrings.op3_substrings,
     decontam.op4_decontaminate,
     mixing.op5_mixing,
     pii.op6_pii,
