@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlova.llm import chat, decontam, exact_substrings, html, mixing, pii, repetition, simhash, warc
+from parlova.llm import chat, compact_windows, decontam, exact_substrings, html, mixing, pii, repetition, simhash, warc
 from parlova.runtime import prepare
 
 _FUNCTIONS = [
@@ -17,6 +17,7 @@ _FUNCTIONS = [
     mixing.op5_mixing,
     pii.op6_pii,
     chat.op7_chat,
+    compact_windows.op8_passages,
     simhash.op9_simhash,
     repetition.op10_repetition,
 ]
