@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from parlova.functions.text import strip
 
-# Fixed value: layout of the text timestamp after the three-letter weekday.
+# Weekday names, and the layout of the text timestamp after one.
+WEEKDAYS = "Mon|Tue|Wed|Thu|Fri|Sat|Sun"
 TWEET_TIME = "MMM dd HH:mm:ss Z yyyy"
 
 
@@ -18,7 +19,8 @@ def normalize_flag(col: Column) -> Column:
 
 def parse_created_at(col: Column) -> Column:
     """UTC timestamp; anything unreadable becomes null."""
-    weekday_layout = F.try_to_timestamp(F.substring(col, 5, 64), F.lit(TWEET_TIME))
+    named = F.when(F.rlike(col, F.lit(f"^({WEEKDAYS}) ")), F.substr(col, F.lit(5)))
+    weekday_layout = F.try_to_timestamp(named, F.lit(TWEET_TIME))
     return F.coalesce(weekday_layout, col.try_cast("timestamp"))
 
 

@@ -44,17 +44,27 @@ def escalation_decision(
 ) -> Column:
     """STRUCT(decision, reason_code, reason); the first rule that matches decides.
 
-    A missing retrieval score counts as 0, a missing grounding flag as false.
+    Unknown signals never auto-handle: a null intent counts as unknown, a null or NaN
+    confidence as too low, a null or NaN retrieval score as no history, a null grounding flag
+    as false. A null message has no keyword. Optional history flags count as false when null.
     """
+    known_confidence = F.nanvl(confidence.cast("double"), F.lit(None).cast("double"))
+    known_score = F.nanvl(top_score.cast("double"), F.lit(None).cast("double"))
     repeated = F.lit(False) if repeated_failure is None else F.coalesce(repeated_failure, F.lit(False))
     sensitive = first_keyword(message, SENSITIVE_PHRASES if sensitive_phrases is None else sensitive_phrases)
     risky = first_keyword(message, HIGH_RISK_KEYWORDS if high_risk_keywords is None else high_risk_keywords)
     rules: list[tuple[Column, str, Column]] = [
-        (intent == OTHER_INTENT, "UNKNOWN_INTENT", F.lit("The message could not be mapped to a known intent.")),
+        (F.coalesce(intent, F.lit(OTHER_INTENT)) == OTHER_INTENT, "UNKNOWN_INTENT", F.lit("The message could not be mapped to a known intent.")),
         (
-            confidence < confidence_threshold,
+            F.coalesce(known_confidence < confidence_threshold, F.lit(True)),
             "LOW_INTENT_CONFIDENCE",
-            F.format_string(f"Intent confidence %.2f is below {confidence_threshold:.2f}.", confidence),
+            F.coalesce(
+                F.when(
+                    known_confidence.isNotNull(),
+                    F.format_string(f"Intent confidence %.2f is below {confidence_threshold:.2f}.", known_confidence),
+                ),
+                F.lit("The intent confidence is unknown."),
+            ),
         ),
         (
             sensitive.isNotNull(),
@@ -69,7 +79,7 @@ def escalation_decision(
             F.lit("The best historical replies disagree."),
         ),
         (
-            F.coalesce(top_score, F.lit(0.0)) < min_score,
+            F.coalesce(known_score < min_score, F.lit(True)),
             "NO_RELEVANT_HISTORY",
             F.lit("No similar resolved case was found."),
         ),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlova.functions.ids import normalize_flag, parse_created_at
-from parlova.schemas import TWEET_COLUMNS, TWEET_CSV_SCHEMA, validate_columns
+from parlova.schemas import TWEET_COLUMNS, validate_columns
 
 
 def normalize_tweets(df: DataFrame) -> DataFrame:
@@ -26,23 +26,34 @@ def normalize_tweets(df: DataFrame) -> DataFrame:
     )
 
 
-def read_tweets_csv(spark: SparkSession, path: str, schema=TWEET_CSV_SCHEMA) -> DataFrame:
-    """Scan a CSV file, folder or glob with declared text columns.
+def read_tweets_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Scan a CSV file, folder or glob, every column as text, by the names in the header.
+
+    Columns may be in any order and more than the required ones; a missing one raises
+    ``SchemaError`` before anything is read. All files of a folder share one header, which
+    the reader checks. ``ingest_seq`` numbers rows by file name and then as they stand in the
+    file, however Spark packs files into tasks.
 
     Quoted line breaks force multiLine, which reads one file per task; convert
     to Parquet once with ``sources.tables.write_table`` before repeated use.
     Unlike a single-file reader, a folder is read whole. An empty field is null;
     words such as NA or nan stay text.
     """
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+    # Without schema inference only the header is looked at: all columns are text.
+    header = spark.read.options(**options, inferSchema=False).csv(path)
+    validate_columns(header, TWEET_COLUMNS)
+    rows = spark.read.schema(header.schema).options(**options, enforceSchema=False, mode="FAILFAST").csv(path)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    # One row per file: its place in the order of names. A file is one task, in which the
+    # row numbers ascend.
+    files = placed.select("_file").distinct()
+    numbered = files.select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("bigint").alias("_number"))
+    within = F.col("_row").bitwiseAND(F.lit(2**33 - 1))
     return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .option("mode", "FAILFAST")
-        .csv(path)
+        placed.join(F.broadcast(numbered), "_file")
+        .withColumn("ingest_seq", F.shiftleft(F.col("_number"), 33) + within)
+        .drop("_file", "_row", "_number")
     )
 
 

@@ -16,7 +16,8 @@ from parlova.schemas import TWEET_COLUMNS
 from parlova.sources.tweets import normalize_tweets
 
 BASE_SECONDS = 1704067200
-GOLDEN_TARGET = 40
+# The annotated share of the pairs, one in so many, at every table size.
+GOLDEN_SHARE = 4
 
 # The given texts are invented, so the rules look for strings that occur in them.
 VIEW_RULES = [
@@ -113,8 +114,8 @@ def _gold_columns(seq: Column) -> dict[str, Column]:
 
 
 def golden_from(pair_rows: DataFrame) -> DataFrame:
-    """A small annotated set with planted defects; qid is the pair's row number."""
-    sample = stratified_sample(pair_rows, min(GOLDEN_TARGET, pair_rows.count() // 4))
+    """An annotated quarter of the pairs with planted defects; qid is the pair's row number."""
+    sample = stratified_sample(pair_rows, pair_rows.count() // GOLDEN_SHARE)
     return golden_candidates(sample, keep=("pair_seq", "intent")).select(
         "example_id",
         "customer_text",
