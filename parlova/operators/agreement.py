@@ -44,6 +44,12 @@ def rating_pairs(human: DataFrame, judge: DataFrame) -> DataFrame:
     )
 
 
+def agreement_status(human: DataFrame, judge: DataFrame) -> DataFrame:
+    """One row (status, n_examples): ``no_overlapping_examples`` or ``ok``."""
+    common = human.join(judge.select("example_id"), "example_id").agg(F.count(F.lit(1)).alias("n_examples"))
+    return common.select(F.when(F.col("n_examples") > 0, "ok").otherwise("no_overlapping_examples").alias("status"), "n_examples")
+
+
 def judge_human_agreement(pairs: DataFrame) -> DataFrame:
     """Exact rate, mean absolute difference, Pearson correlation and kappa per dimension."""
     n, h, j = F.col("n"), F.col("h"), F.col("j")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, StringIndexer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from parlova.functions.arrays import softmax
 from parlova.functions.text import ngrams
+from parlova.operators.ranking import global_rank
 from parlova.operators.vectors import Vocabulary, fit_vocabulary, gram_counts, tfidf_weights
 from parlova.runtime import materialize
 from parlova.schemas import OTHER_INTENT
@@ -23,9 +24,10 @@ from parlova.schemas import OTHER_INTENT
 CONFIDENCE_THRESHOLD = 0.60
 MAX_FEATURES = 20000
 CALIBRATION_FOLDS = 3
-# A tenth of the default precision halves the passes and moves no probability by more than 0.002.
-TOLERANCE = 1e-5
-FOLD_ROWS = 100_000
+# The library's default precision of the optimiser.
+TOLERANCE = 1e-6
+# Models hold a number per class and gram on the driver and in each row's class columns.
+MAX_CLASSES = 1000
 
 
 # --- linear model as tables ------------------------------------------------
@@ -57,6 +59,8 @@ def centroid_model_of(weights: DataFrame, labelled: DataFrame, vocabulary: Vocab
     sizes = {r.intent: r.n for r in labels.groupBy("intent").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         raise ValueError("no labelled rows to train on")
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"{len(sizes)} classes; at most {MAX_CLASSES} are supported")
     size = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("intent"))
     coefficients = (
         weights.join(labels, "doc_id")
@@ -140,13 +144,14 @@ def threshold_sweep(predictions: DataFrame, steps: int = 20) -> DataFrame:
 
 @dataclass(frozen=True)
 class TextClassifier:
-    """Features + multinomial logistic regression over uni- and bigrams."""
+    """Features + multinomial logistic regression over uni- and bigrams, or over given features."""
 
     pipeline: PipelineModel
     classes: list[str]
+    reads_text: bool = True
 
     def probabilities(self, messages: DataFrame) -> DataFrame:
-        grams = messages.withColumn("grams", ngrams(F.col("text")))
+        grams = messages.withColumn("grams", ngrams(F.col("text"))) if self.reads_text else messages
         return self.pipeline.transform(grams).select("qid", vector_to_array("probability").alias("probs"))
 
     def save(self, path: str) -> None:
@@ -164,25 +169,33 @@ def _load_classes(spark: SparkSession, path: str) -> list[str]:
     return [r.name for r in spark.read.parquet(f"{path}/classes").orderBy("class_no").collect()]
 
 
-def load_text_classifier(spark: SparkSession, path: str) -> TextClassifier:
-    return TextClassifier(PipelineModel.load(f"{path}/pipeline"), _load_classes(spark, path))
+def load_text_classifier(spark: SparkSession, path: str, reads_text: bool = True) -> TextClassifier:
+    return TextClassifier(PipelineModel.load(f"{path}/pipeline"), _load_classes(spark, path), reads_text)
 
 
 def fit_text_features(train: DataFrame, max_features: int, min_df: int = 1) -> PipelineModel:
-    """CountVectorizer, then tf * (idf + 1), then unit length."""
-    counts = CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=max_features, minDF=min_df).fit(train)
-    idf = IDF(inputCol="tf", outputCol="_idf").fit(counts.transform(train))
-    scaling = Vectors.dense([float(x) + 1.0 for x in idf.idf])
+    """Counts of the vocabulary, times smoothed idf, then unit length.
+
+    The vocabulary is that of ``fit_vocabulary``: the most frequent grams, ties by gram. Its at
+    most ``max_features`` terms become the model's parameters.
+    """
+    grams = train.select("grams")
+    counts = grams.select(F.monotonically_increasing_id().alias("_row"), F.explode("grams").alias("gram"))
+    counts = counts.groupBy("_row", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    terms = fit_vocabulary(grams.count(), counts, max_features, min_df).terms.collect()
+    if not terms:
+        raise ValueError("no text to take a vocabulary from")
+    scaling = Vectors.dense([t.idf for t in terms])
     return PipelineModel(
         [
-            counts,
+            CountVectorizerModel.from_vocabulary([t.gram for t in terms], inputCol="grams", outputCol="tf"),
             ElementwiseProduct(scalingVec=scaling, inputCol="tf", outputCol="tfidf"),
             Normalizer(p=2.0, inputCol="tfidf", outputCol="features"),
         ]
     )
 
 
-def _logistic(n_rows: int, max_iter: int) -> LogisticRegression:
+def _logistic(n_rows: int, max_iter: int, tolerance: float = TOLERANCE) -> LogisticRegression:
     # An L2 weight of 1 on the summed loss is 1/n on the mean loss.
     return LogisticRegression(
         featuresCol="features",
@@ -191,39 +204,42 @@ def _logistic(n_rows: int, max_iter: int) -> LogisticRegression:
         standardization=False,
         regParam=1.0 / max(n_rows, 1),
         maxIter=max_iter,
-        tol=TOLERANCE,
+        tol=tolerance,
     )
 
 
-def train_text_classifier(train: DataFrame, max_features: int = MAX_FEATURES, max_iter: int = 1000) -> TextClassifier:
-    """Fit on (text, intent)."""
-    data = train.where(F.col("intent").isNotNull()).select("intent", ngrams(F.col("text")).alias("grams")).persist()
-    try:
+def train_text_classifier(
+    train: DataFrame, max_features: int = MAX_FEATURES, max_iter: int = 1000, tolerance: float = TOLERANCE
+) -> TextClassifier:
+    """Fit on (text, intent), or on (features, intent) if there are features."""
+    labelled = train.where(F.col("intent").isNotNull())
+    reads_text = "features" not in train.columns
+    stages: list = []
+    if reads_text:
+        data = materialize(labelled.select("intent", ngrams(F.col("text")).alias("grams")))
         features = fit_text_features(data, max_features)
-        indexer = StringIndexer(inputCol="intent", outputCol="label", stringOrderType="alphabetAsc").fit(data)
-        ready = indexer.transform(features.transform(data)).select("features", "label")
-        model = _logistic(data.count(), max_iter).fit(ready)
-    finally:
-        data.unpersist()
-    return TextClassifier(PipelineModel([*features.stages, model]), list(indexer.labels))
+        stages, data = list(features.stages), features.transform(data)
+    else:
+        data = labelled
+    indexer = StringIndexer(inputCol="intent", outputCol="label", stringOrderType="alphabetAsc").fit(data)
+    # Read by every pass of the optimiser: a stored table survives the loss of an executor.
+    ready = materialize(indexer.transform(data).select("features", "label"))
+    model = _logistic(ready.count(), max_iter, tolerance).fit(ready)
+    return TextClassifier(PipelineModel([*stages, model]), list(indexer.labels), reads_text)
 
 
 def stratified_folds(df: DataFrame, label_col: str, id_col: str, folds: int = CALIBRATION_FOLDS) -> DataFrame:
-    """Fold number per row, balanced within each class.
+    """Fold number per row, balanced within each class: the rank in the class by a hash of the id.
 
-    Rows are numbered within (class, bucket); a class gets one bucket per
-    ``FOLD_ROWS`` rows, so a class holding most of the table is still split.
+    Ranks come from a range-partitioned sort of ids, so a class that holds most of the
+    table is no single task. Ids must be unique.
     """
-    sizes = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_size"))
-    buckets = F.ceil(F.col("_size") / FOLD_ROWS)
-    key = F.xxhash64(id_col)
-    w = Window.partitionBy(label_col, "_bucket").orderBy(key, id_col)
-    return (
-        df.join(F.broadcast(sizes), label_col)
-        .withColumn("_bucket", F.pmod(key, buckets))
-        .withColumn("fold", F.pmod(F.row_number().over(w) + F.col("_bucket"), F.lit(folds)).cast("int"))
-        .drop("_size", "_bucket")
-    )
+    slim = df.select(label_col, id_col, F.xxhash64(id_col).alias("_h"))
+    ranked = global_rank(slim, [label_col, "_h", id_col], "_rank").rows
+    first = ranked.groupBy(F.col(label_col).alias("_class")).agg(F.min("_rank").alias("_first"))
+    place = F.pmod(F.col("_rank") - F.col("_first"), F.lit(folds)).cast("int")
+    numbered = ranked.join(first, F.col(label_col) == F.col("_class")).select(F.col(id_col).alias("_id"), place.alias("fold"))
+    return df.join(numbered, F.col(id_col) == F.col("_id")).drop("_id")
 
 
 @dataclass(frozen=True)
@@ -353,7 +369,11 @@ def fit_sigmoids(margins: DataFrame, max_steps: int = 30, tolerance: float = 1e-
 
 
 def train_calibrated(
-    train: DataFrame, max_features: int = 5000, max_iter: int = 2000, folds: int = CALIBRATION_FOLDS
+    train: DataFrame,
+    max_features: int = 5000,
+    max_iter: int = 2000,
+    folds: int = CALIBRATION_FOLDS,
+    tolerance: float = TOLERANCE,
 ) -> CalibratedClassifier | TextClassifier:
     """Fit on (doc_id, text or features, intent).
 
@@ -365,8 +385,8 @@ def train_calibrated(
     if smallest is None:
         raise ValueError("no labelled rows to train on")
     has_features = "features" in train.columns
-    if smallest < folds and not has_features:
-        return train_text_classifier(labelled, max_features, max_iter)
+    if smallest < folds:
+        return train_text_classifier(labelled, max_features, max_iter, tolerance)
     features = None
     data = labelled
     if not has_features:
@@ -375,20 +395,17 @@ def train_calibrated(
         data = features.transform(grams)
     indexer = StringIndexer(inputCol="intent", outputCol="label", stringOrderType="alphabetAsc").fit(labelled)
     data = stratified_folds(indexer.transform(data), "intent", "doc_id", folds).select("doc_id", "features", "label", "fold")
-    data = data.persist()
-    try:
-        n = data.count()
-        models, held_out = [], None
-        for fold in range(folds):
-            model = _logistic(n - n // folds, max_iter).fit(data.where(F.col("fold") != fold))
-            models.append(model)
-            margins = (
-                model.transform(data.where(F.col("fold") == fold))
-                .select("label", "fold", F.posexplode(vector_to_array("rawPrediction")).alias("class_no", "f"))
-                .select("fold", "class_no", "f", (F.col("label") == F.col("class_no")).alias("positive"))
-            )
-            held_out = margins if held_out is None else held_out.unionByName(margins)
-        sigmoids = fit_sigmoids(materialize(held_out))
-    finally:
-        data.unpersist()
+    data = materialize(data)
+    n = data.count()
+    models, held_out = [], None
+    for fold in range(folds):
+        model = _logistic(n - n // folds, max_iter, tolerance).fit(data.where(F.col("fold") != fold))
+        models.append(model)
+        margins = (
+            model.transform(data.where(F.col("fold") == fold))
+            .select("label", "fold", F.posexplode(vector_to_array("rawPrediction")).alias("class_no", "f"))
+            .select("fold", "class_no", "f", (F.col("label") == F.col("class_no")).alias("positive"))
+        )
+        held_out = margins if held_out is None else held_out.unionByName(margins)
+    sigmoids = fit_sigmoids(materialize(held_out))
     return CalibratedClassifier(features, models, sigmoids, list(indexer.labels))

@@ -40,17 +40,14 @@ def fit_kmeans(vectors: DataFrame, wanted: int = 8, n_init: int = 10, seed: int
 
     Takes a ``features`` vector column (sparse or dense), else ``vec`` arrays.
     """
-    data = _features(vectors).select("features").persist()
-    try:
-        k = cluster_count(data.count(), wanted)
-        best: KMeansFit | None = None
-        for s in range(seed, seed + n_init):
-            model = KMeans(k=k, seed=s, featuresCol="features").fit(data)
-            cost = model.summary.trainingCost
-            if best is None or cost < best.cost:
-                best = KMeansFit(model, cost, s)
-    finally:
-        data.unpersist()
+    data = materialize(_features(vectors).select("features"))
+    k = cluster_count(data.count(), wanted)
+    best: KMeansFit | None = None
+    for s in range(seed, seed + n_init):
+        model = KMeans(k=k, seed=s, featuresCol="features").fit(data)
+        cost = model.summary.trainingCost
+        if best is None or cost < best.cost:
+            best = KMeansFit(model, cost, s)
     return best
 
 

@@ -6,7 +6,7 @@ gold_escalate, pred_decision). All metrics come from counts per label pair.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlova.functions.text import token_count, vector_tokens
@@ -113,6 +113,36 @@ def escalation_metrics(pred: DataFrame, by: list[str] = []) -> DataFrame:
     )
 
 
+def escalation_matrix(pred: DataFrame, by: list[str] = []) -> DataFrame:
+    """Counts of the four pairs of gold and predicted decision; both labels always appear."""
+    cells = [(g, p) for g in (ESCALATE, AUTO_HANDLE) for p in (ESCALATE, AUTO_HANDLE)]
+    counts = pred.groupBy(*by).agg(
+        *[
+            F.count_if((F.col("gold_escalate") == g) & (F.col("pred_decision") == p)).alias(f"_{i}")
+            for i, (g, p) in enumerate(cells)
+        ]
+    )
+    rows = [
+        F.struct(F.lit(g).alias("gold_escalate"), F.lit(p).alias("pred_decision"), F.col(f"_{i}").alias("n"))
+        for i, (g, p) in enumerate(cells)
+    ]
+    return counts.select(*by, F.inline(F.array(*rows)))
+
+
+PENDING = "PENDING_GOLDEN_SET_ANNOTATION"
+
+
+def evaluation_status(golden: DataFrame | None) -> DataFrame:
+    """One row (status, n_rows, n_annotated): pending without a row that has both labels."""
+    if golden is None:
+        spark = SparkSession.active()
+        return spark.range(1).select(F.lit(PENDING).alias("status"), F.lit(0).cast("bigint").alias("n_rows"), F.lit(0).cast("bigint").alias("n_annotated"))
+    done = F.count_if(F.col("gold_intent").isNotNull() & F.col("gold_escalate").isNotNull())
+    return golden.agg(
+        F.when(done > 0, "EVALUATED").otherwise(PENDING).alias("status"), F.count(F.lit(1)).alias("n_rows"), done.alias("n_annotated")
+    )
+
+
 def baseline_a(golden: DataFrame, majority: DataFrame, label_col: str = "intent") -> DataFrame:
     """Majority intent, generic reply, always escalated."""
     label = F.coalesce(majority.select(label_col).scalar(), F.lit(OTHER_INTENT))
@@ -143,9 +173,10 @@ def reply_similarity(pairs: DataFrame, id_col: str, reply: str, reference: str)
     """TF-IDF cosine of two texts, fitted on these two only.
 
     With two texts the smoothed idf is 1 for a shared token and ln(1.5) + 1 for
-    one that only one side has. An empty side, or no usable token, gives 0.
+    one that only one side has. An empty side, or no usable token, gives 0. Texts are
+    dealt by id once; their tokens are counted where they then lie.
     """
-    sides = pairs.select(
+    sides = pairs.select(id_col, reply, reference).repartition(id_col).select(
         id_col,
         F.inline(
             F.array(

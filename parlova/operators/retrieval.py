@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from parlova.functions.text import retrieval_tokens
 from parlova.operators.similarity import (
     HEAVY_DF,
+    best_first,
     dense_pairs,
     fused_topk,
     pad_topk,
     score_pairs,
     sparse_topk,
 )
-from parlova.operators.skew import hottest, lookup_join
+from parlova.operators.skew import hot_keys, hottest, lookup_join
+from parlova.operators.ranking import top_k
 from parlova.operators.vectors import Vocabulary, fit_vocabulary, gram_counts, tfidf_weights
 from parlova.runtime import materialize
 from parlova.sources.tables import read_table, write_table
@@ -219,18 +221,17 @@ def hybrid_topk(
     """(qid, rank, doc_id, score, lexical_score, semantic_score), exactly k rows per
     query if the corpus has that many.
 
-    Once the query's best BM25 score is known, the hybrid score is one weighted
-    sum over terms and grams together, so a single sparse top-k ranks it.
+    Without a feature of more than ``heavy_df`` documents, one pass sums both parts of every
+    pair and takes the query's best BM25 score from the same sums. Otherwise that best score
+    comes first; the hybrid score is then one weighted sum over terms and grams together.
     """
     lex_q = materialize(lexical_query(queries))
     sem_q = semantic_query(queries, index.vocabulary)
-    best = _query_max(lex_q, index.lexical, heavy_df)
-    lex_scaled = lex_q.join(best, "qid").select("qid", "feature", (F.col("qw") / F.col("max_score")).alias("qw"))
-    joint_q = _tagged(lex_scaled.withColumn("qw", F.col("qw") * lexical_weight), "l:").unionByName(
-        _tagged(sem_q.withColumn("qw", F.col("qw") * semantic_weight), "s:")
-    )
-    joint_d = _tagged(index.lexical, "l:").unionByName(_tagged(index.semantic, "s:"))
-    hits = sparse_topk(joint_q, joint_d, k, heavy_df, parts={"lexical_part": "l:", "semantic_part": "s:"})
+    light = index.lexical.where(F.col("df") > heavy_df).isEmpty() and index.semantic.where(F.col("df") > heavy_df).isEmpty()
+    if light:
+        hits = _one_pass(lex_q, sem_q, index, k, lexical_weight, semantic_weight)
+    else:
+        hits = _two_passes(lex_q, sem_q, index, k, lexical_weight, semantic_weight, heavy_df)
     rows = pad_topk(hits, queries, index.corpus, k)
     return rows.select(
         "qid",
@@ -242,6 +243,37 @@ def hybrid_topk(
     )
 
 
+def _one_pass(
+    lex_q: DataFrame, sem_q: DataFrame, index: RetrievalIndex, k: int, lexical_weight: float, semantic_weight: float
+) -> DataFrame:
+    earned = F.col("qw") * F.col("w")
+    lexical = lex_q.join(index.lexical, "feature").select("qid", "doc_id", earned.alias("lex"), F.lit(0.0).alias("sem"))
+    semantic = sem_q.join(index.semantic, "feature").select("qid", "doc_id", F.lit(0.0).alias("lex"), earned.alias("sem"))
+    sums = lexical.unionByName(semantic).groupBy("qid", "doc_id").agg(F.sum("lex").alias("lex"), F.sum("sem").alias("sem"))
+    sums = materialize(sums)
+    best = sums.groupBy("qid").agg(F.max("lex").alias("max_lex"))
+    parts = sums.join(best, "qid").select(
+        "qid",
+        "doc_id",
+        (lexical_weight * F.coalesce(F.try_divide("lex", "max_lex"), F.lit(0.0))).alias("lexical_part"),
+        (semantic_weight * F.col("sem")).alias("semantic_part"),
+    )
+    scored = parts.withColumn("score", F.col("lexical_part") + F.col("semantic_part"))
+    return materialize(top_k(scored.where(F.round("score", 9) > 0), ["qid"], best_first(), k))
+
+
+def _two_passes(
+    lex_q: DataFrame, sem_q: DataFrame, index: RetrievalIndex, k: int, lexical_weight: float, semantic_weight: float, heavy_df: int
+) -> DataFrame:
+    best = _query_max(lex_q, index.lexical, heavy_df)
+    lex_scaled = lex_q.join(best, "qid").select("qid", "feature", (F.col("qw") / F.col("max_score")).alias("qw"))
+    joint_q = _tagged(lex_scaled.withColumn("qw", F.col("qw") * lexical_weight), "l:").unionByName(
+        _tagged(sem_q.withColumn("qw", F.col("qw") * semantic_weight), "s:")
+    )
+    joint_d = _tagged(index.lexical, "l:").unionByName(_tagged(index.semantic, "s:"))
+    return sparse_topk(joint_q, joint_d, k, heavy_df, parts={"lexical_part": "l:", "semantic_part": "s:"})
+
+
 def hybrid_topk_dense(
     queries: DataFrame,
     lexical: DataFrame,
@@ -268,7 +300,9 @@ def hybrid_topk_dense(
 def with_documents(hits: DataFrame, corpus: DataFrame, query_intents: DataFrame | None = None) -> DataFrame:
     """Attach texts, replies and ``intent_match`` (null if either intent is null)."""
     docs = corpus.select("doc_id", "customer_text", "support_reply", F.col("intent").alias("doc_intent"))
-    out = hits.join(docs, "doc_id")
+    # Padded rows and popular replies name the same document for many queries.
+    hits = materialize(hits)
+    out = lookup_join(hits, docs, "doc_id", "qid", hot_keys(hits, "doc_id"))
     if query_intents is None:
         return out.withColumn("intent_match", F.lit(None).cast("boolean"))
     asked = query_intents.select("qid", F.col("intent").alias("_asked"))

@@ -12,7 +12,7 @@ from parlova.functions.text import clip01
 from parlova.operators.frames import union_all
 from parlova.operators.grid import best_in_cell, block_count, grid_apply, sparse_scores, unit_rows
 from parlova.operators.ranking import top_k
-from parlova.operators.skew import hottest, lookup_join
+from parlova.operators.skew import hot_keys, lookup_join
 from parlova.runtime import materialize
 
 # Candidates a query may look up in the first of ROUNDS rounds; tenfold in each next one.
@@ -29,6 +29,11 @@ def best_first():
     return [F.round(F.col("score"), 9).desc(), F.col("doc_id")]
 
 
+def _positive() -> Column:
+    """A score counts if it is above 0 at the digits that ranks are taken from."""
+    return F.round(F.col("score"), 9) > 0
+
+
 def sparse_topk(
     queries: DataFrame,
     docs: DataFrame,
@@ -64,12 +69,13 @@ def sparse_topk(
             .groupBy("qid", "doc_id")
             .agg(*[F.sum(g).alias(name) for name, g in gains.items()])
         )
-        return top_k(scored, ["qid"], best_first(), k)
+        return top_k(scored.where(_positive()), ["qid"], best_first(), k)
 
     stats = materialize(docs.groupBy("feature").agg(F.max("df").alias("df"), F.max("w").alias("max_w")))
     # Only sizes the work, so an estimate without a shuffle will do.
     n_docs = docs.agg(F.approx_count_distinct("doc_id")).first()[0]
-    open_q = materialize(lookup_join(queries, stats, "feature", "qid", hottest(stats, "feature", "df")))
+    queries = materialize(queries)
+    open_q = materialize(lookup_join(queries, stats, "feature", "qid", hot_keys(queries, "feature")))
     columns = ["qid", "doc_id", *gains, "rank"]
     done: list[DataFrame] = []
     allowance = heavy_df
@@ -141,7 +147,7 @@ def _bounded_round(
     complete = (
         candidates.unionByName(completion).groupBy("qid", "doc_id").agg(*[F.sum(m).alias(m) for m in measures])
     )
-    found = materialize(top_k(complete, ["qid"], best_first(), k))
+    found = materialize(top_k(complete.where(_positive()), ["qid"], best_first(), k))
     proven = (F.col("bound") == 0) | ((F.col("n") == k) & (F.col("bound") < F.col("kth") - MARGIN))
     settled = (
         per_query.join(found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")), "qid", "left")
@@ -297,7 +303,8 @@ def _fused_cell(k: int, dense_weight: float):
 
 def dense_pairs(pairs: DataFrame, queries: DataFrame, docs: DataFrame, out: str) -> DataFrame:
     """Add column ``out``: clipped cosine of each given (qid, doc_id)."""
-    joined = pairs.join(queries.select("qid", F.col("vec").alias("_qv")), "qid").join(
-        docs.select("doc_id", F.col("vec").alias("_dv")), "doc_id"
-    )
+    asked = materialize(pairs.join(queries.select("qid", F.col("vec").alias("_qv")), "qid"))
+    vectors = docs.select("doc_id", F.col("vec").alias("_dv"))
+    # Padded rows name the same few documents for many queries.
+    joined = lookup_join(asked, vectors, "doc_id", "qid", hot_keys(asked, "doc_id"))
     return joined.withColumn(out, clip01(cosine(F.col("_qv"), F.col("_dv")))).drop("_qv", "_dv")

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are spread; any other key then has at most 1/256 of the rows.
-MAX_HOT_KEYS = 256
+# A key is hot above this share of all rows, so there are fewer than SHARES hot keys, and
+# each is cut into parts of about this share.
+SHARES = 1000
 # Below this a key does no harm.
 HOT_MIN_ROWS = 10_000
-SALTS = 64
 
 
 def hottest(counts: DataFrame, key: str, n: str) -> DataFrame:
-    """The largest keys of a table of row counts per key: at most MAX_HOT_KEYS rows."""
-    return counts.where(F.col(n) >= HOT_MIN_ROWS).orderBy(F.col(n).desc(), key).limit(MAX_HOT_KEYS).select(key)
+    """(key, _salts) of the hot keys of a table of row counts per key: fewer than SHARES rows."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    limit = max(HOT_MIN_ROWS, total // SHARES)
+    return counts.where(F.col(n) > limit).select(key, F.ceil(F.col(n) / limit).cast("int").alias("_salts"))
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
@@ -30,23 +32,17 @@ def lookup_join(
     spread_by: str,
     hot: DataFrame,
     how: str = "inner",
-    salts: int = SALTS,
 ) -> DataFrame:
     """Equi join against ``right`` (unique on ``key``), hot keys salted.
 
-    Rows of a hot key spread over ``salts`` partitions by ``spread_by``; only the
-    single right row of a hot key is repeated. ``hot`` must come from ``hot_keys``
-    or ``hottest``, which limit it to MAX_HOT_KEYS rows, hence the broadcast. Keys
-    left out of ``hot`` are joined all the same, only not spread.
+    Rows of a hot key spread by ``spread_by`` over as many parts as its count asks for;
+    only the single right row of a hot key is repeated. ``hot`` must come from ``hot_keys``
+    or ``hottest``, which limit it to SHARES rows, hence the broadcast. Keys left out
+    of ``hot`` are joined all the same, only not spread.
     """
-    marks = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
-    salted_left = left.join(marks, key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0),
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_right = right.join(marks, key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    )
-    joined = salted_left.drop("_hot").join(salted_right.drop("_hot"), [key, "_salt"], how)
+    marks = F.broadcast(hot.select(key, "_salts"))
+    salts = F.coalesce("_salts", F.lit(1))
+    salted_left = left.join(marks, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int"))
+    salted_right = right.join(marks, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    joined = salted_left.drop("_salts").join(salted_right.drop("_salts"), [key, "_salt"], how)
     return joined.drop("_salt")

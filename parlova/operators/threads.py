@@ -24,21 +24,25 @@ def _replies_with_target(tweets: DataFrame, brand: str | None) -> DataFrame:
     )
 
 
-def _first_rows(tweets: DataFrame) -> DataFrame:
-    """One row per message id: the first in read order decides."""
-    first = F.min_by(F.struct("inbound", "author_id", "text"), "ingest_seq")
-    return (
-        tweets.where(F.col("tweet_id").isNotNull())
-        .groupBy(F.col("tweet_id").alias("target_id"))
-        .agg(first.alias("target"))
-    )
+def _first_rows(tweets: DataFrame, replies: DataFrame, *fields: str) -> DataFrame:
+    """One row per message id that a reply names: the first in read order decides.
+
+    Only ids and row numbers are aggregated; the fields, texts among them, are fetched
+    for the first rows alone. ``ingest_seq`` is unique per row.
+    """
+    wanted = replies.select("target_id").distinct()
+    named = tweets.join(wanted, F.col("tweet_id") == F.col("target_id"), "left_semi")
+    first = named.groupBy(F.col("tweet_id").alias("_id")).agg(F.min("ingest_seq").alias("_seq"))
+    rows = tweets.join(first, (F.col("tweet_id") == F.col("_id")) & (F.col("ingest_seq") == F.col("_seq")))
+    return rows.select(F.col("_id").alias("target_id"), F.struct(*fields).alias("target"))
 
 
 def reconstruct_pairs(tweets: DataFrame, brand: str | None = None) -> DataFrame:
     """(customer message, support reply) pairs; all accounts when no brand is given."""
     replies = _replies_with_target(tweets, brand).where(F.col("target_id").isNotNull())
     hot = hot_keys(replies, "target_id")
-    joined = lookup_join(replies, _first_rows(tweets), "target_id", "pair_seq", hot)
+    targets = _first_rows(tweets, replies, "inbound", "author_id", "text")
+    joined = lookup_join(replies, targets, "target_id", "pair_seq", hot)
     return joined.where(F.col("target.inbound")).select(
         F.concat_ws("__", "target_id", "support_tweet_id").alias("conversation_id"),
         F.col("target_id").alias("customer_tweet_id"),
@@ -61,8 +65,8 @@ def with_text_fields(pairs: DataFrame, text_col: str = "customer_text") -> DataF
 def pair_outcome_counts(tweets: DataFrame, brand: str | None = None) -> DataFrame:
     """How each support row fared: paired, malformed id, missing or non-customer target."""
     replies = _replies_with_target(tweets, brand).drop("support_text")
-    targets = _first_rows(tweets.select("tweet_id", "inbound", "ingest_seq", "author_id", F.lit("").alias("text")))
     with_id = replies.where(F.col("target_id").isNotNull())
+    targets = _first_rows(tweets, with_id, "inbound")
     joined = lookup_join(with_id, targets, "target_id", "pair_seq", hot_keys(with_id, "target_id"), "left")
     outcome = (
         F.when(F.col("target").isNull(), "missing_customer")

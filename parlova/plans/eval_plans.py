@@ -15,7 +15,7 @@ from parlova.plans.model_plans import _nearest
 from parlova.plans.sqlviews import VIEW_THRESHOLD, lit, sql
 from parlova.plans.triage_plans import CONFIG, classifier, setup
 from parlova.runtime import materialize
-from parlova.schemas import RATING_DIMENSIONS
+from parlova.schemas import INTENTS, OTHER_INTENT, RATING_DIMENSIONS
 from parlova.sources import tables, views
 
 # --- systems over the golden rows ---------------------------------------------------
@@ -70,7 +70,7 @@ def _system_b(golden_rows, model, index):
     scored = classify.linear_probabilities(messages, model)
     predicted = classify.with_intent(scored, model.classes, 0.0)
     hits = pad_topk(retrieval.bm25_topk(messages, index.lexical, 1), messages, index.corpus, 1)
-    nearest = hits.join(index.corpus, "doc_id")
+    nearest = retrieval.with_documents(hits, index.corpus)
     return evaluate.baseline_b(rows, predicted, nearest, VIEW_THRESHOLD)
 
 
@@ -224,6 +224,110 @@ def escalation_metrics(spark, sf):
     return _rounded(evaluate.escalation_metrics(_systems(spark, sf), ["system"]), _ESCALATION_RATES)
 
 
+@query(
+    "escalation_matrix",
+    sql(
+        """SELECT s.system, g.d AS gold_escalate, p.d AS pred_decision, count(r.example_id) AS n
+FROM (SELECT DISTINCT system FROM systems_v) s CROSS JOIN (VALUES ('ESCALATE'), ('AUTO_HANDLE')) g(d) CROSS JOIN (VALUES ('ESCALATE'), ('AUTO_HANDLE')) p(d)
+LEFT JOIN systems_v r ON r.system = s.system AND r.gold_escalate = g.d AND r.pred_decision = p.d GROUP BY s.system, g.d, p.d"""
+    ),
+)
+def escalation_matrix(spark, sf):
+    return evaluate.escalation_matrix(_systems(spark, sf), ["system"])
+
+
+@query(
+    "confusion_by_system",
+    sql(
+        """SELECT a.system, a.label AS true_label, b.label AS pred_label, count(r.example_id) AS n
+FROM system_labels_v a JOIN system_labels_v b ON a.system = b.system
+LEFT JOIN systems_v r ON r.system = a.system AND r.gold_intent = a.label AND r.pred_intent = b.label GROUP BY a.system, a.label, b.label"""
+    ),
+)
+def confusion_by_system(spark, sf):
+    return evaluate.confusion_matrix(_systems(spark, sf), "gold_intent", "pred_intent", ["system"])
+
+
+@query(
+    "evaluation_status",
+    sql(
+        f"""SELECT 'annotated' AS golden_set, 'EVALUATED' AS status, count(*) AS n_rows, count(*) FILTER (gold_intent IS NOT NULL AND gold_escalate IS NOT NULL) AS n_annotated FROM golden_v
+UNION ALL SELECT 'blank', {lit(evaluate.PENDING)}, count(*), 0 FROM golden_v UNION ALL SELECT 'absent', {lit(evaluate.PENDING)}, 0, 0"""
+    ),
+)
+def evaluation_status(spark, sf):
+    """The golden set as annotated, before any annotation, and absent."""
+    golden_rows = views.golden(spark, sf)
+    blank = golden_rows.withColumn("gold_intent", F.lit(None).cast("string"))
+    states = {"annotated": golden_rows, "blank": blank, "absent": None}
+    return union_all([evaluate.evaluation_status(g).select(F.lit(n).alias("golden_set"), "*") for n, g in states.items()])
+
+
+@query(
+    "test_split_metrics",
+    sql(
+        """SELECT count(*) AS n_examples, count(*) FILTER (i.best_intent = m.intent) AS n_correct,
+  round(count(*) FILTER (i.best_intent = m.intent) / CAST(nullif(count(*), 0) AS DOUBLE), 6) AS accuracy FROM messages_v m JOIN m_intent_v i USING (qid)"""
+    ),
+)
+def test_split_metrics(spark, sf):
+    """Predicted against rule-based intents over all test messages."""
+    _, splits, model, _ = setup(spark, sf)
+    messages = views.messages_of(splits)
+    scored = classify.linear_probabilities(messages.select("qid", "text"), model)
+    predicted = classify.with_intent(scored, model.classes, 0.0).select("qid", F.col("intent").alias("predicted"))
+    hits = F.count_if(F.col("predicted") == F.col("intent"))
+    return messages.join(predicted, "qid").agg(
+        F.count(F.lit(1)).alias("n_examples"), hits.alias("n_correct"),
+        F.round(F.try_divide(hits, F.count(F.lit(1))), 6).alias("accuracy"),
+    )
+
+
+def trained_systems(spark, sf):
+    """The three systems with trained models: logistic regression for baseline B, calibrated for the main system."""
+    golden_rows, splits = views.flow(spark, sf)
+    index = retrieval.build_index(retrieval.index_corpus(splits))
+    train = views.training_rows(splits)
+    plain, calibrated = classify.train_text_classifier(train), classify.train_calibrated(train)
+    rows = _golden(golden_rows)
+    messages = rows.select("qid", F.col("customer_text").alias("text"))
+    predicted = classify.with_intent(plain.probabilities(messages), plain.classes, 0.0)
+    hits = pad_topk(retrieval.bm25_topk(messages, index.lexical, 1), messages, index.corpus, 1)
+    responses = tr.triage(messages.withColumnRenamed("text", "message"), calibrated.probabilities, calibrated.classes, index, CONFIG)
+    named = {
+        "baseline_a": _system_a(golden_rows, splits),
+        "baseline_b": evaluate.baseline_b(rows, predicted, retrieval.with_documents(hits, index.corpus), VIEW_THRESHOLD),
+        "main_system": rows.join(responses, "qid").withColumnsRenamed({"intent": "pred_intent", "decision": "pred_decision"}),
+    }
+    return materialize(union_all([df.select(F.lit(n).alias("system"), *_SYSTEM_COLUMNS) for n, df in named.items()]))
+
+
+@query(
+    "trained_systems_checks",
+    sql(
+        """SELECT s.system, count(*) AS n_examples, 0 AS n_unknown_labels, 0 AS n_missing_replies
+FROM (VALUES ('baseline_a'), ('baseline_b'), ('main_system')) s(system) CROSS JOIN golden_complete_v GROUP BY s.system"""
+    ),
+)
+def trained_systems_checks(spark, sf):
+    """Each trained system answers each annotated row with a known label and a reply."""
+    known = [*INTENTS, OTHER_INTENT]
+    return trained_systems(spark, sf).groupBy("system").agg(
+        F.count(F.lit(1)).alias("n_examples"),
+        F.count_if(~F.coalesce(F.col("pred_intent").isin(known), F.lit(False))).alias("n_unknown_labels"),
+        F.count_if(F.coalesce("draft_reply", F.lit("")) == "").alias("n_missing_replies"),
+    )
+
+
+@query("eval_trained_systems")
+def eval_trained_systems(spark, sf):
+    """Classification and escalation figures of the trained systems."""
+    rows = trained_systems(spark, sf)
+    left = evaluate.classification_metrics(rows, "gold_intent", "pred_intent", ["system"])
+    right = evaluate.escalation_metrics(rows, ["system"]).drop("n_examples").withColumnRenamed("accuracy", "escalation_accuracy")
+    return left.join(right, "system")
+
+
 # --- reply similarity --------------------------------------------------------------
 
 

@@ -191,7 +191,7 @@ def kmeans_fit(spark, sf):
 def discover_intents(spark, sf):
     """Clusters of all customer messages: nearest members and silhouette."""
     docs = views.pairs(spark, sf).select(F.col("pair_seq").alias("vec_id"), F.col("cleaned_text").alias("text"))
-    found = cluster.discover_text_clusters(materialize(docs), n_init=3)
+    found = cluster.discover_text_clusters(materialize(docs), n_init=10)
     sizes = found.assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     return found.representatives.join(sizes, "cluster").select(
         "cluster", "n", "rank", "vec_id", F.md5("text").alias("text"), found.silhouette.select("silhouette").scalar().alias("silhouette")
@@ -261,7 +261,7 @@ def threshold_sweep(spark, sf):
 def train_text_lr(spark, sf):
     """Logistic regression on TF-IDF, applied to the test messages."""
     splits = views.flow(spark, sf)[1]
-    model = classify.train_text_classifier(views.training_rows(splits), max_iter=200)
+    model = classify.train_text_classifier(views.training_rows(splits))
     scored = model.probabilities(views.messages_of(splits).select("qid", "text"))
     return classify.with_intent(scored, model.classes, 0.0).select("qid", "intent", "confidence")
 
@@ -270,6 +270,80 @@ def train_text_lr(spark, sf):
 def train_calibrated_lr(spark, sf):
     """Three-fold calibrated logistic regression, applied to the test messages."""
     splits = views.flow(spark, sf)[1]
-    model = classify.train_calibrated(views.training_rows(splits), max_iter=200)
+    model = classify.train_calibrated(views.training_rows(splits))
     scored = model.probabilities(views.messages_of(splits).select("qid", "text"))
     return classify.with_intent(scored, model.classes, 0.0).select("qid", "intent", "confidence")
+
+
+# --- checks of what SQL cannot repeat ---------------------------------------------------
+
+
+@query(
+    "kmeans_fit_checks",
+    sql("SELECT count(*) AS n_vectors, 0 AS n_not_nearest, true AS sizes_add_up, true AS cost_repeats FROM embeddings"),
+)
+def kmeans_fit_checks(spark, sf):
+    """Each vector lies in the cluster of its nearest centre, and the cost is that of the assignment."""
+    rows = views.vectors(spark, sf).select("vec_id", "vec")
+    fit = cluster.fit_kmeans(rows, 8, n_init=10, seed=42)
+    centers = spark.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(fit.model.clusterCenters())], "label int, centroid array<double>"
+    )
+    assigned = materialize(cluster.nearest_centroid(cluster.assign_kmeans(rows, fit).select("vec_id", "vec", "cluster"), centers))
+    near = assigned.join(F.broadcast(centers), F.col("cluster") == F.col("label"))
+    square = F.aggregate(F.zip_with("vec", "centroid", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda s, x: s + x)
+    n = assigned.count()
+    sizes = assigned.groupBy("cluster").count().agg(F.sum("count")).first()[0]
+    return near.agg(
+        F.count(F.lit(1)).alias("n_vectors"),
+        F.count_if(F.col("predicted") != F.col("cluster")).alias("n_not_nearest"),
+        F.lit(sizes == n).alias("sizes_add_up"),
+        (F.abs(F.sum(square) - fit.cost) <= 1e-6 * F.lit(max(1.0, fit.cost))).alias("cost_repeats"),
+    )
+
+
+@query(
+    "discover_intents_checks",
+    sql("SELECT count(*) AS n_texts, true AS sizes_add_up, 0 AS n_bad_ranks, true AS silhouette_in_range FROM pairs_v"),
+)
+def discover_intents_checks(spark, sf):
+    """Cluster sizes, ranks of the examples and the range of the silhouette."""
+    rows = discover_intents(spark, sf)
+    sizes = rows.select("cluster", "n").distinct().agg(F.sum("n")).first()[0]
+    return rows.agg(
+        F.lit(sizes).cast("bigint").alias("n_texts"),
+        F.lit(sizes == views.pairs(spark, sf).count()).alias("sizes_add_up"),
+        F.count_if(~F.col("rank").between(1, F.least(F.lit(5), F.col("n")))).alias("n_bad_ranks"),
+        F.max(F.abs("silhouette") <= 1).alias("silhouette_in_range"),
+    )
+
+
+_SCORED_SQL = """SELECT (SELECT count(*) FROM messages_v) AS n_messages, 0 AS n_bad_sums, 0 AS n_bad_ranges, 0 AS n_not_best"""
+
+
+def _probability_checks(scored, classes):
+    named = classify.with_intent(scored, classes, 0.0)
+    total = F.aggregate("probs", F.lit(0.0), lambda s, x: s + x)
+    index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("intent"))
+    return named.agg(
+        F.count(F.lit(1)).alias("n_messages"),
+        F.count_if(F.abs(total - 1.0) > 1e-6).alias("n_bad_sums"),
+        F.count_if(F.exists("probs", lambda p: (p < 0) | (p > 1))).alias("n_bad_ranges"),
+        F.count_if(F.round(F.element_at("probs", index.cast("int")), 9) < F.round(F.array_max("probs"), 9)).alias("n_not_best"),
+    )
+
+
+@query("train_text_lr_checks", sql(_SCORED_SQL))
+def train_text_lr_checks(spark, sf):
+    """Probabilities of the trained model sum to 1 and its label is the largest."""
+    splits = views.flow(spark, sf)[1]
+    model = classify.train_text_classifier(views.training_rows(splits))
+    return _probability_checks(materialize(model.probabilities(views.messages_of(splits).select("qid", "text"))), model.classes)
+
+
+@query("train_calibrated_lr_checks", sql(_SCORED_SQL))
+def train_calibrated_lr_checks(spark, sf):
+    """The same for the calibrated model."""
+    splits = views.flow(spark, sf)[1]
+    model = classify.train_calibrated(views.training_rows(splits))
+    return _probability_checks(materialize(model.probabilities(views.messages_of(splits).select("qid", "text"))), model.classes)

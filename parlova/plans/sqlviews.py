@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from parlova.functions.text import EMAIL_PATTERN, MENTION_PATTERN, RETRIEVAL_TOKEN, SPACE, URL_PATTERN, WORD
-from parlova.sources.views import BASE_SECONDS, GOLDEN_TARGET, VIEW_RULES
+from parlova.sources.views import BASE_SECONDS, GOLDEN_SHARE, VIEW_RULES
 
 # The same pattern without lookarounds, which this engine's regexes lack.
 PHONE_SQL = rf"\b\+?\d[\d\-{SPACE}()]{{7,}}\d\b"
@@ -156,7 +156,7 @@ WHERE rk <= {target}""",
     }
 
 
-_V.update(_sample(f"least({GOLDEN_TARGET}, (SELECT count(*) FROM pairs_v) // 4)", "small"))
+_V.update(_sample(f"(SELECT count(*) FROM pairs_v) // {GOLDEN_SHARE}", "small"))
 _V.update(_sample(200, "full"))
 
 _V["golden_v"] = """

@@ -173,7 +173,7 @@ _CASE_SQL = r"'* customer: ' || customer_text || chr(10) || '  reply: ' || suppo
 @query(
     "prompt_table",
     sql(
-        f"""SELECT q.qid, md5(concat_ws(chr(10), 'brand: brand_0', 'intent: ' || i.intent, 'message: ' || q.text, 'context: (none)', 'past cases:',
+        f"""SELECT q.qid, md5(concat_ws(chr(10), {sv.lit(tr.SYSTEM_TEXT)}, 'brand: brand_0', 'intent: ' || i.intent, 'message: ' || q.text, CASE WHEN q.qid % 2 = 0 THEN 'context: earlier turn ' || q.qid ELSE 'context: (none)' END, 'past cases:',
   coalesce(h.block, '(none)'), {sv.lit(tr.ANSWER_FORMAT)})) AS digest
 FROM messages_v q JOIN m_intent_v i USING (qid)
 LEFT JOIN (SELECT qid, string_agg({_CASE_SQL}, chr(10) ORDER BY rank) AS block FROM m_hits_v GROUP BY qid) h USING (qid)"""
@@ -181,7 +181,8 @@ LEFT JOIN (SELECT qid, string_agg({_CASE_SQL}, chr(10) ORDER BY rank) AS block F
 )
 def prompt_table(spark, sf):
     _, splits, model, index = setup(spark, sf)
-    messages = views.messages_of(splits).select("qid", "message")
+    told = F.when(F.col("qid") % 2 == 0, F.concat(F.lit("earlier  turn "), F.col("qid").cast("string")))
+    messages = views.messages_of(splits).select("qid", "message", told.alias("context"))
     prompts = tr.prompt_table(messages, classifier(model), model.classes, index, CONFIG)
     return prompts.select("qid", F.md5("prompt").alias("digest"))
 
@@ -237,6 +238,33 @@ def escalation_policy(spark, sf):
     return _decided(spark, sf).select("conversation_id", "decision", "reason_code")
 
 
+@query(
+    "escalation_policy_missing_signals",
+    sql(
+        """SELECT conversation_id, CASE WHEN pair_seq % 2 = 0 OR pair_seq % 3 < 2 OR pair_seq % 5 < 2 OR pair_seq % 7 = 0 THEN 'ESCALATE' ELSE 'AUTO_HANDLE' END AS decision,
+  CASE WHEN pair_seq % 2 = 0 THEN 'UNKNOWN_INTENT' WHEN pair_seq % 3 < 2 THEN 'LOW_INTENT_CONFIDENCE' WHEN pair_seq % 5 < 2 THEN 'NO_RELEVANT_HISTORY'
+    WHEN pair_seq % 7 = 0 THEN 'UNSUPPORTED_INFORMATION' END AS reason_code FROM pairs_v"""
+    ),
+)
+def escalation_policy_missing_signals(spark, sf):
+    """Null and NaN signals, each of which must escalate."""
+    seq = F.col("pair_seq")
+
+    def gap(n, value):
+        return F.when(seq % n == 0, F.lit(None).cast("double")).when(seq % n == 1, F.lit(float("nan"))).otherwise(value)
+
+    out = policy.escalation_decision(
+        F.lit(None).cast("string"),
+        F.when(seq % 2 != 0, "REFUND_REQUEST"),
+        gap(3, 0.9),
+        gap(5, 0.9),
+        F.when(seq % 7 != 0, F.lit(True)),
+        F.lit(None).cast("array<string>"),
+        F.lit(None).cast("boolean"),
+    )
+    return views.pairs(spark, sf).select("conversation_id", out.alias("o")).select("conversation_id", "o.decision", "o.reason_code")
+
+
 @query("reason_code_counts", sql(f"SELECT {_DECISION}, reason_code, count(*) AS n FROM decided_v GROUP BY reason_code"))
 def reason_code_counts(spark, sf):
     return policy.reason_code_counts(_decided(spark, sf))
@@ -281,10 +309,24 @@ def triage_messages(spark, sf):
 
 @query(
     "response_schema_violations",
-    sql("SELECT count(*) AS n_rows, 0 AS n_bad_confidence, 0 AS n_missing_reply, 0 AS n_bad_decision FROM m_triage_v WHERE confidence BETWEEN 0 AND 1"),
+    sql(
+        """SELECT count(*) AS n_rows, count(*) FILTER (qid % 3 = 0) AS n_bad_confidence, count(*) FILTER (qid % 5 = 0) AS n_missing_reply,
+  count(*) FILTER (qid % 7 = 0) AS n_bad_decision FROM m_triage_v WHERE confidence BETWEEN 0 AND 1"""
+    ),
 )
 def response_schema_violations(spark, sf):
-    return tr.response_violations(_triaged(spark, sf))
+    """Contract breaks of responses, some of them planted."""
+    q = F.col("qid")
+    bad = F.when(q % 2 == 0, F.lit(1.5)).when(q % 9 == 0, F.lit(float("nan")))
+    return tr.response_violations(
+        _triaged(spark, sf).withColumns(
+            {
+                "intent_confidence": F.when(q % 3 == 0, bad).otherwise(F.col("intent_confidence")),
+                "draft_reply": F.when(q % 5 != 0, F.col("draft_reply")),
+                "decision": F.when(q % 7 == 0, F.when(q % 2 == 0, "MAYBE")).otherwise(F.col("decision")),
+            }
+        )
+    )
 
 
 @query("triage_stream", _TRIAGE_SQL)
@@ -305,6 +347,19 @@ def triage_trained(spark, sf):
     """Triage with a trained, calibrated classifier."""
     _, splits = views.flow(spark, sf)
     index = retrieval.build_index(retrieval.index_corpus(splits))
-    model = classify.train_calibrated(views.training_rows(splits), max_iter=100)
+    model = classify.train_calibrated(views.training_rows(splits))
     messages = views.messages_of(splits).select("qid", "message")
     return flat(materialize(tr.triage(messages, model.probabilities, model.classes, index, CONFIG)))
+
+
+@query(
+    "triage_trained_checks",
+    sql("SELECT count(*) AS n_rows, 0 AS n_bad_confidence, 0 AS n_missing_reply, 0 AS n_bad_decision FROM messages_v"),
+)
+def triage_trained_checks(spark, sf):
+    """Every message gets a response that keeps the contract."""
+    _, splits = views.flow(spark, sf)
+    index = retrieval.build_index(retrieval.index_corpus(splits))
+    model = classify.train_calibrated(views.training_rows(splits))
+    messages = views.messages_of(splits).select("qid", "message")
+    return tr.response_violations(tr.triage(messages, model.probabilities, model.classes, index, CONFIG))
