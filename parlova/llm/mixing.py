@@ -18,7 +18,8 @@ SEED = 5
 
 def _number(*parts: Column | str) -> Column:
     """A stable pseudo-random number below 2^32 of the joined parts."""
-    text = F.concat_ws("#", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")).cast("string") for p in parts])
+    texts = [(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    text = F.concat_ws("#", *[F.coalesce(t, F.lit("")) for t in texts])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
