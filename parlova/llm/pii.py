@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from parlova.runtime import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-THRESHOLD = 0.5
+# Spans are added at this probability: clean texts matter more than a doubtful find.
+THRESHOLD = 0.8
 CONTEXT_CHARS = 32
 
 # -- base rules -----------------------------------------------------------------------------
@@ -123,7 +124,7 @@ def _votes(text: str, start: int, end: int, kind: int, base: bool) -> tuple[int,
     elif kind == 1:
         parts = span.split(".")
         rule = 1 if base else (0 if ":" in span else -1)
-        shape = 1 if ":" in span or len(parts) == 4 and all(p == "0" or not p.startswith("0") for p in parts) else -1
+        shape = 1 if ":" in span or _parts_fit(span) and all(p == "0" or not p.startswith("0") for p in parts) else -1
         known = -1 if span.startswith(("0.", "255.")) else 0
     elif kind == 2:
         rule = 1 if _card_fits(span) else -1
@@ -217,11 +218,11 @@ def train(codes: dict[tuple[int, int], int], posterior: dict[tuple[int, int], fl
 
     The counts enter by their root, so that one frequent pattern does not decide alone.
     """
+    weights = np.zeros(1 + len(KINDS) + 2 * len(LABELERS))
     keys = sorted(codes)
-    x = np.array([_features(k, c) for k, c in keys]).reshape(len(keys), -1)
-    weights = np.zeros(x.shape[1] if keys else 1 + len(KINDS) + 2 * len(LABELERS))
     if not keys:
         return weights
+    x = np.array([_features(k, c) for k, c in keys])
     n = np.sqrt(np.array([codes[key] for key in keys], float))
     y = np.array([posterior[key] for key in keys])
     for _ in range(rounds):
