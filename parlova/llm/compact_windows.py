@@ -264,8 +264,8 @@ class _Passages:
 def _links_of(table: pa.Table) -> pa.Table:
     """Links of the documents of a shard: per key, enough of them to connect all similar passages.
 
-    Each run is compared with the first of its key. Where one differs, all pairs of the key that
-    are not connected yet are compared too, so that no connection is lost.
+    Each run is compared with the first of its key. Where one differs, all pairs of the key whose
+    documents are not connected yet are compared too, so that no connection is lost.
     """
     if table["shard"][0].as_py() < 0:
         a = np.concatenate([np.frombuffer(x, "<i8") for x in table["key"].to_pylist()])
@@ -273,36 +273,41 @@ def _links_of(table: pa.Table) -> pa.Table:
         return _link_table([(a, b, np.full(len(a), -1), np.full(len(a), -1), np.ones(len(a)))])
     p = _Passages(table)
     found = [(*p.equal, np.ones(len(p.equal[0])))]
-    n = len(p.key)
-    new = np.concatenate([[True], p.key[1:] != p.key[:-1]])
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    # One document's runs under a key are connected from the start.
-    alone = new | np.concatenate([[True], p.doc[1:] != p.doc[:-1]])
-    label = np.maximum.accumulate(np.where(alone, np.arange(n), 0))
+    # Documents of the shard that are connected already, by whatever key, share a label.
+    docs = np.unique(np.concatenate(p.equal[:2]))
+    doc = np.searchsorted(docs, p.doc)
+    label = np.arange(len(docs))
 
-    def compare(i: np.ndarray, j: np.ndarray) -> None:
+    def join(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal label
-        apart = label[i] != label[j]
+        node, root = stars(label[i], label[j])
+        step = np.arange(len(docs))
+        step[node] = root
+        label = step[label]
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        apart = label[doc[i]] != label[doc[j]]
         i, j = i[apart], j[apart]
         value = p.similarity(i, j)
         good = value >= SIMILARITY
         i, j, value = i[good], j[good], value[good]
         found.append((p.doc[i], p.doc[j], p.word[i], p.word[j], value))
-        node, root = stars(label[i], label[j])
-        step = np.arange(n)
-        step[node] = root
-        label = step[label]
+        join(doc[i], doc[j])
 
+    join(np.searchsorted(docs, p.equal[0]), np.searchsorted(docs, p.equal[1]))
+    new = np.concatenate([[True], p.key[1:] != p.key[:-1]])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     rest = np.flatnonzero(~new)
     compare(head[rest], rest)
-    open_ = np.unique(head[rest[label[rest] != label[head[rest]]]])
-    mixed_key = np.isin(head, open_)
+    # Keys whose documents are not all connected: their other pairs, by distance in the group.
+    torn = np.unique(head[rest[label[doc[rest]] != label[doc[head[rest]]]]])
+    rows = np.flatnonzero(np.isin(head, torn))
     shift = 1
-    while True:
-        i = np.flatnonzero(mixed_key[: n - shift] & (head[shift:] == head[: n - shift])) if shift < n else np.zeros(0, np.int64)
-        if not len(i):
+    while shift < len(rows):
+        same = head[rows[shift:]] == head[rows[:-shift]]
+        if not same.any():
             break
-        compare(i, i + shift)
+        compare(rows[:-shift][same], rows[shift:][same])
         shift += 1
     return _link_table(found)
 
