@@ -46,12 +46,14 @@ _SAME = {
 _DROP = frozenset("nav aside footer form button input label fieldset dialog menu head audio video applet".split())
 _DROP_ROLE = frozenset("navigation banner complementary contentinfo search menu menubar toolbar dialog alert alertdialog form".split())
 _BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promos?|promoted|comments?|commentlist|disqus|"
-    r"respond|replies|reply|sidebars?|side|aside|nav|navbar|navigation|menus?|breadcrumbs?|footers?|foot|headers?|masthead|topbar|cookies?|consent|gdpr|"
+    r"(?:^|[\s_-])(?<!has[-_])(?<!no[-_])(?<!with[-_])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promos?|promoted|"
+    r"comments?|commentlist|disqus|respond|replies|reply|sidebars?|aside|nav|navbar|navigation|menus?|breadcrumbs?|footers?|cookies?|consent|gdpr|"
     r"notices?|notifications?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|"
-    r"recommended|recommendations|widgets?|toolbar|pagination|pager|paging|search|forms?|skip|disclaimer|copyright|tags|outbrain|taboola)(?=$|[\s_-])",
+    r"recommended|recommendations|widgets?|toolbar|pagination|pager|paging|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+# Names that are telling only where none speaks for the main text.
+_DOUBTFUL_NAME = re.compile(r"(?:^|[\s_-])(?:side|foot|headers?|masthead|topbar|search|forms?|skip|disclaimer|copyright|tags)(?=$|[\s_-])", re.I)
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|blog|hentry)(?=$|[\s_-])", re.I)
 _MAIN_ROLE = frozenset(["main", "article"])
 # A row or a list is kept with all of its table or list.
@@ -97,8 +99,9 @@ def _attributes(raw: str) -> dict[str, str]:
 def _open(name: str, attrs: dict[str, str], parent: Node) -> Node:
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
     role = attrs.get("role", "").lower()
-    bad = bool(names.strip()) and bool(_BAD_NAME.search(names))
-    good = bool(names.strip()) and bool(_GOOD_NAME.search(names))
+    named = bool(names.strip())
+    good = named and bool(_GOOD_NAME.search(names))
+    bad = named and (bool(_BAD_NAME.search(names)) or not good and bool(_DOUBTFUL_NAME.search(names)))
     node = Node(name, parent)
     node.main = name in ("article", "main") or role in _MAIN_ROLE or attrs.get("itemprop", "").lower() == "articlebody"
     within = parent
@@ -112,9 +115,7 @@ def _open(name: str, attrs: dict[str, str], parent: Node) -> Node:
         # A page's header goes, an article's own heading stays.
         or (name == "header" and within is None)
         # A telling name does not drop the page itself or a heading.
-        or (bad and not good and name not in ("html", "body") and name not in _HEADING)
-        or (bad and name in _HEADING and within is None and name in ("header", "hgroup"))
-        or (bad and good and bool(re.search(r"comment|sidebar|advert|promo|related", names, re.I)))
+        or (bad and name not in ("html", "body") and name not in _HEADING)
     )
     node.bias = 25.0 * good - 25.0 * bad
     return node

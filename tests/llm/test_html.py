@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from parlova.llm.html import extract, main_text
+from parlova.llm.html import extract, main_text, parse
 
 SF = "/root/testdata/sf0.001"
 LONG = "A sentence of the article, long enough to count, with commas, goes on and on here. "
@@ -74,3 +74,13 @@ def test_given_pages(spark):
         article = re.search("<article>(.*?)</article>", r.html, re.S)[1]
         plain = re.sub("</?b>", "", article)
         assert got[r.page_id] == " ".join(html.unescape(re.sub("<[^>]*>", " ", plain)).split())
+
+
+@pytest.mark.parametrize(
+    "names, kept",
+    [("main-nav", False), ("post-comments", False), ("content has-sidebar", True), ("content no-sidebar", True), ("article-header", True), ("site-header", False),
+     ("notice", False), ("headline", True), ("shared-story", True), ("entry-footer", False), ("header", False), ("adventure", True)],
+)
+def test_telling_names(names, kept):
+    _, blocks = parse(f"<body><div class='{names}'><p>{LONG}</p></div></body>")
+    assert [b.node.dropped for b in blocks] == [not kept]
