@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlova.llm.arrays import pieces
-from parlova.runtime import materialize
+from parlova.runtime import materialize, scratch_path, scratch_scope
 
 BATCH_BYTES = 2 << 20
 BUCKETS_PER_PARTITION = 4
@@ -58,7 +58,11 @@ def packed_rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 @contextmanager
 def packed_table(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int = BATCH_BYTES) -> Iterator[DataFrame]:
-    """The table ``batch, ids, offsets, data`` of all rows; dropped when the block ends."""
+    """The table ``batch, ids, offsets, data`` of all rows, below the shared folder.
+
+    It goes when the block ends, and so does what is materialised inside the block; write results
+    elsewhere before.
+    """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -76,18 +80,20 @@ def packed_table(docs: DataFrame, id_col: str, text_col: str, batch_bytes: int =
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     name = f"packed_{uuid.uuid4().hex}"
-    (
-        rows.mapInArrow(pack, "batch bigint, ids binary, offsets binary, data binary")
-        .repartition(partitions, "batch")
-        .write.bucketBy(partitions, "batch")
-        .option("compression", "zstd")
-        .format("parquet")
-        .saveAsTable(name)
-    )
-    try:
-        yield spark.table(name)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    with scratch_scope(spark):
+        (
+            rows.mapInArrow(pack, "batch bigint, ids binary, offsets binary, data binary")
+            .repartition(partitions, "batch")
+            .write.bucketBy(partitions, "batch")
+            .option("compression", "zstd")
+            .option("path", scratch_path(spark, "packed"))
+            .format("parquet")
+            .saveAsTable(name)
+        )
+        try:
+            yield spark.table(name)
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 # -- keys: five bytes each, besides the number of their bucket ---------------------------------

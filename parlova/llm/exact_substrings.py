@@ -16,28 +16,35 @@ A 50-byte window is found where an equal one starts in a document with a smaller
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlova.llm.arrays import codes, pieces
+from parlova.llm.arrays import codes
+from parlova.llm.batches import (
+    BATCH_BYTES,
+    BUCKETS_PER_PARTITION,
+    NO_ID,
+    by_shard,
+    mixed,
+    packed_rows,
+    packed_table,
+    shared_in,
+    sliding_min,
+    with_shared_keys,
+)
 from parlova.llm.induced import byte_lcp, induced_suffix_array
-from parlova.runtime import materialize
+from parlova.runtime import materialize, scratch_path
 
 WINDOW = 50
 ANCHOR = 24
-BATCH_BYTES = 2 << 20
-BUCKETS_PER_PARTITION = 4
 # Anchors of more documents than this send each window to a shard of its own hash.
 HOT_DOCS = 1000
 
-_NO_ID = np.iinfo(np.int64).max
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_HASH = np.random.default_rng(50).integers(0, 2**64, 256, np.uint64, endpoint=False)
 
@@ -45,12 +52,6 @@ _BYTE_HASH = np.random.default_rng(50).integers(0, 2**64, 256, np.uint64, endpoi
 # -- anchors ----------------------------------------------------------------------------------
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
 def rolling_hashes(data: np.ndarray, length: int) -> np.ndarray:
     """A 64-bit hash of every string of ``length`` bytes, by doubling."""
     h, size, base = _BYTE_HASH[data], 1, _MIX
@@ -65,20 +66,11 @@ def rolling_hashes(data: np.ndarray, length: int) -> np.ndarray:
                     out = out[:n] * base + h[done : done + n]
                 done += size
                 if done == length:
-                    return _mixed(out)
+                    return mixed(out)
             h = h[: len(h) - size] * base + h[size:] if len(h) > size else h[:0]
             size, base = size * 2, base * base
 
 
-def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    size = 1
-    while size * 2 <= width:
-        values = np.minimum(values[: len(values) - size], values[size:])
-        size *= 2
-    rest = width - size
-    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
-
-
 @dataclass(frozen=True)
 class Anchored:
     """The segments of a batch: windows ``first[i]`` to ``last[i]`` of document ``doc[i]`` share an anchor."""
@@ -96,17 +88,14 @@ def anchored(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int) ->
         return Anchored(none.view(np.uint64), none, none, none)
     h = rolling_hashes(data, anchor)
     packed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    at = (_sliding_min(packed, window - anchor + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = (sliding_min(packed, window - anchor + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     # Windows that do not reach into the next document.
-    valid = np.zeros(n + 1, np.int64)
-    size = np.diff(offsets)
-    use = size >= window
-    np.add.at(valid, offsets[:-1][use], 1)
-    np.add.at(valid, (offsets[1:] - window + 1)[use], -1)
-    place = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
-    if not len(place):
+    count = np.maximum(0, np.diff(offsets) - window + 1)
+    total = int(count.sum())
+    if not total:
         return Anchored(none.view(np.uint64), none, none, none)
-    doc = np.searchsorted(offsets, place, "right") - 1
+    place = np.arange(total) + np.repeat(offsets[:-1] - (np.cumsum(count) - count), count)
+    doc = np.repeat(np.arange(len(count)), count)
     own = at[place]
     new = np.concatenate([[True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])])
     first = np.flatnonzero(new)
@@ -114,70 +103,6 @@ def anchored(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int) ->
     return Anchored(h[own[first]], place[first], place[last], doc[first])
 
 
-def _pack40(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpack40(raw: bytes) -> np.ndarray:
-    flat = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(flat), 8), np.uint8)
-    out[:, :5] = flat
-    return out.view("<u8").ravel()
-
-
-def _combined(bucket: np.ndarray, key40: np.ndarray) -> np.ndarray:
-    return key40 | (bucket.astype(np.uint64) << np.uint64(40))
-
-
-# -- step 2: shared anchors -------------------------------------------------------------------
-
-
-def _batch_keys(row: dict, n_buckets: int, window: int, anchor: int) -> Iterator[tuple]:
-    """(bucket, keys, documents per key beyond one) of a batch."""
-    found = anchored(row["data"], row["offsets"], window, anchor)
-    order = np.lexsort((found.doc, found.key))
-    key, doc = found.key[order], found.doc[order]
-    once = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])[: len(key)]
-    key, count = np.unique(key[once], return_counts=True)
-    bucket = (key & np.uint64(0xFFFFFF)) % np.uint64(n_buckets)
-    order = np.argsort(bucket, kind="stable")
-    key, count, bucket = key[order] >> np.uint64(24), count[order], bucket[order].astype(np.int64)
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else []
-    for a, b in zip(edges[:-1], edges[1:]):
-        more = np.flatnonzero(count[a:b] > 1)
-        yield int(bucket[a]), _pack40(key[a:b]), np.stack([more, count[a:b][more]]).astype("<u4").tobytes()
-
-
-def _shared_of(table: pa.Table, hot_docs: int) -> pa.Table:
-    """The keys of a bucket that occur in two documents, by batch; and which are hot."""
-    keys = [_unpack40(k) for k in table["keys"].to_pylist()]
-    counts = []
-    for own, more in zip(keys, table["more"].to_pylist()):
-        c = np.ones(len(own), np.int64)
-        index, number = np.frombuffer(more, "<u4").reshape(2, -1)
-        c[index] = number
-        counts.append(c)
-    every = np.concatenate(keys)
-    _, index = np.unique(every, return_inverse=True)
-    total = np.bincount(index, weights=np.concatenate(counts)).astype(np.int64)[index]
-    at, rows = 0, []
-    for batch, own in zip(table["batch"].to_pylist(), keys):
-        here = total[at : at + len(own)]
-        at += len(own)
-        use = here > 1
-        if use.any():
-            rows.append((batch, _pack40(own[use]), np.packbits(here[use] > hot_docs).tobytes()))
-    bucket = table["bucket"][0].as_py()
-    return pa.table(
-        {
-            "batch": pa.array([r[0] for r in rows], pa.int64()),
-            "bucket": pa.array([bucket] * len(rows), pa.int64()),
-            "keys": pa.array([r[1] for r in rows], pa.binary()),
-            "hot": pa.array([r[2] for r in rows], pa.binary()),
-        }
-    )
-
-
 # -- step 3: segments and shards --------------------------------------------------------------
 
 
@@ -196,19 +121,8 @@ class Segments:
 def batch_segments(row: dict, n_buckets: int, window: int, anchor: int) -> Segments:
     """The same segments in the same order whenever they are made from the same row."""
     found = anchored(row["data"], row["offsets"], window, anchor)
-    shared, hot = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-    for part in row["shared"] or ():
-        keys = _unpack40(part["keys"])
-        shared.append(_combined(np.full(len(keys), part["bucket"]), keys))
-        hot.append(np.unpackbits(np.frombuffer(part["hot"], np.uint8))[: len(keys)].astype(bool))
-    shared_keys, hot_keys = np.concatenate(shared), np.concatenate(hot)
-    order = np.argsort(shared_keys)
-    shared_keys, hot_keys = shared_keys[order], hot_keys[order]
-    own = _combined((found.key & np.uint64(0xFFFFFF)) % np.uint64(n_buckets), found.key >> np.uint64(24))
-    at = np.searchsorted(shared_keys, own)
-    at[at == len(shared_keys)] = 0
-    use = shared_keys[at] == own if len(shared_keys) else np.zeros(len(own), bool)
-    first, last, doc, route, is_hot = found.first[use], found.last[use], found.doc[use], found.key[use], hot_keys[at[use]]
+    use, hot = shared_in(row, found.key, n_buckets)
+    first, last, doc, route, is_hot = found.first[use], found.last[use], found.doc[use], found.key[use], hot[use]
     if is_hot.any():
         # One segment per window, routed by the hash of the window.
         count = np.where(is_hot, last - first + 1, 1)
@@ -225,7 +139,7 @@ def batch_segments(row: dict, n_buckets: int, window: int, anchor: int) -> Segme
 
 def _group_docs(found: Segments, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per group its smallest document id, and one of its segments."""
-    least = np.full(found.n_groups, _NO_ID, np.int64)
+    least = np.full(found.n_groups, NO_ID, np.int64)
     np.minimum.at(least, found.group, ids[found.doc])
     one = np.zeros(found.n_groups, np.int64)
     one[found.group] = np.arange(len(found.group))
@@ -239,15 +153,11 @@ def _batch_shards(row: dict, n_shards: int, n_buckets: int, window: int, anchor:
         return
     least, one = _group_docs(found, row["ids"])
     first, length = found.first[one], found.last[one] + window - found.first[one]
-    shard = ((found.route[one] >> np.uint64(8)) % np.uint64(n_shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0, [True]]))
-    for a, b in zip(edges[:-1], edges[1:]):
-        at = order[a:b]
+    for shard, at in by_shard((found.route[one] >> np.uint64(8)) % np.uint64(n_shards)):
         n = length[at]
         index = np.arange(int(n.sum())) + np.repeat(first[at] - (np.cumsum(n) - n), n)
         yield (
-            int(shard[at[0]]), at.astype("<i4").tobytes(), least[at].astype("<i8").tobytes(),
+            shard, at.astype("<i4").tobytes(), least[at].astype("<i8").tobytes(),
             n.astype("<i4").tobytes(), row["data"][index].tobytes(),
         )
 
@@ -268,12 +178,12 @@ def owners(data: np.ndarray, bounds: np.ndarray, least: np.ndarray, window: int)
     order = induced_suffix_array(values, 257)
     lcp = byte_lcp(raw, end, order)
     starts = end - np.arange(total) >= window
-    own = np.where(starts, least[string], _NO_ID)[order]
+    own = np.where(starts, least[string], NO_ID)[order]
     run = np.flatnonzero(lcp[order] < window)
     best = np.minimum.reduceat(own, run) if len(run) else own
     out = np.empty(total, np.int64)
     out[order] = np.repeat(best, np.diff(np.append(run, total)))
-    out[~starts] = _NO_ID
+    out[~starts] = NO_ID
     return out[place]
 
 
@@ -287,7 +197,7 @@ def _answers_of(table: pa.Table, window: int) -> pa.Table:
     # Equal strings of several batches enter the array once, with their smallest id.
     code = codes(data, bounds[:-1], bounds[1:])
     count = int(code.max()) + 1
-    least, one = np.full(count, _NO_ID, np.int64), np.zeros(count, np.int64)
+    least, one = np.full(count, NO_ID, np.int64), np.zeros(count, np.int64)
     np.minimum.at(least, code, ids)
     one[code] = np.arange(len(code))
     size = n[one]
@@ -352,7 +262,7 @@ def _results(row: dict, gone: np.ndarray, keep_bytes: bool) -> pa.RecordBatch:
     spans = np.concatenate([[0], np.cumsum(begin)])
     kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
     columns = [
-        pa.array([None if i == _NO_ID else i for i in row["ids"].tolist()], pa.int64()),
+        pa.array([None if i == NO_ID else i for i in row["ids"].tolist()], pa.int64()),
         pa.array(np.diff(offsets)),
         pa.array(total[offsets[1:]] - total[offsets[:-1]]),
         pa.array(spans[offsets[1:]] - spans[offsets[:-1]]),
@@ -368,16 +278,6 @@ def _results(row: dict, gone: np.ndarray, keep_bytes: bool) -> pa.RecordBatch:
 # -- Spark ------------------------------------------------------------------------------------
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    """The batches of a record batch, one at a time, their arrays unpacked."""
-    for i in range(batch.num_rows):
-        row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-        row["ids"] = np.frombuffer(row["ids"], "<i8")
-        row["offsets"] = np.frombuffer(row["offsets"], "<i8")
-        row["data"] = np.frombuffer(row["data"], np.uint8)
-        yield row
-
-
 def remove_repeats(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -398,84 +298,51 @@ def remove_repeats(
     Memory follows a batch, a text, or the keys and segments of one bucket or shard, whose
     number grows with ``spark.sql.shuffle.partitions``. Repeats inside a batch and copies between
     batches are merged before they are sorted; an anchor of more than ``hot_docs`` documents is
-    split by window. The packed table is dropped at the end; the result is a written table.
+    split by window. Intermediate tables are removed at the end; the result is a written table.
     """
     if not 8 <= anchor <= window or window - anchor > 63:
         raise ValueError("the anchor must fit the window with at most 63 places to spare")
+    n_shards = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def anchors_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        found = anchored(row["data"], row["offsets"], window, anchor)
+        return found.key, found.doc
+
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = n_shards = BUCKETS_PER_PARTITION * partitions
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            ids = batch.column(0).fill_null(_NO_ID).to_numpy()
-            for texts in pieces(batch.column(1), batch_bytes):
-                values = [[number], [ids[texts.rows].astype("<i8").tobytes()], [texts.offsets.astype("<i8").tobytes()], [texts.data.tobytes()]]
-                yield pa.record_batch(
-                    [pa.array(values[0], pa.int64()), *(pa.array(v, pa.binary()) for v in values[1:])], names=["batch", "ids", "offsets", "data"]
-                )
-                number += 1
-
-    def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                found = list(_batch_keys(row, n_buckets, window, anchor))
-                yield pa.record_batch(
-                    [
-                        pa.array([f[0] for f in found], pa.int64()), pa.array([row["batch"]] * len(found), pa.int64()),
-                        pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.binary()),
-                    ],
-                    names=["bucket", "batch", "keys", "more"],
-                )
-
-    def send_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                found = list(_batch_shards(row, n_shards, n_buckets, window, anchor))
-                yield pa.record_batch(
-                    [
-                        pa.array([f[0] for f in found], pa.int64()), pa.array([row["batch"]] * len(found), pa.int64()),
-                        *(pa.array([f[i] for f in found], pa.binary()) for i in range(1, 5)),
-                    ],
-                    names=["shard", "batch", "groups", "least", "sizes", "data"],
-                )
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                yield _results(row, _removed(row, n_buckets, window, anchor), keep_bytes)
-
-    def shared_of(table: pa.Table) -> pa.Table:
-        return _shared_of(table, hot_docs)
-
-    def answers_of(table: pa.Table) -> pa.Table:
-        return _answers_of(table, window)
-
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    packed = rows.mapInArrow(pack, "batch bigint, ids binary, offsets binary, data binary")
-    name = f"packed_{uuid.uuid4().hex}"
-    # Bucketed, so that the small tables of keys and answers come to the texts and not the
-    # other way round, twice.
-    (
-        packed.repartition(partitions, "batch")
-        .write.bucketBy(partitions, "batch").option("compression", "zstd").format("parquet").saveAsTable(name)
-    )
-    try:
-        texts = spark.table(name)
-        keys = texts.mapInArrow(send_keys, "bucket bigint, batch bigint, keys binary, more binary")
-        shared = materialize(keys.groupBy("bucket").applyInArrow(shared_of, "batch bigint, bucket bigint, keys binary, hot binary"))
-        shared = shared.groupBy("batch").agg(F.collect_list(F.struct("bucket", "keys", "hot")).alias("shared"))
-        with_keys = texts.join(shared, "batch", "left")
-        segments = with_keys.mapInArrow(
+    path = scratch_path(spark, "kept")
+    with packed_table(docs, id_col, text_col, batch_bytes) as texts:
+        shared = with_shared_keys(texts, anchors_of, hot_docs)
+        n_buckets = shared.n_buckets
+
+        def send_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in packed_rows(batch):
+                    found = list(_batch_shards(row, n_shards, n_buckets, window, anchor))
+                    yield pa.record_batch(
+                        [
+                            pa.array([f[0] for f in found], pa.int64()),
+                            pa.array([row["batch"]] * len(found), pa.int64()),
+                            *(pa.array([f[i] for f in found], pa.binary()) for i in range(1, 5)),
+                        ],
+                        names=["shard", "batch", "groups", "least", "sizes", "data"],
+                    )
+
+        def answers_of(table: pa.Table) -> pa.Table:
+            return _answers_of(table, window)
+
+        def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in packed_rows(batch):
+                    yield _results(row, _removed(row, n_buckets, window, anchor), keep_bytes)
+
+        segments = shared.rows.mapInArrow(
             send_segments, "shard bigint, batch bigint, groups binary, least binary, sizes binary, data binary"
         )
         answers = materialize(segments.groupBy("shard").applyInArrow(answers_of, "batch bigint, groups binary, masks binary"))
         answers = answers.groupBy("batch").agg(F.collect_list(F.struct("groups", "masks")).alias("answers"))
         result = _RESULT + (", kept binary" if keep_bytes else "")
-        return materialize(with_keys.join(answers, "batch", "left").mapInArrow(remove, result))
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        shared.rows.join(answers, "batch", "left").mapInArrow(remove, result).write.parquet(path)
+    return spark.read.schema(result).parquet(path)
 
 
 def op3_substrings(spark, sf_dir: str) -> DataFrame:
