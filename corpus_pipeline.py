@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlova.llm import decontam, mixing, pii, repetition, simhash
-from parlova.runtime import materialize, prepare
+from parlova.runtime import prepare, scratch_path, scratch_scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
+    prepare(spark)
     return repetition.keep_good(docs)
 
 
@@ -53,10 +54,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``."""
+    """All stages on ``documents``; what a stage stores on its way is removed when it is written."""
     prepare(spark)
     sf_dir = sf_dir.rstrip("/")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for name, stage in STAGES:
+        path = scratch_path(spark, name)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -25,15 +25,16 @@ from pyspark.sql import functions as F
 from parlova.llm.arrays import Texts, codes, joined, words
 from parlova.llm.batches import BATCH_BYTES, BUCKETS_PER_PARTITION, by_shard, mixed, packed_rows, packed_table, shared_in, sliding_min, with_shared_keys
 from parlova.llm.components import connected_components, stars
-from parlova.runtime import materialize
+from parlova.runtime import scratch_path
 
 SHINGLE = 5
 PASSAGE_WORDS = 50
 TOKENS = PASSAGE_WORDS - SHINGLE + 1
 BANDS = 3
 SIMILARITY = 0.8
-# Keys of more documents than this are refined by the functions of the next band.
-HOT_DOCS = 1000
+# Keys of more documents than this are refined by the functions of the next band, which
+# bounds the pairs that are compared under a plain key.
+HOT_DOCS = 100
 
 _SEEDS = np.random.default_rng(8).integers(0, 2**64, 2 * BANDS, np.uint64, endpoint=False)
 _BYTE_HASH = np.random.default_rng(80).integers(0, 2**64, 256, np.uint64, endpoint=False)
@@ -334,6 +335,8 @@ def passage_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     listed. Null and empty texts, and texts of fewer than 50 words, have no passage; null ids
     can't be named and get no link; rows with one id count as one.
     """
+    spark = docs.sparkSession
+    path = scratch_path(spark, "links")
     named = docs.where(F.col(f"`{id_col}`").isNotNull())
     with packed_table(named, id_col, text_col, batch_bytes) as texts:
         shared = with_shared_keys(texts, band_keys, hot_docs)
@@ -352,7 +355,8 @@ def passage_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     )
 
         sent = shared.rows.mapInArrow(send, "shard bigint, key binary, doc binary, word binary, centre binary, size binary, tokens binary")
-        return materialize(sent.groupBy("shard").applyInArrow(_links_of, _LINKS))
+        sent.groupBy("shard").applyInArrow(_links_of, _LINKS).write.parquet(path)
+    return spark.read.schema(_LINKS).parquet(path)
 
 
 def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
