@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlova.functions.ids import row_digest
 from parlova.functions.text import mask_emails, mask_phones, token_count
+from parlova.runtime import materialize
 
 
 def duplicate_counts(df: DataFrame, text_col: str | None = None) -> DataFrame:
@@ -76,8 +77,9 @@ def mask_profile(df: DataFrame, text_col: str, by: str) -> DataFrame:
 def length_histogram(df: DataFrame, text: Column, bins: int = 50) -> DataFrame:
     """Equal-width bins of the token count between its minimum and maximum."""
     lengths = df.where(text.isNotNull()).select(token_count(text).cast("bigint").alias("n_tokens"))
-    counts = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("_n"))
-    edges = lengths.agg(F.min("n_tokens").alias("lo"), F.max("n_tokens").alias("hi"))
+    # A row per length: the texts are read once, and the edges follow from the lengths.
+    counts = materialize(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("_n")))
+    edges = counts.agg(F.min("n_tokens").alias("lo"), F.max("n_tokens").alias("hi"))
     lo, hi = edges.select("lo").scalar(), edges.select("hi").scalar()
     step = F.floor((F.col("n_tokens") - lo) * bins / F.nullif(hi - lo, F.lit(0)))
     bin_no = F.least(F.coalesce(step, F.lit(0)), F.lit(bins - 1)).cast("bigint")

@@ -11,6 +11,9 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 
+ARROW_BATCH_BYTES = 64 << 20
+
+
 def build_session(app_name: str = "parlova", master: str | None = None, **conf: str) -> SparkSession:
     """A session for scripts; on a cluster master and sizing come from spark-submit."""
     builder = SparkSession.builder.appName(app_name)
@@ -35,6 +38,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options every operator relies on (no cluster sizing)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # Rows with long texts must not fill a batch by their number alone.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
     return spark
 
 

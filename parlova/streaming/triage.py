@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from parlova.operators.retrieval import RetrievalIndex
 from parlova.operators.triage import TriageConfig, triage
-from parlova.runtime import scratch_scope
+from parlova.runtime import materialize, scratch_scope
 
 MESSAGE_SCHEMA = "qid bigint, message string"
 
@@ -35,10 +35,11 @@ def start_triage_stream(
     )
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         with scratch_scope(spark):
-            out = triage(batch, classify, classes, index, config)
+            if batch.isEmpty():
+                return
+            # Every stored step of the triage reads the batch.
+            out = triage(materialize(batch), classify, classes, index, config)
             out.write.mode("overwrite").parquet(f"{output_dir}/batch={batch_id}")
 
     writer = messages.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parlova.functions.ids import parse_created_at
 from parlova.operators import agreement, classify, evaluate, leakage, policy, retrieval, sampling, similarity, skew, threads, triage
 from parlova.schemas import TWEET_COLUMNS, SchemaError
+from parlova.sources.intents import read_intent_config
 from parlova.sources.tweets import normalize_tweets, read_tweets_csv
 
 NAN = float("nan")
@@ -176,3 +177,15 @@ def test_pairs_aggregate_no_texts(spark):
     pairs = threads.reconstruct_pairs(tweets)
     assert [(r.customer_text, r.support_text) for r in pairs.collect()] == [("hello", "hi")]
     assert "SortAggregate" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_intent_config(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("status: x\nintents:\n  - name: A\n    description: one\n    inclusion_rules: [r1, r2]\n    exclusion_rules: []\n    examples:\n  - name: B\n")
+    (tmp_path / "b.json").write_text('{"intents": [{"name": "A", "examples": ["e"]}]}')
+    (tmp_path / "c.json").write_text('{"intents": [{"description": "no name"}]}')
+    rows = {r.name: r for r in read_intent_config(spark, str(tmp_path / "a.yaml")).collect()}
+    assert rows["A"].inclusion_rules == ["r1", "r2"] and rows["A"].description == "one" and rows["B"].examples == []
+    assert read_intent_config(spark, str(tmp_path / "b.json")).first().examples == ["e"]
+    with pytest.raises(SchemaError):
+        read_intent_config(spark, str(tmp_path / "c.json"))
