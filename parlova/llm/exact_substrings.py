@@ -176,7 +176,7 @@ def owners(data: np.ndarray, bounds: np.ndarray, least: np.ndarray, window: int)
     string = np.repeat(np.arange(len(size)), size + 1)
     end = (gaps + size)[string]
     order = induced_suffix_array(values, 257)
-    lcp = byte_lcp(raw, end, order)
+    lcp = byte_lcp(raw, end, order, window)
     starts = end - np.arange(total) >= window
     own = np.where(starts, least[string], NO_ID)[order]
     run = np.flatnonzero(lcp[order] < window)

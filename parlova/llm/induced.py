@@ -117,26 +117,29 @@ def induced_suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     return _induce(s, is_s, starts, lms[by])
 
 
-def byte_lcp(data: np.ndarray, end: np.ndarray, order: np.ndarray) -> np.ndarray:
+def byte_lcp(data: np.ndarray, end: np.ndarray, order: np.ndarray, least: int = 0) -> np.ndarray:
     """Permuted common prefixes: for each place, with the suffix sorted before it.
 
     ``end`` is where the string that holds a place ends; prefixes are cut there. Where a
     place's predecessor follows the predecessor of the place before, the prefix is one
-    shorter; elsewhere eight bytes are compared at a time.
+    shorter; elsewhere eight bytes are compared at a time. Where either suffix is shorter
+    than ``least`` the prefix may be given as 0.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(16, np.uint8)]).astype(np.uint64)
     words = np.zeros(n + 8, np.uint64)
     for j in range(8):
         words |= padded[j : j + n + 8] << np.uint64(8 * j)
+    at = np.arange(n)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    room = end - at >= least
+    use = (before >= 0) & room & room[before]
     follows = np.zeros(n, bool)
-    follows[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0)
+    follows[1:] = use[1:] & (before[1:] == before[:-1] + 1) & (before[:-1] >= 0) & (end[1:] == end[:-1])
     full = np.zeros(n, np.int64)
-    place = np.flatnonzero((before >= 0) & ~follows)
+    place = np.flatnonzero(use & ~follows)
     full[place] = _compare(words, end, place, before[place], n)
-    at = np.arange(n)
     head = np.maximum.accumulate(np.where(follows, 0, at))
     lcp = full[head] - (at - head)
     # Behind an end the chain starts anew: compare those places by themselves.
