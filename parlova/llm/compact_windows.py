@@ -32,8 +32,7 @@ PASSAGE_WORDS = 50
 TOKENS = PASSAGE_WORDS - SHINGLE + 1
 BANDS = 3
 SIMILARITY = 0.8
-# Keys of more documents than this are refined by the functions of the next band, which
-# bounds the pairs that are compared under a plain key.
+# Keys of more documents than this are hot. No candidate is dropped for it.
 HOT_DOCS = 100
 
 _SEEDS = np.random.default_rng(8).integers(0, 2**64, 2 * BANDS, np.uint64, endpoint=False)
@@ -101,18 +100,13 @@ class Signatures:
             self._minima[k] = place, h[place]
         return self._minima[k]
 
-    def runs(self, band: int, refine: np.ndarray | None = None) -> Runs:
-        """Runs of passages that agree in a band; by ``refine``, which of all starts also by the next band."""
+    def runs(self, band: int) -> Runs:
+        """Runs of passages that agree in a band."""
         starts = self.tokens.starts
         text = self.tokens.text[starts]
         (pa_, ha), (pb, hb) = self.minima(2 * band), self.minima(2 * band + 1)
         change = (text[1:] != text[:-1]) | (pa_[1:] != pa_[:-1]) | (pb[1:] != pb[:-1])
         key = mixed(ha * _BASE + mixed(hb + np.uint64(band + 1)))
-        if refine is not None:
-            other = (band + 1) % BANDS
-            (pc, hc), (pd, hd) = self.minima(2 * other), self.minima(2 * other + 1)
-            change |= refine[1:] & ((pc[1:] != pc[:-1]) | (pd[1:] != pd[:-1]))
-            key = np.where(refine, mixed(key + mixed(hc * _BASE + mixed(hd))), key)
         at = np.flatnonzero(np.concatenate([[True], change])) if len(starts) else np.zeros(0, np.int64)
         last = np.append(at[1:], len(starts))[: len(at)] - 1
         return Runs(key[at], starts[at], starts[last], pa_[at], np.full(len(at), band))
@@ -127,18 +121,13 @@ def band_keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared_runs(row: dict, n_buckets: int) -> tuple[Tokens, Runs]:
-    """The runs whose band key another document has; those of hot keys refined."""
+    """The runs whose band key another document has."""
     tokens = tokens_of(row["data"], row["offsets"])
     signatures = Signatures(tokens)
     kept = []
     for band in range(BANDS):
         runs = signatures.runs(band)
-        use, hot = shared_in(row, runs.key, n_buckets)
-        if hot.any():
-            length = np.searchsorted(tokens.starts, runs.last) - np.searchsorted(tokens.starts, runs.first) + 1
-            used, refine = np.repeat(use, length), np.repeat(hot, length)
-            runs = signatures.runs(band, refine)
-            use = used[np.searchsorted(tokens.starts, runs.first)]
+        use, _ = shared_in(row, runs.key, n_buckets)
         kept.append(Runs(*(getattr(runs, f)[use] for f in ("key", "first", "last", "centre", "band"))))
     return tokens, Runs(*(np.concatenate([getattr(r, f) for r in kept]) for f in ("key", "first", "last", "centre", "band")))
 

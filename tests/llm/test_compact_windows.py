@@ -105,3 +105,31 @@ def test_compact_windows_are_the_cartesian_nodes_that_span_a_passage():
 
     assert set(place.tolist()) == nodes(0, len(h))
     assert sliding_min(np.array([3, 1, 2, 5, 4]), 3).tolist() == [1, 1, 2]
+
+
+def near_pairs(seed, n, change):
+    """Rows 2 k and 2 k + 1 hold a 50-word passage and its changed copy in different texts."""
+    rng = random.Random(seed)
+
+    def prose(k):
+        return [f"w{rng.randint(0, 10**6)}" for _ in range(k)]
+
+    rows = []
+    for k in range(n):
+        base = prose(PASSAGE_WORDS)
+        rows.append((2 * k, " ".join(prose(30) + base + prose(30))))
+        rows.append((2 * k + 1, " ".join(prose(30) + change(list(base)) + prose(30))))
+    return rows
+
+
+def changed_word(passage):
+    passage[25] = "other"
+    return passage
+
+
+def test_hot_keys_lose_no_near_copies(spark):
+    docs = spark.createDataFrame(near_pairs(21, 60, changed_word), "doc_id bigint, text string")
+    cold = {r.doc_id: r.class_id for r in passage_classes(docs).collect()}
+    hot = {r.doc_id: r.class_id for r in passage_classes(docs, hot_docs=1).collect()}
+    assert hot == cold
+    assert sum(cold[2 * k + 1] == 2 * k for k in range(60)) >= 50
