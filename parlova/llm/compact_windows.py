@@ -40,6 +40,9 @@ _BYTE_HASH = np.random.default_rng(80).integers(0, 2**64, 256, np.uint64, endpoi
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WIDTH = 4 * TOKENS
 _CHUNK = 1 << 15
+_EXTENT = 2 * TOKENS - 1
+_GRID = TOKENS + 1
+_SLIDES = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -207,9 +210,10 @@ class _Passages:
         return out, known
 
     def similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Largest Jaccard similarity of two passages that start alike relative to the centre.
+        """Jaccard similarity of the most similar passages of two runs, or 0 where it is below ``SIMILARITY``.
 
-        Shingles are compared place by place; where that is too little, as sets in the middle passage.
+        Shingles are compared place by place; where that is too little, all passages of one run with
+        all of the other as sets. Where places suffice, the value is the largest at equal distance from the centres.
         """
         out = np.zeros(len(a))
         for low in range(0, len(a), _CHUNK):
@@ -222,33 +226,70 @@ class _Passages:
             hits = np.where(whole, same[:, TOKENS:] - same[:, :-TOKENS], 0).max(axis=1).astype(float)
             value = hits / (2 * TOKENS - hits)
             weak = np.flatnonzero(value < SIMILARITY)
-            if len(weak):
-                value[weak] = np.maximum(value[weak], self._as_sets(x[weak], kx[weak], y[weak], ky[weak], whole[weak]))
+            for start in range(0, len(weak), _SLIDES):
+                some = weak[start : start + _SLIDES]
+                value[some] = self._sliding(a[at][some], b[at][some])
             out[at] = value
         return out
 
+    def _extents(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs' shingles, where each occurred before in its run (-1: nowhere), and the distinct ones by passage."""
+        size = self.size[rows]
+        values = np.zeros((len(rows), _EXTENT), np.uint16)
+        row, column = np.repeat(np.arange(len(rows)), size), _expand(np.zeros(len(rows), np.int64), size)
+        values[row, column] = self.flat[_expand(self.bounds[rows], size)]
+        order = np.argsort(np.where(np.arange(_EXTENT) < size[:, None], values.astype(np.int64), -1 - np.arange(_EXTENT)), axis=1, kind="stable")
+        ranked = np.take_along_axis(values, order, axis=1)
+        again = (ranked[:, 1:] == ranked[:, :-1]) & (order[:, 1:] < size[:, None]) & (order[:, :-1] < size[:, None])
+        before = np.full(values.shape, -1)
+        np.put_along_axis(before, order[:, 1:], np.where(again, order[:, :-1], -1), axis=1)
+        low, high = self._passages_of(before[row, column], column, size[row])
+        change = np.zeros((len(rows), TOKENS + 1), np.int64)
+        use = low <= high
+        np.add.at(change, (row[use], low[use]), 1)
+        np.add.at(change, (row[use], high[use] + 1), -1)
+        return values, before, np.cumsum(change[:, :TOKENS], axis=1)
+
     @staticmethod
-    def _as_sets(x, kx, y, ky, whole) -> np.ndarray:
-        def window(values, known):
-            # The middle of the common starts; without any, of the own ones.
-            starts = np.where(whole.any(axis=1)[:, None], np.pad(whole, ((0, 0), (0, TOKENS - 1))), known)
-            first = starts.argmax(axis=1)
-            last = starts.shape[1] - 1 - starts[:, ::-1].argmax(axis=1)
-            last = np.where(whole.any(axis=1), last, last - TOKENS + 1)
-            middle = (first + last) // 2
-            cells = np.sort(np.take_along_axis(values, middle[:, None] + np.arange(TOKENS), axis=1).astype(np.int64), axis=1)
-            again = np.zeros(cells.shape, bool)
-            again[:, 1:] = cells[:, 1:] == cells[:, :-1]
-            return cells, again
-
-        cx, ax = window(x, kx)
-        cy, ay = window(y, ky)
-        # Repeats inside one passage become numbers that occur nowhere else.
-        column = np.arange(TOKENS)
-        joint = np.sort(np.concatenate([np.where(ax, -1 - column, cx), np.where(ay, -1000 - column, cy)], axis=1), axis=1)
-        common = (joint[:, 1:] == joint[:, :-1]).sum(axis=1)
-        union = 2 * TOKENS - ax.sum(axis=1) - ay.sum(axis=1) - common
-        return common / np.maximum(1, union)
+    def _passages_of(before: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last passage of a run in which the shingle at a place occurs for the first time."""
+        return np.maximum(np.maximum(before + 1, place - TOKENS + 1), 0), np.minimum(place, size - TOKENS)
+
+    def _sliding(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The largest Jaccard similarity over all passages of both runs; 0 where it is below ``SIMILARITY``."""
+        rows, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+        values, before, distinct = self._extents(rows)
+        size = self.size[rows]
+        ia, ib = index[: len(a)], index[len(a) :]
+        pair, p, q = np.nonzero(values[ia][:, :, None] == values[ib][:, None, :])
+        inside = (p < size[ia[pair]]) & (q < size[ib[pair]])
+        pair, p, q = pair[inside], p[inside], q[inside]
+        # Two passages share no more than their runs do, and need 0.8 / 1.8 of both counts.
+        once = (before[ia[pair], p] < 0) & (before[ib[pair], q] < 0)
+        common = np.bincount(pair[once], minlength=len(a))
+        least = np.where(distinct > 0, distinct, TOKENS).min(axis=1)
+        able = common * (1 + SIMILARITY) >= SIMILARITY * (least[ia] + least[ib]) - 1e-6
+        left = np.flatnonzero(able)
+        out = np.zeros(len(a))
+        if not len(left):
+            return out
+        number = np.cumsum(able) - 1
+        pair, p, q = (v[able[pair]] for v in (pair, p, q))
+        # A shared shingle counts once for every two passages that hold it: corners of a rectangle, summed up.
+        la, ha = self._passages_of(before[ia[pair], p], p, size[ia[pair]])
+        lb, hb = self._passages_of(before[ib[pair], q], q, size[ib[pair]])
+        use = (la <= ha) & (lb <= hb)
+        base, la, ha, lb, hb = number[pair[use]] * _GRID**2, la[use], ha[use] + 1, lb[use], hb[use] + 1
+        cells = len(left) * _GRID**2
+        plus = np.concatenate([base + la * _GRID + lb, base + ha * _GRID + hb])
+        minus = np.concatenate([base + la * _GRID + hb, base + ha * _GRID + lb])
+        change = (np.bincount(plus, minlength=cells) - np.bincount(minus, minlength=cells)).astype(np.int16)
+        shared = change.reshape(-1, _GRID, _GRID).cumsum(axis=1, dtype=np.int16).cumsum(axis=2, dtype=np.int16)[:, :TOKENS, :TOKENS]
+        union = distinct[ia[left]].astype(np.int16)[:, :, None] + distinct[ib[left]].astype(np.int16)[:, None, :] - shared
+        best = (shared / np.maximum(1, union).astype(np.float32)).max(axis=(1, 2))
+        # In single precision 0.8 may fall short by a rounding; the next smaller ratio is far below.
+        out[left] = np.where(best >= SIMILARITY - 1e-6, np.maximum(best, SIMILARITY), 0)
+        return out
 
 
 def _links_of(table: pa.Table) -> pa.Table:

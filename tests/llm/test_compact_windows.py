@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parlova.llm.batches import sliding_min
+from parlova.llm import compact_windows as windows
 from parlova.llm.compact_windows import PASSAGE_WORDS, Signatures, passage_classes, passage_links, tokens_of
 
 from llm import reference
@@ -133,3 +135,48 @@ def test_hot_keys_lose_no_near_copies(spark):
     hot = {r.doc_id: r.class_id for r in passage_classes(docs, hot_docs=1).collect()}
     assert hot == cold
     assert sum(cold[2 * k + 1] == 2 * k for k in range(60)) >= 50
+
+
+def runs_of(rows):
+    """All runs of the rows, as a shard would see them."""
+    data = [t.encode() for _, t in rows]
+    tokens = tokens_of(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(d) for d in data]))
+    signatures = Signatures(tokens)
+    columns = {n: [] for n in windows._PARTS}
+    for band in range(windows.BANDS):
+        r = signatures.runs(band)
+        size = r.last - r.first + windows.TOKENS
+        flat = (tokens.hash >> np.uint64(48))[windows._expand(r.first, size)]
+        values = (r.key, tokens.text[r.first], r.first, r.centre - r.first, size, flat)
+        for (n, column), v, t in zip(columns.items(), values, windows._TYPES):
+            column.append(v.astype(t).tobytes())
+    return windows._Passages(pa.table({n: pa.array(c, pa.binary()) for n, c in columns.items()}))
+
+
+def same_key_pairs(p):
+    i, j = np.triu_indices(len(p.key), 1)
+    return [(a, b) for a, b in zip(i, j) if p.key[a] == p.key[b] and p.doc[a] // 2 == p.doc[b] // 2 and p.doc[a] != p.doc[b]]
+
+
+def as_sets(p, run):
+    found = p.flat[p.bounds[run] : p.bounds[run] + p.size[run]].tolist()
+    return [set(found[i : i + windows.TOKENS]) for i in range(len(found) - windows.TOKENS + 1)]
+
+
+@pytest.mark.parametrize(
+    "change, similar",
+    [(lambda p: p[:20] + ["new"] + p[20:], True), (lambda p: p[:30] + p[31:], True), (lambda p: p[:8] * 3 + p[:30] * 2, False)],
+)
+def test_similarity_is_the_largest_over_all_passages_of_two_runs(change, similar):
+    linked = 0
+    for k in range(6):
+        p = runs_of(near_pairs(60 + k, 1, change))
+        found = same_key_pairs(p)
+        if not found:
+            continue
+        a, b = (np.array(x) for x in zip(*found))
+        for i, j, got in zip(a, b, p.similarity(a, b)):
+            want = max(len(x & y) / len(x | y) for x in as_sets(p, i) for y in as_sets(p, j))
+            assert (got >= 0.8) == (want >= 0.8)
+            linked += want >= 0.8
+    assert linked or not similar
