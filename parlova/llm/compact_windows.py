@@ -25,15 +25,16 @@ from pyspark.sql import functions as F
 from parlova.llm.arrays import Texts, codes, joined, words
 from parlova.llm.batches import BATCH_BYTES, BUCKETS_PER_PARTITION, by_shard, mixed, packed_rows, packed_table, shared_in, sliding_min, with_shared_keys
 from parlova.llm.components import connected_components, stars
-from parlova.runtime import scratch_path
+from parlova.runtime import materialize, scratch_path, scratch_scope
 
 SHINGLE = 5
 PASSAGE_WORDS = 50
 TOKENS = PASSAGE_WORDS - SHINGLE + 1
 BANDS = 3
 SIMILARITY = 0.8
-# Keys of more documents than this are hot. No candidate is dropped for it.
+# Keys of more documents than this are hot: their runs are compared in blocks of so many.
 HOT_DOCS = 100
+BLOCK = 1000
 
 _SEEDS = np.random.default_rng(8).integers(0, 2**64, 2 * BANDS, np.uint64, endpoint=False)
 _BYTE_HASH = np.random.default_rng(80).integers(0, 2**64, 256, np.uint64, endpoint=False)
@@ -43,6 +44,9 @@ _CHUNK = 1 << 15
 _EXTENT = 2 * TOKENS - 1
 _GRID = TOKENS + 1
 _SLIDES = 1 << 10
+_SKETCH = 1 << 10
+_ROWS = 200
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 @dataclass(frozen=True)
@@ -85,6 +89,7 @@ class Runs:
     last: np.ndarray
     centre: np.ndarray
     band: np.ndarray
+    hot: np.ndarray | None = None
 
 
 class Signatures:
@@ -124,21 +129,39 @@ def band_keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared_runs(row: dict, n_buckets: int) -> tuple[Tokens, Runs]:
-    """The runs whose band key another document has."""
+    """The runs whose band key another document has, and which keys are hot."""
     tokens = tokens_of(row["data"], row["offsets"])
     signatures = Signatures(tokens)
     kept = []
     for band in range(BANDS):
         runs = signatures.runs(band)
-        use, _ = shared_in(row, runs.key, n_buckets)
-        kept.append(Runs(*(getattr(runs, f)[use] for f in ("key", "first", "last", "centre", "band"))))
-    return tokens, Runs(*(np.concatenate([getattr(r, f) for r in kept]) for f in ("key", "first", "last", "centre", "band")))
+        use, hot = shared_in(row, runs.key, n_buckets)
+        kept.append(Runs(*(getattr(runs, f)[use] for f in ("key", "first", "last", "centre", "band")), hot[use]))
+    return tokens, Runs(*(np.concatenate([getattr(r, f) for r in kept]) for f in ("key", "first", "last", "centre", "band", "hot")))
 
 
 def _expand(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
 
 
+def _range_hashes(tokens: Tokens, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash per range of shingles that doesn't depend on its place."""
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(tokens.hash), _BASE, np.uint64)]))
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(tokens.hash), _INVERSE, np.uint64)]))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(tokens.hash * power[:-1], dtype=np.uint64)])
+    return mixed((total[first + size] - total[first]) * back[first] + size.astype(np.uint64))
+
+
+def _leasts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the smallest document of each, and links of the other documents to it."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    a, b = stars(doc, doc[lead])
+    return key[new], doc[new], b, a
+
+
 _PARTS = ("key", "doc", "word", "centre", "size", "tokens")
 _TYPES = ("<u8", "<i8", "<i4", "<u1", "<u1", "<u2")
 
@@ -146,7 +169,9 @@ _TYPES = ("<u8", "<i8", "<i4", "<u1", "<u1", "<u2")
 def _batch_passages(row: dict, n_buckets: int, n_shards: int) -> Iterator[tuple]:
     """Shard, and the packed runs of a batch that go there; equal ones of a batch go once.
 
-    The documents of equal runs are linked where they are; such links have shard -1.
+    The documents of equal runs are linked where they are; such links have shard -1. Runs of hot
+    keys go to the second range of shards, by key and text, and the hashes of their
+    passages to the third.
     """
     tokens, runs = _shared_runs(row, n_buckets)
     if not len(runs.key):
@@ -164,10 +189,23 @@ def _batch_passages(row: dict, n_buckets: int, n_shards: int) -> Iterator[tuple]
     one = np.sort(order[new])
     word = runs.first - tokens.first[tokens.text[runs.first]]
     bounds = np.cumsum(size) - size
-    for shard, at in by_shard((runs.key[one] >> np.uint64(20)) % np.uint64(n_shards)):
+    shard = (runs.key[one] >> np.uint64(20)) % np.uint64(n_shards)
+    hot = runs.hot[one]
+    own = mixed(runs.key[one][hot] + _range_hashes(tokens, runs.first[one][hot], size[one][hot]))
+    shard[hot] = np.uint64(n_shards) + own % np.uint64(n_shards)
+    for shard, at in by_shard(shard):
         use = one[at]
         columns = (runs.key[use], ids[use], word[use], (runs.centre - runs.first)[use], size[use], flat[_expand(bounds[use], size[use])])
         yield (shard, *(c.astype(t).tobytes() for c, t in zip(columns, _TYPES)))
+    use = one[hot]
+    if not len(use):
+        return
+    n = size[use] - TOKENS + 1
+    starts, which = np.unique(_expand(runs.first[use], n), return_index=True)
+    passage, doc, b, a = _leasts(_range_hashes(tokens, starts, np.full(len(starts), TOKENS)), np.repeat(ids[use], n)[which])
+    yield (-1, b.astype("<i8").tobytes(), a.astype("<i8").tobytes(), b"", b"", b"", b"")
+    for shard, at in by_shard(np.uint64(2 * n_shards) + (passage >> np.uint64(20)) % np.uint64(n_shards)):
+        yield (shard, passage[at].tobytes(), doc[at].astype("<i8").tobytes(), b"", b"", b"", b"")
 
 
 def _same(key: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -195,6 +233,8 @@ class _Passages:
         bounds = np.cumsum(size) - size
         one = order[new]
         one = one[np.lexsort((doc[one], key[one]))]
+        #: Which of the given runs each is.
+        self.given = one
         self.key, self.doc, self.word, self.size = key[one], doc[one], word[one], size[one]
         self.centre = centre[one].astype(np.int64)
         self.bounds, self.flat = bounds[one], flat
@@ -250,6 +290,17 @@ class _Passages:
         np.add.at(change, (row[use], high[use] + 1), -1)
         return values, before, np.cumsum(change[:, :TOKENS], axis=1)
 
+    def sketches(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of distinct shingles by their last bits, and the least distinct ones of a passage, by run."""
+        out, least = np.zeros((len(rows), _SKETCH), np.float32), np.zeros(len(rows), np.int64)
+        for low in range(0, len(rows), _SLIDES):
+            some = rows[low : low + _SLIDES]
+            values, before, distinct = self._extents(some)
+            row, column = np.nonzero((before < 0) & (np.arange(_EXTENT) < self.size[some][:, None]))
+            np.add.at(out, (low + row, values[row, column] % _SKETCH), 1)
+            least[low : low + _SLIDES] = np.where(distinct > 0, distinct, TOKENS).min(axis=1)
+        return out, least
+
     @staticmethod
     def _passages_of(before: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last passage of a run in which the shingle at a place occurs for the first time."""
@@ -292,16 +343,124 @@ class _Passages:
         return out
 
 
+_LINKS = "a bigint, b bigint, a_word bigint, b_word bigint, similarity double"
+_RUNS = "key bigint, doc bigint, word bigint, centre bigint, size bigint, tokens binary"
+
+
+def _sent_of(table: pa.Table, n_shards: int) -> pa.Table:
+    """What a shard gives: links, or the different runs of hot keys besides the links of equal ones."""
+    shard = table["shard"][0].as_py()
+    if 0 <= shard < n_shards:
+        return _with_runs(_links_of(table))
+    if n_shards <= shard < 2 * n_shards:
+        p = _Passages(table)
+        return _with_runs(_link_table([(*p.equal, np.ones(len(p.equal[0])))]), p)
+    a, b = (np.concatenate([np.frombuffer(x, t) for x in table[c].to_pylist()]) for c, t in (("key", "<u8"), ("doc", "<i8")))
+    if shard >= 0:
+        _, _, a, b = _leasts(a, b)
+    else:
+        a = a.view("<i8")
+    return _with_runs(_link_table([(a, b, np.full(len(a), -1), np.full(len(a), -1), np.ones(len(a)))]))
+
+
+def _with_runs(links: pa.Table, p: _Passages | None = None) -> pa.Table:
+    """Links, then the runs; each has nulls for the other's columns."""
+    n = len(p.key) if p else 0
+    columns = {c: pa.concat_arrays([*links[c].chunks, pa.nulls(n, links.schema.field(c).type)]) for c in links.schema.names}
+    empty = pa.nulls(links.num_rows, pa.int64())
+    for name in ("key", "doc", "word", "centre", "size"):
+        own = getattr(p, name).astype(np.uint64).view(np.int64) if p else np.zeros(0, np.int64)
+        columns[name] = pa.concat_arrays([empty, pa.array(own, pa.int64())])
+    texts = [p.flat[i : i + k].tobytes() for i, k in zip(p.bounds, p.size)] if p else []
+    columns["tokens"] = pa.array([None] * links.num_rows + texts, pa.binary())
+    return pa.table(columns)
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between the runs of two blocks of a key, or within one, whose documents have different labels."""
+    parts = {n: table[n].to_numpy() for n in ("key", "doc", "word", "centre", "size")}
+    packed = {n: pa.array([v.view("<u8" if n == "key" else "<i8").astype(t).tobytes()], pa.binary()) for (n, v), t in zip(parts.items(), _TYPES)}
+    p = _Passages(pa.table({**packed, "tokens": pa.array([b"".join(table["tokens"].to_pylist())], pa.binary())}))
+    names, label = np.unique(table["label"].to_numpy()[p.given], return_inverse=True)
+    right = table["side"].to_numpy()[p.given] == 1
+    within = not right.any() and table["x"][0].as_py() < 0
+    left = np.flatnonzero(~right)
+    right = left if within else np.flatnonzero(right)
+    found = [tuple(np.zeros(0, np.int64) for _ in range(5))]
+    merged = np.arange(len(names))
+    held, least = p.sketches(right)
+    for low in range(0, len(left), _ROWS):
+        rows = left[low : low + _ROWS]
+        own, own_least = p.sketches(rows)
+        # Counts of shingles whose place in the sketch the other run has too: no less than are shared.
+        shared = own @ (held > 0).astype(np.float32).T
+        able = shared * (1 + SIMILARITY) >= SIMILARITY * (own_least[:, None] + least[None, :]) - 1e-3
+        able &= merged[label[rows]][:, None] != merged[label[right]][None, :]
+        i, j = np.nonzero(able)
+        i, j = rows[i], right[j]
+        if within:
+            i, j = i[i < j], j[i < j]
+        for start in range(0, len(i), _CHUNK):
+            a, b = i[start : start + _CHUNK], j[start : start + _CHUNK]
+            apart = merged[label[a]] != merged[label[b]]
+            a, b = a[apart], b[apart]
+            value = p.similarity(a, b)
+            good = value >= SIMILARITY
+            a, b = a[good], b[good]
+            found.append((p.doc[a], p.doc[b], p.word[a], p.word[b], value[good]))
+            node, root = stars(merged[label[a]], merged[label[b]])
+            step = np.arange(len(names))
+            step[node] = root
+            merged = step[merged]
+    return _link_table(found)
+
+
+def _hot_links(hot: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between runs of hot keys whose documents are not connected by ``links``.
+
+    Of each key, runs of the largest component meet those of others, and those of others meet
+    each other, block by block: no task has a key, and runs of one component are not compared.
+    """
+    roots = connected_components(links.select("a", "b"))
+    label = F.coalesce("root", "doc").alias("label")
+    rows = materialize(hot.join(roots, F.col("doc") == F.col("node"), "left").select(*hot.columns, label))
+    counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    keys = (
+        counts.groupBy("key")
+        .agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("total"))
+        .where(F.col("total") > F.col("top.n"))
+        .select(
+            "key",
+            F.col("top.label").alias("main"),
+            F.ceil(F.col("top.n") / BLOCK).alias("mains"),
+            F.ceil((F.col("total") - F.col("top.n")) / BLOCK).alias("others"),
+        )
+    )
+    other = F.col("label") != F.col("main")
+    block = F.pmod(F.xxhash64("doc", "word", "size"), F.when(other, F.col("others")).otherwise(F.col("mains")))
+    numbers = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    cell = lambda x, y, side: F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), side.cast("int").alias("side"))
+    b = F.col("block")
+    as_main = F.transform(numbers("others"), lambda k: cell(b, k, F.lit(0)))
+    as_other = F.concat(
+        F.transform(numbers("mains"), lambda k: cell(k, b, F.lit(1))),
+        F.transform(numbers("others"), lambda k: cell(-1 - F.least(k, b), F.greatest(k, b), b > k)),
+    )
+    cells = (
+        rows.join(keys, "key")
+        .withColumn("block", block)
+        .select(*hot.columns, "label", F.explode(F.when(other, as_other).otherwise(as_main)).alias("cell"))
+        .select(*hot.columns, "label", "cell.*")
+    )
+    return cells.groupBy("key", "x", "y").applyInArrow(_block_links, _LINKS)
+
+
 def _links_of(table: pa.Table) -> pa.Table:
     """Links of the documents of a shard: per key, enough of them to connect all similar passages.
 
     Each run is compared with the first of its key. Where one differs, all pairs of the key whose
     documents are not connected yet are compared too, so that no connection is lost.
     """
-    if table["shard"][0].as_py() < 0:
-        a = np.concatenate([np.frombuffer(x, "<i8") for x in table["key"].to_pylist()])
-        b = np.concatenate([np.frombuffer(x, "<i8") for x in table["doc"].to_pylist()])
-        return _link_table([(a, b, np.full(len(a), -1), np.full(len(a), -1), np.ones(len(a)))])
     p = _Passages(table)
     found = [(*p.equal, np.ones(len(p.equal[0])))]
     # Documents of the shard that are connected already, by whatever key, share a label.
@@ -354,14 +513,13 @@ def _link_table(found: list[tuple]) -> pa.Table:
     return pa.table({**{k: pa.array(v[one].astype(np.int64)) for k, v in columns}, "similarity": pa.array(value[one].astype(float))})
 
 
-_LINKS = "a bigint, b bigint, a_word bigint, b_word bigint, similarity double"
 
 
 def passage_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, hot_docs: int = HOT_DOCS) -> DataFrame:
     """Verified links ``a, b, a_word, b_word, similarity`` between rows that share a passage, a < b.
 
-    The words are where the compared runs of passages start; -1 where rows of a batch have equal
-    runs. Links connect all rows that the comparison finds similar, but not each pair is
+    The words are where the compared runs of passages start; -1 where equal passages
+    were linked without a comparison. Links connect all rows that the comparison finds similar, but not each pair is
     listed. Null and empty texts, and texts of fewer than 50 words, have no passage; null ids
     can't be named and get no link; rows with one id count as one.
     """
@@ -385,8 +543,19 @@ def passage_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     )
 
         sent = shared.rows.mapInArrow(send, "shard bigint, key binary, doc binary, word binary, centre binary, size binary, tokens binary")
-        sent.groupBy("shard").applyInArrow(_links_of, _LINKS).write.parquet(path)
-    return spark.read.schema(_LINKS).parquet(path)
+        def sent_of(table: pa.Table) -> pa.Table:
+            return _sent_of(table, n_shards)
+
+        sent.groupBy("shard").applyInArrow(sent_of, f"{_LINKS}, {_RUNS}").write.parquet(path)
+    found = spark.read.schema(f"{_LINKS}, {_RUNS}").parquet(path)
+    links = found.where("a IS NOT NULL").select("a", "b", "a_word", "b_word", "similarity")
+    hot = found.where("key IS NOT NULL").select("key", "doc", "word", "centre", "size", "tokens")
+    if hot.isEmpty():
+        return links
+    more = scratch_path(spark, "links")
+    with scratch_scope(spark):
+        _hot_links(hot, links).write.parquet(more)
+    return links.union(spark.read.schema(_LINKS).parquet(more))
 
 
 def passage_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

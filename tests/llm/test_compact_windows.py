@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from parlova.llm import batches
 from parlova.llm.batches import sliding_min
 from parlova.llm import compact_windows as windows
 from parlova.llm.compact_windows import PASSAGE_WORDS, Signatures, passage_classes, passage_links, tokens_of
@@ -180,3 +181,41 @@ def test_similarity_is_the_largest_over_all_passages_of_two_runs(change, similar
             assert (got >= 0.8) == (want >= 0.8)
             linked += want >= 0.8
     assert linked or not similar
+
+
+def test_runs_of_a_hot_key_are_dealt_over_shards():
+    """One passage in 40 different texts: no shard gets all runs of a key, and equal passages meet."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(PASSAGE_WORDS)]
+    texts = [[f"w{rng.randint(0, 10**6)}" for _ in range(20)] + passage + [f"w{rng.randint(0, 10**6)}" for _ in range(20)] for _ in range(40)]
+    data = [" ".join(t).encode() for t in texts]
+    row = {"ids": np.arange(40), "data": np.frombuffer(b"".join(data), np.uint8), "offsets": np.cumsum([0] + [len(d) for d in data]), "batch": 0}
+    found = pa.table({n: list(c) for n, c in zip(("bucket", "keys", "more"), zip(*batches._keys_by_bucket(*windows.band_keys(row), 1)))})
+    shared = batches._shared_of(found.append_column("batch", pa.array([0] * found.num_rows)), 10)
+    row["shared"] = shared.to_pylist()
+    sent = list(windows._batch_passages(row, 1, 8))
+    shards = {}
+    for shard, key, *_ in sent:
+        if 0 <= shard < 16:
+            for k in np.frombuffer(key, "<u8").tolist():
+                shards.setdefault(k, []).append(shard)
+    most = max(shards.values(), key=len)
+    assert len(most) >= 20 and len(set(most)) > 3
+    linked = {x for shard, a, b, *_ in sent if shard == -1 for x in zip(np.frombuffer(a, "<i8").tolist(), np.frombuffer(b, "<i8").tolist())}
+    assert {(0, i) for i in range(1, 40)} <= linked
+
+
+def test_hot_keys_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BLOCK", 2)
+    rng = random.Random(3)
+    base = [f"p{i}" for i in range(PASSAGE_WORDS + 10)]
+    rows = []
+    for i in range(24):
+        passage = list(base)
+        passage[8 * (i % 3)] = f"other{i % 6}"
+        passage = passage[: 30 + (i % 2)] + base[30 + (i % 2) :] if i < 18 else base[:20] + [f"q{i}_{j}" for j in range(40)]
+        rows.append((i, " ".join([f"w{rng.randint(0, 10**6)}" for _ in range(20)] + passage)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cold = sorted(map(tuple, passage_classes(docs).collect()))
+    assert cold == sorted(map(tuple, passage_classes(docs, hot_docs=2).collect()))
+    assert len({c for _, c in cold}) > 1
