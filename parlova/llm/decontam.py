@@ -17,8 +17,8 @@ MAX_Q = 10
 SLICE_CHARS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-# Lower case of the letters below U+0250 that have one of a single character.
-_LOWER = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, range(0x250))], np.uint32)
+# Lower case of all characters that have one of a single character; none lies above U+1FFFF.
+_LOWER = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, range(0x20000))], np.uint32)
 
 
 def normal_points(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

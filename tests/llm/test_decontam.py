@@ -112,3 +112,10 @@ def test_alignment_equals_the_full_table():
             assert (got is None) == (want > edits)
             if got:
                 assert got[0] == want and fewest_edits(p.tolist(), t[got[1] : got[2]].tolist()) == want
+
+
+@pytest.mark.parametrize("text", ["ΤΟ ΓΡΉΓΟΡΟ ΚΑΦΈ ΖΏΟ", "СЪЕШЬ ЕЩЁ ЭТИХ БУЛОК", "ԲԱՐԵՎ", "Ⅷ Ⓐ ＦＵＬＬ", "𐐀𐐁 DŽ ẞ"])
+def test_letters_of_all_scripts_are_lower_cased(text):
+    data = text.encode()
+    points, _, _ = decontam.normal_points(decontam.Texts(slice(0, 1), np.frombuffer(data, np.uint8), np.array([0, len(data)])))
+    assert "".join(map(chr, points)) == "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
