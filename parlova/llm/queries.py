@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlova.llm import chat, compact_windows, decontam, exact_substrings, html, mixing, pii, repetition, simhash, warc
+from parlova.llm import chat, compact_windows, decontam, exact_substrings, html, mixing, periodic, pii, repetition, simhash, warc
 from parlova.runtime import prepare
 
 _FUNCTIONS = [
@@ -20,6 +20,7 @@ _FUNCTIONS = [
     compact_windows.op8_passages,
     simhash.op9_simhash,
     repetition.op10_repetition,
+    periodic.op11_periodic,
 ]
 
 SQL: dict[str, str] = {"op1_warc": warc.SQL, "op5_mixing": mixing.SQL, "op7_chat": chat.SQL}

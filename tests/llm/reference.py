@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 
 import xxhash
 
@@ -67,3 +69,50 @@ def repetition(text):
         "n_covered_words": len(far),
         "longest_repeat": longest,
     }
+
+
+def runs(found, min_length=6, exponent=4):
+    """(start, length, period) of every run, by start, then period."""
+    n, period = len(found), {}
+    for q in range(1, n // exponent + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and found[j] == found[j + q]:
+                j += 1
+            size = j + q - i
+            if j > i and size >= max(min_length, exponent * q):
+                period.setdefault((i, size), q)
+            i = max(j, i + 1)
+    return sorted(((s, size, q) for (s, size), q in period.items()), key=lambda r: (r[0], r[2]))
+
+
+def planted_words(doc_id, text):
+    found = words(text)
+    n, h = len(found), zlib.crc32(str(doc_id).encode())
+    g = h // 10
+    if doc_id is None or h % 10 or not n:
+        return found
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else found[a + (i - a) % p] for i, w in enumerate(found)]
+
+
+def periodic(doc_id, text):
+    """The row of a document, as the contract of the query states it."""
+    found = planted_words(doc_id, text)
+    own = runs(found)
+    dropped = {i for s, size, q in own for i in range(s + q, s + size)}
+    best = min(own, key=lambda r: (-r[1], r[0], r[2]), default=(None,) * 3)
+    lines = "".join(f"{s},{size},{q}\n" for s, size, q in own)
+    kept = " ".join(w for i, w in enumerate(found) if i not in dropped)
+    return {
+        "doc_id": doc_id,
+        "n_runs": len(own),
+        "start": best[0],
+        "length": best[1],
+        "period": best[2],
+        "exponent_milli": own and 1000 * best[1] // best[2] or None,
+        "runs_sha256": hashlib.sha256(lines.encode()).hexdigest(),
+        "collapsed_sha256": hashlib.sha256(kept.encode()).hexdigest(),
+    }
