@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlova.llm import chat, compact_windows, decontam, exact_substrings, html, mixing, periodic, pii, repetition, simhash, warc
+from parlova.llm import chat, compact_windows, decontam, divergence, exact_substrings, html, mixing, periodic, pii, repetition, simhash, warc
 from parlova.runtime import prepare
 
 _FUNCTIONS = [
@@ -21,9 +21,15 @@ _FUNCTIONS = [
     simhash.op9_simhash,
     repetition.op10_repetition,
     periodic.op11_periodic,
+    divergence.op13_divergence,
 ]
 
-SQL: dict[str, str] = {"op1_warc": warc.SQL, "op5_mixing": mixing.SQL, "op7_chat": chat.SQL}
+SQL: dict[str, str] = {
+    "op1_warc": warc.SQL,
+    "op5_mixing": mixing.SQL,
+    "op7_chat": chat.SQL,
+    "op13_divergence": divergence.SQL,
+}
 
 
 def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
