@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlova.llm import chat, compact_windows, decontam, divergence, exact_substrings, html, mixing, periodic, pii, repetition, simhash, warc
+from parlova.llm import chat, compact_windows, decontam, divergence, exact_substrings, hash_forest, html, mixing, periodic, pii, repetition, simhash, warc
 from parlova.runtime import prepare
 
 _FUNCTIONS = [
@@ -21,6 +21,7 @@ _FUNCTIONS = [
     simhash.op9_simhash,
     repetition.op10_repetition,
     periodic.op11_periodic,
+    hash_forest.op12_neighbours,
     divergence.op13_divergence,
 ]
 
