@@ -13,10 +13,13 @@ HOT_MIN_ROWS = 10_000
 
 
 def hottest(counts: DataFrame, key: str, n: str) -> DataFrame:
-    """(key, _salts) of the hot keys of a table of row counts per key: fewer than SHARES rows."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    limit = max(HOT_MIN_ROWS, total // SHARES)
-    return counts.where(F.col(n) > limit).select(key, F.ceil(F.col(n) / limit).cast("int").alias("_salts"))
+    """(key, _salts) of the hot keys of a table of row counts per key: fewer than SHARES rows, kept locally."""
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    limit = max(HOT_MIN_ROWS, (total or 0) // SHARES)
+    hot = counts.where(F.col(n) > limit).select(key, F.ceil(F.col(n) / limit).cast("int").alias("_salts"))
+    if (most or 0) <= limit:
+        return hot.limit(0)
+    return counts.sparkSession.createDataFrame(hot.collect(), hot.schema)
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
@@ -33,13 +36,15 @@ def lookup_join(
     hot: DataFrame,
     how: str = "inner",
 ) -> DataFrame:
-    """Equi join against ``right`` (unique on ``key``), hot keys salted.
+    """Equi join against ``right`` (unique on ``key``), hot keys salted; a plain join without any.
 
     Rows of a hot key spread by ``spread_by`` over as many parts as its count asks for;
     only the single right row of a hot key is repeated. ``hot`` must come from ``hot_keys``
     or ``hottest``, which limit it to SHARES rows, hence the broadcast. Keys left out
     of ``hot`` are joined all the same, only not spread.
     """
+    if hot.isEmpty():
+        return left.join(right, key, how)
     marks = F.broadcast(hot.select(key, "_salts"))
     salts = F.coalesce("_salts", F.lit(1))
     salted_left = left.join(marks, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int"))

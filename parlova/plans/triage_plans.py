@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlova.functions.payload import PARSE_FAILURE_CLAIM, parse_payload
-from parlova.operators import classify, policy, retrieval
+from parlova.functions.text import clean_text
+from parlova.operators import classify, history, policy, retrieval, thread_tree
 from parlova.operators import triage as tr
+from parlova.operators.labels import weak_label
 from parlova.plans import sqlviews as sv
 from parlova.plans.registry import query
 from parlova.plans.sqlviews import VIEW_MIN_SCORE, VIEW_THRESHOLD, sql
@@ -49,6 +51,11 @@ _SAFE = sv.lit(tr.NO_EVIDENCE_REPLY)
 
 
 def _define(p: str, source: str) -> None:
+    _define_draft(p)
+    _define_decision(f"{p}_triage_v", p, source)
+
+
+def _define_draft(p: str) -> None:
     sv.define(
         f"{p}_draft_v",
         f"""SELECT t.qid, coalesce(s1, 0.0) AS top_score, CASE WHEN s1 >= {VIEW_MIN_SCORE} THEN r1 ELSE {_SAFE} END AS draft_reply,
@@ -56,18 +63,22 @@ def _define(p: str, source: str) -> None:
   CASE WHEN s1 >= {VIEW_MIN_SCORE} THEN 'fallback_retrieval' ELSE 'fallback_no_evidence' END AS generation_mode,
   doc_ids, r1 FROM {p}_two_v t""",
     )
+
+
+def _define_decision(name: str, p: str, source: str, repeated: str = "false") -> None:
     sv.define(
-        f"{p}_triage_v",
+        name,
         f"""SELECT *, CASE WHEN reason_code IS NULL THEN 'AUTO_HANDLE' ELSE 'ESCALATE' END AS decision FROM (
   SELECT q.qid, q.message, i.intent, i.confidence, i.top_intents, d.draft_reply, d.grounded, d.generation_mode, d.doc_ids, d.top_score, d.r1,
     CASE WHEN i.intent = 'OTHER_OR_UNKNOWN' THEN 'UNKNOWN_INTENT'
       WHEN i.confidence < {VIEW_THRESHOLD} THEN 'LOW_INTENT_CONFIDENCE'
       WHEN {sv.first_keyword('ct', policy.SENSITIVE_PHRASES)} IS NOT NULL THEN 'SENSITIVE_ACCOUNT_ACTION'
       WHEN {sv.first_keyword('ct', VIEW_RISKY)} IS NOT NULL THEN 'HIGH_RISK_REQUEST'
+      WHEN {repeated} THEN 'REPEATED_FAILURE'
       WHEN c.conflicting THEN 'CONFLICTING_HISTORY'
       WHEN d.top_score < {VIEW_MIN_SCORE} THEN 'NO_RELEVANT_HISTORY'
       WHEN NOT d.grounded THEN 'UNSUPPORTED_INFORMATION' END AS reason_code
-  FROM (SELECT qid, message, {sv.clean('message')} AS ct FROM {source}) q
+  FROM (SELECT *, {sv.clean('message')} AS ct FROM {source}) q
   JOIN {p}_intent_v i USING (qid) JOIN {p}_draft_v d USING (qid) JOIN {p}_conflict_v c USING (qid))""",
     )
 
@@ -187,6 +198,142 @@ def prompt_table(spark, sf):
     return prompts.select("qid", F.md5("prompt").alias("digest"))
 
 
+def _triage_sql(view):
+    return sql(
+        f"""SELECT qid, md5(message) AS message, intent, round(confidence, 6) AS intent_confidence, top_intents, doc_ids, round(top_score, 6) AS top_score,
+  md5(draft_reply) AS draft_reply, grounded, decision, reason_code, generation_mode FROM {view}"""
+    )
+
+
+# --- threads and earlier contacts ------------------------------------------------
+
+sv.define(
+    "linked_v",
+    f"""SELECT tweet_id, inbound, text, ts_sec, ingest_seq, CASE WHEN conv % 11 = 0 AND turn = 0 THEN CAST(number + 3 AS VARCHAR)
+  WHEN conv % 13 = 1 AND turn = 2 THEN tweet_id WHEN inbound AND turn > 0 THEN CAST(number - 1 AS VARCHAR)
+  ELSE {sv.first_valid_id('in_response_to_tweet_id')} END AS named
+FROM (SELECT *, CAST(tweet_id AS BIGINT) AS number, CAST(tweet_id AS BIGINT) // 1000 AS conv, CAST(tweet_id AS BIGINT) % 1000 AS turn FROM first_v)""",
+)
+sv.define(
+    "edges_v",
+    """SELECT a.tweet_id, b.tweet_id AS parent_id, a.inbound, a.text, a.ts_sec, a.ingest_seq,
+  CASE WHEN a.named IS NULL THEN 'root' WHEN b.tweet_id IS NULL THEN 'missing' ELSE 'reply' END AS link
+FROM linked_v a LEFT JOIN linked_v b ON b.tweet_id = a.named""",
+)
+sv.define(
+    "cut_v",
+    """WITH RECURSIVE reach AS (SELECT tweet_id, parent_id AS above FROM edges_v WHERE parent_id IS NOT NULL
+  UNION SELECT r.tweet_id, e.parent_id FROM reach r JOIN edges_v e ON e.tweet_id = r.above WHERE e.parent_id IS NOT NULL)
+SELECT tweet_id FROM reach GROUP BY tweet_id HAVING bool_or(above = tweet_id) AND min(above) = tweet_id""",
+)
+sv.define(
+    "tree_v",
+    """SELECT e.* REPLACE (CASE WHEN c.tweet_id IS NULL THEN parent_id END AS parent_id, CASE WHEN c.tweet_id IS NULL THEN link ELSE 'cut' END AS link)
+FROM edges_v e LEFT JOIN cut_v c USING (tweet_id)""",
+)
+sv.define(
+    "threads_v",
+    """WITH RECURSIVE t AS (SELECT tweet_id, tweet_id AS root_id, 0 AS depth FROM tree_v WHERE parent_id IS NULL
+  UNION ALL SELECT e.tweet_id, t.root_id, t.depth + 1 FROM t JOIN tree_v e ON e.parent_id = t.tweet_id)
+SELECT * FROM t""",
+)
+sv.define(
+    "turns_v",
+    f"""WITH RECURSIVE t AS (SELECT tweet_id, parent_id, 1 AS back FROM tree_v WHERE parent_id IS NOT NULL
+  UNION ALL SELECT t.tweet_id, e.parent_id, t.back + 1 FROM t JOIN tree_v e ON e.tweet_id = t.parent_id
+  WHERE e.parent_id IS NOT NULL AND t.back < {thread_tree.CONTEXT_TURNS})
+SELECT * FROM t""",
+)
+sv.define(
+    "context_v",
+    f"""SELECT e.tweet_id, coalesce(string_agg(CASE WHEN p.inbound THEN 'customer: ' ELSE 'support: ' END || {sv.clean('p.text')}, chr(10) ORDER BY t.back DESC) FILTER (p.tweet_id IS NOT NULL), '') AS context
+FROM tree_v e LEFT JOIN turns_v t USING (tweet_id) LEFT JOIN tree_v p ON p.tweet_id = t.parent_id GROUP BY e.tweet_id""",
+)
+
+
+def _threads(spark, sf):
+    tweets = views.linked_tweets(spark, sf)
+    edges = materialize(thread_tree.reply_edges(tweets))
+    return tweets, edges, materialize(thread_tree.thread_roots(edges))
+
+
+@query(
+    "thread_roots",
+    sql(
+        """SELECT tweet_id, t.root_id, CAST(t.depth AS BIGINT) AS depth, e.link,
+  row_number() OVER (PARTITION BY t.root_id ORDER BY e.ts_sec NULLS LAST, e.ingest_seq) AS position
+FROM threads_v t JOIN tree_v e USING (tweet_id)"""
+    ),
+)
+def thread_roots(spark, sf):
+    """Root, depth, place and kind of every message, circles of replies among them."""
+    _, edges, roots = _threads(spark, sf)
+    return roots.drop("path").join(thread_tree.thread_positions(roots, edges), "tweet_id")
+
+
+@query("thread_context", sql("SELECT tweet_id, context FROM context_v"))
+def thread_context(spark, sf):
+    """The nearest earlier turns of every message."""
+    tweets, _, roots = _threads(spark, sf)
+    return thread_tree.thread_context(tweets, roots)
+
+
+@query(
+    "prompt_table_threads",
+    sql(
+        f"""SELECT q.qid, md5(concat_ws(chr(10), {sv.lit(tr.SYSTEM_TEXT)}, 'brand: brand_0', 'intent: ' || i.intent, 'message: ' || q.text,
+  'context: ' || coalesce(nullif({sv.clean('c.context')}, ''), '(none)'), 'past cases:', coalesce(h.block, '(none)'), {sv.lit(tr.ANSWER_FORMAT)})) AS digest
+FROM messages_v q JOIN splits_v s ON s.pair_seq = q.qid JOIN context_v c ON c.tweet_id = s.customer_tweet_id JOIN m_intent_v i USING (qid)
+LEFT JOIN (SELECT qid, string_agg({_CASE_SQL}, chr(10) ORDER BY rank) AS block FROM m_hits_v GROUP BY qid) h USING (qid)"""
+    ),
+)
+def prompt_table_threads(spark, sf):
+    """Prompts of the test messages with the earlier turns of their threads."""
+    _, splits, model, index = setup(spark, sf)
+    tweets, _, roots = _threads(spark, sf)
+    told = thread_tree.thread_context(tweets, roots).withColumnRenamed("tweet_id", "customer_tweet_id")
+    messages = views.messages_of(splits).join(told, "customer_tweet_id", "left").select("qid", "message", "context")
+    return tr.prompt_table(messages, classifier(model), model.classes, index, CONFIG).select("qid", F.md5("prompt").alias("digest"))
+
+
+VIEW_FAILURE_DAYS = 30
+sv.define(
+    "contacts_v",
+    f"""SELECT f.tweet_id, f.author_id AS customer, {sv.keyword_label(sv.clean('f.text'), views.VIEW_RULES)} AS intent, f.ts_sec AS opened,
+  (SELECT min(s.ts_sec) FROM support_v s WHERE s.target_id = f.tweet_id) AS resolved, f.ingest_seq AS seq FROM first_v f WHERE f.inbound""",
+)
+sv.define(
+    "repeated_v",
+    f"""SELECT m.tweet_id, m.seq AS qid, EXISTS (SELECT 1 FROM contacts_v c WHERE c.customer = m.customer AND c.intent = m.intent
+  AND c.intent <> 'OTHER_OR_UNKNOWN' AND (c.opened < m.opened OR (c.opened = m.opened AND c.seq < m.seq))
+  AND m.opened <= c.opened + {VIEW_FAILURE_DAYS * 86400} AND (c.resolved IS NULL OR c.resolved > m.opened)) AS repeated_failure
+FROM contacts_v m""",
+)
+_define_decision("mr_triage_v", "m", "(SELECT q.*, r.repeated_failure FROM messages_v q JOIN splits_v s ON s.pair_seq = q.qid JOIN repeated_v r ON r.tweet_id = s.customer_tweet_id)", "q.repeated_failure")
+
+
+def _repeated(spark, sf):
+    found = materialize(history.contacts(views.tweets(spark, sf), weak_label(clean_text(F.col("text")), views.VIEW_RULES)))
+    asked = found.select(F.col("seq").alias("qid"), "customer", "intent", F.col("opened").alias("sent"), "seq")
+    flags = history.repeated_failures(asked, found, VIEW_FAILURE_DAYS)
+    return found.select("tweet_id", F.col("seq").alias("qid")).join(flags, "qid")
+
+
+@query("repeated_failure", sql("SELECT qid, repeated_failure FROM repeated_v"))
+def repeated_failure(spark, sf):
+    """Which customer messages come back to an issue of the last 30 days that is still open."""
+    return _repeated(spark, sf).select("qid", "repeated_failure")
+
+
+@query("triage_with_history", _triage_sql("mr_triage_v"))
+def triage_with_history(spark, sf):
+    """Triage of the test messages, told which of them are repeated failures."""
+    _, splits, model, index = setup(spark, sf)
+    flags = _repeated(spark, sf).select(F.col("tweet_id").alias("customer_tweet_id"), "repeated_failure")
+    messages = views.messages_of(splits).join(flags, "customer_tweet_id", "left").select("qid", "message", "repeated_failure")
+    return flat(tr.triage(messages, classifier(model), model.classes, index, CONFIG))
+
+
 # --- policy ----------------------------------------------------------------------
 
 # Signals of every message, spread so that each rule decides for some of them.
@@ -272,12 +419,6 @@ def reason_code_counts(spark, sf):
 
 # --- triage ----------------------------------------------------------------------
 
-_TRIAGE_SQL = sql(
-    """SELECT qid, md5(message) AS message, intent, round(confidence, 6) AS intent_confidence, top_intents, doc_ids, round(top_score, 6) AS top_score,
-  md5(draft_reply) AS draft_reply, grounded, decision, reason_code, generation_mode FROM m_triage_v"""
-)
-
-
 def flat(rows):
     first = F.get("retrieved_examples", F.lit(0))["score"]
     return rows.select(
@@ -302,7 +443,7 @@ def _triaged(spark, sf):
     return tr.triage(messages, classifier(model), model.classes, index, CONFIG)
 
 
-@query("triage_messages", _TRIAGE_SQL)
+@query("triage_messages", _triage_sql("m_triage_v"))
 def triage_messages(spark, sf):
     return flat(_triaged(spark, sf))
 
@@ -329,7 +470,7 @@ def response_schema_violations(spark, sf):
     )
 
 
-@query("triage_stream", _TRIAGE_SQL)
+@query("triage_stream", _triage_sql("m_triage_v"))
 def triage_stream(spark, sf):
     """The same messages, arriving as files."""
     _, splits, model, index = setup(spark, sf)

@@ -90,6 +90,19 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_tweets(raw_tweets(spark, sf_dir))
 
 
+def linked_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages with replies by customers too, some circles of replies, and some answers to themselves."""
+    number = F.col("tweet_id").cast("bigint")
+    conv, turn = F.floor(number / 1000), number % 1000
+    named = (
+        F.when((conv % 11 == 0) & (turn == 0), (number + 3).cast("string"))
+        .when((conv % 13 == 1) & (turn == 2), F.col("tweet_id"))
+        .when(F.col("inbound") & (turn > 0), (number - 1).cast("string"))
+        .otherwise(F.col("in_response_to_tweet_id"))
+    )
+    return tweets(spark, sf_dir).withColumn("in_response_to_tweet_id", named)
+
+
 def plain_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the columns of the message schema."""
     return tweets(spark, sf_dir).select(*TWEET_COLUMNS, "created_at_parsed")
@@ -147,6 +160,7 @@ def messages_of(splits: DataFrame, split: str = "test") -> DataFrame:
         F.col("customer_text").alias("message"),
         F.col("cleaned_text").alias("text"),
         "intent",
+        "customer_tweet_id",
     )
 
 
