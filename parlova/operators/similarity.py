@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parlova.functions.arrays import cosine
 from parlova.functions.text import clip01
+from parlova.operators.dense_cells import BLOCK_QUERIES, BLOCK_ROWS, ring_topk
 from parlova.operators.frames import union_all
 from parlova.operators.grid import best_in_cell, block_count, grid_apply, sparse_scores, unit_rows
 from parlova.operators.ranking import top_k
@@ -213,25 +214,17 @@ def pad_topk(hits: DataFrame, query_ids: DataFrame, doc_ids: DataFrame, k: int)
 
 
 def dense_topk(
-    queries: DataFrame, docs: DataFrame, k: int, query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK
+    queries: DataFrame, docs: DataFrame, k: int, query_block: int = BLOCK_QUERIES, doc_block: int = BLOCK_ROWS
 ) -> DataFrame:
     """Top-k by cosine clipped to [0, 1]; ``queries`` (qid, vec), ``docs`` (doc_id, vec).
 
-    Only positive scores are returned; ``pad_topk`` adds the zero ones.
+    Only positive scores are returned; ``pad_topk`` adds the zero ones. Cells of documents that cannot
+    reach a query's k-th score are skipped (see ``dense_cells``).
     """
-    n_left = block_count(queries.count(), query_block)
-    n_right = block_count(docs.count(), doc_block)
-    cells = grid_apply(
-        queries.select("qid", "vec"),
-        docs.select("doc_id", "vec"),
-        "qid",
-        "doc_id",
-        n_left,
-        n_right,
-        _dense_cell(k),
-        _cell_schema(queries, docs),
+    asked = queries.select("qid", "vec", F.lit(0.0).alias("_most"))
+    return ring_topk(
+        asked, docs.select("doc_id", "vec"), k, _dense_cell(k), _cell_schema(queries, docs), best_first(), 1.0, doc_block, query_block
     )
-    return top_k(cells, ["qid"], best_first(), k)
 
 
 def _dense_scores(q: pd.DataFrame, d: pd.DataFrame) -> np.ndarray:
@@ -242,11 +235,16 @@ def _dense_scores(q: pd.DataFrame, d: pd.DataFrame) -> np.ndarray:
 
 def _dense_cell(k: int):
     def cell(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        return best_in_cell(_dense_scores(q, d), q["qid"].to_numpy(), d["doc_id"].to_numpy(), k)
+        return _in_pieces(q, lambda own: best_in_cell(_dense_scores(own, d), own["qid"].to_numpy(), d["doc_id"].to_numpy(), k))
 
     return cell
 
 
+def _in_pieces(q: pd.DataFrame, best) -> pd.DataFrame:
+    """A cell's queries in pieces, so that no more than a piece's scores are held at once."""
+    return pd.concat([best(q.iloc[low : low + QUERY_BLOCK]) for low in range(0, max(1, len(q)), QUERY_BLOCK)])
+
+
 def fused_topk(
     queries: DataFrame,
     docs: DataFrame,
@@ -254,31 +252,26 @@ def fused_topk(
     sparse_d: DataFrame,
     k: int,
     dense_weight: float,
-    query_block: int = QUERY_BLOCK,
-    doc_block: int = DOC_BLOCK,
+    query_block: int = BLOCK_QUERIES,
+    doc_block: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Top-k by dense_weight * cosine + sum qw*w, both parts scored in one grid pass.
+    """Top-k by dense_weight * cosine + sum qw*w, both parts scored where documents lie.
 
-    Every document has a cosine with every query, so no candidate rule on the
-    sparse part is exact and cheap; a cell holds both parts of its two blocks.
+    The sparse part of a query is at most the sum of qw * max(w) of its features; with the bound of the
+    cosine this tells which cells it can skip.
     """
     def packed(ids: DataFrame, key: str, rows: DataFrame, weight: str) -> DataFrame:
         lists = rows.groupBy(key).agg(F.collect_list(F.struct("feature", weight)).alias("parts"))
         return ids.join(lists, key, "left")
 
+    best = sparse_d.groupBy("feature").agg(F.max("w").alias("max_w"))
+    most = sparse_q.join(best, "feature").groupBy("qid").agg(F.sum(F.col("qw") * F.col("max_w")).alias("_most"))
     left = packed(queries.select("qid", "vec"), "qid", sparse_q.select("qid", "feature", "qw"), "qw")
+    left = left.join(most, "qid", "left").fillna(0.0, ["_most"])
     right = packed(docs.select("doc_id", "vec"), "doc_id", sparse_d.select("doc_id", "feature", "w"), "w")
-    cells = grid_apply(
-        left,
-        right,
-        "qid",
-        "doc_id",
-        block_count(queries.count(), query_block),
-        block_count(docs.count(), doc_block),
-        _fused_cell(k, dense_weight),
-        _cell_schema(queries, docs),
+    return ring_topk(
+        left, right, k, _fused_cell(k, dense_weight), _cell_schema(queries, docs), best_first(), dense_weight, doc_block, query_block
     )
-    return top_k(cells, ["qid"], best_first(), k)
 
 
 def _unpacked(df: pd.DataFrame, key: str, weight: str) -> pd.DataFrame:
@@ -294,9 +287,14 @@ def _unpacked(df: pd.DataFrame, key: str, weight: str) -> pd.DataFrame:
 
 def _fused_cell(k: int, dense_weight: float):
     def cell(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        qids, doc_ids = q["qid"].to_numpy(), d["doc_id"].to_numpy()
-        sparse = sparse_scores(_unpacked(q, "qid", "qw"), _unpacked(d, "doc_id", "w"), qids, doc_ids)
-        return best_in_cell(dense_weight * _dense_scores(q, d) + sparse, qids, doc_ids, k)
+        doc_ids, features = d["doc_id"].to_numpy(), _unpacked(d, "doc_id", "w")
+
+        def best(own: pd.DataFrame) -> pd.DataFrame:
+            qids = own["qid"].to_numpy()
+            sparse = sparse_scores(_unpacked(own, "qid", "qw"), features, qids, doc_ids)
+            return best_in_cell(dense_weight * _dense_scores(own, d) + sparse, qids, doc_ids, k)
+
+        return _in_pieces(q, best)
 
     return cell
 
