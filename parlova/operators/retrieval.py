@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from parlova.functions.text import retrieval_tokens
 from parlova.operators.similarity import (
     HEAVY_DF,
+    PLAIN,
     best_first,
     dense_pairs,
     fused_topk,
+    most_postings,
     pad_topk,
     score_pairs,
     sparse_topk,
@@ -221,14 +223,14 @@ def hybrid_topk(
     """(qid, rank, doc_id, score, lexical_score, semantic_score), exactly k rows per
     query if the corpus has that many.
 
-    Without a feature of more than ``heavy_df`` documents, one pass sums both parts of every
+    Where no query has more than PLAIN * ``heavy_df`` postings, one pass sums both parts of every
     pair and takes the query's best BM25 score from the same sums. Otherwise that best score
     comes first; the hybrid score is then one weighted sum over terms and grams together.
     """
     lex_q = materialize(lexical_query(queries))
     sem_q = semantic_query(queries, index.vocabulary)
-    light = index.lexical.where(F.col("df") > heavy_df).isEmpty() and index.semantic.where(F.col("df") > heavy_df).isEmpty()
-    if light:
+    sem_q = materialize(sem_q)
+    if most_postings(lex_q, index.lexical) + most_postings(sem_q, index.semantic) <= PLAIN * heavy_df:
         hits = _one_pass(lex_q, sem_q, index, k, lexical_weight, semantic_weight)
     else:
         hits = _two_passes(lex_q, sem_q, index, k, lexical_weight, semantic_weight, heavy_df)

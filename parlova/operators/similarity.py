@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,9 +18,11 @@ from parlova.operators.ranking import top_k
 from parlova.operators.skew import hot_keys, lookup_join
 from parlova.runtime import materialize
 
-# Candidates a query may look up in the first of ROUNDS rounds; tenfold in each next one.
+# Postings a query may read in the first round; tenfold in each next one.
 HEAVY_DF = 10_000
-ROUNDS = 3
+# A plain join where no query has more than as many times HEAVY_DF postings.
+PLAIN = 10
+BLOCK_POSTINGS = 1_024
 # Slack for rounding when a bound is compared with a score.
 MARGIN = 1e-9
 QUERY_BLOCK = 1024
@@ -43,6 +47,7 @@ def sparse_topk(
     parts: dict[str, str] | None = None,
     query_block: int = QUERY_BLOCK,
     doc_block: int = DOC_BLOCK,
+    block_postings: int = BLOCK_POSTINGS,
 ) -> DataFrame:
     """The ``k`` documents with the highest positive sum of qw·w per query, exactly.
 
@@ -51,12 +56,12 @@ def sparse_topk(
     Pass a stored ``docs``: it is read several times. ``parts`` (column -> feature
     prefix, together covering all features) adds the share of the score each earns.
 
-    A frequent feature matches most documents for most queries, so joining on it
-    emits nearly all pairs. If any feature has more than ``heavy_df`` documents,
-    each query looks up candidates by its rarest features only, as many as have
-    ``heavy_df`` documents together (see ``_bounded_round``). Queries whose result
-    is not yet proven final go on with ten times the allowance, and the last ones
-    are scored against all documents in grid cells that return only their k best.
+    Where no query has more than PLAIN * ``heavy_df`` postings (rows of its features), a plain join scores
+    them all. Else postings lie in blocks by impact (see ``impact_blocks``), and a query reads the blocks
+    of largest gain, ``heavy_df`` postings at first (see ``_bounded_round``). Queries whose result is
+    not yet proven final read ten times as many, and so on. Only queries that would read more postings than
+    there are documents, those with nearly equal weights everywhere, are scored in grid cells that return their
+    k best.
     """
     parts = parts or {}
     earned = F.col("qw") * F.col("w")
@@ -64,7 +69,8 @@ def sparse_topk(
         name: F.when(F.startswith(F.col("feature"), F.lit(prefix)), earned).otherwise(0.0)
         for name, prefix in parts.items()
     }
-    if docs.where(F.col("df") > heavy_df).isEmpty():
+    queries = materialize(queries)
+    if most_postings(queries, docs) <= PLAIN * heavy_df:
         scored = (
             queries.join(docs.drop("df"), "feature")
             .groupBy("qid", "doc_id")
@@ -72,20 +78,17 @@ def sparse_topk(
         )
         return top_k(scored.where(_positive()), ["qid"], best_first(), k)
 
-    stats = materialize(docs.groupBy("feature").agg(F.max("df").alias("df"), F.max("w").alias("max_w")))
+    impacts = impact_blocks(docs, block_postings)
     # Only sizes the work, so an estimate without a shuffle will do.
     n_docs = docs.agg(F.approx_count_distinct("doc_id")).first()[0]
-    queries = materialize(queries)
-    open_q = materialize(lookup_join(queries, stats, "feature", "qid", hot_keys(queries, "feature")))
+    features = impacts.blocks.select("feature").distinct()
+    open_q = materialize(queries.join(features, "feature", "left_semi"))
     columns = ["qid", "doc_id", *gains, "rank"]
     done: list[DataFrame] = []
     allowance = heavy_df
     n_open = open_q.select("qid").distinct().count()
-    for _ in range(ROUNDS):
-        # Beyond one look-up per document the grid is the cheaper way.
-        if n_open == 0 or allowance > n_docs:
-            break
-        found, settled = _bounded_round(open_q, docs, k, allowance, gains)
+    while n_open and allowance <= n_docs:
+        found, settled = _bounded_round(open_q, impacts, k, allowance, gains)
         done.append(found.join(settled, "qid", "left_semi").select(*columns))
         open_q = materialize(open_q.join(settled, "qid", "left_anti").select(*open_q.columns))
         n_open = open_q.select("qid").distinct().count()
@@ -105,30 +108,77 @@ def sparse_topk(
     return union_all([*done, top_k(rest, ["qid"], best_first(), k).select(*columns)])
 
 
+def most_postings(queries: DataFrame, docs: DataFrame) -> int:
+    """The most rows of ``docs`` that the features of one query have together."""
+    sizes = docs.groupBy("feature").agg(F.max("df").alias("df"))
+    total = queries.select("qid", "feature").join(sizes, "feature").groupBy("qid").agg(F.sum("df").alias("n"))
+    return total.agg(F.max("n")).first()[0] or 0
+
+
+@dataclass(frozen=True)
+class Impacts:
+    """Postings in blocks by impact.
+
+    ``rows`` (feature, doc_id, w, level, chunk); ``blocks`` (feature, level, n, max_w, chunks).
+    """
+
+    rows: DataFrame
+    blocks: DataFrame
+    block_postings: int
+
+
+def impact_blocks(docs: DataFrame, block_postings: int = BLOCK_POSTINGS) -> Impacts:
+    """The postings of each feature by levels of weight, two per octave, with the largest weight of each.
+
+    A level follows from the weight alone, so nothing is sorted. A level of more than ``block_postings`` rows is cut
+    by document into chunks of about as many, which share its largest weight.
+    """
+    level = F.greatest(F.lit(-80), F.least(F.lit(80), F.floor(F.log2("w") * -2))).cast("int")
+    rows = docs.select("feature", "doc_id", "w", level.alias("level"))
+    blocks = rows.groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("max_w"))
+    blocks = materialize(blocks.withColumn("chunks", F.ceil(F.col("n") / block_postings).cast("int")))
+    cut = blocks.where("chunks > 1").select("feature", "level", "chunks")
+    chunk = F.pmod(F.xxhash64("doc_id"), F.coalesce("chunks", F.lit(1))).cast("int")
+    rows = rows.join(cut, ["feature", "level"], "left").withColumn("chunk", chunk).drop("chunks")
+    return Impacts(materialize(rows), blocks, block_postings)
+
+
 def _bounded_round(
-    q: DataFrame, docs: DataFrame, k: int, allowance: int, gains: dict[str, Column]
+    q: DataFrame, impacts: Impacts, k: int, allowance: int, gains: dict[str, Column]
 ) -> tuple[DataFrame, DataFrame]:
     """(best k found per query, queries for which they are final).
 
-    The rarest features of a query, with at most ``allowance`` documents together,
-    find its candidates; the other features complete the candidates' scores by
-    (doc, feature) lookups. A document without any of the rare features cannot
-    score above the sum of qw·max(w) of the other ones, so a query is final when
-    that bound is below its k-th score, or when no other feature is left.
+    A query reads its blocks in the order of their largest gain, qw * max(w), until ``allowance`` postings. What a
+    document can earn from the blocks that are left is at most the sum over features of the largest gain
+    left. Candidates that cannot reach the k-th score with that much more drop out, the others' scores are
+    completed from the unread blocks by (doc, feature) lookups. A query is final when the sum is below its
+    k-th score, as no unseen document can beat it, or when no block is left.
     """
     measures = list(gains)
-    rarest_first = Window.partitionBy("qid").orderBy("df", "feature")
-    q = materialize(q.withColumn("_rare", F.sum("df").over(rarest_first.rowsBetween(Window.unboundedPreceding, 0)) <= allowance))
-    rare, other = q.where("_rare"), q.where("NOT _rare")
+    gain = F.col("qw") * F.col("max_w")
+    largest_first = Window.partitionBy("qid").orderBy(gain.desc(), "feature", "level")
+    room = F.lit(allowance) - F.coalesce(F.sum("n").over(largest_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    plan = q.join(impacts.blocks, "feature").withColumn("room", room)
+    taken = F.when(F.col("room") >= F.col("n"), F.col("chunks")).otherwise(
+        F.greatest(F.lit(0), F.floor(F.col("room") / impacts.block_postings)).cast("int")
+    )
+    plan = materialize(plan.withColumn("taken", taken).drop("room", "n"))
+    reads = plan.where("taken > 0").select(
+        "qid", "feature", "qw", "level", F.explode(F.sequence(F.lit(0), F.col("taken") - 1)).alias("chunk")
+    )
     light = materialize(
-        rare.select("qid", "feature", "qw")
-        .join(docs.select("feature", "doc_id", "w"), "feature")
+        reads.join(impacts.rows, ["feature", "level", "chunk"])
         .groupBy("qid", "doc_id")
         .agg(*[F.sum(g).alias(name) for name, g in gains.items()])
     )
-    per_query = q.groupBy("qid").agg(
-        F.sum(F.when(F.col("_rare"), 0.0).otherwise(F.col("qw") * F.col("max_w"))).alias("bound")
+    # Per query and feature, what was taken of each level, and the largest gain left.
+    left = plan.groupBy("qid", "feature").agg(
+        F.first("qw").alias("qw"),
+        F.max(F.when(F.col("taken") < F.col("chunks"), gain)).alias("left"),
+        F.map_from_entries(F.collect_list(F.struct("level", "taken"))).alias("read"),
     )
+    left = materialize(left)
+    per_query = left.groupBy("qid").agg(F.sum(F.coalesce("left", F.lit(0.0))).alias("bound"))
     kth = (
         top_k(light, ["qid"], best_first(), k)
         .groupBy("qid")
@@ -141,8 +191,9 @@ def _bounded_round(
     )
     completion = (
         candidates.select("qid", "doc_id")
-        .join(other.select("qid", "feature", "qw"), "qid")
-        .join(docs.select("feature", "doc_id", "w"), ["doc_id", "feature"])
+        .join(left.where("left IS NOT NULL").select("qid", "feature", "qw", "read"), "qid")
+        .join(impacts.rows, ["doc_id", "feature"])
+        .where(F.col("chunk") >= F.element_at("read", F.col("level")))
         .select("qid", "doc_id", *[g.alias(name) for name, g in gains.items()])
     )
     complete = (

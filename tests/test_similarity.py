@@ -176,3 +176,48 @@ def test_index_survives_storage(spark, tmp_path):
     loaded = retrieval.load_index(spark, str(tmp_path / "index"))
     asked = _messages(spark, "word3 text", "shared word7")
     assert _result(retrieval.hybrid_topk(asked, loaded, 3)) == _result(retrieval.hybrid_topk(asked, index, 3))
+
+
+def _skewed(n_docs, n_queries, seed=4):
+    """Every text holds the common feature, with weights that fall off steeply; queries add a rare one."""
+    rng = random.Random(seed)
+    docs = [("common", d, round(4.0 / (1 + d * 0.37 % 97) + 0.01, 6)) for d in range(n_docs)]
+    docs += [(f"r{rng.randrange(40)}", d, round(rng.uniform(0.5, 3), 3)) for d in range(n_docs)]
+    docs = list({(f, d): (f, d, w) for f, d, w in docs}.values())
+    queries = [(q, f, 1.0) for q in range(n_queries) for f in ("common", f"r{q % 40}")]
+    return queries, docs
+
+
+@pytest.mark.parametrize("block", [4, 50])
+def test_pairs_scored_per_query_are_bounded(spark, monkeypatch, block):
+    """A feature of all documents: the blocks of large weights settle nearly all queries, few pairs are stored."""
+    queries, docs = _skewed(1500, 40)
+    q, d = _frames(spark, queries, docs)
+    stored = []
+    plain = similarity.materialize
+
+    def counted(df):
+        out = plain(df)
+        if df.columns == ["qid", "doc_id", "score"]:
+            stored.append(out.groupBy("qid").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(similarity, "materialize", counted)
+    monkeypatch.setattr(similarity, "grid_apply", lambda *_: pytest.fail("the grid was used"))
+    assert _result(similarity.sparse_topk(q, d, 3, heavy_df=60, block_postings=block)) == _brute(queries, docs, 3)
+    # The first round reads 60 postings a query, give or take a block.
+    assert stored[0] <= 60 + block and len(stored) <= 2
+
+
+def test_blocks_hold_their_largest_weight_and_about_as_many_rows(spark):
+    _, docs = _skewed(1500, 1)
+    d = spark.createDataFrame(docs, "feature string, doc_id bigint, w double")
+    impacts = similarity.impact_blocks(d, 50)
+    assert impacts.rows.count() == len(docs)
+    found = impacts.rows.groupBy("feature", "level", "chunk").agg(F.count(F.lit(1)).alias("rows"), F.max("w").alias("top"))
+    joined = found.join(impacts.blocks, ["feature", "level"]).collect()
+    assert all(r.top <= r.max_w and r.chunk < r.chunks and r.rows <= 120 for r in joined)
+    by_feature = defaultdict(list)
+    for r in impacts.blocks.collect():
+        by_feature[r.feature].append((r.level, r.max_w))
+    assert all([w for _, w in sorted(b)] == sorted((w for _, w in b), reverse=True) for b in by_feature.values())
