@@ -76,13 +76,13 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 
 
 def term_idf(posting_rows: DataFrame, n_docs: int) -> DataFrame:
-    """(term, df, idf) with idf = ln((N - df + 0.5) / (df + 0.5) + 1)."""
-    n = F.lit(n_docs)
-    return (
-        posting_rows.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
-    )
+    """(term, df, idf) of the terms of postings."""
+    return idf_of(posting_rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n_docs)
+
+
+def idf_of(frequencies: DataFrame, n_docs: int) -> DataFrame:
+    """Adds idf = ln((N - df + 0.5) / (df + 0.5) + 1) to (term, df)."""
+    return frequencies.withColumn("idf", F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0))
 
 
 def bm25_weights(posting_rows: DataFrame, idf: DataFrame, avg_len: float, k1: float = K1, b: float = B) -> DataFrame:

@@ -42,10 +42,14 @@ def fit_vocabulary(
     min_df: int = 1,
 ) -> Vocabulary:
     """The most frequent grams (ties by gram) with smoothed idf = ln((1+n)/(1+df)) + 1."""
+    totals = counts.groupBy("gram").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    return choose_vocabulary(n_docs, totals, max_features, min_df)
+
+
+def choose_vocabulary(n_docs: int, totals: DataFrame, max_features: int = 5000, min_df: int = 1) -> Vocabulary:
+    """As ``fit_vocabulary``, from (gram, total, df)."""
     terms = (
-        counts.groupBy("gram")
-        .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-        .where(F.col("df") >= min_df)
+        totals.where(F.col("df") >= min_df)
         .orderBy(F.col("total").desc(), "gram")
         .limit(max_features)
         .select("gram", "df", (F.log(F.lit(n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parlova.functions.ids import first_valid_id
 from parlova.functions.payload import PARSE_FAILURE_CLAIM, parse_payload
 from parlova.functions.text import clean_text
 from parlova.operators import classify, history, policy, retrieval, thread_tree
@@ -15,6 +16,7 @@ from parlova.plans.sqlviews import VIEW_MIN_SCORE, VIEW_THRESHOLD, sql
 from parlova.runtime import materialize, scratch_path
 from parlova.sources import views
 from parlova.sources.views import VIEW_RISKY
+from parlova.streaming import history as stream_history
 from parlova.streaming.triage import read_triage_output, start_triage_stream
 
 CONFIG = tr.TriageConfig(
@@ -325,6 +327,42 @@ def repeated_failure(spark, sf):
     return _repeated(spark, sf).select("qid", "repeated_failure")
 
 
+@query("repeated_failure_stream", sql("SELECT qid, repeated_failure FROM repeated_v"))
+def repeated_failure_stream(spark, sf):
+    """As ``repeated_failure``, from a replay of messages and replies as a stream."""
+    tweets = views.tweets(spark, sf)
+    found = materialize(history.contacts(tweets, weak_label(clean_text(F.col("text")), views.VIEW_RULES)))
+    messages = found.select("customer", "tweet_id", "intent", F.col("opened").alias("at"), "seq", F.lit(None).cast("string").alias("answers"))
+    replies = tweets.where("NOT inbound").select(
+        F.concat(F.lit("reply_"), F.col("ingest_seq").cast("string")).alias("reply_id"),
+        F.col("created_at_parsed").alias("at"),
+        F.col("ingest_seq").alias("seq"),
+        first_valid_id(F.col("in_response_to_tweet_id")).alias("answers"),
+    )
+    named = found.select("customer", F.col("tweet_id").alias("answers"))
+    replies = replies.join(named, "answers").select(
+        "customer", F.col("reply_id").alias("tweet_id"), F.lit(None).cast("string").alias("intent"), "at", "seq", "answers"
+    )
+    # An event far ahead, so that the watermark passes all others.
+    end = F.lit("2200-01-01").cast("timestamp")
+    last = spark.range(1).select(
+        F.lit("").alias("customer"), F.lit("").alias("tweet_id"), F.lit(None).cast("string").alias("intent"), end.alias("at"),
+        F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("answers"),
+    )
+    source, output = scratch_path(spark, "events"), scratch_path(spark, "flags")
+    messages.unionByName(replies).unionByName(last).write.parquet(source)
+    # The files of a replay come in any order: nothing is late before its end.
+    flags = stream_history.repeated_failure_stream(
+        spark.readStream.schema(stream_history.EVENT_SCHEMA).parquet(source), VIEW_FAILURE_DAYS, "100 days"
+    )
+    writer = flags.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "stream")).option("path", output)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    flagged = spark.read.schema(flags.schema).parquet(output).select("tweet_id", "repeated_failure")
+    return found.join(flagged, "tweet_id", "left").select(
+        F.col("seq").alias("qid"), F.coalesce("repeated_failure", F.lit(False)).alias("repeated_failure")
+    )
+
+
 @query("triage_with_history", _triage_sql("mr_triage_v"))
 def triage_with_history(spark, sf):
     """Triage of the test messages, told which of them are repeated failures."""
