@@ -119,7 +119,9 @@ def threshold_sweep(predictions: DataFrame, steps: int = 20) -> DataFrame:
     ``steps`` + 1 bins replace one row per threshold and prediction.
     """
     bin_no = F.least(F.floor(F.round(F.col("confidence") * steps, 9)), F.lit(steps)).cast("bigint")
-    bins = predictions.groupBy(bin_no.alias("bin")).agg(
+    # An unknown confidence reaches no threshold.
+    known = predictions.where("confidence IS NOT NULL AND NOT isnan(confidence)")
+    bins = known.groupBy(bin_no.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("intent") == F.col("true_intent")).alias("hits"),
     )
@@ -139,6 +141,30 @@ def threshold_sweep(predictions: DataFrame, steps: int = 20) -> DataFrame:
     )
 
 
+def chosen_threshold(predictions: DataFrame, target: float, steps: int = 1000, z: float = 1.645) -> DataFrame:
+    """The lowest threshold of a sweep at which precision is at least ``target`` with confidence.
+
+    One row (threshold, n_kept, n_correct, coverage, precision, lower_bound), all null where no threshold will
+    do. The bound is Wilson's one-sided lower limit for the precision of the predictions that are kept; few of them
+    give a low one, so a threshold is not chosen for a lucky handful. A null or NaN ``confidence`` counts
+    in the coverage only.
+    """
+    n, p = F.col("n_kept"), F.col("precision")
+    square = z * z
+    spread = z * F.sqrt(p * (1 - p) / n + square / (4 * n * n))
+    lower = F.when(n > 0, (p + square / (2 * n) - spread) / (1 + square / n))
+    swept = threshold_sweep(predictions, steps).withColumn("lower_bound", lower)
+    columns = ["threshold", "n_kept", "n_correct", "coverage", "precision", "lower_bound"]
+    good = F.when(F.col("lower_bound") >= target, F.struct(*columns))
+    return swept.agg(F.min(good).alias("best")).select("best.*")
+
+
+def choose_threshold(predictions: DataFrame, target: float, steps: int = 1000, z: float = 1.645) -> float:
+    """``chosen_threshold`` as a number for the configuration of the triage; above 1 where none will do, so all escalates."""
+    found = chosen_threshold(predictions, target, steps, z).first().threshold
+    return 2.0 if found is None else found
+
+
 # --- trained models ---------------------------------------------------------
 
 

@@ -6,6 +6,8 @@ gold_escalate, pred_decision). All metrics come from counts per label pair.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,10 @@ def confusion_matrix(pred: DataFrame, true_col: str, pred_col: str, by: list[str
 
 def per_label_metrics(pred: DataFrame, true_col: str, pred_col: str, by: list[str] = []) -> DataFrame:
     """Precision, recall, F1, support per label; 0 where a ratio is undefined."""
-    pairs = label_pair_counts(pred, true_col, pred_col, by)
+    return _label_metrics(label_pair_counts(pred, true_col, pred_col, by), by)
+
+
+def _label_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
     sides = pairs.select(
         *by,
         F.inline(
@@ -72,9 +77,12 @@ def per_label_metrics(pred: DataFrame, true_col: str, pred_col: str, by: list[st
 
 def classification_metrics(pred: DataFrame, true_col: str, pred_col: str, by: list[str] = []) -> DataFrame:
     """Accuracy, macro and weighted F1 over the union of true and predicted labels."""
+    return _overall(per_label_metrics(pred, true_col, pred_col, by), by)
+
+
+def _overall(labels: DataFrame, by: list[str]) -> DataFrame:
     return (
-        per_label_metrics(pred, true_col, pred_col, by)
-        .groupBy(*by)
+        labels.groupBy(*by)
         .agg(
             F.sum("support").alias("n_examples"),
             F.count(F.lit(1)).alias("n_labels"),
@@ -85,6 +93,51 @@ def classification_metrics(pred: DataFrame, true_col: str, pred_col: str, by: li
     )
 
 
+# The chance that a Poisson(1) number is at most 0, 1, ... 8.
+POISSON_STEPS = [sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)) for i in range(9)]
+
+
+def poisson_weight(id_col: Column, replicate: Column) -> Column:
+    """How often a row counts in a replicate: a Poisson(1) number from a hash of both, the same on any cluster."""
+    digest = F.md5(F.concat_ws("#", id_col.cast("string"), replicate.cast("string")))
+    share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
+    return sum(F.when(share >= step, 1).otherwise(0) for step in POISSON_STEPS)
+
+
+def metric_intervals(
+    pred: DataFrame, id_col: str, true_col: str, pred_col: str, by: list[str], replicates: int = 200, level: float = 0.95
+) -> DataFrame:
+    """``by, metric, value, low, high``: accuracy, macro and weighted F1 with bootstrap limits.
+
+    Every replicate counts each row as often as a Poisson number drawn from its id says, so all replicates come
+    from one pass, whatever the partitioning; what is shuffled are label pairs per replicate, not rows. Limits
+    are the outer quantiles of the replicates, interpolated. Rows of one id are drawn together.
+    """
+    drawn = (
+        pred.select(*by, F.col(id_col).alias("_id"), F.col(true_col).alias("t"), F.col(pred_col).alias("p"))
+        .withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+        .withColumn("_weight", poisson_weight(F.col("_id"), F.col("replicate")))
+        .where("_weight > 0")
+        .groupBy(*by, "replicate", "t", "p")
+        .agg(F.sum("_weight").alias("n"))
+    )
+    keys = [*by, "replicate"]
+    metrics = ["accuracy", "macro_f1", "weighted_f1"]
+    sampled = _overall(_label_metrics(drawn, keys), keys)
+    tail = (1 - level) / 2
+    limits = sampled.groupBy(*by).agg(
+        *[F.percentile(m, F.array(F.lit(tail), F.lit(1 - tail))).alias(m) for m in metrics]
+    )
+    points = classification_metrics(pred, true_col, pred_col, by).select(*by, *[F.col(m).alias(f"_{m}") for m in metrics])
+    rows = F.array(
+        *[
+            F.struct(F.lit(m).alias("metric"), F.col(f"_{m}").alias("value"), F.get(m, F.lit(0)).alias("low"), F.get(m, F.lit(1)).alias("high"))
+            for m in metrics
+        ]
+    )
+    return points.join(limits, by).select(*by, F.inline(rows))
+
+
 def escalation_metrics(pred: DataFrame, by: list[str] = []) -> DataFrame:
     """Escalation as a binary decision; rates over all rows, null without rows."""
     g, p = F.col("gold_escalate"), F.col("pred_decision")

@@ -219,6 +219,42 @@ def eval_by_system(spark, sf):
     return _rounded(out, ["accuracy", "macro_f1", "weighted_f1"])
 
 
+_REPLICATES = 50
+_WEIGHT = " + ".join(f"CASE WHEN u >= {step!r}::DOUBLE THEN 1 ELSE 0 END" for step in evaluate.POISSON_STEPS)
+sv.define(
+    "drawn_v",
+    f"""SELECT system, rep, t, p, sum(w) AS n FROM (SELECT system, rep, t, p, {_WEIGHT} AS w FROM (
+  SELECT system, rep, gold_intent AS t, pred_intent AS p, CAST('0x' || substr(md5(example_id || '#' || rep), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
+  FROM systems_v CROSS JOIN (SELECT unnest(range(1, {_REPLICATES + 1})) AS rep))) WHERE w > 0 GROUP BY system, rep, t, p""",
+)
+sv.define(
+    "drawn_labels_v",
+    """SELECT system, rep, label, CAST(sum(support) AS DOUBLE) AS support, CAST(sum(predicted) AS DOUBLE) AS predicted, CAST(sum(tp) AS DOUBLE) AS tp FROM (
+  SELECT system, rep, t AS label, n AS support, 0 AS predicted, CASE WHEN t = p THEN n ELSE 0 END AS tp FROM drawn_v
+  UNION ALL SELECT system, rep, p, 0, n, 0 FROM drawn_v) GROUP BY system, rep, label""",
+)
+sv.define(
+    "drawn_metrics_v",
+    """SELECT system, rep, sum(tp) / sum(support) AS accuracy, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1
+FROM (SELECT *, coalesce(2 * tp / nullif(support + predicted, 0), 0.0) AS f1 FROM drawn_labels_v) GROUP BY system, rep""",
+)
+
+
+@query(
+    "metric_intervals",
+    sql(
+        f"""SELECT m.system, m.metric, m.value, round(quantile_cont(d.v, 0.025), 6) AS low, round(quantile_cont(d.v, 0.975), 6) AS high
+FROM (UNPIVOT ({_CLASSIFICATION.format("system_labels_v")}) ON accuracy, macro_f1, weighted_f1 INTO NAME metric VALUE value) m
+JOIN (UNPIVOT drawn_metrics_v ON accuracy, macro_f1, weighted_f1 INTO NAME metric VALUE v) d ON d.system = m.system AND d.metric = m.metric
+GROUP BY m.system, m.metric, m.value"""
+    ),
+)
+def metric_intervals(spark, sf):
+    """The systems' intent metrics with bootstrap limits."""
+    rows = evaluate.metric_intervals(_systems(spark, sf), "example_id", "gold_intent", "pred_intent", ["system"], _REPLICATES)
+    return _rounded(rows, ["value", "low", "high"])
+
+
 @query("escalation_metrics", sql(_ESCALATION))
 def escalation_metrics(spark, sf):
     return _rounded(evaluate.escalation_metrics(_systems(spark, sf), ["system"]), _ESCALATION_RATES)

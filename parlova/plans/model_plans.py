@@ -347,3 +347,34 @@ def train_calibrated_lr_checks(spark, sf):
     splits = views.flow(spark, sf)[1]
     model = classify.train_calibrated(views.training_rows(splits))
     return _probability_checks(materialize(model.probabilities(views.messages_of(splits).select("qid", "text"))), model.classes)
+
+
+VIEW_TARGET = 0.5
+_Z = 1.645
+sv.define(
+    "thresholds_v",
+    f"""SELECT *, (precision + {_Z} * {_Z} / (2 * n_kept) - {_Z} * sqrt(precision * (1 - precision) / n_kept + {_Z} * {_Z} / (4.0 * n_kept * n_kept))) / (1 + {_Z} * {_Z} / n_kept) AS lower_bound
+FROM (SELECT t / 1000.0::DOUBLE AS threshold, count(*) AS n_kept, count(*) FILTER (p.best_intent = m.intent) AS n_correct,
+  count(*) / CAST((SELECT count(*) FROM v_intent_v) AS DOUBLE) AS coverage, count(*) FILTER (p.best_intent = m.intent) / CAST(count(*) AS DOUBLE) AS precision
+FROM (SELECT unnest(range(1001)) AS t) JOIN v_intent_v p ON floor(round(p.confidence * 1000, 9)) >= t JOIN val_messages_v m ON m.qid = p.qid GROUP BY t)""",
+)
+sv.define("chosen_v", f"SELECT min(threshold) AS threshold FROM thresholds_v WHERE lower_bound >= {VIEW_TARGET}")
+
+
+def validated(spark, sf):
+    """Predictions for the validation messages, with their labels."""
+    messages, model, scored = _scored(spark, sf, "val")
+    return classify.with_intent(scored, model.classes, 0.0).join(messages.select("qid", F.col("intent").alias("true_intent")), "qid")
+
+
+@query(
+    "chosen_threshold",
+    sql(
+        """SELECT c.threshold, n_kept, n_correct, round(coverage, 6) AS coverage, round(precision, 6) AS precision, round(lower_bound, 6) AS lower_bound
+FROM chosen_v c LEFT JOIN thresholds_v t ON t.threshold = c.threshold"""
+    ),
+)
+def chosen_threshold(spark, sf):
+    """The lowest threshold whose precision on the validation split is proven to meet the target."""
+    found = classify.chosen_threshold(validated(spark, sf), VIEW_TARGET)
+    return found.withColumns({c: F.round(c, 6) for c in ("coverage", "precision", "lower_bound")})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from parlova.functions.ids import first_valid_id
@@ -11,6 +13,7 @@ from parlova.operators import classify, history, policy, retrieval, thread_tree
 from parlova.operators import triage as tr
 from parlova.operators.labels import weak_label
 from parlova.plans import sqlviews as sv
+from parlova.plans.model_plans import VIEW_TARGET
 from parlova.plans.registry import query
 from parlova.plans.sqlviews import VIEW_MIN_SCORE, VIEW_THRESHOLD, sql
 from parlova.runtime import materialize, scratch_path
@@ -67,13 +70,13 @@ def _define_draft(p: str) -> None:
     )
 
 
-def _define_decision(name: str, p: str, source: str, repeated: str = "false") -> None:
+def _define_decision(name: str, p: str, source: str, repeated: str = "false", threshold: str = str(VIEW_THRESHOLD)) -> None:
     sv.define(
         name,
         f"""SELECT *, CASE WHEN reason_code IS NULL THEN 'AUTO_HANDLE' ELSE 'ESCALATE' END AS decision FROM (
   SELECT q.qid, q.message, i.intent, i.confidence, i.top_intents, d.draft_reply, d.grounded, d.generation_mode, d.doc_ids, d.top_score, d.r1,
     CASE WHEN i.intent = 'OTHER_OR_UNKNOWN' THEN 'UNKNOWN_INTENT'
-      WHEN i.confidence < {VIEW_THRESHOLD} THEN 'LOW_INTENT_CONFIDENCE'
+      WHEN i.confidence < {threshold} THEN 'LOW_INTENT_CONFIDENCE'
       WHEN {sv.first_keyword('ct', policy.SENSITIVE_PHRASES)} IS NOT NULL THEN 'SENSITIVE_ACCOUNT_ACTION'
       WHEN {sv.first_keyword('ct', VIEW_RISKY)} IS NOT NULL THEN 'HIGH_RISK_REQUEST'
       WHEN {repeated} THEN 'REPEATED_FAILURE'
@@ -363,6 +366,25 @@ def repeated_failure_stream(spark, sf):
     )
 
 
+_CHOSEN = "coalesce((SELECT threshold FROM chosen_v), 2.0)"
+sv.define("mc_intent_v", f"SELECT * REPLACE (CASE WHEN confidence < {_CHOSEN} THEN 'OTHER_OR_UNKNOWN' ELSE best_intent END AS intent) FROM m_intent_v")
+sv.define("mc_draft_v", "SELECT * FROM m_draft_v")
+sv.define("mc_conflict_v", "SELECT * FROM m_conflict_v")
+_define_decision("mc_triage_v", "mc", "messages_v", threshold=_CHOSEN)
+
+
+@query("triage_chosen_threshold", _triage_sql("mc_triage_v"))
+def triage_chosen_threshold(spark, sf):
+    """Triage of the test messages at the threshold that the validation split proves."""
+    _, splits, model, index = setup(spark, sf)
+    held_out = views.messages_of(splits, "val")
+    scored = classify.with_intent(classify.linear_probabilities(held_out.select("qid", "text"), model), model.classes, 0.0)
+    predicted = scored.join(held_out.select("qid", F.col("intent").alias("true_intent")), "qid")
+    config = replace(CONFIG, confidence_threshold=classify.choose_threshold(predicted, VIEW_TARGET))
+    messages = views.messages_of(splits).select("qid", "message")
+    return flat(tr.triage(messages, classifier(model), model.classes, index, config))
+
+
 @query("triage_with_history", _triage_sql("mr_triage_v"))
 def triage_with_history(spark, sf):
     """Triage of the test messages, told which of them are repeated failures."""
