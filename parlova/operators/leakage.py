@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlova.functions.ids import row_digest
+from parlova.functions.text import space_tokens
 from parlova.operators.evaluate import PENDING
 from parlova.operators.golden import prediction_columns
+from parlova.runtime import materialize
 
 
 def cross_split_duplicates(splits: DataFrame, text_col: str = "cleaned_text") -> DataFrame:
@@ -31,6 +33,50 @@ def shared_texts(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> DataFram
     return large.join(small, "_d", "left_semi").select("text").distinct()
 
 
+# Words of the window by which items and documents meet.
+WINDOW_WORDS = 8
+
+
+def contained_items(items: DataFrame, documents: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
+    """``item_id, doc_id``: which documents contain the whole text of an item, as a sequence of words.
+
+    ``items`` (item_id, text), ``documents`` (doc_id, text). Words are taken between white space, in lower case. Every
+    item is looked for by a hash of its first ``width`` words (all, if it has fewer) among the hashes of the
+    documents' windows of as many words; only hashes and places move. Places that meet are verified word by word in
+    the documents that have any. A pair comes once, however often the text or the rows repeat; null ids and
+    items without a word match nothing.
+    """
+    def of_words(rows: DataFrame, key: str) -> DataFrame:
+        return rows.where(F.col(key).isNotNull()).select(key, space_tokens(F.lower(F.coalesce("text", F.lit("")))).alias("words"))
+
+    def window_hash(words: Column, start: Column, n: Column) -> Column:
+        return F.xxhash64(F.array_join(F.slice(words, start, n), " "))
+
+    n = F.least(F.size("words"), F.lit(width))
+    wanted = of_words(items, "item_id").where(F.size("words") > 0).dropDuplicates()
+    wanted = materialize(wanted.select("item_id", F.col("words").alias("item_words"), n.alias("n"), window_hash(F.col("words"), F.lit(1), n).alias("hash")))
+    # Each length of a window that occurs, at most ``width`` of them.
+    sizes = sorted(r.n for r in wanted.select("n").distinct().collect())
+    if not sizes:
+        return wanted.select("item_id").limit(0).withColumn("doc_id", F.lit(None).cast(documents.schema["doc_id"].dataType))
+    placed = of_words(documents, "doc_id").where(F.size("words") >= sizes[0])
+
+    def places(words: Column, size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - size + 1)
+        return F.transform(
+            starts, lambda at: F.struct(F.lit(size).alias("n"), window_hash(words, at, F.lit(size)).alias("hash"), at.alias("at"))
+        )
+
+    none = F.array().cast("array<struct<n: int, hash: bigint, at: int>>")
+    windows = F.concat(*[F.when(F.size("words") >= size, places(F.col("words"), size)).otherwise(none) for size in sizes])
+    met = placed.select("doc_id", F.inline(windows)).join(wanted.select("item_id", "n", "hash"), ["n", "hash"])
+    met = materialize(met.select("doc_id", "item_id", "at").distinct())
+    texts = placed.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = met.join(texts, "doc_id").join(wanted.select("item_id", "item_words"), "item_id")
+    same = F.slice("words", F.col("at"), F.size("item_words")) == F.col("item_words")
+    return found.where(same).select("item_id", "doc_id").distinct()
+
+
 def _size(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
 

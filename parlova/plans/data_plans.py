@@ -494,3 +494,20 @@ def leakage_report_planted(spark, sf):
     leaky = _leaky(golden_rows, splits)
     corpus = leaky.where(F.col("split") == "train").select(F.col("cleaned_text").alias("customer_text"))
     return leakage.leakage_report(golden_rows, leaky, corpus)
+
+
+def _spaced(expr):
+    return f"' ' || array_to_string({sv.space_tokens(f'lower({expr})')}, ' ') || ' '"
+
+
+@query(
+    "benchmark_containment",
+    sql(
+        f"""SELECT b.item_id, d.doc_id FROM (SELECT DISTINCT item_id, {_spaced('text')} AS words FROM benchmark WHERE item_id IS NOT NULL) b
+JOIN (SELECT DISTINCT doc_id, {_spaced('text')} AS words FROM documents WHERE doc_id IS NOT NULL) d ON contains(d.words, b.words)
+WHERE trim(b.words) <> '' GROUP BY b.item_id, d.doc_id"""
+    ),
+)
+def benchmark_containment(spark, sf):
+    """Documents that contain a whole benchmark text."""
+    return leakage.contained_items(views.table(spark, sf, "benchmark"), views.table(spark, sf, "documents"))
