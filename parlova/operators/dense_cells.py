@@ -26,7 +26,9 @@ from parlova.runtime import materialize
 
 # Rows of a ring, and of the queries that meet it in one task.
 BLOCK_ROWS = 8_192
-BLOCK_QUERIES = 32_768
+BLOCK_QUERIES = 4_096
+# Queries of a task where all documents lie in one ring.
+SMALL_QUERIES = 1_024
 # Bounds of what the driver and each task hold: pivots, angle bins of a cell, rings.
 MAX_PIVOTS = 256
 ANGLE_BINS = 256
@@ -179,6 +181,14 @@ def ring_topk(
 
     ``queries`` (qid, vec, _most, ...) and ``docs`` (doc_id, vec, ...) may carry columns that ``cell`` reads.
     """
+    if docs.count() <= block_rows:
+        # One ring: nothing to skip.
+        cuts = math.ceil(queries.count() / min(block_queries, SMALL_QUERIES))
+        every = F.explode(F.sequence(F.lit(0), F.lit(max(0, cuts - 1))))
+        q = queries.withColumn("_salt", F.pmod(F.xxhash64("qid"), F.lit(max(1, cuts))).cast("int"))
+        d = docs.withColumn("_salt", every)
+        d = d.toDF(*d.columns)
+        return top_k(q.groupBy("_salt").cogroup(d.groupBy("_salt")).applyInPandas(cell, schema), ["qid"], order_by, k)
     docs, rings = build_rings(docs, block_rows, max_pivots)
     queries = materialize(queries)
     near = materialize(_meet(visits(queries, rings, weight, True), docs, cell, schema, block_queries))

@@ -18,8 +18,8 @@ from parlova.operators.similarity import (
     best_first,
     dense_pairs,
     fused_topk,
-    most_postings,
     pad_topk,
+    reads_few,
     score_pairs,
     sparse_topk,
 )
@@ -229,8 +229,7 @@ def hybrid_topk(
     """
     lex_q = materialize(lexical_query(queries))
     sem_q = semantic_query(queries, index.vocabulary)
-    sem_q = materialize(sem_q)
-    if most_postings(lex_q, index.lexical) + most_postings(sem_q, index.semantic) <= PLAIN * heavy_df:
+    if reads_few([(lex_q, index.lexical), (sem_q, index.semantic)], PLAIN * heavy_df):
         hits = _one_pass(lex_q, sem_q, index, k, lexical_weight, semantic_weight)
     else:
         hits = _two_passes(lex_q, sem_q, index, k, lexical_weight, semantic_weight, heavy_df)

@@ -69,8 +69,7 @@ def sparse_topk(
         name: F.when(F.startswith(F.col("feature"), F.lit(prefix)), earned).otherwise(0.0)
         for name, prefix in parts.items()
     }
-    queries = materialize(queries)
-    if most_postings(queries, docs) <= PLAIN * heavy_df:
+    if reads_few([(queries, docs)], PLAIN * heavy_df):
         scored = (
             queries.join(docs.drop("df"), "feature")
             .groupBy("qid", "doc_id")
@@ -78,6 +77,7 @@ def sparse_topk(
         )
         return top_k(scored.where(_positive()), ["qid"], best_first(), k)
 
+    queries = materialize(queries)
     impacts = impact_blocks(docs, block_postings)
     # Only sizes the work, so an estimate without a shuffle will do.
     n_docs = docs.agg(F.approx_count_distinct("doc_id")).first()[0]
@@ -115,6 +115,13 @@ def most_postings(queries: DataFrame, docs: DataFrame) -> int:
     return total.agg(F.max("n")).first()[0] or 0
 
 
+def reads_few(parts: list[tuple[DataFrame, DataFrame]], limit: int) -> bool:
+    """Whether no query has more than ``limit`` postings in all (queries, docs) together; few postings tell it at once."""
+    if sum(docs.count() for _, docs in parts) <= limit:
+        return True
+    return sum(most_postings(queries, docs) for queries, docs in parts) <= limit
+
+
 @dataclass(frozen=True)
 class Impacts:
     """Postings in blocks by impact.

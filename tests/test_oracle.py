@@ -16,7 +16,7 @@ SOME = [
     "golden_set_checks", "leakage_report_planted", "keyword_weak_label", "tfidf_weights", "nearest_centroid", "silhouette_exact",
     "silhouette_fast", "threshold_sweep", "bm25_topk_padded", "cosine_topk", "hybrid_topk", "hybrid_topk_dense", "parse_model_payload",
     "escalation_policy", "triage_messages", "eval_by_system", "escalation_metrics", "reply_similarity", "failure_examples",
-    "judge_human_agreement", "comparison_table",
+    "judge_human_agreement", "comparison_table", "repeated_failure", "thread_roots", "benchmark_containment",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("PARLOVA_ALL") else SOME
 
