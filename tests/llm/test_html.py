@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pytest
 
-from parlova.llm.html import extract, main_text, parse
+from parlova.llm.html import _NAME_POINTS, _PASSES, extract, main_text, parse, points
 
 SF = "/root/testdata/sf0.001"
 LONG = "A sentence of the article, long enough to count, with commas, goes on and on here. "
@@ -84,3 +85,88 @@ def test_given_pages(spark):
 def test_telling_names(names, kept):
     _, blocks = parse(f"<body><div class='{names}'><p>{LONG}</p></div></body>")
     assert [b.node.dropped for b in blocks] == [not kept]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p>Go to <a href="/hidden-valley">Hidden Valley</a> now</p>', "Go to Hidden Valley now"),
+        ('<p title="hidden gems">gems</p>', "gems"),
+        ('<p>See <a href="/x?id=login">this</a></p>', "See this"),
+        ("<p>a <a class=share href=x>shared link</a> b</p>", "a shared link b"),
+        ("<div>a <a class=share href=x>shared link</a> b</div>", "a shared link b"),
+        ('<div data-id="nav" data-class="menu"><p>x</p></div>', "x"),
+        ('<div id="story" width="nav"><p>x</p></div>', "x"),
+        ('<div id="story" id="nav"><p>x</p></div>', "x"),
+        ("<p>foo<span hidden>x</span>bar</p>", "foobar"),
+        ("<p>a<!-- c -->b</p>", "ab"),
+        ("<p>one <svg/> two</p><p>three</p>", "one two three"),
+        ("<p>it <img alt='a > b'> stays</p>", "it stays"),
+        ("<div><span class=advert>buy</span></div><p>ok</p>", "ok"),
+        ("<article class='post comments-open'><p>x</p></article>", "x"),
+        ("<p>a < b and b > a</p>", "a < b and b > a"),
+        ('<p class="x>never closed quote</p><p>more</p>', "never closed quote more"),
+    ],
+)
+def test_attributes_are_read_whole(page, want):
+    assert main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "piece, end, n_chars",
+    [
+        ("<a ", "", 0), ("<div class='x\"", "", 0), ("</p", "", 0), ("<!--", "", 0), ("<script>", "", 0), ('<a href="', "", 0), ('<a href="', ">", 0),
+        ("<div>", "x", 1), ("<b>", "x", 1), ("<a>", "x", 1), ("<p>", "x", 1), ("<ul><li>", "x", 1), ("<div>t ", "", None), ("<table><tr><td>", "x", 1),
+    ],
+)
+def test_a_megabyte_of_broken_markup(piece, end, n_chars):
+    page = piece * (1_000_000 // len(piece)) + end
+    start = time.process_time()
+    got = main_text(page)
+    # Twice the page takes about twice as long; a cost by its square would be minutes.
+    assert time.process_time() - start < 30
+    assert n_chars is None or len(got) == n_chars
+
+
+def plain_scores(nodes, blocks, least):
+    """Points by climbing from every block, and the share of link text by looking at all blocks."""
+    def up(node):
+        return [node, *up(node.parent)] if node.parent else [node]
+
+    score, chars, links = {}, {}, {}
+    for b in blocks:
+        for n in up(b.node):
+            chars[id(n)] = chars.get(id(n), 0) + len(b.text)
+            links[id(n)] = links.get(id(n), 0) + b.link_chars
+        if len(b.text) >= least:
+            for level, n in enumerate(up(b.node.parent if b.node.name in _PASSES else b.node)):
+                score[id(n)] = score.get(id(n), 0) + points(b) / 2**level
+    named = {id(n): n for n in nodes}
+    return {i: (s + named[i].bias + _NAME_POINTS.get(named[i].name, 0)) * (1 - min(1, links[i] / chars[i])) for i, s in score.items()}
+
+
+def test_scores_of_given_pages_equal_climbing(spark):
+    from parlova.llm.html import _score
+
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect()[:60]:
+        nodes, blocks = parse(re.sub("(</?)(article|main)", r"\1div", r.html))
+        blocks = [b for b in blocks if not b.dropped]
+        want = plain_scores(nodes, blocks, 25)
+        for b in blocks:
+            b.node.chars += len(b.text)
+            b.node.link_chars += b.link_chars
+        for node in reversed(nodes):
+            if node.parent:
+                node.parent.chars += node.chars
+                node.parent.link_chars += node.link_chars
+        got = {id(n): n.score for n in _score(nodes, blocks, 25)}
+        assert got.keys() == want.keys()
+        assert all(abs(got[i] - want[i]) < 1e-6 for i in got)
+
+
+def test_given_pages_without_article_tags(spark):
+    right = total = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        total += 1
+        right += main_text(re.sub("(</?)(article|main)(?=[ >])", r"\1div", r.html)) == main_text(r.html)
+    assert right >= 0.9 * total
