@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +64,9 @@ def mix(
     blocks: int = BLOCKS,
     levels: int = SHARD_LEVELS,
     seed: int = SEED,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken, shards`` per row.
+    """``doc_id, source, size, source_size, target, taken, shards`` per row, then the columns in ``keep``.
 
     Rows of a source are dealt by hash into blocks of about equal words, ``blocks`` over all
     sources. A source's quota of words is its target: whole passes over its blocks, then blocks
@@ -71,16 +74,22 @@ def mix(
     The quotas of blocks are split over 2^``levels`` output shards by a tree: at each node half
     of the block labels, drawn without replacement, go left, which is a multivariate
     hypergeometric draw. Each shard then takes the next blocks of a second permutation of each
-    source, so shards are disjoint; ``shards`` lists the shard of each copy of a row. Within a
-    shard, sort by ``shard_order``.
+    source, so shards are disjoint; ``shards`` lists the shard of each copy of a row.
+    ``write_shards`` writes them, each in its own order.
 
     Null texts and texts without words have size 0 and are never taken; null sources are one
     source; repeated rows are separate rows. Tables without rows or words give targets of 0.
-    Windows run over the table of blocks, at most (blocks + sources) times 4 rows, or inside
-    the one cut block of a source.
+    Windows run over the blocks of one source, at most ``blocks`` + 1 times 4 rows, or inside its
+    one cut block; the draws over the blocks of all sources are ranked in many tasks. Columns
+    in ``keep`` must not have the name of a result column. A null or empty source is a
+    source like others, and extra columns of any name are not read.
     """
+    if clash := {k.lower() for k in keep} & {"doc_id", "source", "size", "source_size", "target", "taken", "shards"}:
+        raise ValueError(f"names of result columns: {sorted(clash)}")
+    kept = [f"_keep{i}" for i in range(len(keep))]
     rows = materialize(
         docs.select(
+            *(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)),
             F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
             F.col(f"`{source_col}`").cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(f"`{text_col}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
@@ -117,7 +126,7 @@ def mix(
     )
     cut = (F.col("start") < F.col("rest")) & (F.col("end") > F.col("rest"))
     inside = Window.partitionBy("rank", "block").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    result = ["doc_id", "source", "size", "source_size", "target", "passes", "last", "places"]
+    result = ["doc_id", "source", "size", "source_size", "target", "passes", "last", "places", *kept]
     uncut = placed.where(~F.coalesce(cut, F.lit(False))).withColumn(
         "last", F.when(F.col("end") <= F.col("rest"), F.col("size")).otherwise(0)
     )
@@ -135,12 +144,40 @@ def mix(
         "target",
         (F.col("passes") * F.col("size") + F.col("last")).cast("bigint").alias("taken"),
         F.coalesce(F.slice("places", F.lit(1), copies.cast("int")), F.array().cast("array<int>")).alias("shards"),
+        *(F.col(k).alias(c) for c, k in zip(keep, kept)),
     )
 
 
-def shard_order(shard: str, id_col: str = "doc_id", seed: int = SEED) -> Column:
-    """The sort key that shuffles a shard locally."""
-    return _number(shard, id_col, F.lit(seed), F.lit("order"))
+def shard_rows(mixed: DataFrame, text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """``shard, place, doc_id, copy, words, text``: a row per copy that ``mix(…, keep=[text_col])`` takes.
+
+    Copies count from 0; the last copy of a cut row holds its first words, joined by one space.
+    Sorted by ``shard, place`` a shard is in its shuffled order. Rows not taken give none.
+    """
+    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
+    copies = mixed.select("doc_id", "size", "taken", F.col(f"`{text_col}`").alias("_text"), F.posexplode("shards").alias("copy", "shard"))
+    text = F.col("_text").cast("string")
+    first = F.concat_ws(" ", F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), F.lit(1), F.col("words").cast("int")))
+    return copies.withColumn("words", words).select(
+        "shard", _number("shard", "doc_id", "copy", F.lit(seed), F.lit("order")).alias("place"), "doc_id", "copy", "words",
+        F.when(F.col("words") < F.col("size"), first).otherwise(text).alias("text"),
+    )
+
+
+def write_shards(mixed: DataFrame, path: str, text_col: str = "text", seed: int = SEED) -> None:
+    """Write ``shard_rows`` below ``path``, a folder per shard, its files in the shuffled order.
+
+    A range partition by shard and place deals a shard over as many tasks as its size asks for.
+    An empty table writes an empty one.
+    """
+    order = ["shard", "place", "doc_id", "copy"]
+    rows = shard_rows(mixed, text_col, seed).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.partitionBy("shard").parquet(path)
+
+
+def _halves(start: int, size: int) -> list[tuple[int, int]]:
+    """The two parts of a node's places; the first has no more than the second."""
+    return [(start, size // 2), (start + size // 2, size - size // 2)]
 
 
 def _shards_of_blocks(table: DataFrame, levels: int, seed: int) -> DataFrame:
@@ -155,13 +192,15 @@ def _shards_of_blocks(table: DataFrame, levels: int, seed: int) -> DataFrame:
     order = Window.partitionBy("rank").orderBy(_number("rank", "block", "pass", F.lit(seed), F.lit("draw")), "block", "pass")
     copies = materialize(copies.withColumn("label", F.row_number().over(order)))
     tree = copies.select("rank", "label", F.lit(0).alias("node"))
+    # Places before each node's first and its size; the halves follow from the number of copies alone.
+    nodes: list[tuple[int, int]] = []
     for level in range(levels):
         key = _number("node", "rank", "label", F.lit(seed), F.lit(f"level{level}"))
-        place = F.row_number().over(Window.partitionBy("node").orderBy(key, "rank", "label"))
-        size = F.count(F.lit(1)).over(Window.partitionBy("node"))
-        tree = tree.withColumn("_right", (place * 2 > size).cast("int")).select(
-            "rank", "label", (F.col("node") * 2 + F.col("_right")).alias("node")
-        )
+        ranked = global_rank(tree.withColumn("_key", key), ["node", "_key", "rank", "label"], "_place")
+        nodes = [part for start, size in nodes for part in _halves(start, size)] if level else [(0, ranked.n)]
+        before, size = (F.element_at(F.array(*map(F.lit, column)), F.col("node") + 1) for column in zip(*nodes))
+        right = ((F.col("_place") - before) * 2 > size).cast("int")
+        tree = ranked.rows.select("rank", "label", (F.col("node") * 2 + right).alias("node"))
     counts = tree.groupBy("rank", "node").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("rank").orderBy("node"))
     ranges = counts.withColumn("to", upto).withColumn("from", F.col("to") - F.col("n")).select("rank", "node", "from", "to")
@@ -174,14 +213,32 @@ def _shards_of_blocks(table: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
-    """The mix of all ``documents``."""
+    """The mix of all ``documents``; ``shards`` are the shards of a row's copies, comma-joined."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_join("shards", ",").alias("shards"))
+
 
+def _sql_number(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5({" || '#' || ".join(parts)}), 1, 8) AS BIGINT)"
 
-SQL_TAKEN = f"""
+
+def _sql_levels(levels: int) -> str:
+    """A common table per level of the tree: who goes right of each node's places."""
+    tables = []
+    for level in range(levels):
+        key = _sql_number("node", "rank", "label", f"'{SEED}'", f"'level{level}'")
+        tables.append(f""", n{level + 1} AS (
+  SELECT rank, label, node * 2 + CASE WHEN 2 * row_number() OVER (PARTITION BY node ORDER BY {key}, rank, label)
+    > count(*) OVER (PARTITION BY node) THEN 1 ELSE 0 END AS node FROM n{level}
+)""")
+    return "".join(tables)
+
+
+def sql(docs: str = "documents", blocks: int = BLOCKS, levels: int = SHARD_LEVELS) -> str:
+    """The SQL of the mix of a table or subquery."""
+    return f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM {{docs}}
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM {docs}
 ), s AS (
   SELECT source, row_number() OVER (ORDER BY source NULLS LAST) AS rank, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), w AS (
@@ -201,7 +258,7 @@ WITH sized AS (
     (SELECT sum(source_size) FROM w) AS total FROM w
 ), q AS (
   SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS quota,
-    greatest(1, CAST(ceil(CAST(source_size * {BLOCKS} AS DOUBLE) / greatest(1, total)) AS BIGINT)) AS n_blocks FROM t
+    greatest(1, CAST(ceil(CAST(source_size * {blocks} AS DOUBLE) / greatest(1, total)) AS BIGINT)) AS n_blocks FROM t
 ), p AS (
   SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS passes FROM q
 ), r AS (
@@ -218,12 +275,29 @@ WITH sized AS (
   FROM e GROUP BY rank, block HAVING sum(size) > 0
 ), f AS (
   SELECT rank, block, words, sum(words) OVER (PARTITION BY rank ORDER BY bh, block) AS stop FROM b
+), cp AS (
+  SELECT f.rank, f.block, unnest(range(r.passes + CASE WHEN f.stop - f.words < r.rest THEN 1 ELSE 0 END)) AS pass FROM f JOIN r ON f.rank = r.rank
+), lb AS (
+  SELECT *, row_number() OVER (PARTITION BY rank ORDER BY {_sql_number("rank", "block", "pass", f"'{SEED}'", "'draw'")}, block, pass) AS label FROM cp
+), n0 AS (
+  SELECT rank, label, 0 AS node FROM lb
+){_sql_levels(levels)}, nc AS (
+  SELECT rank, node, count(*) AS n FROM n{levels} GROUP BY rank, node
+), ng AS (
+  SELECT rank, node, n, sum(n) OVER (PARTITION BY rank ORDER BY node) AS upto FROM nc
+), pl AS (
+  SELECT lb.rank, lb.block, list(ng.node ORDER BY pass) AS places
+  FROM lb JOIN ng ON lb.rank = ng.rank AND label > upto - n AND label <= upto GROUP BY lb.rank, lb.block
 ), g AS (
-  SELECT e.*, f.stop, f.stop - f.words AS start,
+  SELECT e.*, f.stop, f.stop - f.words AS start, pl.places,
     coalesce(sum(size) OVER (PARTITION BY e.rank, e.block ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM e LEFT JOIN f ON e.rank = f.rank AND e.block = f.block
+  FROM e LEFT JOIN f ON e.rank = f.rank AND e.block = f.block LEFT JOIN pl ON e.rank = pl.rank AND e.block = pl.block
+), l AS (
+  SELECT *, greatest(0, least(size, coalesce(rest - start - before, 0))) AS last FROM g
 )
-SELECT doc_id, size, source_size, target,
-  CAST(passes * size + greatest(0, least(size, coalesce(rest - start - before, 0))) AS BIGINT) AS taken
-FROM g"""
-SQL = SQL_TAKEN.format(docs="documents")
+SELECT doc_id, size, source_size, target, CAST(passes * size + last AS BIGINT) AS taken,
+  CASE WHEN size > 0 THEN coalesce(array_to_string(places[1:CAST(passes + CASE WHEN last > 0 THEN 1 ELSE 0 END AS BIGINT)], ','), '') ELSE '' END AS shards
+FROM l"""
+
+
+SQL = sql()

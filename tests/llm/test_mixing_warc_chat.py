@@ -49,15 +49,14 @@ def test_mix_keeps_rows_and_limits(mixed):
 
 def test_mix_repeats_and_equals_sql(spark, mixed):
     docs, got = mixed
-    key = lambda rows: sorted(map(repr, ((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in rows)))
+    key = lambda rows: sorted(map(repr, ((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"], r["shards"] if isinstance(r["shards"], str) else ",".join(map(str, r["shards"]))) for r in rows)))
     again = mixing.mix(docs.repartition(7), blocks=64, levels=3).collect()
     assert key(got) == key(again)
     frame = docs.select("doc_id", "source", "text").toPandas()
     frame["doc_id"] = frame["doc_id"].astype("Int64")
     con = duckdb.connect()
     con.register("frame", frame)
-    sql = mixing.SQL_TAKEN.format(docs="(SELECT CAST(doc_id AS BIGINT) AS doc_id, source, text FROM frame)").replace(str(mixing.BLOCKS), "64")
-    cur = con.execute(sql)
+    cur = con.execute(mixing.sql("(SELECT CAST(doc_id AS BIGINT) AS doc_id, source, text FROM frame)", 64, 3))
     names = [d[0] for d in cur.description]
     assert key([dict(zip(names, r)) for r in cur.fetchall()]) == key(got)
 
@@ -71,6 +70,34 @@ def test_shards_get_equal_shares_of_blocks(mixed):
     assert len(words) == 8 and max(words.values()) < 3 * min(words.values())
 
 
+def test_the_tree_is_in_the_query(spark):
+    """Every level of the tree is written, and the shards reach the query's rows."""
+    rows = __import__("parlova.llm.queries").llm.queries.queries()["op5_mixing"](spark, "/root/testdata/sf0.001")
+    shards = {s for r in rows.select("shards").collect() for s in r.shards.split(",") if s}
+    assert shards == {str(s) for s in range(2**mixing.SHARD_LEVELS)}
+
+
+def test_written_shards_hold_what_the_mix_takes(spark, mixed, tmp_path):
+    docs, _ = mixed
+    whole = mixing.mix(docs, blocks=64, levels=3, keep=["text"])
+    taken = defaultdict(int)
+    for r in whole.collect():
+        taken[r.doc_id] += r.taken
+    path = str(tmp_path / "shards")
+    mixing.write_shards(whole, path)
+    back = spark.read.parquet(path).collect()
+    got = defaultdict(int)
+    for r in back:
+        assert len((r.text or "").split()) == r.words > 0
+        got[r.doc_id] += r.words
+    assert got == {k: v for k, v in taken.items() if v}
+    assert {r.shard for r in back} == set(range(8))
+    one = spark.read.parquet(f"{path}/shard=3").where("doc_id is not null").orderBy("place").select("doc_id").collect()
+    assert len({r.doc_id for r in one}) > 5 and [r.doc_id for r in one] != sorted(r.doc_id for r in one)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, keep=["Size"])
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id bigint, source string, text string")
     assert mixing.mix(empty).count() == 0
@@ -107,6 +134,19 @@ def test_archive_round_trip(spark):
     assert spark.read.parquet(f"{path}/payloads").count() == len(largest)
 
 
+def test_urls_come_back_exactly(spark):
+    urls = ["http://a/\tb", "http://a/%09b", "http://a/%09\t%25\x7f\x00\x1f", "bad\r\nWARC-Type: revisit", "", None, "é\x01", " spaces "]
+    table = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").selectExpr("page_id", "url", "'same' AS html")
+    path = scratch_path(spark, "test-archive")
+    warc.write_archive(table, path)
+    assert dict(warc.read_archive(spark, path).select("page_id", "url").collect()) == dict(enumerate(urls))
+    con = duckdb.connect()
+    con.register("pages", table.toPandas())
+    want = {r[0]: r[-1] for r in con.execute(warc.SQL).fetchall()}
+    rows = warc.read_archive(spark, path).collect()
+    assert {r.page_id: hashlib.sha256(bytes(r.record)).hexdigest() for r in rows} == want
+
+
 def test_small_payloads_are_all_responses(spark):
     table = spark.createDataFrame([(1, "a", "xy"), (2, "b", "xy"), (3, "c", "long one"), (4, "d", "long one")], "page_id bigint, url string, html string")
     path = scratch_path(spark, "test-archive")
