@@ -10,6 +10,10 @@ from parlova.runtime import scratch_path
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT_BYTES = 0
+# A URL with control characters is written percent-encoded under a header line that says so.
+_CONTROLS = [*range(0x20), 0x7F]
+_CONTROL = r"[\x00-\x1F\x7F]"
+_ESCAPED = "X-Target-URI-Escaped"
 _HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -26,6 +30,19 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
 
+def _escaped(url: Column) -> Column:
+    """``url`` with % and control characters as %XX."""
+    for code in (0x25, *_CONTROLS):
+        url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return url
+
+
+def _unescaped(url: Column) -> Column:
+    for code in (*_CONTROLS, 0x25):
+        url = F.replace(url, F.lit(f"%{code:02X}"), F.lit(chr(code)))
+    return url
+
+
 def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
@@ -38,9 +55,10 @@ def write_archive(
     The payload is the text in UTF-8 (null: empty) or the bytes of a binary column. Its address is
     the SHA-256; SHA-1 and length must agree among all rows of an address, else writing fails. Of
     equal payloads of at least ``min_revisit_bytes`` the row with the largest id is a response and
-    the others revisit it; repeated rows with that id are responses too. Line breaks and
-    other control characters in a URL are percent-encoded; a null URL has no header line. A
-    null id never is the largest unless all are null. Payloads travel once, to be
+    the others revisit it; repeated rows with that id are responses too. In a URL with line breaks or
+    other control characters these and % are percent-encoded, and a header line says so, so
+    that reading gives the URL as it was; a null URL has no header line. A
+    null id never is the largest unless all are null. An empty table writes an empty archive. Payloads travel once, to be
     stored; headers follow the digest alone.
     """
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
@@ -60,8 +78,8 @@ def write_archive(
     groups = groups.select("address", F.when(same, F.col("holder")).otherwise(F.raise_error(F.lit("two payloads share a digest"))).alias("holder"))
     revisit = (F.col("n") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("holder"))
     kind = F.when(revisit, "revisit").otherwise("response")
-    url = F.regexp_replace(F.regexp_replace("url", r"\r", "%0D"), r"\n", "%0A")
-    url = F.regexp_replace(url, r"[\x00-\x1F]", "%00")
+    escape = F.col("url").rlike(_CONTROL)
+    url = F.when(escape, _escaped(F.col("url"))).otherwise(F.col("url"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), _line("Content-Length", F.col("n").cast("string")), F.lit("\r\n"))
     block = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("n"))
     header = F.concat(
@@ -70,6 +88,7 @@ def write_archive(
         _line("WARC-Record-ID", _record_id(F.col("page_id"))),
         _line("WARC-Date", F.lit(DATE)),
         _line("WARC-Target-URI", url),
+        _line(_ESCAPED, F.when(escape, F.lit("1"))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         _line("WARC-Profile", F.when(revisit, PROFILE)),
         _line("WARC-Refers-To", F.when(revisit, _record_id(F.col("holder")))),
@@ -103,6 +122,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         base32_sha1(F.col("payload")).alias("_digest"),
     )
     text = spark.read.parquet(f"{path}/records").withColumn("_text", F.col("header").cast("string"))
+    # A field that is there but empty is an empty URL.
+    uri = F.when(F.col("_text").contains("\r\nWARC-Target-URI: "), F.coalesce(_field("WARC-Target-URI"), F.lit("")))
     parsed = text.select(
         "address",
         "header",
@@ -110,7 +131,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         _field("WARC-Type").alias("record_type"),
         F.regexp_extract(_field("WARC-Record-ID"), r"<urn:page:(-?\d+)>", 1).alias("_id"),
         F.regexp_extract(F.coalesce(_field("WARC-Refers-To"), F.lit("")), r"<urn:page:(-?\d+)>", 1).alias("_to"),
-        _field("WARC-Target-URI").alias("url"),
+        F.when(F.col("_text").contains(f"\r\n{_ESCAPED}: "), _unescaped(uri)).otherwise(uri).alias("url"),
         F.regexp_extract(_field("WARC-Payload-Digest"), "sha1:(.*)", 1).alias("payload_digest"),
         _field("Content-Length").cast("bigint").alias("_length"),
     )
@@ -144,9 +165,15 @@ def _sql_line(name: str, value: str) -> str:
     return f"coalesce('{name}: ' || {value} || chr(13) || chr(10), '')"
 
 
+def _sql_escaped(url: str) -> str:
+    for code in (0x25, *_CONTROLS):
+        url = f"replace({url}, chr({code}), '%{code:02X}')"
+    return url
+
+
 SQL = f"""
 WITH p AS (
-  SELECT page_id, url, coalesce(html, '') AS payload FROM pages
+  SELECT page_id, regexp_matches(url, '{_CONTROL}') AS escape, CASE WHEN regexp_matches(url, '{_CONTROL}') THEN {_sql_escaped("url")} ELSE url END AS url, coalesce(html, '') AS payload FROM pages
 ), k AS (
   SELECT *, octet_length(encode(payload)) AS n, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS holder FROM p
 ), d AS (
@@ -160,7 +187,7 @@ WITH p AS (
 )
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest, record_type, CASE WHEN again THEN holder END AS refers_to,
   sha256('WARC/1.1' || crlf || {_sql_line("WARC-Type", "record_type")} || {_sql_line("WARC-Record-ID", "'<urn:page:' || page_id || '>'")}
-    || {_sql_line("WARC-Date", f"'{DATE}'")} || {_sql_line("WARC-Target-URI", "url")} || {_sql_line("WARC-Payload-Digest", "'sha1:' || payload_digest")}
+    || {_sql_line("WARC-Date", f"'{DATE}'")} || {_sql_line("WARC-Target-URI", "url")} || {_sql_line(_ESCAPED, "CASE WHEN escape THEN '1' END")} || {_sql_line("WARC-Payload-Digest", "'sha1:' || payload_digest")}
     || {_sql_line("WARC-Profile", f"CASE WHEN again THEN '{PROFILE}' END")} || {_sql_line("WARC-Refers-To", "CASE WHEN again THEN '<urn:page:' || holder || '>' END")}
     || 'Content-Type: application/http;msgtype=response' || crlf
     || {_sql_line("Content-Length", "(length(http) + CASE WHEN again THEN 0 ELSE n END)")} || crlf
