@@ -36,8 +36,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """For each document the words that the mix takes of it, and the shards of its copies."""
-    return mixing.mix(docs)
+    """For each document the words that the mix takes of it, the shards of its copies, and its text."""
+    return mixing.mix(docs, keep=["text"])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
