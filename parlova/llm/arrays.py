@@ -6,7 +6,7 @@ batch, so memory follows the piece size or one single text, never a partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +40,14 @@ class Texts:
         return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.offsets))
 
 
+def column_index(columns: Sequence[str], name: str) -> int:
+    """The place of a column by its exact name, or else, as Spark does, by any case of it."""
+    for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):
+        if found := [i for i, c in enumerate(columns) if same(c)]:
+            return found[0]
+    raise ValueError(f"no column {name!r} in {list(columns)}")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

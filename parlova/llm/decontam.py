@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlova.llm.arrays import SPACE, Texts, pieces
+from parlova.llm.arrays import SPACE, Texts, column_index, pieces
 
 EDIT_RATE = 0.08
 MAX_Q = 10
 SLICE_CHARS = 1 << 20
+STEP = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 # Lower case of all characters that have one of a single character; none lies above U+1FFFF.
@@ -114,6 +115,14 @@ def prepare_items(rows: list[tuple[int, str]], rate: float = EDIT_RATE) -> list[
     return out
 
 
+def _bands(keys: np.ndarray, counts: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """The first blocks of the bands, two neighbouring blocks each, that reach their bound."""
+    both = counts.copy()
+    both[:-1] += np.where(keys[1:] == keys[:-1] + 1, counts[1:], 0)
+    # A band may also start one block earlier, where the first of its blocks is empty.
+    return np.unique(np.concatenate([keys[both >= bound], keys[counts >= bound] - 1]))
+
+
 def _regions(points: np.ndarray, bounds: np.ndarray, grams: Grams) -> Iterator[tuple[int, int, int, int]]:
     """(text, item, first place, last place) of the regions that share enough q-grams."""
     h = gram_hashes(points, grams.q)
@@ -137,26 +146,23 @@ def _regions(points: np.ndarray, bounds: np.ndarray, grams: Grams) -> Iterator[t
     size = np.array([len(i.points) for i in grams.items], np.int64)
     # Blocks of diagonals as wide as a match may wander; a band is two neighbouring blocks.
     span = int(len(points) // 1 + size.max() + 2)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     while low < len(at):
-        # Occurrences are expanded in bounded steps that end between two texts.
-        step = int(np.searchsorted(total, (total[low - 1] if low else 0) + (4 << 20), "right"))
-        high = max(step, low + 1)
-        high = int(np.searchsorted(text, text[high - 1], "right"))
+        # Occurrences are expanded in bounded steps; counts of a text that goes on are carried over.
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + STEP, "right")))
         n = count[low:high]
         index = np.arange(int(n.sum())) + np.repeat(grams.first[known[low:high]] - (np.cumsum(n) - n), n)
         item, place = grams.item[index], grams.place[index]
         own = np.repeat(text[low:high], n)
         diagonal = np.repeat(at[low:high], n) - bounds[own] - place + size[item]
-        block = diagonal // width[item]
-        key = (own.astype(np.int64) * len(grams.items) + item) * span + block
-        keys, counts = np.unique(key, return_counts=True)
-        follows = np.zeros(len(keys), bool)
-        follows[:-1] = keys[1:] == keys[:-1] + 1
-        here = keys // span % len(grams.items)
-        both = counts.copy()
-        both[:-1] += np.where(follows[:-1], counts[1:], 0)
-        # A band may also start one block earlier, where the first of its blocks is empty.
-        found.append(np.unique(np.concatenate([keys[both >= bound[here]], keys[counts >= bound[here]] - 1])))
+        key = (own.astype(np.int64) * len(grams.items) + item) * span + diagonal // width[item]
+        more, more_counts = np.unique(key, return_counts=True)
+        keys, back = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, more_counts]), len(keys)).astype(np.int64)
+        goes_on = high < len(at) and text[high] == text[high - 1]
+        cut = int(np.searchsorted(keys, int(text[high - 1]) * len(grams.items) * span)) if goes_on else len(keys)
+        found.append(_bands(keys[:cut], counts[:cut], bound[keys[:cut] // span % len(grams.items)]))
+        keys, counts = keys[cut:], counts[cut:]
         low = high
     for key in np.concatenate(found).tolist():
         block, rest = key % span, key // span
@@ -261,6 +267,8 @@ def contaminated(
     bounded while the passes grow with the benchmark. ``start`` and ``end`` are code points of
     the document. Null and empty texts on either side match nothing; items with equal text all
     match; repeated document rows give repeated results; an empty table on either side gives none.
+    Very long texts are read whole; shared q-grams are counted in steps of ``STEP`` occurrences, so
+    that memory follows the text and its blocks of diagonals, not the occurrences.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     result = None
@@ -288,14 +296,16 @@ def drop_contaminated(
     """The rows in whose own text no benchmark text is found, all columns as they came.
 
     Rows are judged where they lie, one filter per slice of the benchmark, so ids do not matter.
+    Null and empty texts stay; an empty benchmark drops nothing.
     """
+    at = column_index(docs.columns, text_col)
     for part in _slices(benchmark, item_col, item_text_col, slice_chars):
 
         def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             tables = prepare_items(part, rate)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for texts in pieces(batch.column(batch.schema.get_field_index(text_col))):
+                for texts in pieces(batch.column(at)):
                     for found in _matches(texts, tables):
                         clean[texts.rows.start + found[0]] = False
                 yield batch.filter(pa.array(clean))

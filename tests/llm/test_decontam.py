@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parlova.llm import decontam
@@ -119,3 +121,36 @@ def test_letters_of_all_scripts_are_lower_cased(text):
     data = text.encode()
     points, _, _ = decontam.normal_points(decontam.Texts(slice(0, 1), np.frombuffer(data, np.uint8), np.array([0, len(data)])))
     assert "".join(map(chr, points)) == "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def test_steps_inside_a_text_change_nothing(monkeypatch):
+    """Counts carried over steps give the matches of one step, with items that repeat themselves."""
+    rng = np.random.default_rng(4)
+    items = [(1, "ab" * 60), (2, "a" * 50), (3, "".join(rng.choice(list("abc "), 80))), (4, "ba" * 40 + "c")]
+    texts = ["ab" * 400 + "x" * 30 + "ab" * 90, "a" * 300, "", "".join(rng.choice(list("abc "), 500)) + items[2][1], "ba" * 200 + "c" + "a" * 45, "zzz"]
+    tables = decontam.prepare_items(items)
+    piece = next(decontam.pieces(pa.array(texts)))
+    want = sorted(decontam._matches(piece, tables))
+    assert {f[0] for f in want} >= {0, 1, 3, 4}
+    for step in (1, 7, 1000):
+        monkeypatch.setattr(decontam, "STEP", step)
+        assert sorted(decontam._matches(piece, tables)) == want
+
+
+def test_a_long_text_of_one_gram_needs_bounded_memory():
+    """Half as many occurrences again per step would show; a text of 100,000 has some 40 million."""
+    points = np.frombuffer(("ab" * 50_000).encode("utf-32-le"), np.uint32)
+    grams = decontam.prepare_items([(1, "ab" * 400)])[0]
+    tracemalloc.start()
+    found = sum(1 for _ in decontam._regions(points, np.array([0, len(points)]), grams))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 100 and peak < 250 << 20
+
+
+def test_column_names_in_any_case(spark):
+    docs = spark.createDataFrame([(1, "the benchmark text is in here", 5), (2, "clean", 6)], "doc_id bigint, Text string, last int")
+    items = spark.createDataFrame([(1, "benchmark text is in")], "item_id bigint, text string")
+    assert [tuple(r) for r in decontam.drop_contaminated(docs, items).collect()] == [(2, "clean", 6)]
+    with pytest.raises(ValueError):
+        decontam.drop_contaminated(docs, items, text_col="body")
