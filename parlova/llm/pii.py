@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlova.llm.arrays import column_index
 from parlova.runtime import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -335,12 +336,15 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns, the personal data in ``text_col`` replaced by [EMAIL], [IP], [CARD] or [PHONE]."""
+    """All rows and columns, the personal data in ``text_col`` replaced by [EMAIL], [IP], [CARD] or [PHONE].
+
+    Null, empty and blank texts stay as they are; an empty table gives no rows.
+    """
+    at = column_index(docs.columns, text_col)
     accepted = fit(materialize(find_candidates(docs, id_col, text_col).select("kind", "code")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
             texts = [None if t is None else masked(t, chosen(candidates(t), accepted)) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 

@@ -110,3 +110,8 @@ def test_estimation_finds_the_reliable_labelers():
     accepted = pii.accepts(pii.train(codes, posterior))
     right = sum(n for (k, c), n in codes.items() if ((k, c) in accepted) == (sum(pii.votes_of(c)[:3]) >= 2))
     assert right >= 0.97 * sum(codes.values())
+
+
+def test_mask_finds_its_column_in_any_case(spark):
+    docs = spark.createDataFrame([(1, "write to a@b.cd", "a@b.cd")], "doc_id bigint, Text string, texts string")
+    assert [tuple(r) for r in pii.mask(docs).collect()] == [(1, "write to [EMAIL]", "a@b.cd")]
