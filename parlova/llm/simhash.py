@@ -208,9 +208,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat such an id stay together; rows with null ids stay, as nothing names them.
     """
     classes = near_duplicates(docs, id_col, text_col, distance)
-    lost = classes.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_lost")).distinct()
+    name = "_lost"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    lost = classes.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct()
     # Written first, so that Spark knows its size and can leave the texts where they are.
-    return docs.join(materialize(lost), F.col(f"`{id_col}`") == F.col("_lost"), "left_anti")
+    return docs.join(materialize(lost), F.col(f"`{id_col}`") == F.col(name), "left_anti")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

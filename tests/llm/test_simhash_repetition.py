@@ -80,6 +80,12 @@ def test_keep_first_keeps_one_of_each_group_and_all_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 3]
 
 
+def test_keep_first_with_clashing_names(spark):
+    rows = [(1, "one two three", 5), (2, "one two three", 1), (3, "quite another text", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, Text string, _LOST int")
+    assert sorted(map(tuple, keep_first(docs).collect())) == [rows[0], rows[2]]
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
