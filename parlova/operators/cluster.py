@@ -9,8 +9,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,50 +16,13 @@ from parlova.functions.arrays import distance, dot, squared_distance
 from parlova.functions.text import ngrams
 from parlova.operators.classify import fit_text_features
 from parlova.operators.grid import block_count, grid_apply
+from parlova.operators.kmeans import KMeansFit, assign_kmeans, cluster_count, fit_kmeans  # noqa: F401
 from parlova.operators.ranking import top_k
 from parlova.runtime import materialize
 
 SILHOUETTE_BLOCK = 2048
 
 
-def cluster_count(n_texts: int, wanted: int = 8) -> int:
-    return min(wanted, max(2, n_texts // 5))
-
-
-@dataclass(frozen=True)
-class KMeansFit:
-    model: KMeansModel
-    cost: float
-    seed: int
-
-
-def fit_kmeans(vectors: DataFrame, wanted: int = 8, n_init: int = 10, seed: int = 42) -> KMeansFit:
-    """Best of ``n_init`` distributed k-means runs by training cost.
-
-    Takes a ``features`` vector column (sparse or dense), else ``vec`` arrays.
-    """
-    data = materialize(_features(vectors).select("features"))
-    k = cluster_count(data.count(), wanted)
-    best: KMeansFit | None = None
-    for s in range(seed, seed + n_init):
-        model = KMeans(k=k, seed=s, featuresCol="features").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best.cost:
-            best = KMeansFit(model, cost, s)
-    return best
-
-
-def _features(vectors: DataFrame) -> DataFrame:
-    if "features" in vectors.columns:
-        return vectors
-    return vectors.withColumn("features", array_to_vector("vec"))
-
-
-def assign_kmeans(vectors: DataFrame, fit: KMeansFit) -> DataFrame:
-    out = fit.model.setPredictionCol("cluster").transform(_features(vectors))
-    return out if "features" in vectors.columns else out.drop("features")
-
-
 def centroids(labelled: DataFrame, label_col: str) -> DataFrame:
     """Mean vector per label as (label, pos, mean); partial sums precede the shuffle."""
     return (
@@ -256,7 +217,7 @@ def discover_text_clusters(
     )
     # Clusters x vocabulary numbers: the model itself, one broadcast row per cluster.
     centers = docs.sparkSession.createDataFrame(
-        [(i, c.tolist(), float(c @ c)) for i, c in enumerate(fit.model.clusterCenters())],
+        [(i, c.tolist(), float(c @ c)) for i, c in enumerate(fit.centers)],
         "cluster int, center array<double>, center_sq double",
     )
     shared = F.zip_with("idx", "vec", lambda i, v: v * F.element_at("center", i + 1))

@@ -287,7 +287,7 @@ def kmeans_fit_checks(spark, sf):
     rows = views.vectors(spark, sf).select("vec_id", "vec")
     fit = cluster.fit_kmeans(rows, 8, n_init=10, seed=42)
     centers = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(fit.model.clusterCenters())], "label int, centroid array<double>"
+        [(i, [float(x) for x in c]) for i, c in enumerate(fit.centers)], "label int, centroid array<double>"
     )
     assigned = materialize(cluster.nearest_centroid(cluster.assign_kmeans(rows, fit).select("vec_id", "vec", "cluster"), centers))
     near = assigned.join(F.broadcast(centers), F.col("cluster") == F.col("label"))
