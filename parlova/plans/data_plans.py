@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from parlova.functions import text as tx
 from parlova.functions.ids import first_valid_id, parse_created_at
-from parlova.operators import brands, golden, leakage, profile, ranking, sampling, threads
+from parlova.operators import brands, day_profile, golden, leakage, profile, ranking, sampling, threads
 from parlova.operators.vectors import gram_counts
 from parlova.plans import sqlviews as sv
 from parlova.plans.registry import query
 from parlova.plans.sqlviews import sql
-from parlova.runtime import scratch_path
+from parlova.runtime import materialize, scratch_path
 from parlova.schemas import INTENTS, REASON_CODES, intent_dimension
 from parlova.sources import tables, views
 from parlova.sources.tweets import limited, read_tweets_csv, write_tweets_csv
@@ -209,6 +209,71 @@ def duplicate_counts(spark, sf):
     return profile.duplicate_counts(views.table(spark, sf, "documents"), "text")
 
 
+_DAY_COLUMNS = ["tweet_id", "author_id", "inbound", "created_at", "text"]
+_DAY_SQL = (
+    "count(*) AS n_rows, count(*) FILTER (inbound) AS inbound_count, count(*) FILTER (NOT inbound) AS outbound_count, "
+    + "min(ts_sec) AS min_sec, max(ts_sec) AS max_sec, count(*) - count(ts_sec) AS null_created_at_parsed, "
+    + ", ".join(f"count(*) - count({c}) AS null_{c}" for c in _DAY_COLUMNS)
+)
+
+
+def _stored_states(spark, sf):
+    """States of four batches of the messages, written and read back."""
+    rows = views.tweets(spark, sf)
+    states = day_profile.day_states(rows, F.pmod(F.xxhash64("tweet_id"), F.lit(4)))
+    return day_profile.read_states(spark, day_profile.write_states(states, scratch_path(spark, "day-states")))
+
+
+def _day_counts(merged):
+    nulls = [f"null_{c}" for c in [*_DAY_COLUMNS, "created_at_parsed"]]
+    seconds = [_secs("min_created_at").alias("min_sec"), _secs("max_created_at").alias("max_sec")]
+    return ["n_rows", "inbound_count", "outbound_count", *seconds, *nulls]
+
+
+@query("profile_by_day", sql(f"SELECT CAST(floor(ts_sec / 86400.0) AS BIGINT) AS day, {_DAY_SQL} FROM tweets_v GROUP BY 1"))
+def profile_by_day(spark, sf):
+    """Exact part of the merged states, per day."""
+    merged = day_profile.merge_states(_stored_states(spark, sf), "day")
+    return merged.select(F.unix_date("day").cast("bigint").alias("day"), *_day_counts(merged))
+
+
+@query(
+    "profile_merged",
+    sql(
+        f"""SELECT {_DAY_SQL}, count(DISTINCT tweet_id) AS n_ids, count(DISTINCT author_id) AS n_authors, count(text) AS n_texts,
+  true AS ids_near, true AS authors_near, true AS p50_near, true AS p90_near, true AS p99_near FROM tweets_v"""
+    ),
+)
+def profile_merged(spark, sf):
+    """All states as one: counts, and whether each estimate is within its stated error of a rescan."""
+    merged = day_profile.merge_states(_stored_states(spark, sf))
+    found = materialize(day_profile.report(merged))
+    rows = views.tweets(spark, sf).select("tweet_id", "author_id", F.length("text").alias("length"))
+    value = {q: found.select(f"length_{q}").scalar() for q in day_profile.QUANTILES}
+    lengths = rows.agg(
+        *[F.count_if(F.col("length") < v).alias(f"below_{q}") for q, v in value.items()],
+        *[F.count_if(F.col("length") <= v).alias(f"upto_{q}") for q, v in value.items()],
+    )
+    ids = rows.groupBy("tweet_id").agg(F.lit(1)).agg(F.count("tweet_id").alias("n_ids"))
+    authors = rows.groupBy("author_id").agg(F.lit(1)).agg(F.count("author_id").alias("n_authors"))
+    both = found
+    for exact in (lengths, ids, authors):
+        both = both.withColumns({c: exact.select(c).scalar() for c in exact.columns})
+
+    def near(estimate, exact):
+        return F.abs(F.col(estimate) - F.col(exact)) <= F.col(exact) * day_profile.DISTINCT_ERROR
+
+    def near_rank(name, q):
+        n, e = F.col("n_texts"), day_profile.RANK_ERROR
+        return ((F.col(f"below_{name}") <= n * (q + e)) & (F.col(f"upto_{name}") >= n * (q - e))).alias(f"{name}_near")
+
+    return both.select(
+        *_day_counts(both), "n_ids", "n_authors", "n_texts",
+        near("distinct_ids", "n_ids").alias("ids_near"), near("distinct_authors", "n_authors").alias("authors_near"),
+        *[near_rank(name, q) for name, q in day_profile.QUANTILES.items()],
+    )
+
+
 # --- accounts ----------------------------------------------------------------
 
 sv.define(
