@@ -32,8 +32,9 @@ KeysOf = Callable[[dict], tuple[np.ndarray, np.ndarray]]
 def mixed(h: np.ndarray) -> np.ndarray:
     """Bits spread over the whole of 64-bit numbers."""
     h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

@@ -44,6 +44,11 @@ WINDOW = 50
 ANCHOR = 24
 # Anchors of more documents than this send each window to a shard of its own hash.
 HOT_DOCS = 1000
+# Windows hashed at a time, so that the arrays of a step stay in a core's cache.
+STEP = 1 << 15
+# A shard's segments lie in so many parts by anchor; parts are sorted together up to these bytes.
+PARTS = 64
+PART_BYTES = 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_HASH = np.random.default_rng(50).integers(0, 2**64, 256, np.uint64, endpoint=False)
@@ -63,11 +68,14 @@ def rolling_hashes(data: np.ndarray, length: int) -> np.ndarray:
                     out = h
                 else:
                     n = len(data) - done - size + 1
-                    out = out[:n] * base + h[done : done + n]
+                    out = out[:n] * base
+                    out += h[done : done + n]
                 done += size
                 if done == length:
                     return mixed(out)
-            h = h[: len(h) - size] * base + h[size:] if len(h) > size else h[:0]
+            ahead = h[size:]
+            h = h[: len(ahead)] * base
+            h += ahead
             size, base = size * 2, base * base
 
 
@@ -86,21 +94,30 @@ def anchored(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int) ->
     none = np.zeros(0, np.int64)
     if n < 1:
         return Anchored(none.view(np.uint64), none, none, none)
-    h = rolling_hashes(data, anchor)
-    packed = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    at = (sliding_min(packed, window - anchor + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    # Windows that do not reach into the next document.
-    count = np.maximum(0, np.diff(offsets) - window + 1)
-    total = int(count.sum())
-    if not total:
-        return Anchored(none.view(np.uint64), none, none, none)
-    place = np.arange(total) + np.repeat(offsets[:-1] - (np.cumsum(count) - count), count)
-    doc = np.repeat(np.arange(len(count)), count)
-    own = at[place]
-    new = np.concatenate([[True], (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(place)) - 1
-    return Anchored(h[own[first]], place[first], place[last], doc[first])
+    # Segments end with their document and before windows that reach into the next one.
+    cut = np.concatenate([offsets[:-1], np.maximum(offsets[:-1], offsets[1:] - window + 1)])
+    cut = np.unique(cut[cut < n])
+    low = np.uint64(0xFFFFFFFF)
+    places, keys, before = [], [], None
+    for a in range(0, n, STEP):
+        b = min(n, a + STEP)
+        h = rolling_hashes(data[a : b + window - 1], anchor)
+        packed = h & ~low
+        packed |= np.arange(a, a + len(h), dtype=np.uint64)
+        least = sliding_min(packed, window - anchor + 1)
+        new = np.empty(b - a, bool)
+        new[0] = before is None or least[0] != before
+        np.not_equal(least[1:], least[:-1], out=new[1:])
+        new[cut[np.searchsorted(cut, a) : np.searchsorted(cut, b)] - a] = True
+        at = np.flatnonzero(new)
+        places.append(at + a)
+        keys.append(h[(least[at] & low).astype(np.int64) - a])
+        before = least[-1]
+    first = np.concatenate(places)
+    last = np.append(first[1:], n) - 1
+    doc = np.searchsorted(offsets, first, "right") - 1
+    whole = first + window <= offsets[doc + 1]
+    return Anchored(np.concatenate(keys)[whole], first[whole], last[whole], doc[whole])
 
 
 # -- step 3: segments and shards --------------------------------------------------------------
