@@ -15,7 +15,7 @@ def suffix_array(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     key = owner.astype(np.int64) * (int(values.max()) + 1) + values
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     rank = np.empty(n, np.int64)
@@ -32,10 +32,12 @@ def suffix_array(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
         ok = ok[owner[nxt[ok]] == owner[open_[ok]]]
         tail[ok] = rank[nxt[ok]] + 1
         head = rank[open_]
-        by = np.lexsort((tail, head))
-        open_, head, tail = open_[by], head[by], tail[by]
+        # Open suffixes lie by rank already; ties stay open, in any order.
+        pair = head * (n + 1) + tail
+        by = np.argsort(pair)
+        open_, pair = open_[by], pair[by]
         order[place] = open_
-        new = np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])
         rank[open_] = place[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
         lone = new & np.concatenate([new[1:], [True]])
         place, open_ = place[~lone], open_[~lone]
