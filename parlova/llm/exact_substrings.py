@@ -164,18 +164,22 @@ def _group_docs(found: Segments, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _batch_shards(row: dict, n_shards: int, n_buckets: int, window: int, anchor: int) -> Iterator[tuple]:
-    """(shard, groups, smallest ids, lengths, bytes) of a batch."""
+    """(shard, groups, smallest ids, lengths, bytes, groups in each part) of a batch, in the order of parts."""
     found = batch_segments(row, n_buckets, window, anchor)
     if not found.n_groups:
         return
     least, one = _group_docs(found, row["ids"])
     first, length = found.first[one], found.last[one] + window - found.first[one]
-    for shard, at in by_shard((found.route[one] >> np.uint64(8)) % np.uint64(n_shards)):
+    route = found.route[one]
+    part = (route % np.uint64(PARTS)).astype(np.uint8)
+    for shard, at in by_shard((route >> np.uint64(8)) % np.uint64(n_shards)):
+        at = at[np.argsort(part[at], kind="stable")]
         n = length[at]
         index = np.arange(int(n.sum())) + np.repeat(first[at] - (np.cumsum(n) - n), n)
         yield (
             shard, at.astype("<i4").tobytes(), least[at].astype("<i8").tobytes(),
             n.astype("<i4").tobytes(), row["data"][index].tobytes(),
+            np.bincount(part[at], minlength=PARTS).astype("<i4").tobytes(),
         )
 
 
@@ -204,12 +208,8 @@ def owners(data: np.ndarray, bounds: np.ndarray, least: np.ndarray, window: int)
     return out[place]
 
 
-def _answers_of(table: pa.Table, window: int) -> pa.Table:
-    """Which windows of each group are owned by a smaller document than the group's: a bit each."""
-    groups = [np.frombuffer(x, "<i4") for x in table["groups"].to_pylist()]
-    ids = np.concatenate([np.frombuffer(x, "<i8") for x in table["least"].to_pylist()])
-    n = np.concatenate([np.frombuffer(x, "<i4") for x in table["sizes"].to_pylist()]).astype(np.int64)
-    data = np.concatenate([np.frombuffer(x, np.uint8) for x in table["data"].to_pylist()])
+def _smaller_owners(ids: np.ndarray, n: np.ndarray, data: np.ndarray, window: int) -> np.ndarray:
+    """Per string of length ``n``, a bit for each window that a document smaller than ``ids`` owns."""
     bounds = np.concatenate([[0], np.cumsum(n)])
     # Equal strings of several batches enter the array once, with their smallest id.
     code = codes(data, bounds[:-1], bounds[1:])
@@ -227,13 +227,44 @@ def _answers_of(table: pa.Table, window: int) -> pa.Table:
         at = np.flatnonzero(windows[code] > j)
         smaller = owner[own[code[at]] + j] < ids[at]
         mask[at] |= smaller.astype(np.uint64) << np.uint64(j)
-    start, rows = 0, []
-    for batch, group in zip(table["batch"].to_pylist(), groups):
-        own_mask = mask[start : start + len(group)]
-        start += len(group)
-        use = own_mask > 0
+    return mask
+
+
+def _answers_of(table: pa.Table, window: int, part_bytes: int = PART_BYTES) -> pa.Table:
+    """Which windows of each group are owned by a smaller document than the group's: a bit each.
+
+    Equal windows have one anchor and so lie in one part; parts are sorted by themselves, a few
+    together up to ``part_bytes``, which keeps the arrays of a large shard small.
+    """
+    groups, ids, sizes, data, parts = (
+        [np.frombuffer(x, kind) for x in table[name].to_pylist()]
+        for name, kind in (("groups", "<i4"), ("least", "<i8"), ("sizes", "<i4"), ("data", np.uint8), ("parts", "<i4"))
+    )
+    bound = [np.concatenate([[0], np.cumsum(p)]) for p in parts]
+    byte = [np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[b] for n, b in zip(sizes, bound)]
+    total = np.sum(byte, axis=0)
+    masks = [np.zeros(len(g), np.uint64) for g in groups]
+    low = 0
+    while low < PARTS:
+        high = max(low + 1, int(np.searchsorted(total, total[low] + part_bytes, "right")) - 1)
+        if total[high] > total[low]:
+            mask = _smaller_owners(
+                np.concatenate([x[b[low] : b[high]] for x, b in zip(ids, bound)]),
+                np.concatenate([x[b[low] : b[high]] for x, b in zip(sizes, bound)]).astype(np.int64),
+                np.concatenate([x[b[low] : b[high]] for x, b in zip(data, byte)]),
+                window,
+            )
+            at = 0
+            for own, b in zip(masks, bound):
+                n = b[high] - b[low]
+                own[b[low] : b[high]] = mask[at : at + n]
+                at += n
+        low = high
+    rows = []
+    for batch, group, own in zip(table["batch"].to_pylist(), groups, masks):
+        use = own > 0
         if use.any():
-            rows.append((batch, group[use].astype("<i4").tobytes(), own_mask[use].astype("<u8").tobytes()))
+            rows.append((batch, group[use].astype("<i4").tobytes(), own[use].astype("<u8").tobytes()))
     return pa.table(
         {
             "batch": pa.array([r[0] for r in rows], pa.int64()),
@@ -339,9 +370,9 @@ def remove_repeats(
                         [
                             pa.array([f[0] for f in found], pa.int64()),
                             pa.array([row["batch"]] * len(found), pa.int64()),
-                            *(pa.array([f[i] for f in found], pa.binary()) for i in range(1, 5)),
+                            *(pa.array([f[i] for f in found], pa.binary()) for i in range(1, 6)),
                         ],
-                        names=["shard", "batch", "groups", "least", "sizes", "data"],
+                        names=["shard", "batch", "groups", "least", "sizes", "data", "parts"],
                     )
 
         def answers_of(table: pa.Table) -> pa.Table:
@@ -353,7 +384,7 @@ def remove_repeats(
                     yield _results(row, _removed(row, n_buckets, window, anchor), keep_bytes)
 
         segments = shared.rows.mapInArrow(
-            send_segments, "shard bigint, batch bigint, groups binary, least binary, sizes binary, data binary"
+            send_segments, "shard bigint, batch bigint, groups binary, least binary, sizes binary, data binary, parts binary"
         )
         answers = materialize(segments.groupBy("shard").applyInArrow(answers_of, "batch bigint, groups binary, masks binary"))
         answers = answers.groupBy("batch").agg(F.collect_list(F.struct("groups", "masks")).alias("answers"))

@@ -4,8 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from parlova.llm import batches, exact_substrings
 from parlova.llm.exact_substrings import owners, remove_repeats, rolling_hashes
 from parlova.llm.induced import byte_lcp, induced_suffix_array
 from parlova.llm.suffixes import suffix_array
@@ -114,3 +116,27 @@ def test_owners_and_hashes():
             assert got[bounds[i] + p] == want
     h = rolling_hashes(np.frombuffer(b"hello hello hello", np.uint8), 5)
     assert len(h) == 13 and h[0] == h[6] == h[12] and len(set(h.tolist())) == 6
+
+
+def test_parts_of_a_shard_change_no_answer():
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 101, 6000).astype(np.uint8)
+    rows = []
+    for number in range(3):
+        docs = [np.concatenate([text[a : a + 400], rng.integers(97, 123, 100).astype(np.uint8)]) for a in rng.integers(0, 5500, 20)]
+        offsets = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+        rows.append({"batch": number, "ids": np.arange(20) * 3 + number, "offsets": offsets, "data": np.concatenate(docs), "shared": []})
+    keys = [exact_substrings.anchored(r["data"], r["offsets"], 50, 24) for r in rows]
+    for row in rows:
+        row["shared"] = [
+            {"bucket": 0, "keys": raw, "hot": np.packbits(np.zeros(len(raw) // 5, bool)).tobytes()}
+            for key in keys
+            for _, raw, _ in batches._keys_by_bucket(key.key, key.doc, 1)
+        ]
+    names = ["shard", "groups", "least", "sizes", "data", "parts"]
+    sent = [{**dict(zip(names, s)), "batch": r["batch"]} for r in rows for s in exact_substrings._batch_shards(r, 1, 1, 50, 24)]
+    table = pa.Table.from_pylist(sent)
+    assert np.frombuffer(sent[0]["parts"], "<i4").astype(bool).sum() > 10
+    whole = exact_substrings._answers_of(table, 50, 1 << 40)
+    assert whole.num_rows and whole.equals(exact_substrings._answers_of(table, 50, 1))
+    assert whole.equals(exact_substrings._answers_of(table, 50, 5000))
