@@ -48,8 +48,9 @@ def suffix_array(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
 def permuted_lcp(values: np.ndarray, owner: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For each suffix, in text order, its common prefix with the suffix sorted before it.
 
-    Where the predecessor of suffix i is the successor of the predecessor of i - 1
-    the prefix is one shorter; only the other places are compared value by value.
+    Where the predecessor of suffix i is the successor of the predecessor of i - 1, and
+    these two begin alike, the prefix is one shorter; the other places are compared value
+    by value.
     """
     n = len(values)
     before = np.full(n, -1, np.int64)
@@ -59,6 +60,7 @@ def permuted_lcp(values: np.ndarray, owner: np.ndarray, order: np.ndarray) -> np
     same[has] = owner[before[has]] == owner[has.nonzero()[0]]
     follows = np.zeros(n, bool)
     follows[1:] = same[1:] & same[:-1] & (before[1:] == before[:-1] + 1) & (owner[1:] == owner[:-1])
+    follows[1:] &= values[:-1] == values[before[:-1]]
     lcp = np.zeros(n, np.int64)
     place = np.flatnonzero(same & ~follows)
     other, depth = before[place], 0

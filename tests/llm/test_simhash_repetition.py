@@ -130,3 +130,11 @@ def test_verdict_and_filter(spark):
     assert marks == {0: (False, True), 1: (True, False), 2: (True, False), 3: (True, False), 4: (False, True)}
     kept = keep_good(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 4]
+
+
+def test_repeats_whose_suffix_order_neighbours_begin_differently(spark):
+    texts = ["h g g g g b", "a h g g g g b", "x y y y y z y y y q"]
+    got = {r.doc_id: r.asDict() for r in repetition_stats(rows_of(spark, texts)).collect()}
+    assert [got[i]["n_repeat_words"] for i in range(3)] == [4, 4, 7]
+    for i, t in enumerate(texts):
+        assert got[i] == {"doc_id": i, **reference.repetition(t)}, repr(t)
