@@ -221,3 +221,40 @@ def test_blocks_hold_their_largest_weight_and_about_as_many_rows(spark):
     for r in impacts.blocks.collect():
         by_feature[r.feature].append((r.level, r.max_w))
     assert all([w for _, w in sorted(b)] == sorted((w for _, w in b), reverse=True) for b in by_feature.values())
+
+
+@pytest.mark.parametrize("parts", [{}, {"a": "a:", "b": "b:"}])
+def test_many_queries_never_store_their_pairs(spark, monkeypatch, parts):
+    """With more postings than may be joined, queries meet blocks of documents, and only their best leave a cell."""
+    queries, docs = _random_case(6, 40, 120, 50)
+    q, d = _frames(spark, queries, docs)
+    tag = F.when(F.substring("feature", 2, 9).cast("int") % 2 == 0, F.lit("a:")).otherwise(F.lit("b:"))
+    q, d = q.withColumn("feature", F.concat(tag, "feature")), d.withColumn("feature", F.concat(tag, "feature"))
+    monkeypatch.setattr(similarity, "PAIRS", 100, raising=False)
+    monkeypatch.setattr(similarity, "_bounded_round", lambda *_: pytest.fail("a round stored pairs"))
+    cells = []
+    plain = similarity.grid_apply
+    monkeypatch.setattr(similarity, "grid_apply", lambda *a: cells.append(a[4:6]) or plain(*a))
+    hits = similarity.sparse_topk(q, d, 3, 10_000, parts, query_block=16, doc_block=30)
+    assert _result(hits) == _brute(queries, docs, 3) and cells == [(3, 4)]
+    assert not parts or all(abs(r.score - r.a - r.b) < 1e-9 for r in hits.collect())
+
+
+def test_blocks_stay_few_while_the_table_grows():
+    from parlova.operators.grid import MAX_ROWS, MAX_VALUES, few_blocks
+
+    assert [few_blocks(n, 10 * n, 1024, 12) for n in (0, 1000, 5000, 10**5, 4 * 10**5)] == [1, 1, 5, 12, 12]
+    assert few_blocks(20 * MAX_ROWS, 0, 1024, 12) == 20 and few_blocks(5000, 30 * MAX_VALUES, 1024, 12) == 30
+
+
+def test_hybrid_of_many_queries_equals_one_pass(spark, monkeypatch):
+    words = ["card", "charged", "order", "plan", "screen", "late", "refund", "parcel"]
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    index = retrieval.build_index(_corpus(spark, [(i, t, f"reply {i}", None) for i, t in enumerate(texts)]))
+    asked = _messages(spark, *texts[:25], "zzz")
+    plain = {(r.qid, r["rank"], r.doc_id, round(r.score, 9), round(r.lexical_score, 9)) for r in retrieval.hybrid_topk(asked, index, 4).collect()}
+    monkeypatch.setattr(similarity, "PAIRS", 50, raising=False)
+    monkeypatch.setattr(retrieval, "_one_pass", lambda *_: pytest.fail("all pairs were stored"))
+    cells = {(r.qid, r["rank"], r.doc_id, round(r.score, 9), round(r.lexical_score, 9)) for r in retrieval.hybrid_topk(asked, index, 4).collect()}
+    assert cells == plain and len(plain) == 26 * 4
