@@ -8,19 +8,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlova.functions.arrays import distance, dot, squared_distance
 from parlova.functions.text import ngrams
 from parlova.operators.classify import fit_text_features
-from parlova.operators.grid import block_count, grid_apply
+from parlova.operators.grid import CELL_SCORES, Postings, few_blocks, flat, triangle_apply
 from parlova.operators.kmeans import KMeansFit, assign_kmeans, cluster_count, fit_kmeans  # noqa: F401
 from parlova.operators.ranking import top_k
 from parlova.runtime import materialize
 
-SILHOUETTE_BLOCK = 2048
+SILHOUETTE_BLOCK = 1024
+SILHOUETTE_BLOCKS = 12
 
 
 def centroids(labelled: DataFrame, label_col: str) -> DataFrame:
@@ -92,60 +94,94 @@ def _mean_silhouette(sums: DataFrame, sizes: DataFrame) -> DataFrame:
     return per_point.agg(F.coalesce(F.avg(F.when(F.col("other").isNotNull(), s)), F.lit(0.0)).alias("silhouette"))
 
 
-def _block_matrix(values: pd.Series, index: pd.Series | None, dims: int) -> np.ndarray:
-    if index is None:
-        return np.stack(values.to_numpy())
-    m = np.zeros((len(values), dims))
-    for row, (ix, v) in enumerate(zip(index, values)):
-        m[row, ix] = v
-    return m
+class _Block:
+    """Vectors of a block, dense or sparse, with their clusters and ids."""
+
+    def __init__(self, rows: pa.Table):
+        value, bounds = flat(rows["vec"])
+        self.value = value.to_numpy(zero_copy_only=False).astype(float)
+        self.bounds, self.n = bounds, rows.num_rows
+        self.place = flat(rows["idx"])[0].to_numpy(zero_copy_only=False).astype(np.int64) if "idx" in rows.column_names else None
+        if self.place is None:
+            self.value = self.value.reshape(self.n, -1)
+            self.square = (self.value * self.value).sum(1)
+        else:
+            owner = np.repeat(np.arange(self.n), np.diff(bounds))
+            self.square = np.bincount(owner, self.value * self.value, self.n)
+        label = rows["label"].combine_chunks()
+        self.clusters = label.unique().drop_null()
+        member = pc.fill_null(pc.index_in(label, value_set=self.clusters), -1).to_numpy(zero_copy_only=False)
+        self.member = (member[:, None] == np.arange(len(self.clusters))[None, :]).astype(float)
+        self.rows = rows
+
+    def dims(self) -> int:
+        return int(self.place.max(initial=-1)) + 1
+
+    def postings(self, dims: int) -> Postings:
+        return Postings.of(self.place, self.bounds, self.value, dims)
+
+    def totals(self, sums: np.ndarray, clusters: pa.Array) -> pa.Table:
+        """One row per point and cluster of the other block."""
+        each, own = np.repeat(np.arange(self.n), len(clusters)), np.tile(np.arange(len(clusters)), self.n)
+        found = {c: self.rows[c].take(pa.array(each)) for c in ("vec_id", "label")}
+        return pa.table({**found, "cluster": clusters.take(pa.array(own)), "total": pa.array(sums.ravel())})
+
+
+def _pair_sums(a: pa.Table, b: pa.Table) -> pa.Table:
+    """Summed distances of the points of two blocks to each other's clusters; of a block to its own ones."""
+    same = a["_lb"][0] == a["_rb"][0]
+    x = _Block(a)
+    y = x if same else _Block(b)
+    sparse = x.place is not None
+    postings = y.postings(max(x.dims(), y.dims())) if sparse else None
+    ids = a["vec_id"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    to_y, to_x = np.zeros((x.n, len(y.clusters))), np.zeros((y.n, len(x.clusters)))
+    step = max(1, CELL_SCORES // y.n)
+    for low in range(0, x.n, step):
+        high = min(x.n, low + step)
+        if sparse:
+            spans = [slice(x.bounds[i], x.bounds[i + 1]) for i in range(low, high)]
+            dist = np.stack([postings.dot(x.place[r], x.value[r]) for r in spans])
+        else:
+            dist = x.value[low:high] @ y.value.T
+        dist *= -2.0
+        dist += x.square[low:high, None]
+        dist += y.square[None, :]
+        np.maximum(dist, 0.0, out=dist)
+        np.sqrt(dist, out=dist)
+        if same:
+            # Rounding noise must not give a point a distance to itself.
+            dist[ids[low:high, None] == ids[None, :]] = 0.0
+        to_y[low:high] = dist @ y.member
+        if not same:
+            to_x += dist.T @ x.member[low:high]
+    if same:
+        return x.totals(to_y, y.clusters)
+    return pa.concat_tables([x.totals(to_y, y.clusters), y.totals(to_x, x.clusters)])
 
 
 def silhouette_exact(labelled: DataFrame, label_col: str, block: int = SILHOUETTE_BLOCK) -> DataFrame:
     """Mean Euclidean silhouette over all points.
 
-    The definition needs every distance. Grid cells return one sum per (point,
-    cluster), so the traffic is points x clusters x blocks, not pairs. For very
-    large tables use ``silhouette_fast``, linear in the points. Rows are ``vec``
-    arrays, or the values ``vec`` at the positions ``idx``.
+    The definition needs every distance. Every two blocks of points meet once and return one sum per
+    (point, cluster), never pairs. Tables of more than ``block`` rows are cut into SILHOUETTE_BLOCKS
+    blocks, more only where one would pass the bounds of a cell, so points are sent as
+    often however many there are. For very large tables use ``silhouette_fast``, linear in the points.
+    Rows are ``vec`` arrays, or the values ``vec`` at the positions ``idx``.
     """
-    sparse = "idx" in labelled.columns
-    parts = ["vec", "idx"] if sparse else ["vec"]
+    parts = ["vec", "idx"] if "idx" in labelled.columns else ["vec"]
     points = labelled.select("vec_id", F.col(label_col).alias("label"), *parts)
-    n = block_count(points.count(), block)
+    rows, values = points.agg(F.count(F.lit(1)), F.sum(F.size("vec"))).first()
+    n = few_blocks(rows, values or 0, block, SILHOUETTE_BLOCKS)
     kind = points.schema["label"].dataType.simpleString()
     id_kind = points.schema["vec_id"].dataType.simpleString()
-    right = points.select(
-        F.col("vec_id").alias("other_id"), F.col("label").alias("cluster"), *[F.col(c).alias(f"other_{c}") for c in parts]
-    )
 
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"vec_id": a["vec_id"][:0], "label": a["label"][:0], "cluster": b["cluster"][:0], "total": np.zeros(0)})
-        dims = 0
-        if sparse:
-            dims = 1 + max(max((ix.max() for ix in col if len(ix)), default=0) for col in (a["idx"], b["other_idx"]))
-        x = _block_matrix(a["vec"], a["idx"] if sparse else None, dims)
-        y = _block_matrix(b["other_vec"], b["other_idx"] if sparse else None, dims)
-        squared = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-        dist = np.sqrt(np.maximum(squared, 0.0))
-        # Rounding noise must not give a point a distance to itself.
-        dist[a["vec_id"].to_numpy()[:, None] == b["other_id"].to_numpy()[None, :]] = 0.0
-        clusters, member = np.unique(b["cluster"].to_numpy(), return_inverse=True)
-        totals = dist @ np.eye(len(clusters))[member]
-        return pd.DataFrame(
-            {
-                "vec_id": np.repeat(a["vec_id"].to_numpy(), len(clusters)),
-                "label": np.repeat(a["label"].to_numpy(), len(clusters)),
-                "cluster": np.tile(clusters, len(a)),
-                "total": totals.ravel(),
-            }
-        )
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        if a.num_rows and b.num_rows:
+            return _pair_sums(a, b)
+        return pa.table({"vec_id": a["vec_id"][:0], "label": a["label"][:0], "cluster": b["label"][:0], "total": pa.array([], pa.float64())})
 
-    cells = grid_apply(
-        points, right, "vec_id", "other_id", n, n, cell,
-        f"vec_id {id_kind}, label {kind}, cluster {kind}, total double",
-    )
+    cells = triangle_apply(points, "vec_id", n, cell, f"vec_id {id_kind}, label {kind}, cluster {kind}, total double")
     sums = cells.groupBy("vec_id", "label", "cluster").agg(F.sum("total").alias("total"))
     sizes = points.groupBy(F.col("label").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
     return _mean_silhouette(sums, sizes)

@@ -242,3 +242,28 @@ def test_stream_equals_batch_and_repeats_no_batch(spark, text_model, index, tmp_
         made = materialize(spark.range(5)).count()
     assert made == 5 and set(Path(shared_dir(spark)).glob("table-*")) == before
     assert streamed == {r.qid: (r.intent, r.decision, r.draft_reply) for r in batch.collect()}
+
+
+def test_silhouette_of_sparse_rows_sends_a_point_as_often_in_any_table(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    vec = rng.random((90, 12)) * (rng.random((90, 12)) < 0.3)
+    label = rng.integers(0, 4, 90)
+    rows = [(i, int(c), v[v > 0].tolist(), np.flatnonzero(v).tolist()) for i, (v, c) in enumerate(zip(vec, label))]
+    df = spark.createDataFrame(rows, "vec_id bigint, label int, vec array<double>, idx array<int>")
+    blocks = []
+    plain = cluster.triangle_apply
+    monkeypatch.setattr(cluster, "triangle_apply", lambda *a: blocks.append(a[2]) or plain(*a))
+    for block in (1, 1000):
+        assert math.isclose(cluster.silhouette_exact(df, "label", block).first()[0], _silhouette(vec, label), abs_tol=1e-9)
+    assert blocks == [cluster.SILHOUETTE_BLOCKS, 1]
+
+
+def test_texts_are_dealt_by_their_length(spark, monkeypatch):
+    from parlova.operators import vectors
+
+    monkeypatch.setattr(vectors, "TASK_CHARS", 100, raising=False)
+    docs = spark.createDataFrame([(i, "some words here " * 4) for i in range(20)], "doc_id bigint, text string")
+    counts = vectors.gram_counts(docs)
+    assert counts.rdd.getNumPartitions() == 1 + 20 * 64 // 100
+    assert sorted({(r.gram, r.tf) for r in counts.collect()})[:2] == [("here", 4), ("here some", 3)]
+    assert counts.count() == 20 * 6
