@@ -35,7 +35,9 @@ ANGLE_BINS = 256
 MAX_BLOCKS = 65_536
 # Slack for rounding, in angles and cosines alike.
 SLACK = 1e-7
-_CHUNK = 1 << 22
+# Query-ring numbers, and rows that visit rings, that a task holds at once.
+_CHUNK = 1 << 20
+_VISIT_ROWS = 1 << 13
 
 Cell = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
@@ -144,7 +146,10 @@ def visits(queries: DataFrame, rings: Rings, weight: float, first: bool) -> Data
                     use = bound + SLACK >= own["_kth"].to_numpy()[:, None]
                     use[each, best] = False
                 at, block = np.nonzero(use & (bound > 0))
-                yield own.iloc[at].assign(block=block.astype("int32"))
+                # A query may visit every ring: its vector is repeated for few rows at a time.
+                for first_row in range(0, max(1, len(at)), _VISIT_ROWS):
+                    some = slice(first_row, first_row + _VISIT_ROWS)
+                    yield own.iloc[at[some]].assign(block=block[some].astype("int32"))
 
     if not len(rings):
         return queries.limit(0).withColumn("block", F.lit(0))

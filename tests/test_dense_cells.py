@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +96,13 @@ def test_empty_sides(spark):
     assert similarity.dense_topk(q, d.limit(0), 2).collect() == []
     assert similarity.dense_topk(q.limit(0), d, 2).collect() == []
     assert len(similarity.dense_topk(q, d, 2).collect()) == 4
+
+
+def test_a_query_that_visits_every_ring_is_repeated_in_bounded_steps():
+    """Copies of a vector for all its rings must not fill one batch."""
+    n, rings = 1500, 40
+    found = dense_cells.Rings(np.eye(4), np.arange(rings) % 4, np.zeros(rings), np.full(rings, 3.2))
+    rows = pd.DataFrame({"qid": np.arange(n), "vec": [[0.5, 0.5, 0.5, 0.5]] * n, "_most": 0.0, "_kth": 0.0})
+    frame = SimpleNamespace(schema=[], mapInPandas=lambda run, _: run)
+    sizes = [len(b) for b in dense_cells.visits(frame, found, 1.0, False)(iter([rows]))]
+    assert sum(sizes) == n * (rings - 1) and max(sizes) <= 8192
