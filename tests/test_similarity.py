@@ -258,3 +258,39 @@ def test_hybrid_of_many_queries_equals_one_pass(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "_one_pass", lambda *_: pytest.fail("all pairs were stored"))
     cells = {(r.qid, r["rank"], r.doc_id, round(r.score, 9), round(r.lexical_score, 9)) for r in retrieval.hybrid_topk(asked, index, 4).collect()}
     assert cells == plain and len(plain) == 26 * 4
+
+
+def test_blocks_of_the_grid_send_few_numbers():
+    """A small side is sent to more blocks than a large one, and 32 cells do; a result of many rows counts as sent."""
+    from parlova.operators.grid import MAX_ROWS, MAX_VALUES, cheap_blocks
+
+    few, many = (12_000, 400_000), (55_000, 1_900_000)
+    assert cheap_blocks(few, many, 1024, 2048, 32, 5) == (3, 11)
+    sent = lambda l, r: few[1] * r + many[1] * l
+    assert sent(3, 11) < 0.6 * sent(8, 7)
+    assert cheap_blocks(few, many, 1024, 2048, 32, 300)[1] < 8
+    assert cheap_blocks((0, 0), (0, 0), 1024, 2048, 32) == (1, 1) and cheap_blocks((10, 50), (40, 90), 4, 10, 99) == (3, 4)
+    assert cheap_blocks((20 * MAX_ROWS, 0), (10, 30 * MAX_VALUES), 1024, 2048, 32) == (20, 30)
+
+
+def test_cells_run_once_however_often_their_result_is_read(spark, monkeypatch, tmp_path):
+    queries, docs = _random_case(8, 40, 120, 50)
+    q, d = _frames(spark, queries, docs)
+    monkeypatch.setattr(similarity, "PAIRS", 100)
+    plain, at = similarity.sparse_cell, str(tmp_path)
+
+    def counted(k, parts):
+        cell = plain(k, parts)
+
+        def run(left, right):
+            import tempfile
+
+            tempfile.mkstemp(dir=at)
+            return cell(left, right)
+
+        return run
+
+    monkeypatch.setattr(similarity, "sparse_cell", counted)
+    hits = similarity.sparse_topk(q, d, 3, 10_000, query_block=16, doc_block=30)
+    assert hits.count() and hits.join(hits.groupBy("qid").agg(F.max("rank").alias("n")), "qid").count()
+    assert len(list(tmp_path.iterdir())) == 3 * 4
