@@ -294,3 +294,26 @@ def test_cells_run_once_however_often_their_result_is_read(spark, monkeypatch, t
     hits = similarity.sparse_topk(q, d, 3, 10_000, query_block=16, doc_block=30)
     assert hits.count() and hits.join(hits.groupBy("qid").agg(F.max("rank").alias("n")), "qid").count()
     assert len(list(tmp_path.iterdir())) == 3 * 4
+
+
+def test_all_scores_come_from_cells_of_bounded_size(spark, monkeypatch):
+    """Every pair that shares a feature, null ids too, without a join of postings; no cell has more pairs than its blocks hold."""
+    from parlova.operators import grid
+
+    queries, docs = _random_case(11, 40, 120, 50)
+    queries, docs = [(None if q == 3 else q, f, w) for q, f, w in queries] + [(99, "unknown", 1.0)], [(f, d, w) for f, d, w in docs if f != "f0"]
+    q, d = spark.createDataFrame(queries, "qid bigint, feature string, qw double"), _frames(spark, [(0, "f0", 1.0)], docs)[1]
+    want = defaultdict(float)
+    for qid, f, qw in queries:
+        for g, doc, w in docs:
+            if f == g:
+                want[qid, doc] += qw * w
+    blocks = []
+    plain = similarity.grid_apply
+    monkeypatch.setattr(similarity, "grid_apply", lambda *a: blocks.append(a[4:6]) or plain(*a))
+    rows = similarity.sparse_pairs(q, d, query_block=16, doc_block=30).collect()
+    assert {(r.qid, r.doc_id): round(r.score, 9) for r in rows} == {p: round(s, 9) for p, s in want.items()}
+    n_docs = len({doc for _, doc, _ in docs})
+    assert len(rows) == len(want) and blocks == [(grid.block_count(41, 16), grid.block_count(n_docs, 30))]
+    empty = similarity.sparse_pairs(q.limit(0), d)
+    assert empty.count() == 0 and empty.columns == ["qid", "doc_id", "score"]
