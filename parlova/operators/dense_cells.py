@@ -200,4 +200,5 @@ def ring_topk(
     kth = near.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_kth"))
     bounded = queries.join(kth, "qid", "left").fillna(0.0, ["_kth"])
     far = _meet(visits(bounded, rings, weight, False), docs, cell, schema, block_queries)
-    return top_k(union_all([near, far]), ["qid"], order_by, k)
+    # Read more than once by most callers, and each reading would run the cells.
+    return materialize(top_k(union_all([near, far]), ["qid"], order_by, k))

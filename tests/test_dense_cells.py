@@ -106,3 +106,21 @@ def test_a_query_that_visits_every_ring_is_repeated_in_bounded_steps():
     frame = SimpleNamespace(schema=[], mapInPandas=lambda run, _: run)
     sizes = [len(b) for b in dense_cells.visits(frame, found, 1.0, False)(iter([rows]))]
     assert sum(sizes) == n * (rings - 1) and max(sizes) <= 8192
+
+
+def test_cells_run_once_however_often_the_result_is_read(spark, tmp_path):
+    import tempfile
+
+    rows = clustered(120, 6, 4, 0.2, 3)
+    q, d = frames(spark, rows[:30], rows)
+    plain, at = similarity._dense_cell(3), str(tmp_path)
+
+    def cell(left, right):
+        tempfile.mkstemp(dir=at)
+        return plain(left, right)
+
+    asked = q.withColumn("_most", F.lit(0.0))
+    hits = dense_cells.ring_topk(asked, d, 3, cell, "qid bigint, doc_id bigint, score double", similarity.best_first(), 1.0, 20, 16)
+    ran = len(list(tmp_path.iterdir()))
+    assert ran and hits.count() == 90 and hits.join(hits.groupBy("qid").count(), "qid").count() == 90
+    assert len(list(tmp_path.iterdir())) == ran
