@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parlova.operators import retrieval, similarity
+from parlova.runtime import shared_dir
 
 
 def _random_case(seed: int, n_q: int, n_d: int, n_features: int):
@@ -317,3 +320,71 @@ def test_all_scores_come_from_cells_of_bounded_size(spark, monkeypatch):
     assert len(rows) == len(want) and blocks == [(grid.block_count(41, 16), grid.block_count(n_docs, 30))]
     empty = similarity.sparse_pairs(q.limit(0), d)
     assert empty.count() == 0 and empty.columns == ["qid", "doc_id", "score"]
+
+
+def test_cells_run_in_waves_and_only_the_result_stays(spark, monkeypatch):
+    """No more cells at once than a wave has; the tables made on the way are gone when the result is there."""
+    from parlova.operators import grid
+
+    queries, docs = _random_case(8, 40, 120, 50)
+    q, d = _frames(spark, queries, docs)
+    monkeypatch.setattr(similarity, "PAIRS", 100)
+    monkeypatch.setattr(grid, "WAVE_CELLS", 5, raising=False)
+    met = []
+    plain = similarity.grid_apply
+
+    def counted(*args):
+        out = plain(*args)
+        met.append((args[4] if len(args) < 9 else len(args[8])) * args[5])
+        return out
+
+    monkeypatch.setattr(similarity, "grid_apply", counted)
+    before = set(Path(shared_dir(spark)).glob("table-*"))
+    hits = similarity.sparse_topk(q, d, 3, 10_000, query_block=16, doc_block=30)
+    made = set(Path(shared_dir(spark)).glob("table-*")) - before
+    assert _result(hits) == _brute(queries, docs, 3)
+    assert met == [4, 4, 4] and len(made) == 1
+
+
+def test_an_index_and_its_hits_leave_no_other_tables(spark):
+    texts = ["card charged twice", "order late again", "screen is black", "refund my order"]
+    corpus, asked = _corpus(spark, [(i, t, f"reply {i}", None) for i, t in enumerate(texts)]), _messages(spark, *texts)
+    before = set(Path(shared_dir(spark)).glob("table-*"))
+    index = retrieval.build_index(corpus)
+    indexed = set(Path(shared_dir(spark)).glob("table-*"))
+    hits = retrieval.hybrid_topk(asked, index, 2)
+    # Term statistics, both tables of weights, the vocabulary; then the hits.
+    assert len(indexed - before) == 4 and len(set(Path(shared_dir(spark)).glob("table-*")) - indexed) == 1
+    assert hits.count() == 8 and index.term_idf.count() and index.lexical.count()
+
+
+def test_shuffle_files_go_with_the_query_that_made_them(spark):
+    from parlova.runtime import materialize
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    local = Path(spark.conf.get("spark.local.dir", "/tmp"))
+    files = lambda: set(local.glob("blockmgr-*/*/shuffle_*.data"))
+    before, held = files(), spark.conf.get(key, None)
+    stored = materialize(spark.range(10_000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    deadline = time.monotonic() + 10
+    while files() - before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not files() - before and stored.agg(F.sum("count")).first()[0] == 10_000
+    assert spark.conf.get(key, None) == held
+
+
+def test_the_standard_flow_keeps_one_table_of_texts(spark, tmp_path):
+    """Pairs of the flow are not stored beside their split; columns and raw texts are those of the pairs."""
+    from parlova.sources import views
+
+    turns = [(c, t, ("user", "assistant")[t % 2], f"text {c} of turn {t} @you") for c in range(12) for t in range(4)]
+    sf = str(tmp_path)
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    before = set(Path(shared_dir(spark)).glob("table-*"))
+    golden, splits = views.flow(spark, sf)
+    made = set(Path(shared_dir(spark)).glob("table-*")) - before
+    pairs = views.pairs(spark, sf)
+    assert len(made) == 2 and sorted(splits.columns) == sorted([*pairs.columns, "time_rank", "split"])
+    known = pairs.select("pair_seq", "raw_text", "customer_text", "cleaned_text")
+    assert splits.count() and splits.select(*known.columns).exceptAll(known).isEmpty()
+    assert golden.count() == pairs.count() // views.GOLDEN_SHARE
