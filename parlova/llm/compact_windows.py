@@ -213,8 +213,11 @@ def _same(key: np.ndarray, flat: np.ndarray, size: np.ndarray) -> np.ndarray:
     raw = np.ascontiguousarray(flat).view(np.uint8)
     end = np.cumsum(size) * 2
     own = codes(raw, end - size * 2, end)
-    _, number = np.unique(np.stack([key, own.astype(np.uint64)]), axis=1, return_inverse=True)
-    return number.ravel()
+    order = np.lexsort((own, key))
+    key, own = key[order], own[order]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(np.concatenate([[False], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])[: len(order)])
+    return number
 
 
 class _Passages:
@@ -306,22 +309,33 @@ class _Passages:
         """First and last passage of a run in which the shingle at a place occurs for the first time."""
         return np.maximum(np.maximum(before + 1, place - TOKENS + 1), 0), np.minimum(place, size - TOKENS)
 
+    @staticmethod
+    def _enough(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Two passages share no more than their runs do, and need 0.8 / 1.8 of both counts, ``a`` and ``b`` at least."""
+        return common * (1 + SIMILARITY) >= SIMILARITY * (a + b) - 1e-6
+
     def _sliding(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The largest Jaccard similarity over all passages of both runs; 0 where it is below ``SIMILARITY``."""
         rows, index = np.unique(np.concatenate([a, b]), return_inverse=True)
         values, before, distinct = self._extents(rows)
         size = self.size[rows]
         ia, ib = index[: len(a)], index[len(a) :]
+        out = np.zeros(len(a))
+        least = np.where(distinct > 0, distinct, TOKENS).min(axis=1)
+        # Shingles whose place in the sketch the other run has too are no fewer than are shared; most pairs end here.
+        first = (before < 0) & (np.arange(_EXTENT) < size[:, None])
+        spot = values % _SKETCH
+        held = np.zeros((len(rows), _SKETCH), bool)
+        row, column = np.nonzero(first)
+        held[row, spot[row, column]] = True
+        near = np.flatnonzero(self._enough((held[ib[:, None], spot[ia]] & first[ia]).sum(axis=1), least[ia], least[ib]))
+        ia, ib = ia[near], ib[near]
         pair, p, q = np.nonzero(values[ia][:, :, None] == values[ib][:, None, :])
         inside = (p < size[ia[pair]]) & (q < size[ib[pair]])
         pair, p, q = pair[inside], p[inside], q[inside]
-        # Two passages share no more than their runs do, and need 0.8 / 1.8 of both counts.
         once = (before[ia[pair], p] < 0) & (before[ib[pair], q] < 0)
-        common = np.bincount(pair[once], minlength=len(a))
-        least = np.where(distinct > 0, distinct, TOKENS).min(axis=1)
-        able = common * (1 + SIMILARITY) >= SIMILARITY * (least[ia] + least[ib]) - 1e-6
+        able = self._enough(np.bincount(pair[once], minlength=len(near)), least[ia], least[ib])
         left = np.flatnonzero(able)
-        out = np.zeros(len(a))
         if not len(left):
             return out
         number = np.cumsum(able) - 1
@@ -339,7 +353,7 @@ class _Passages:
         union = distinct[ia[left]].astype(np.int16)[:, :, None] + distinct[ib[left]].astype(np.int16)[:, None, :] - shared
         best = (shared / np.maximum(1, union).astype(np.float32)).max(axis=(1, 2))
         # In single precision 0.8 may fall short by a rounding; the next smaller ratio is far below.
-        out[left] = np.where(best >= SIMILARITY - 1e-6, np.maximum(best, SIMILARITY), 0)
+        out[near[left]] = np.where(best >= SIMILARITY - 1e-6, np.maximum(best, SIMILARITY), 0)
         return out
 
 
@@ -508,7 +522,9 @@ def _link_table(found: list[tuple]) -> pa.Table:
     a, b, wa, wb, value = a[use], b[use], wa[use], wb[use], value[use]
     swap = a > b
     a, b, wa, wb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, wb, wa), np.where(swap, wa, wb)
-    _, one = np.unique(np.stack([a, b]), axis=1, return_index=True)
+    order = np.lexsort((b, a))
+    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])[: len(order)]
+    one = order[new]
     columns = zip(("a", "b", "a_word", "b_word"), (a, b, wa, wb))
     return pa.table({**{k: pa.array(v[one].astype(np.int64)) for k, v in columns}, "similarity": pa.array(value[one].astype(float))})
 

@@ -219,3 +219,28 @@ def test_hot_keys_in_blocks(spark, monkeypatch):
     cold = sorted(map(tuple, passage_classes(docs).collect()))
     assert cold == sorted(map(tuple, passage_classes(docs, hot_docs=2).collect()))
     assert len({c for _, c in cold}) > 1
+
+
+def test_dissimilar_runs_are_not_compared_place_by_place(monkeypatch):
+    """Runs that share too few shingles end at their sketches; the others keep the value of all passages as sets."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 60_000, (20, 60))
+    runs = []
+    for i in range(60):
+        own = np.roll(base[i % 20], i // 20)
+        own[: 3 * (i // 20)] = rng.integers(0, 60_000, 3 * (i // 20))
+        runs.append(own.astype("<u2"))
+    n = len(runs)
+    columns = [np.zeros(n), np.arange(n), np.zeros(n), np.full(n, 30), np.full(n, 60), np.concatenate(runs)]
+    table = {c: pa.array([v.astype(t).tobytes()], pa.binary()) for c, v, t in zip(windows._PARTS, columns, windows._TYPES)}
+    p = windows._Passages(pa.table(table))
+    a, b = np.triu_indices(n, 1)
+    compared = []
+    plain = np.nonzero
+    monkeypatch.setattr(np, "nonzero", lambda x: compared.append(len(x) if x.ndim == 3 else 0) or plain(x))
+    got = p._sliding(a, b)
+    sets = [as_sets(p, run) for run in range(n)]
+    want = np.array([max(len(x & y) / len(x | y) for x in sets[i] for y in sets[j]) for i, j in zip(a, b)])
+    want[want < windows.SIMILARITY] = 0
+    assert np.allclose(got, want) and (got > 0).any()
+    assert sum(compared) <= 3 * 20
