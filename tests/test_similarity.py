@@ -388,3 +388,30 @@ def test_the_standard_flow_keeps_one_table_of_texts(spark, tmp_path):
     known = pairs.select("pair_seq", "raw_text", "customer_text", "cleaned_text")
     assert splits.count() and splits.select(*known.columns).exceptAll(known).isEmpty()
     assert golden.count() == pairs.count() // views.GOLDEN_SHARE
+
+
+def test_replies_of_the_flow_move_once_the_split_is_known(spark, tmp_path, monkeypatch):
+    """Ranking and sampling see digests of the replies; repeated row numbers, other texts of one and nulls stay apart."""
+    from parlova.operators import ranking
+    from parlova.runtime import materialize
+    from parlova.sources import views
+
+    turns = [(c, t, ("user", "assistant")[t % 2], f"text {c} of turn {t} " + "word " * 40) for c in range(12) for t in range(4)]
+    turns += [turns[5], turns[6], (1, 1, "assistant", "another answer"), (2, 3, "assistant", None), (None, 1, "assistant", "no number")]
+    sf = str(tmp_path)
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    longest = []
+
+    def spied(df):
+        if "support_text" in df.columns:
+            longest.append(df.agg(F.max(F.length("support_text"))).first()[0])
+        return materialize(df)
+
+    monkeypatch.setattr(ranking, "materialize", spied)
+    splits = views.flow(spark, sf)[1]
+    assert longest and max(longest) <= 64
+    known = views.pairs(spark, sf).select(*[c for c in splits.columns if c not in ("time_rank", "split")])
+    assert splits.count() and splits.select(*known.columns).exceptAll(known).isEmpty()
+    kept = splits.select("pair_seq").distinct()
+    missed = known.where("timestamp IS NOT NULL").join(kept, "pair_seq", "left_semi").select(*known.columns)
+    assert missed.exceptAll(splits.select(*known.columns)).isEmpty()
