@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parlova.operators import retrieval, similarity
-from parlova.runtime import shared_dir
+from parlova.runtime import materialize, shared_dir
 
 
 def _random_case(seed: int, n_q: int, n_d: int, n_features: int):
@@ -359,7 +359,6 @@ def test_an_index_and_its_hits_leave_no_other_tables(spark):
 
 
 def test_shuffle_files_go_with_the_query_that_made_them(spark):
-    from parlova.runtime import materialize
 
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     local = Path(spark.conf.get("spark.local.dir", "/tmp"))
@@ -393,7 +392,6 @@ def test_the_standard_flow_keeps_one_table_of_texts(spark, tmp_path):
 def test_replies_of_the_flow_move_once_the_split_is_known(spark, tmp_path, monkeypatch):
     """Ranking and sampling see digests of the replies; repeated row numbers, other texts of one and nulls stay apart."""
     from parlova.operators import ranking
-    from parlova.runtime import materialize
     from parlova.sources import views
 
     turns = [(c, t, ("user", "assistant")[t % 2], f"text {c} of turn {t} " + "word " * 40) for c in range(12) for t in range(4)]
@@ -415,3 +413,48 @@ def test_replies_of_the_flow_move_once_the_split_is_known(spark, tmp_path, monke
     kept = splits.select("pair_seq").distinct()
     missed = known.where("timestamp IS NOT NULL").join(kept, "pair_seq", "left_semi").select(*known.columns)
     assert missed.exceptAll(splits.select(*known.columns)).isEmpty()
+
+
+def test_a_wave_never_passes_its_cells(spark, monkeypatch):
+    """Where a row of the grid has more cells than a wave, a query meets its documents in several waves and keeps the best of all."""
+    from parlova.operators import grid
+
+    queries, docs = _random_case(9, 40, 120, 50)
+    q, d = _frames(spark, queries, docs)
+    monkeypatch.setattr(similarity, "PAIRS", 100)
+    monkeypatch.setattr(grid, "WAVE_CELLS", 3)
+    monkeypatch.setattr(similarity, "cheap_blocks", lambda *_: (2, 8))
+    cells = []
+    plain = grid._meet
+
+    def counted(left, right, *args):
+        met = left.select("_lb", "_rb").distinct().join(right.select("_lb", "_rb").distinct(), ["_lb", "_rb"])
+        cells.extend([met.count()])
+        return plain(left, right, *args)
+
+    monkeypatch.setattr(grid, "_meet", counted)
+    hits = similarity.sparse_topk(q, d, 3, 10_000)
+    assert _result(hits) == _brute(queries, docs, 3)
+    assert max(cells) <= 3 and sum(cells) == 16
+
+
+def test_systems_are_stored_one_after_the_other(spark, monkeypatch):
+    """Each system is a part of its own, so the shuffles of two are never on the disks together."""
+    from parlova.plans import eval_plans
+
+    parts = []
+    monkeypatch.setattr(eval_plans, "materialize", lambda *each: (parts.extend(each), materialize(*each))[1])
+    one = spark.range(3).select(*[F.col("id").cast("string").alias(c) for c in eval_plans._SYSTEM_COLUMNS])
+    rows = eval_plans._stored({"a": one, "b": one.limit(2)})
+    assert len(parts) == 2 and {r.system: r["count"] for r in rows.groupBy("system").count().collect()} == {"a": 3, "b": 2}
+
+
+def test_documents_are_packed_in_turns(spark, monkeypatch):
+    """No turn shuffles the postings of all documents; null keys are packed once."""
+    written = []
+    monkeypatch.setattr(similarity, "materialize", lambda *each: (written.extend(p.count() for p in each), materialize(*each))[1])
+    rows = [(f"f{j}", i, 1.0 + j) for i in range(200) for j in range(3)] + [("f0", None, 2.0), (None, 1, 3.0)]
+    packed = similarity._packed(spark.createDataFrame(rows, "feature string, doc_id bigint, w double"), "doc_id", "w", 4)
+    found = {r.doc_id: dict(zip(r.feature, r.w)) for r in packed.collect()}
+    assert found == {**{i: {"f0": 1.0, "f1": 2.0, "f2": 3.0} for i in range(200)}, None: {"f0": 2.0}}
+    assert packed.count() == 201 and len(written) == 4 and max(written) < 100
