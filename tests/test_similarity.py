@@ -458,3 +458,24 @@ def test_documents_are_packed_in_turns(spark, monkeypatch):
     found = {r.doc_id: dict(zip(r.feature, r.w)) for r in packed.collect()}
     assert found == {**{i: {"f0": 1.0, "f1": 2.0, "f2": 3.0} for i in range(200)}, None: {"f0": 2.0}}
     assert packed.count() == 201 and len(written) == 4 and max(written) < 100
+
+
+def test_all_scores_without_sending_a_row_to_every_block(spark, monkeypatch):
+    """The whole grid joins blocks, many on both sides; a task that holds several blocks gives each pair once."""
+    from parlova.operators import grid
+
+    queries, docs = _random_case(14, 60, 150, 50)
+    q, d = _frames(spark, queries, docs)
+    monkeypatch.setattr(grid, "_meet", lambda *_: pytest.fail("rows were sent to every block"))
+    for held in (1, 4):
+        monkeypatch.setattr(grid, "HELD_PARTS", held, raising=False)
+        monkeypatch.setattr(grid, "OUT_ROWS", 100, raising=False)
+        rows = similarity.sparse_pairs(q, d, query_block=7, doc_block=11).collect()
+        want = defaultdict(float)
+        weights = defaultdict(list)
+        for f, doc, w in docs:
+            weights[f].append((doc, w))
+        for qid, f, qw in queries:
+            for doc, w in weights[f]:
+                want[qid, doc] += qw * w
+        assert len(rows) == len(want) and {(r.qid, r.doc_id): round(r.score, 9) for r in rows} == {p: round(s, 9) for p, s in want.items()}
