@@ -3,26 +3,38 @@
 Documents lie in cells around pivots, each cell cut into rings by the angle to its pivot. For a query at angle t
 to a pivot, no document of the ring [low, high] is nearer than the gap between t and the ring (triangle
 inequality of angles), so the ring's best cosine is bounded. A query first visits the ring with the best
-bound; the k-th score found there tells which other rings can still matter. Documents are
-shuffled once, queries go to the rings they need. Where no bound helps, as in data without
-structure, every query needs every ring, which is what an exact result costs there.
+bound; the k-th score found there tells which other rings can still matter. Queries that need few other rings are
+sent to them. Where bounds help little, as in data without structure, nearly every query needs nearly every
+ring, which is what an exact result costs there: blocks of neighbouring queries are then joined with the rings, so that no
+vector is sent more than once, and a task keeps the best rows of its queries while the rings pass.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlova.operators.frames import union_all
-from parlova.operators.grid import unit_rows
+from parlova.operators.grid import (
+    MAX_VALUES,
+    Cell,
+    best_of_rows,
+    block_pairs,
+    block_rows_of,
+    cross_blocks,
+    pack_blocks,
+    unit_matrix,
+    unit_rows,
+)
 from parlova.operators.ranking import hash_sample, top_k
-from parlova.runtime import materialize
+from parlova.runtime import materialize, scratch_scope
 
 # Rows of a ring, and of the queries that meet it in one task.
 BLOCK_ROWS = 8_192
@@ -33,14 +45,14 @@ SMALL_QUERIES = 1_024
 MAX_PIVOTS = 256
 ANGLE_BINS = 256
 MAX_BLOCKS = 65_536
+# Rings that queries visit on the average, besides their best one, up to which they are sent there.
+FEW_VISITS = 2
 # Slack for rounding, in angles and cosines alike.
 SLACK = 1e-7
 # Query-ring numbers, and rows that visit rings, that a task holds at once.
 _CHUNK = 1 << 20
 _VISIT_ROWS = 1 << 13
 
-Cell = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
-
 
 @dataclass(frozen=True)
 class Rings:
@@ -64,25 +76,41 @@ class Rings:
         best[:, self.pivot < 0] = 0.0
         return np.clip(best, 0.0, 1.0), angle
 
+    def reached(self, unit: np.ndarray, weight: float, most: np.ndarray, kth: np.ndarray | None, home: np.ndarray | None = None) -> np.ndarray:
+        """Whether each unit row visits each ring: its ``home``, by default the best one; with ``kth`` the others that can reach it."""
+        cosine, angle = self.bounds(unit)
+        bound = weight * cosine + most[:, None]
+        # Of equal bounds the nearer pivot.
+        best = (bound - 1e-3 * angle).argmax(axis=1) if home is None else home
+        use = np.zeros(bound.shape, bool) if kth is None else bound + SLACK >= kth[:, None]
+        use[np.arange(len(unit)), best] = kth is None
+        return use & (bound > 0)
+
+    def only(self, ring: int) -> Rings:
+        """One of the rings."""
+        of = self.pivot[[ring]]
+        return Rings(self.pivots[np.maximum(of, 0)], np.minimum(of, 0), self.low[[ring]], self.high[[ring]])
+
 
 def _place(docs: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Adds ``_pivot`` (-1 without a direction), ``_angle`` and ``_bin`` to the documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.empty:
-                continue
-            unit = unit_rows(batch["vec"])
-            some = np.isfinite(unit).all(axis=1) & unit.any(axis=1)
-            cosine = np.where(some[:, None], np.nan_to_num(unit), 0.0) @ pivots.T
-            nearest = cosine.argmax(axis=1) if len(pivots) else np.zeros(len(batch), int)
-            best = cosine[np.arange(len(batch)), nearest] if len(pivots) else np.zeros(len(batch))
+            unit = unit_matrix(pa.chunked_array([batch["vec"]]))
+            some = unit.any(axis=1)
+            cosine = unit @ pivots.T if len(pivots) and some.any() else np.zeros((len(unit), 0))
+            nearest = cosine.argmax(axis=1) if cosine.size else np.zeros(len(unit), int)
+            best = cosine[np.arange(len(unit)), nearest] if cosine.size else np.zeros(len(unit))
             angle = np.where(some, np.arccos(np.clip(best, -1.0, 1.0)), 0.0)
-            bins = np.minimum((angle * (ANGLE_BINS / math.pi)).astype(int), ANGLE_BINS - 1)
-            yield batch.assign(_pivot=np.where(some, nearest, -1), _angle=angle, _bin=bins)
+            bins = np.minimum((angle * (ANGLE_BINS / math.pi)).astype(np.int32), ANGLE_BINS - 1)
+            places = [np.where(some, nearest, -1).astype(np.int32), angle, bins]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array(p) for p in places]], names=[*batch.schema.names, "_pivot", "_angle", "_bin"]
+            )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(run, f"{fields}, _pivot int, _angle double, _bin int")
+    return docs.mapInArrow(run, f"{fields}, _pivot int, _angle double, _bin int")
 
 
 def build_rings(docs: DataFrame, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> tuple[DataFrame, Rings]:
@@ -124,7 +152,7 @@ def build_rings(docs: DataFrame, block_rows: int = BLOCK_ROWS, max_pivots: int =
 
 
 def visits(queries: DataFrame, rings: Rings, weight: float, first: bool) -> DataFrame:
-    """One row per ring that a query visits: its best one, or the others that can reach its ``_kth`` score.
+    """One row per ring that a query visits: its best one (``_home``, if known), or the others that can reach its ``_kth`` score.
 
     ``_most`` is the most that anything but the weighted cosine can add to a score. Only positive scores count.
     """
@@ -134,18 +162,10 @@ def visits(queries: DataFrame, rings: Rings, weight: float, first: bool) -> Data
         for batch in batches:
             for low in range(0, len(batch), rows):
                 own = batch.iloc[low : low + rows]
-                cosine, angle = rings.bounds(np.nan_to_num(unit_rows(own["vec"])))
-                bound = weight * cosine + own["_most"].to_numpy()[:, None]
-                # Of equal bounds the nearer pivot.
-                best = (bound - 1e-3 * angle).argmax(axis=1)
-                each = np.arange(len(own))
-                use = np.zeros(bound.shape, bool)
-                if first:
-                    use[each, best] = True
-                else:
-                    use = bound + SLACK >= own["_kth"].to_numpy()[:, None]
-                    use[each, best] = False
-                at, block = np.nonzero(use & (bound > 0))
+                unit = np.nan_to_num(unit_rows(own["vec"]))
+                home = own["_home"].to_numpy() if "_home" in own else None
+                use = rings.reached(unit, weight, own["_most"].to_numpy(), None if first else own["_kth"].to_numpy(), home)
+                at, block = np.nonzero(use)
                 # A query may visit every ring: its vector is repeated for few rows at a time.
                 for first_row in range(0, max(1, len(at)), _VISIT_ROWS):
                     some = slice(first_row, first_row + _VISIT_ROWS)
@@ -167,7 +187,110 @@ def _meet(asked: DataFrame, docs: DataFrame, cell: Cell, schema: str, block_quer
     d = d.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
     # Fresh column identities: both sides may come from the same table.
     d = d.toDF(*d.columns)
-    return q.groupBy("block", "_salt").cogroup(d.groupBy("block", "_salt")).applyInPandas(cell, schema)
+
+    def run(own: pa.Table, held: pa.Table) -> pa.Table:
+        return cell(own, held).drop_columns(["_row"])
+
+    return q.groupBy("block", "_salt").cogroup(d.groupBy("block", "_salt")).applyInArrow(run, schema)
+
+
+def _visit_count(queries: DataFrame, rings: Rings, weight: float) -> int:
+    """The rows of ``visits`` to other than the best rings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = max(1, _CHUNK // max(1, len(rings)))
+        for batch in batches:
+            own = pa.Table.from_batches([batch])
+            pieces = [own.slice(low, rows) for low in range(0, own.num_rows, rows)]
+            yield pa.RecordBatch.from_pydict({"n": [int(_reached(p, rings, weight).sum()) for p in pieces]})
+
+    counts = queries.select("vec", "_most", "_kth", "_home").mapInArrow(run, "n bigint")
+    return counts.agg(F.sum("n")).first()[0] or 0
+
+
+def _reached(own: pa.Table, rings: Rings, weight: float) -> np.ndarray:
+    most, kth, home = (own[c].to_numpy() for c in ("_most", "_kth", "_home"))
+    return rings.reached(unit_matrix(own["vec"]), weight, most, kth, home)
+
+
+def _query_blocks(queries: DataFrame, rings: Rings, weight: float, block_queries: int) -> tuple[DataFrame, int]:
+    """(packed blocks of queries whose best rings, in ``_home``, are neighbours, with the rings that any of them visits; their number)."""
+    # At most MAX_BLOCKS rows.
+    counts = sorted(tuple(r) for r in queries.groupBy("_home").count().collect())
+    dealt, n_blocks, held = [], 0, block_queries
+    for home, n in counts:
+        parts = -(-n // block_queries)
+        if parts > 1 or held + n > block_queries:
+            n_blocks, held = n_blocks + parts, 0
+        held += n if parts == 1 else block_queries
+        dealt.append((home, n_blocks - parts, parts))
+    table = queries.sparkSession.createDataFrame(dealt, "_home int, _first int, _parts int")
+    number = F.col("_first") + F.pmod(F.xxhash64("qid"), F.col("_parts")).cast("int")
+    rows = queries.join(F.broadcast(table), "_home").withColumn("_b", number).drop("_first", "_parts")
+    packed = pack_blocks(rows, "_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            needs = []
+            for i in range(batch.num_rows):
+                own, any_of = block_rows_of(batch["rows"], i), np.zeros(len(rings), bool)
+                step = max(1, _CHUNK // len(rings))
+                for low in range(0, own.num_rows, step):
+                    any_of |= _reached(own.slice(low, step), rings, weight).any(axis=0)
+                needs.append(np.flatnonzero(any_of).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(needs, pa.list_(pa.int32()))], names=["_b", "rows", "needs"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema)
+    return materialize(packed.mapInArrow(run, f"{fields}, needs array<int>")), n_blocks
+
+
+def _cross(
+    asked: DataFrame, docs: DataFrame, n_asked: int, n_docs: int, cell: Cell, schema: str, k: int, rings: Rings | None, weight: float
+) -> DataFrame:
+    """``cell`` on pairs of packed blocks; for each query of a task the ``k`` best rows of all rings that it may need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # At most HELD_BLOCKS of queries: their rows, k-th scores and best documents so far.
+        held: dict[int, tuple] = {}
+        for ring, d, block, q in block_pairs(batches):
+            if block not in held:
+                kth = q["_kth"].to_numpy().copy() if rings is not None else np.zeros(q.num_rows)
+                held[block] = q, kth, None
+            q, kth, best = held[block]
+            own = np.arange(q.num_rows)
+            if rings is not None:
+                bound = weight * rings.only(ring).bounds(unit_matrix(q["vec"]))[0][:, 0] + q["_most"].to_numpy()
+                own = np.flatnonzero((bound + SLACK >= kth) & (bound > 0) & (q["_home"].to_numpy() != ring))
+            some = q.drop_columns(["_kth"]) if rings is not None else q
+            found = cell(some.take(pa.array(own)).append_column("_kth", pa.array(kth[own])), d)
+            if not found.num_rows:
+                continue
+            found = found.set_column(found.column_names.index("_row"), "_row", pa.array(own[found["_row"].to_numpy()]))
+            best = best_of_rows(found if best is None else pa.concat_tables([best, found]), k)
+            row = best["_row"].to_numpy()
+            # The last row of a query with k of them.
+            last = np.flatnonzero(np.bincount(row, minlength=q.num_rows) == k)
+            kth[last] = np.maximum(kth[last], best["score"].to_numpy()[np.searchsorted(row, last, "right") - 1])
+            held[block] = q, kth, best
+        for _, _, best in held.values():
+            if best is not None:
+                yield from best.drop_columns(["_row"]).to_batches()
+
+    on = None if rings is None else F.array_contains("needs", F.col("_l"))
+    return cross_blocks(docs, asked, n_docs, n_asked, run, schema, on)
+
+
+def _sizes(rows: DataFrame) -> tuple[int, int]:
+    """Rows, and numbers in their lists."""
+    lists = [f.name for f in rows.schema if f.dataType.typeName() == "array"]
+    numbers = sum((F.coalesce(F.size(c), F.lit(0)) for c in lists), F.lit(0))
+    n, values = rows.agg(F.count(F.lit(1)), F.sum(numbers)).first()
+    return n, values or 0
+
+
+def _bounded(block_rows: int, rows: int, values: int) -> int:
+    """Rows of a block of which the lists hold about MAX_VALUES numbers at most."""
+    return max(1, min(block_rows, MAX_VALUES * rows // max(1, values)))
 
 
 def ring_topk(
@@ -184,21 +307,29 @@ def ring_topk(
 ) -> DataFrame:
     """The ``k`` best documents per query, exactly; ``cell`` scores queries against documents and returns its k best.
 
-    ``queries`` (qid, vec, _most, ...) and ``docs`` (doc_id, vec, ...) may carry columns that ``cell`` reads.
+    ``queries`` (qid, vec, _most, ...) and ``docs`` (doc_id, vec, ...) may carry columns that ``cell`` reads; its result is
+    that of ``grid.best_in_cell``. The result is stored, as it is read more than once by most callers and each reading would
+    run the cells; the tables made on the way are gone.
     """
-    if docs.count() <= block_rows:
-        # One ring: nothing to skip.
-        cuts = math.ceil(queries.count() / min(block_queries, SMALL_QUERIES))
-        every = F.explode(F.sequence(F.lit(0), F.lit(max(0, cuts - 1))))
-        q = queries.withColumn("_salt", F.pmod(F.xxhash64("qid"), F.lit(max(1, cuts))).cast("int"))
-        d = docs.withColumn("_salt", every)
-        d = d.toDF(*d.columns)
-        return top_k(q.groupBy("_salt").cogroup(d.groupBy("_salt")).applyInPandas(cell, schema), ["qid"], order_by, k)
-    docs, rings = build_rings(docs, block_rows, max_pivots)
-    queries = materialize(queries)
-    near = materialize(_meet(visits(queries, rings, weight, True), docs, cell, schema, block_queries))
-    kth = near.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_kth"))
-    bounded = queries.join(kth, "qid", "left").fillna(0.0, ["_kth"])
-    far = _meet(visits(bounded, rings, weight, False), docs, cell, schema, block_queries)
-    # Read more than once by most callers, and each reading would run the cells.
-    return materialize(top_k(union_all([near, far]), ["qid"], order_by, k))
+    with scratch_scope(queries.sparkSession) as keep:
+        queries = materialize(queries)
+        (n_queries, asked_values), (n_docs, held_values) = _sizes(queries), _sizes(docs)
+        block_queries, block_rows = _bounded(block_queries, n_queries, asked_values), _bounded(block_rows, n_docs, held_values)
+        if n_docs <= block_rows:
+            # One ring: nothing to skip.
+            cuts = max(1, math.ceil(n_queries / min(block_queries, SMALL_QUERIES)))
+            asked = pack_blocks(queries.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(cuts)).cast("int")), "_b")
+            held = pack_blocks(docs.withColumn("block", F.lit(0)), "block")
+            return keep(top_k(_cross(asked, held, cuts, 1, cell, schema, k, None, weight), ["qid"], order_by, k))
+        docs, rings = build_rings(docs, block_rows, max_pivots)
+        asked = materialize(visits(queries, rings, weight, True))
+        near = materialize(_meet(asked, docs, cell, schema, block_queries))
+        kth = near.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_kth"))
+        bounded = materialize(asked.join(kth, "qid", "left").fillna(0.0, ["_kth"]).withColumnRenamed("block", "_home"))
+        if _visit_count(bounded, rings, weight) <= FEW_VISITS * n_queries:
+            far = _meet(visits(bounded, rings, weight, False), docs, cell, schema, block_queries)
+        else:
+            blocks, n_blocks = _query_blocks(bounded, rings, weight, block_queries)
+            held = materialize(pack_blocks(docs, "block"))
+            far = _cross(blocks, held, n_blocks, len(rings), cell, schema, k, rings, weight)
+        return keep(top_k(union_all([near, far]), ["qid"], order_by, k))

@@ -6,6 +6,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,62 @@ def test_cells_run_once_however_often_the_result_is_read(spark, tmp_path):
     ran = len(list(tmp_path.iterdir()))
     assert ran and hits.count() == 90 and hits.join(hits.groupBy("qid").count(), "qid").count() == 90
     assert len(list(tmp_path.iterdir())) == ran
+
+
+def rows_of(df):
+    return sorted(((r.qid is None, r.qid, r["rank"], r.doc_id is None, r.doc_id, round(round(r.score, 9), 6)) for r in df.collect()), key=str)
+
+
+def test_queries_that_need_most_rings_are_not_repeated(spark, monkeypatch):
+    """Data without structure: no vector is sent to every ring. Rows as with one ring, also where ids repeat or are null."""
+    rng = np.random.default_rng(21)
+    vectors = [[float(x) for x in v] for v in rng.standard_normal((300, 12))]
+    docs = [(None if i % 41 == 0 else i // 2 if i % 10 == 0 else i, v) for i, v in enumerate(vectors)]
+    asked = [(None if i % 17 == 0 else i // 3, v) for i, v in enumerate(vectors[:90])] + [(500, [0.0] * 12)]
+    d = spark.createDataFrame(docs, "doc_id bigint, vec array<double>")
+    q = spark.createDataFrame(asked, "qid bigint, vec array<double>")
+    want = rows_of(similarity.dense_topk(q, d, 4, 50, 1000))
+    plain, crossed = dense_cells.visits, []
+    monkeypatch.setattr(dense_cells, "visits", lambda *a: plain(*a) if a[3] else pytest.fail("queries were sent to all their rings"))
+    cross = getattr(dense_cells, "_cross", None)
+    monkeypatch.setattr(dense_cells, "_cross", lambda *a: crossed.append(a[2:4]) or cross(*a), raising=False)
+    got = rows_of(similarity.dense_topk(q, d, 4, 25, 40))
+    assert got == want and len(want) > 100 and min(crossed[0]) > 3
+
+
+def test_queries_that_need_few_rings_are_sent_there(spark, monkeypatch):
+    docs = clustered(600, 6, 12, 0.001, 4)
+    q, d = frames(spark, docs[:50], docs)
+    monkeypatch.setattr(dense_cells, "_cross", lambda *_: pytest.fail("all blocks met"))
+    assert result(similarity.dense_topk(q, d, 3, 30, 50)) == brute(np.clip(unit(docs[:50]) @ unit(docs).T, 0, 1), 3)
+
+
+def test_a_cell_returns_only_what_can_still_count():
+    """Scores of terms and vectors together, of blocks as they arrive; below the k-th score so far nothing leaves a cell."""
+    rng = np.random.default_rng(3)
+    docs, asked = rng.standard_normal((40, 5)), rng.standard_normal((9, 5))
+    asked[4] = 0
+    w, qw = rng.random((40, 7)) * (rng.random((40, 7)) < 0.4), rng.random((9, 7)) * (rng.random((9, 7)) < 0.6)
+    names = np.array([f"f{i}" for i in range(7)])
+
+    def table(key, vectors, weights, name):
+        some = [None if not r.any() else r > 0 for r in weights]
+        return pa.table(
+            {
+                key: pa.array(range(len(vectors))),
+                "vec": pa.array([list(v) for v in vectors]),
+                "feature": pa.array([None if s is None else list(names[s]) for s in some], pa.list_(pa.string())),
+                name: pa.array([None if s is None else list(r[s]) for s, r in zip(some, weights)], pa.list_(pa.float64())),
+            }
+        )
+
+    scores = 0.6 * np.clip(unit(asked) @ unit(docs).T, 0, 1) + qw @ w.T
+    kth = np.sort(scores, axis=1)[:, -2]
+    q, d = table("qid", asked, qw, "qw"), table("doc_id", docs, w, "w")
+    every = similarity._fused_cell(4, 0.6)(q, d)
+    few = similarity._fused_cell(4, 0.6)(q.append_column("_kth", pa.array(kth)), d.take(pa.array(rng.permutation(40))))
+    for found, k in ((every, 4), (few, 2)):
+        got = {}
+        for r in found.to_pylist():
+            got.setdefault(r["qid"], []).append((r["doc_id"], round(round(r["score"], 9), 6)))
+        assert got == brute(scores, k)
